@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ YEAR_HINT = r"(\d{4})年"
 SOURCE_PREFIX = r"^[^0-9.]+"
 
 
+def norm_name_py(name: str) -> str:
+    """Python twin of ``normalize_name`` for one header (plan-building only)."""
+    return re.sub(_NON_WORD, "_", name.strip().lower()).strip("_")
+
+
 def strip_ws(c) -> Column:
     """Strip leading/trailing whitespace of every kind (Spark's trim strips spaces only)."""
     return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")

@@ -181,7 +181,7 @@ def confirm_mapping(proposal: DataFrame, catalog: DataFrame, sources: DataFrame,
     ``sources(source_id, fingerprint, source_order)``; ``memory`` is the
     existing table (same schema as the result) or None.
     """
-    at = F.lit(confirmed_at).cast("timestamp") if confirmed_at is not None else F.current_timestamp()
+    at = F.lit(confirmed_at).cast("timestamp_ntz") if confirmed_at is not None else F.localtimestamp()
     winner = sources.groupBy("fingerprint").agg(F.max_by("source_id", "source_order").alias("source_id"))
     cols = catalog.join(winner, "source_id").select("fingerprint", "pos", F.col("name").alias("source_col"))
     sliced = cols.join(proposal, "source_col").select(

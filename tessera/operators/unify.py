@@ -89,6 +89,24 @@ def unify_grid(grid: DataFrame, headers: DataFrame, mapping: DataFrame, fields:
     return joined.select(*cols, F.col("source_file"))
 
 
+def sheet_frame(grid: DataFrame, headers: DataFrame, columns: list[str],
+                broadcast_limit: int = 1_000_000) -> DataFrame:
+    """Wide all-text DataFrame over many grid files: one column per name in
+    ``columns``, read in every file at the position of its header cell with
+    the same normalized name (NULL when the file lacks it), plus
+    ``source_file``. One pass, no per-file plan."""
+    from tessera.functions.text import norm_name_py, normalize_name
+
+    cols = headers.select("source_file", F.posexplode("header").alias("pos", "name"))
+    by_norm = cols.withColumn("norm", normalize_name("name")).groupBy("source_file", "norm").agg(
+        F.min("pos").alias("pos"))
+    per_file = by_norm.groupBy("source_file").agg(
+        F.map_from_entries(F.collect_list(F.struct("norm", "pos"))).alias("_pos"))
+    joined = join_small(grid, per_file, ["source_file"], "inner", broadcast_limit)
+    out = [F.get(F.col("cells"), F.col("_pos")[norm_name_py(c)]).alias(c) for c in columns]
+    return joined.select(*out, "source_file")
+
+
 def replay_union(frames: list[DataFrame]) -> DataFrame:
     """Union of per-source step results, by name (missing columns -> NULL)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
