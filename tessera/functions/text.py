@@ -88,13 +88,11 @@ def _g(c: Column, pattern: str, idx: int) -> Column:
 def _iso(y: Column, mo: Column, d: Column, hh=None, mi=None, ss=None) -> Column:
     """Validated datetime -> ISO text; NULL for impossible dates or times."""
     zero = F.lit(0)
-    ts = F.try_make_timestamp_ntz(
-        years=y, months=mo, days=d,
-        hours=hh if hh is not None else zero,
-        mins=mi if mi is not None else zero,
-        secs=(ss if ss is not None else zero).cast("decimal(8,6)"),
-    )
-    ok = (y >= 1) & (F.coalesce(ss, zero) < 60)
+    hh = F.coalesce(hh, zero) if hh is not None else zero
+    mi = F.coalesce(mi, zero) if mi is not None else zero
+    ss = F.coalesce(ss, zero) if ss is not None else zero
+    ok = (y >= 1) & (hh < 24) & (mi < 60) & (ss < 60)
+    ts = F.try_make_timestamp_ntz(years=y, months=mo, days=d, hours=hh, mins=mi, secs=ss.cast("decimal(8,6)"))
     return F.when(ok, F.date_format(ts, _ISO_FMT))
 
 

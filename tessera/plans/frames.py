@@ -192,3 +192,56 @@ def priority_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Required source columns of the two catalog skills.
 EVENT_REQUIRED = ["click", "purchase", "view"]
 PRIORITY_REQUIRED = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
+
+
+# --- raw freight sheets (grid cleaning) ------------------------------------------
+
+FREIGHT_HEADER = ["Order No", "日期", "Amount", "Status", "Priority"]
+FREIGHT_AMOUNT_ALT = "运费合计"
+FREIGHT_TITLE = "Freight report "
+
+
+def freight_file(k: Column) -> Column:
+    return F.concat(F.lit("freight_"), _s(k), F.when(k % 2 == 0, F.lit("_2023年")).otherwise(F.lit("")), F.lit(".csv"))
+
+
+def freight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw sheet grids, one per customer: optional title row, header row, one
+    row per order (dates as text in four shapes, some rows short or long),
+    subtotal rows and blank rows in between. ``row_no`` orders rows in a file."""
+    c = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders")
+    k = F.col("c_custkey")
+    title = c.where(k % 4 != 3).select(
+        freight_file(k).alias("source_file"), F.lit(0).cast("long").alias("row_no"),
+        F.array(F.concat(F.lit(FREIGHT_TITLE), F.col("c_name"))).alias("cells"))
+    hdr = [F.lit(h) for h in FREIGHT_HEADER]
+    hdr[2] = F.when(k % 3 == 0, F.lit(FREIGHT_AMOUNT_ALT)).otherwise(F.lit(FREIGHT_HEADER[2]))
+    header = c.select(freight_file(k).alias("source_file"), F.lit(1).cast("long").alias("row_no"),
+                      F.array(*hdr).alias("cells"))
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    ok = F.col("o_orderkey")
+    d = F.col("o_orderdate").cast("date")
+    date_text = (
+        F.when(ok % 4 == 0, F.date_format(d, "yyyy-MM-dd"))
+        .when(ok % 4 == 1, F.date_format(d, "yyyy/M/d"))
+        .when(ok % 4 == 2, F.date_format(d, "yyyy年M月d日"))
+        .otherwise(F.date_format(d, "M.d"))
+    )
+    price = _s("o_totalprice")
+    full = [_s(ok), date_text, price, F.col("o_orderstatus"), F.col("o_orderpriority")]
+    cells = (
+        F.when(ok % 11 == 0, F.array(*full[:3]))
+        .when(ok % 13 == 0, F.array(*full, F.lit("x"), F.lit("y")))
+        .otherwise(F.array(*full))
+    )
+    base = 10 + 3 * ok
+    data = j.select(freight_file(k).alias("source_file"), base.alias("row_no"), cells.alias("cells"))
+    sub = j.where(ok % 5 == 0).select(
+        freight_file(k).alias("source_file"), (base + 1).alias("row_no"),
+        F.when(ok % 10 == 5, F.array(F.lit("Total"), F.lit(""), F.lit(""), F.lit(""), price))
+        .otherwise(F.array(F.lit("小计"), price)).alias("cells"))
+    blank = j.where(ok % 7 == 0).select(
+        freight_file(k).alias("source_file"), (base + 2).alias("row_no"),
+        F.array_repeat(F.lit(""), 5).alias("cells"))
+    return title.unionByName(header).unionByName(data).unionByName(sub).unionByName(blank)
