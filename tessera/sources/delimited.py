@@ -85,6 +85,18 @@ def _csv_reader(spark: SparkSession, width: int, delim: str, multiline: bool, ke
     return r
 
 
+def _row_cells(width: int):
+    """The parsed fields of one record as ``array<string>``: empty fields are
+    ``''``; trailing NULLs (fields the line does not have) are dropped. Spark
+    reads an unquoted empty field as NULL too, so a line's own trailing empty
+    fields are dropped with the padding (the row width is then the last
+    non-empty field)."""
+    arr = F.array(*[F.col(f"_c{i}") for i in range(width)])
+    last = F.aggregate(F.transform(arr, lambda x, i: F.when(x.isNull(), F.lit(0)).otherwise(i + 1)),
+                       F.lit(0), lambda acc, v: F.greatest(acc, v))
+    return F.slice(F.transform(arr, lambda x: F.coalesce(x, F.lit(""))), 1, last)
+
+
 def header_names(cells: list) -> list[str]:
     """Blank header cell -> ``column{idx}``; repeated (case-insensitive) -> ``{name}_{k}``."""
     names: list[str] = []
@@ -143,18 +155,15 @@ def read_grid(spark: SparkSession, paths, delim: str | None = None, width: int |
     w = width or max_fields(spark, ps, d)
     raw = _csv_reader(spark, w, d, multiline, keep_empty=True).csv(ps)
     ordered = _file_order(raw)
-    cells = F.filter(F.array(*[F.col(f"_c{i}") for i in range(w)]), lambda x: x.isNotNull())
-    return ordered.select("source_file", "row_no", cells.alias("cells"))
+    return ordered.select("source_file", "row_no", _row_cells(w).alias("cells"))
 
 
 def first_row(spark: SparkSession, path: str, delim: str | None = None, width: int = 4096) -> list:
     """The first record of one file (reads one split's head only)."""
     d = _one_delimiter([path], delim)
     df = _csv_reader(spark, width, d, False, keep_empty=True).csv(path)
-    row = df.where(F.col("_metadata.file_block_start") == 0).limit(1).collect()
-    if not row:
-        return []
-    return [v for v in row[0] if v is not None]
+    row = df.where(F.col("_metadata.file_block_start") == 0).select(_row_cells(width).alias("c")).limit(1).collect()
+    return list(row[0]["c"]) if row else []
 
 
 def read_delimited(spark: SparkSession, paths, delim: str | None = None, width: int | None = None,
@@ -190,7 +199,7 @@ def first_rows(spark: SparkSession, paths, delim: str | None = None, width: int
     d = _one_delimiter(ps, delim)
     w = width or max_fields(spark, ps, d)
     raw = _csv_reader(spark, w, d, False, keep_empty=True).csv(ps)
-    cells = F.filter(F.array(*[F.col(f"_c{i}") for i in range(w)]), lambda x: x.isNotNull())
+    cells = _row_cells(w)
     return (
         raw.where(F.col("_metadata.file_block_start") == 0)
         .select(F.col("_metadata.file_path").alias("source_file"),
