@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import normalize_name
+from tessera.operators.sizing import join_small
 
 SAMPLE_N = 5
 VARCHAR = "VARCHAR"
@@ -164,7 +165,7 @@ def column_origins(catalog: DataFrame) -> DataFrame:
     """
     pairs = catalog.select("name", "source_id").distinct()
     counts = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n_files"))
-    return pairs.join(counts, "name")
+    return join_small(pairs, counts, ["name"])
 
 
 def match_skills(sources: DataFrame, skills: DataFrame) -> DataFrame:

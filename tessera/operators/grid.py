@@ -69,12 +69,18 @@ def _nonempty(cells: Column) -> Column:
 
 def is_total_row(cells) -> Column:
     """1-3 non-empty cells and one of them contains a Chinese total marker or
-    equals (case-insensitive) an English one."""
-    ne = F.transform(_nonempty(as_col(cells)), lambda c: strip_ws(c))
+    equals (case-insensitive) an English one.
+
+    A plain-text pre-check on the joined row skips the array work for the
+    (vast majority of) rows that carry no marker at all.
+    """
+    c = as_col(cells)
+    ne = F.transform(_nonempty(c), lambda x: strip_ws(x))
     zh = "|".join(TOTAL_MARKERS_ZH)
-    marked = F.exists(ne, lambda c: c.rlike(zh) | F.lower(c).isin(*TOTAL_MARKERS_EN))
+    marked = F.exists(ne, lambda x: x.rlike(zh) | F.lower(x).isin(*TOTAL_MARKERS_EN))
     n = F.size(ne)
-    return (n >= 1) & (n <= 3) & marked
+    maybe = F.concat_ws("\u0001", c).rlike("(?i)" + zh + "|total|sum")
+    return F.when(maybe, (n >= 1) & (n <= 3) & marked).otherwise(F.lit(False))
 
 
 def rectangularize(cells, width) -> Column:
@@ -84,7 +90,8 @@ def rectangularize(cells, width) -> Column:
 
 
 def is_blank_row(cells) -> Column:
-    return ~F.exists(as_col(cells), lambda c: strip_ws(F.coalesce(c, F.lit(""))) != "")
+    """No cell holds anything but whitespace (checked on the joined row text)."""
+    return F.regexp_replace(F.concat_ws("", as_col(cells)), r"\s+", "") == ""
 
 
 # --- G3, G4 ------------------------------------------------------------------------
@@ -116,16 +123,19 @@ def head_rows(grid: DataFrame, n: int = WIDTH_ROWS + 1) -> DataFrame:
 
 
 def score_head(grid: DataFrame) -> DataFrame:
-    """``(source_file, idx, row_no, cells, score)`` for the header candidates."""
+    """``(source_file, idx, row_no, cells, score)`` for the header candidates.
+
+    Width (widest of the first 20 rows) and the next row come from windows on
+    the same ``source_file`` partitioning, so the head rows are shuffled once.
+    """
     head = head_rows(grid)
-    ncols = head.where(F.col("idx") < WIDTH_ROWS).groupBy("source_file").agg(
-        F.greatest(F.max(F.size("cells")), F.lit(1)).alias("ncols"))
-    w = Window.partitionBy("source_file").orderBy("idx")
-    scored = (
-        head.withColumn("_next", F.lead("cells").over(w))
-        .where(F.col("idx") < HEAD_CANDIDATES)
-        .join(ncols, "source_file")
-    )
+    by_file = Window.partitionBy("source_file")
+    ordered = by_file.orderBy("idx")
+    scored = head.select(
+        "source_file", "idx", "row_no", "cells",
+        F.lead("cells").over(ordered).alias("_next"),
+        F.greatest(F.max(F.when(F.col("idx") < WIDTH_ROWS, F.size("cells"))).over(by_file), F.lit(1)).alias("ncols"),
+    ).where(F.col("idx") < HEAD_CANDIDATES)
     return scored.select("source_file", "idx", "row_no", "cells",
                          F.round(header_score("cells", "_next", "ncols"), 9).alias("score"))
 
@@ -146,17 +156,21 @@ def file_name(source_file) -> Column:
     return F.element_at(F.split(as_col(source_file), "/"), -1)
 
 
-def promote_yearless_dates(cells, header, year) -> Column:
+def date_flags(header) -> Column:
+    return F.transform(as_col(header), lambda h: is_date_column(h))
+
+
+def promote_yearless_dates(cells, header, year, flags=None) -> Column:
     """``M.D``/``M-D``/``M/D`` -> ISO with the file's year, only in date columns
     and only when the file name carries a year."""
-    flags = F.transform(as_col(header), lambda h: is_date_column(h))
+    fl = as_col(flags) if flags is not None else date_flags(header)
     y = as_col(year)
 
     def cell(c, i):
-        hit = F.coalesce(F.element_at(flags, i + 1), F.lit(False)) & (strip_ws(c) != "")
-        return F.when(hit & y.isNotNull(), F.coalesce(maybe_iso_date(c, y), c)).otherwise(c)
+        hit = F.coalesce(F.element_at(fl, i + 1), F.lit(False)) & (strip_ws(c) != "")
+        return F.when(hit, F.coalesce(maybe_iso_date(c, y), c)).otherwise(c)
 
-    return F.transform(as_col(cells), cell)
+    return F.when(y.isNotNull() & F.array_contains(fl, True), F.transform(as_col(cells), cell)).otherwise(as_col(cells))
 
 
 # --- G12 ------------------------------------------------------------------------------
@@ -174,14 +188,15 @@ def clean_sheets(grid: DataFrame, iso_dates: bool = True, broadcast_limit: int =
     g = grid
     if iso_dates:
         g = g.withColumn("cells", F.transform("cells", lambda c: iso_date_text(c)))
-    heads = detect_header_row(g).withColumn("_year", year_hint(file_name("source_file")))
-    rows = join_small(g, heads.select("source_file", "header_row_no", "header", "_year"), ["source_file"],
-                      "inner", broadcast_limit)
+    heads = detect_header_row(g).select(
+        "source_file", "header_row_no", "header",
+        year_hint(file_name("source_file")).alias("_year"), date_flags("header").alias("_flags"))
+    rows = join_small(g, heads, ["source_file"], "inner", broadcast_limit)
     body = (
         rows.where(F.col("row_no") > F.col("header_row_no"))
         .where(~is_total_row("cells"))
         .withColumn("cells", rectangularize("cells", F.size("header")))
         .where(~is_blank_row("cells"))
-        .withColumn("cells", promote_yearless_dates("cells", "header", "_year"))
+        .withColumn("cells", promote_yearless_dates("cells", "header", "_year", "_flags"))
     )
     return body.select("source_file", "row_no", "cells"), heads.select("source_file", "header")

@@ -12,10 +12,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a small derived table once for several later uses.
+
+    With a shared ``spark.checkpoint.dir`` the rows are written there and the
+    lineage is cut (survives executor loss without recomputing the scan that
+    produced them); without one they are cached.
+    """
+    spark = df.sparkSession
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        spark.sparkContext.setCheckpointDir(d)
+        return df.checkpoint(eager=True)
+    return df.cache()
+
+
 def at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = 1_000_000) -> DataFrame:
+    """Join ``small`` onto ``big``; ``small`` is materialized once, counted
+    (bounded), and broadcast only when it holds at most ``limit`` rows."""
+    small = materialize(small)
     side = F.broadcast(small) if at_most(small, limit) else small
     return big.join(side, on, how)

@@ -11,6 +11,7 @@ from tessera.operators import catalog as cat
 from tessera.operators import drift
 from tessera.operators import mapping as mp
 from tessera.operators import ops
+from tessera.operators.sizing import materialize
 from tessera.operators.unify import sheet_frame
 from tessera.plans import frames as fr
 from tessera.plans.oracle import (
@@ -28,9 +29,11 @@ def _join_samples(df: DataFrame) -> DataFrame:
 # --- Spark-side building blocks --------------------------------------------------
 
 def sheet_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalog of every customer sheet; small (files x columns), so it is
+    materialized once for the several jobs that reuse it."""
     headers = fr.sheet_headers(spark, sf)
     c = cat.introspect_grid(fr.sheet_grid(spark, sf), headers.select("source_file", "header"))
-    return c.join(headers.select(F.col("source_file").alias("source_id"), "source_order"), "source_id")
+    return materialize(c.join(headers.select(F.col("source_file").alias("source_id"), "source_order"), "source_id"))
 
 
 def sheet_sources(spark: SparkSession, sf: str, catalog: DataFrame | None = None) -> DataFrame:
@@ -52,8 +55,8 @@ def sheet_confirmed_proposal(spark, sf, c):
 
 def sheet_memory(spark, sf, c=None):
     c = c if c is not None else sheet_catalog(spark, sf)
-    return mp.confirm_mapping(sheet_confirmed_proposal(spark, sf, c), c, sheet_sources(spark, sf, c),
-                              confirmed_at=CONFIRMED_AT)
+    return materialize(mp.confirm_mapping(sheet_confirmed_proposal(spark, sf, c), c, sheet_sources(spark, sf, c),
+                                          confirmed_at=CONFIRMED_AT))
 
 
 def sheet_canonical(spark, sf, c):

@@ -236,12 +236,16 @@ def freight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(*full))
     )
     base = 10 + 3 * ok
-    data = j.select(freight_file(k).alias("source_file"), base.alias("row_no"), cells.alias("cells"))
-    sub = j.where(ok % 5 == 0).select(
-        freight_file(k).alias("source_file"), (base + 1).alias("row_no"),
-        F.when(ok % 10 == 5, F.array(F.lit("Total"), F.lit(""), F.lit(""), F.lit(""), price))
-        .otherwise(F.array(F.lit("小计"), price)).alias("cells"))
-    blank = j.where(ok % 7 == 0).select(
-        freight_file(k).alias("source_file"), (base + 2).alias("row_no"),
-        F.array_repeat(F.lit(""), 5).alias("cells"))
-    return title.unionByName(header).unionByName(data).unionByName(sub).unionByName(blank)
+    row = lambda off, cl: F.struct((base + off).alias("row_no"), cl.alias("cells"))
+    sub = F.when(ok % 10 == 5, F.array(F.lit("Total"), F.lit(""), F.lit(""), F.lit(""), price)).otherwise(
+        F.array(F.lit("小计"), price))
+    rows = F.array(
+        row(0, cells),
+        F.when(ok % 5 == 0, row(1, sub)),
+        F.when(ok % 7 == 0, row(2, F.array_repeat(F.lit(""), 5))),
+    )
+    # one pass over the order/customer join; each order yields 1-3 grid rows
+    data = j.select(freight_file(k).alias("source_file"),
+                    F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select(
+        "source_file", "r.row_no", "r.cells")
+    return title.unionByName(header).unionByName(data)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import content_hash
+from tessera.operators.sizing import join_small
 
 MAX_LINE_BYTES = 10_485_760
 # Accepted extensions and their delimiters.
@@ -137,7 +138,7 @@ def _file_order(df: DataFrame) -> DataFrame:
     )
     first = base.groupBy("source_file", "_blk").agg(F.min("_id").alias("_id0"))
     return (
-        base.join(first, ["source_file", "_blk"])
+        join_small(base, first, ["source_file", "_blk"])
         .withColumn("row_no", F.col("_blk") + F.col("_id") - F.col("_id0"))
         .drop("_blk", "_id", "_id0")
     )
