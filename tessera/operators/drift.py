@@ -10,10 +10,10 @@ width, never by data size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalize_name
+from tessera.functions.text import norm_name_py, normalize_name
 from tessera.operators.mapping import propose_by_synonyms
 from tessera.operators.ops import apply_steps
 from tessera.operators.sizing import join_small
@@ -47,9 +47,29 @@ def _dedupe_norm(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _ordered(cond, pos, name):
-    picked = F.collect_list(F.when(cond, F.struct(pos.alias("p"), name.alias("n"))))
-    return F.transform(F.array_sort(picked), lambda x: x["n"])
+def name_arrays(df: DataFrame, key: str, out: str) -> DataFrame:
+    """``(key, out array<struct<pos, norm, name>>)`` in column order: a file's
+    (or a skill's) de-duplicated names, bounded by its width."""
+    d = _dedupe_norm(df, key)
+    return d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "norm", "name"))).alias(out))
+
+
+def _verdict(req: Column, inc: Column) -> list[Column]:
+    empty = F.array().cast("array<struct<pos:int,norm:string,name:string>>")
+    req = F.coalesce(req, empty)
+    inc = F.coalesce(inc, empty)
+    inc_norms = F.transform(inc, lambda x: x["norm"])
+    req_norms = F.transform(req, lambda x: x["norm"])
+    missing = F.transform(F.filter(req, lambda r: ~F.array_contains(inc_norms, r["norm"])), lambda r: r["name"])
+    extra = F.transform(F.filter(inc, lambda i: ~F.array_contains(req_norms, i["norm"])), lambda i: i["name"])
+    nm, ne = F.size(missing), F.size(extra)
+    kind = (
+        F.when((nm == 0) & (ne == 0), F.lit(EXACT))
+        .when(nm == 0, F.lit(MAPPABLE))
+        .when(ne >= nm, F.lit(MAPPABLE))
+        .otherwise(F.lit(UNMAPPABLE))
+    )
+    return [kind.alias("kind"), missing.alias("missing"), F.when(kind != UNMAPPABLE, extra).alias("extra")]
 
 
 def classify_drift(pairs: DataFrame, required: DataFrame, incoming: DataFrame,
@@ -60,35 +80,30 @@ def classify_drift(pairs: DataFrame, required: DataFrame, incoming: DataFrame,
 
     Rules: nothing missing and nothing extra -> exact; nothing missing ->
     mappable; at least as many extra as missing -> mappable; else unmappable
-    (and only ``missing`` is reported).
+    (and only ``missing`` is reported). Each side is reduced to one name array
+    per skill / per source first, so the pairs meet them with two equi-joins;
+    the skill side (skills x width) is broadcast when proven small.
     """
-    req = _dedupe_norm(required, "skill_id")
-    inc = _dedupe_norm(incoming.select("source_id", "pos", "name"), "source_id")
-    # required lists are per skill (few rows): broadcast them onto the pairs
-    req_p = join_small(pairs, req, ["skill_id"], "inner", broadcast_limit).select(
-        "skill_id", "source_id", "norm", F.col("name").alias("r_name"), F.col("pos").alias("r_pos"))
-    inc_p = pairs.join(inc, ["source_id"]).select(
-        "skill_id", "source_id", "norm", F.col("name").alias("i_name"), F.col("pos").alias("i_pos"))
-    both = req_p.join(inc_p, ["skill_id", "source_id", "norm"], "full_outer")
-    per = both.groupBy("skill_id", "source_id").agg(
-        _ordered(F.col("i_name").isNull(), F.col("r_pos"), F.col("r_name")).alias("missing"),
-        _ordered(F.col("r_name").isNull(), F.col("i_pos"), F.col("i_name")).alias("extra"),
-    )
-    full = pairs.join(per, ["skill_id", "source_id"], "left")
-    empty = F.array().cast("array<string>")
-    missing = F.coalesce("missing", empty)
-    extra = F.coalesce("extra", empty)
-    nm, ne = F.size(missing), F.size(extra)
-    kind = (
-        F.when((nm == 0) & (ne == 0), F.lit(EXACT))
-        .when(nm == 0, F.lit(MAPPABLE))
-        .when(ne >= nm, F.lit(MAPPABLE))
-        .otherwise(F.lit(UNMAPPABLE))
-    )
-    return full.select(
-        "skill_id", "source_id", kind.alias("kind"), missing.alias("missing"),
-        F.when(kind != UNMAPPABLE, extra).alias("extra"),
-    )
+    req = name_arrays(required.select("skill_id", "pos", "name"), "skill_id", "_req")
+    inc = name_arrays(incoming.select("source_id", "pos", "name"), "source_id", "_inc")
+    j = join_small(pairs, req, ["skill_id"], "left", broadcast_limit).join(inc, ["source_id"], "left")
+    return j.select("skill_id", "source_id", *_verdict(F.col("_req"), F.col("_inc")))
+
+
+def classify_drift_one(required_names: list[str], incoming: DataFrame, skill_id: int = 1) -> DataFrame:
+    """Drift of every source against one skill: the skill's required names are
+    a literal array, so no join is needed at all (one aggregate per source)."""
+    by_norm: dict[str, list] = {}
+    for pos, name in enumerate(required_names):
+        n = norm_name_py(name)
+        if n in by_norm:
+            by_norm[n][1] = name
+        else:
+            by_norm[n] = [pos, name]
+    req = F.array(*[F.struct(F.lit(p).cast("int").alias("pos"), F.lit(n).alias("norm"), F.lit(nm).alias("name"))
+                    for n, (p, nm) in by_norm.items()])
+    inc = name_arrays(incoming.select("source_id", "pos", "name"), "source_id", "_inc")
+    return inc.select(F.lit(skill_id).cast("long").alias("skill_id"), "source_id", *_verdict(req, F.col("_inc")))
 
 
 def worst_drift(reports: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -119,11 +134,7 @@ def apply_skill(skill_steps: list[dict], sources: list[tuple[str, DataFrame]], c
     the drifted sources; unmappable -> report only. Appends one run row when
     ``runs_path`` is given. The only driver decision is the one-row verdict."""
     spark = catalog.sparkSession
-    req = spark.createDataFrame(
-        [(skill_id, i, s["from"]) for i, s in enumerate(skill_steps) if s["op"] == "map_column"],
-        "skill_id long, pos int, name string")
-    pairs = catalog.select(F.lit(skill_id).cast("long").alias("skill_id"), "source_id").distinct()
-    reports = classify_drift(pairs, req, catalog)
+    reports = classify_drift_one([s["from"] for s in skill_steps if s["op"] == "map_column"], catalog, skill_id)
     verdict = worst_drift(reports).first()["worst"]
     out = {"status": RUN_STATUS[verdict], "kind": verdict, "drift": reports}
     if verdict == EXACT:

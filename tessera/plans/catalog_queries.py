@@ -407,10 +407,7 @@ def _sheet0_skill() -> list[dict]:
 
 def _sheet_drift(spark, sf, c):
     steps = _sheet0_skill()
-    req = spark.createDataFrame([(1, i, s["from"]) for i, s in enumerate(steps) if s["op"] == "map_column"],
-                                "skill_id long, pos int, name string")
-    pairs = c.select(F.lit(1).cast("long").alias("skill_id"), "source_id").distinct()
-    return steps, drift.classify_drift(pairs, req, c)
+    return steps, drift.classify_drift_one([s["from"] for s in steps if s["op"] == "map_column"], c)
 
 
 _SHEET0 = [sp[0] for sp in fr.SHEET_SPELLINGS]
