@@ -65,16 +65,19 @@ def introspect_long(cells: DataFrame, n: int = SAMPLE_N) -> DataFrame:
     """Catalog of sources given as long cells ``(source_id, row_no, name, value)``.
 
     ``pos`` is the column's order of first appearance in its source; samples
-    are the column's first ``n`` values by ``row_no``.
+    are the column's first ``n`` values by ``row_no``. One ranked pass: the
+    first sample row is also the first appearance, so positions come from the
+    (small) aggregated table.
     """
-    first_seen = cells.groupBy("source_id", "name").agg(F.min("row_no").alias("_first"))
-    pos = first_seen.withColumn(
-        "pos", (F.row_number().over(Window.partitionBy("source_id").orderBy("_first", "name")) - 1).cast("int")
-    )
     head = _first_n(cells, ["source_id", "name"], ["row_no"], n)
-    samp = _samples(head, ["source_id", "name"], "row_no", "value")
-    return pos.join(samp, ["source_id", "name"]).select(
-        "source_id", "pos", "name", F.lit(VARCHAR).alias("type"), "samples"
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("row_no").alias("o"),
+                                                 F.coalesce(F.col("value"), F.lit("")).alias("v"))))
+    per_col = head.groupBy("source_id", "name").agg(
+        F.min("row_no").alias("_first"), F.transform(pairs, lambda x: x["v"]).alias("samples"))
+    w = Window.partitionBy("source_id").orderBy("_first", "name")
+    return per_col.select(
+        "source_id", (F.row_number().over(w) - 1).cast("int").alias("pos"), "name",
+        F.lit(VARCHAR).alias("type"), "samples",
     )
 
 

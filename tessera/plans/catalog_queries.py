@@ -172,7 +172,7 @@ SPLIT_DAY = "2024-01-16"
 
 
 def _event_batches(spark, sf):
-    fps = cat.fingerprints(cat.introspect_long(fr.event_cells(spark, sf)))
+    fps = materialize(cat.fingerprints(cat.introspect_long(fr.event_cells(spark, sf))))
     day = F.substring_index("source_id", "_", -1)
     return fps.where(day >= SPLIT_DAY), fps.where(day < SPLIT_DAY)
 
