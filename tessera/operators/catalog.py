@@ -39,26 +39,18 @@ def introspect_grid(grid: DataFrame, headers: DataFrame, n: int = SAMPLE_N) -> D
     ``grid(source_file, row_no, cells)`` holds data rows only;
     ``headers(source_file, header array<string>)``. Columns come from the
     header (also for files without data rows); samples are the first ``n`` data
-    rows' cells, NULL or missing -> ``''``.
+    rows' cells, NULL or missing -> ``''``. Each file's first rows become one
+    small ordered array (at most ``n`` rows), so samples are read per column
+    from it with no further join.
     """
-    cols = headers.select(
-        F.col("source_file").alias("source_id"),
-        F.posexplode("header").alias("pos", "name"),
-    )
     head = _first_n(grid, ["source_file"], ["row_no"], n)
-    cells = head.select(
-        F.col("source_file").alias("source_id"), "row_no",
-        F.posexplode("cells").alias("pos", "value"),
-    )
-    # every (column, head row) pair; a short row contributes '' for its missing cells
-    rows = head.select(F.col("source_file").alias("source_id"), "row_no")
-    pairs = cols.join(rows, "source_id").join(cells, ["source_id", "row_no", "pos"], "left")
-    samp = _samples(pairs, ["source_id", "pos"], "row_no", "value")
-    return (
-        cols.join(samp, ["source_id", "pos"], "left")
-        .select("source_id", "pos", "name", F.lit(VARCHAR).alias("type"),
-                F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
-    )
+    rows = head.groupBy("source_file").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda r: r["cells"]).alias("_rows"))
+    cols = headers.join(rows, "source_file", "left").select(
+        F.col("source_file").alias("source_id"), F.posexplode("header").alias("pos", "name"), "_rows")
+    samples = F.transform(F.coalesce("_rows", F.array().cast("array<array<string>>")),
+                          lambda r: F.coalesce(F.get(r, F.col("pos")), F.lit("")))
+    return cols.select("source_id", "pos", "name", F.lit(VARCHAR).alias("type"), samples.alias("samples"))
 
 
 def introspect_long(cells: DataFrame, n: int = SAMPLE_N) -> DataFrame:

@@ -122,13 +122,21 @@ def head_rows(grid: DataFrame, n: int = WIDTH_ROWS + 1) -> DataFrame:
     return grid.withColumn("idx", F.row_number().over(w) - 1).where(F.col("idx") < n)
 
 
-def score_head(grid: DataFrame) -> DataFrame:
+def render(cells) -> Column:
+    """G7 at cell rendering: every date-shaped text cell rewritten to ISO."""
+    return F.transform(as_col(cells), lambda c: iso_date_text(c))
+
+
+def score_head(grid: DataFrame, rendered: bool = True) -> DataFrame:
     """``(source_file, idx, row_no, cells, score)`` for the header candidates.
 
-    Width (widest of the first 20 rows) and the next row come from windows on
-    the same ``source_file`` partitioning, so the head rows are shuffled once.
+    Only the first 21 rows of each file are kept (and rendered, when the grid
+    is raw). Width (widest of the first 20 rows) and the next row come from
+    windows on the same ``source_file`` partitioning: one shuffle.
     """
     head = head_rows(grid)
+    if not rendered:
+        head = head.withColumn("cells", render("cells"))
     by_file = Window.partitionBy("source_file")
     ordered = by_file.orderBy("idx")
     scored = head.select(
@@ -140,10 +148,11 @@ def score_head(grid: DataFrame) -> DataFrame:
                          F.round(header_score("cells", "_next", "ncols"), 9).alias("score"))
 
 
-def detect_header_row(grid: DataFrame) -> DataFrame:
+def detect_header_row(grid: DataFrame, rendered: bool = True) -> DataFrame:
     """``(source_file, header_idx, header_row_no, header)``: best score among
-    the first 10 rows, earliest row on ties. Files without rows get none."""
-    s = score_head(grid)
+    the first 10 rows, earliest row on ties. Files without rows get none.
+    ``rendered=False``: the grid is raw and its head rows are rendered here."""
+    s = score_head(grid, rendered)
     best = s.groupBy("source_file").agg(
         F.max_by(F.struct("idx", "row_no", "cells"), F.struct("score", (-F.col("idx")).alias("neg"))).alias("b"))
     return best.select("source_file", F.col("b.idx").alias("header_idx"), F.col("b.row_no").alias("header_row_no"),
@@ -160,17 +169,22 @@ def date_flags(header) -> Column:
     return F.transform(as_col(header), lambda h: is_date_column(h))
 
 
-def promote_yearless_dates(cells, header, year, flags=None) -> Column:
+def promote_yearless_dates(cells, header, year, flags=None, render_first: bool = False) -> Column:
     """``M.D``/``M-D``/``M/D`` -> ISO with the file's year, only in date columns
-    and only when the file name carries a year."""
+    and only when the file name carries a year. ``render_first`` also applies
+    the G7 rewrite to every cell in the same array pass."""
     fl = as_col(flags) if flags is not None else date_flags(header)
     y = as_col(year)
+    promote = y.isNotNull() & F.array_contains(fl, True)
 
     def cell(c, i):
-        hit = F.coalesce(F.element_at(fl, i + 1), F.lit(False)) & (strip_ws(c) != "")
-        return F.when(hit, F.coalesce(maybe_iso_date(c, y), c)).otherwise(c)
+        r = iso_date_text(c) if render_first else c
+        hit = promote & F.coalesce(F.element_at(fl, i + 1), F.lit(False)) & (strip_ws(r) != "")
+        return F.when(hit, F.coalesce(maybe_iso_date(r, y), r)).otherwise(r)
 
-    return F.when(y.isNotNull() & F.array_contains(fl, True), F.transform(as_col(cells), cell)).otherwise(as_col(cells))
+    if render_first:
+        return F.transform(as_col(cells), cell)
+    return F.when(promote, F.transform(as_col(cells), cell)).otherwise(as_col(cells))
 
 
 # --- G12 ------------------------------------------------------------------------------
@@ -182,21 +196,21 @@ def clean_sheets(grid: DataFrame, iso_dates: bool = True, broadcast_limit: int =
     year-less dates promoted. Returns ``(rows, headers)``:
     ``rows(source_file, row_no, cells)`` and ``headers(source_file, header)``.
 
-    ``iso_dates`` applies the date-text rewrite to every cell first (it is part
-    of rendering a cell, header included).
+    ``iso_dates`` applies the date-text rewrite to every cell (it is part of
+    rendering a cell, header included). Rendering is row-local and does not
+    change which cells are empty or which rows are totals, so header detection
+    renders only each file's first 21 rows, and the body renders each kept row
+    once, in the same array pass as the year-less promotion.
     """
-    g = grid
-    if iso_dates:
-        g = g.withColumn("cells", F.transform("cells", lambda c: iso_date_text(c)))
-    heads = detect_header_row(g).select(
+    heads = detect_header_row(grid, rendered=not iso_dates).select(
         "source_file", "header_row_no", "header",
         year_hint(file_name("source_file")).alias("_year"), date_flags("header").alias("_flags"))
-    rows = join_small(g, heads, ["source_file"], "inner", broadcast_limit)
+    rows = join_small(grid, heads, ["source_file"], "inner", broadcast_limit)
     body = (
         rows.where(F.col("row_no") > F.col("header_row_no"))
         .where(~is_total_row("cells"))
         .withColumn("cells", rectangularize("cells", F.size("header")))
         .where(~is_blank_row("cells"))
-        .withColumn("cells", promote_yearless_dates("cells", "header", "_year", "_flags"))
+        .withColumn("cells", promote_yearless_dates("cells", "header", "_year", "_flags", render_first=iso_dates))
     )
     return body.select("source_file", "row_no", "cells"), heads.select("source_file", "header")
