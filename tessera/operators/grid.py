@@ -116,8 +116,16 @@ def header_score(cells, next_cells, ncols) -> Column:
     return F.when(n == 0, F.lit(BLANK_ROW_SCORE)).otherwise(score)
 
 
-def head_rows(grid: DataFrame, n: int = WIDTH_ROWS + 1) -> DataFrame:
-    """First ``n`` rows of every file with their 0-based index ``idx``."""
+def head_rows(grid: DataFrame, n: int = WIDTH_ROWS + 1, dense: bool = False) -> DataFrame:
+    """First ``n`` rows of every file with their 0-based index ``idx``.
+
+    ``dense=True``: ``row_no`` counts each file's rows from 0 (``read_grid``
+    guarantees this for a file's first split), so the head is a plain filter
+    applied before any shuffle. Otherwise a ranked window whose limit Spark
+    applies inside every map task.
+    """
+    if dense:
+        return grid.where(F.col("row_no") < n).withColumn("idx", F.col("row_no"))
     w = Window.partitionBy("source_file").orderBy("row_no")
     return grid.withColumn("idx", F.row_number().over(w) - 1).where(F.col("idx") < n)
 
@@ -127,14 +135,14 @@ def render(cells) -> Column:
     return F.transform(as_col(cells), lambda c: iso_date_text(c))
 
 
-def score_head(grid: DataFrame, rendered: bool = True) -> DataFrame:
+def score_head(grid: DataFrame, rendered: bool = True, dense: bool = False) -> DataFrame:
     """``(source_file, idx, row_no, cells, score)`` for the header candidates.
 
     Only the first 21 rows of each file are kept (and rendered, when the grid
     is raw). Width (widest of the first 20 rows) and the next row come from
     windows on the same ``source_file`` partitioning: one shuffle.
     """
-    head = head_rows(grid)
+    head = head_rows(grid, dense=dense)
     if not rendered:
         head = head.withColumn("cells", render("cells"))
     by_file = Window.partitionBy("source_file")
@@ -148,11 +156,11 @@ def score_head(grid: DataFrame, rendered: bool = True) -> DataFrame:
                          F.round(header_score("cells", "_next", "ncols"), 9).alias("score"))
 
 
-def detect_header_row(grid: DataFrame, rendered: bool = True) -> DataFrame:
+def detect_header_row(grid: DataFrame, rendered: bool = True, dense: bool = False) -> DataFrame:
     """``(source_file, header_idx, header_row_no, header)``: best score among
     the first 10 rows, earliest row on ties. Files without rows get none.
     ``rendered=False``: the grid is raw and its head rows are rendered here."""
-    s = score_head(grid, rendered)
+    s = score_head(grid, rendered, dense)
     best = s.groupBy("source_file").agg(
         F.max_by(F.struct("idx", "row_no", "cells"), F.struct("score", (-F.col("idx")).alias("neg"))).alias("b"))
     return best.select("source_file", F.col("b.idx").alias("header_idx"), F.col("b.row_no").alias("header_row_no"),
@@ -169,28 +177,23 @@ def date_flags(header) -> Column:
     return F.transform(as_col(header), lambda h: is_date_column(h))
 
 
-def promote_yearless_dates(cells, header, year, flags=None, render_first: bool = False) -> Column:
+def promote_yearless_dates(cells, header, year, flags=None) -> Column:
     """``M.D``/``M-D``/``M/D`` -> ISO with the file's year, only in date columns
-    and only when the file name carries a year. ``render_first`` also applies
-    the G7 rewrite to every cell in the same array pass."""
+    and only when the file name carries a year (other files skip the array pass)."""
     fl = as_col(flags) if flags is not None else date_flags(header)
     y = as_col(year)
-    promote = y.isNotNull() & F.array_contains(fl, True)
 
     def cell(c, i):
-        r = iso_date_text(c) if render_first else c
-        hit = promote & F.coalesce(F.element_at(fl, i + 1), F.lit(False)) & (strip_ws(r) != "")
-        return F.when(hit, F.coalesce(maybe_iso_date(r, y), r)).otherwise(r)
+        hit = F.coalesce(F.element_at(fl, i + 1), F.lit(False)) & (strip_ws(c) != "")
+        return F.when(hit, F.coalesce(maybe_iso_date(c, y), c)).otherwise(c)
 
-    if render_first:
-        return F.transform(as_col(cells), cell)
-    return F.when(promote, F.transform(as_col(cells), cell)).otherwise(as_col(cells))
+    return F.when(y.isNotNull() & F.array_contains(fl, True), F.transform(as_col(cells), cell)).otherwise(as_col(cells))
 
 
 # --- G12 ------------------------------------------------------------------------------
 
-def clean_sheets(grid: DataFrame, iso_dates: bool = True, broadcast_limit: int = 1_000_000
-                 ) -> tuple[DataFrame, DataFrame]:
+def clean_sheets(grid: DataFrame, iso_dates: bool = True, broadcast_limit: int = 1_000_000,
+                 dense_rows: bool = False) -> tuple[DataFrame, DataFrame]:
     """Header row detected per file; the rows after it pass the total filter
     (raw width), are padded/cut to the header width, blank rows dropped and
     year-less dates promoted. Returns ``(rows, headers)``:
@@ -200,9 +203,9 @@ def clean_sheets(grid: DataFrame, iso_dates: bool = True, broadcast_limit: int =
     rendering a cell, header included). Rendering is row-local and does not
     change which cells are empty or which rows are totals, so header detection
     renders only each file's first 21 rows, and the body renders each kept row
-    once, in the same array pass as the year-less promotion.
+    once. ``dense_rows``: see ``head_rows`` (true for ``read_grid`` output).
     """
-    heads = detect_header_row(grid, rendered=not iso_dates).select(
+    heads = detect_header_row(grid, rendered=not iso_dates, dense=dense_rows).select(
         "source_file", "header_row_no", "header",
         year_hint(file_name("source_file")).alias("_year"), date_flags("header").alias("_flags"))
     rows = join_small(grid, heads, ["source_file"], "inner", broadcast_limit)
@@ -211,6 +214,8 @@ def clean_sheets(grid: DataFrame, iso_dates: bool = True, broadcast_limit: int =
         .where(~is_total_row("cells"))
         .withColumn("cells", rectangularize("cells", F.size("header")))
         .where(~is_blank_row("cells"))
-        .withColumn("cells", promote_yearless_dates("cells", "header", "_year", "_flags", render_first=iso_dates))
     )
+    if iso_dates:
+        body = body.withColumn("cells", render("cells"))
+    body = body.withColumn("cells", promote_yearless_dates("cells", "header", "_year", "_flags"))
     return body.select("source_file", "row_no", "cells"), heads.select("source_file", "header")

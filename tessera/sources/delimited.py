@@ -149,7 +149,9 @@ def read_grid(spark: SparkSession, paths, delim: str | None = None, width: int |
     """Header-less wide read: ``grid(source_file, row_no, cells)``.
 
     ``cells`` keeps the row's own width (no padding); empty cells are ``''``.
-    Many files of any shape are read in one job.
+    Many files of any shape are read in one job. ``row_no`` counts each file's
+    first split densely from 0, so ``clean_sheets(..., dense_rows=True)`` finds
+    header candidates with a filter instead of a per-file window.
     """
     ps = _paths(paths)
     d = _one_delimiter(ps, delim)

@@ -90,3 +90,18 @@ def test_header_rows_limited_per_file(spark):
     heads = gd.detect_header_row(g).collect()
     assert heads[0]["header_idx"] == 0
     assert gd.head_rows(g).count() == 21
+
+
+def test_dense_rows_same_header(spark, tmp_path):
+    from conftest import write_text
+    from tessera.sources.delimited import read_grid
+
+    p = write_text(tmp_path, "运费2023年.csv", "运费报表\n日期,客户,运费\n2.09,一汽,5.60\n小计,5.60\n\n3.1,二汽,7\n")
+    g = read_grid(spark, p)
+    a, ha = gd.clean_sheets(g)
+    b, hb = gd.clean_sheets(g, dense_rows=True)
+    rows = lambda d: sorted((r["row_no"], tuple(r["cells"])) for r in d.collect())
+    assert rows(a) == rows(b)
+    assert [tuple(r["cells"]) for r in a.orderBy("row_no").collect()] == [
+        ("2023-02-09T00:00:00", "一汽", "5.60"), ("2023-03-01T00:00:00", "二汽", "7")]
+    assert list(ha.first()["header"]) == list(hb.first()["header"]) == ["日期", "客户", "运费"]
