@@ -127,7 +127,9 @@ def head_rows(grid: DataFrame, n: int = WIDTH_ROWS + 1, dense: bool = False) ->
     if dense:
         return grid.where(F.col("row_no") < n).withColumn("idx", F.col("row_no"))
     w = Window.partitionBy("source_file").orderBy("row_no")
-    return grid.withColumn("idx", F.row_number().over(w) - 1).where(F.col("idx") < n)
+    # the filter must be on the rank itself for Spark to insert WindowGroupLimit
+    return (grid.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+            .withColumn("idx", (F.col("_rn") - 1).cast("int")).drop("_rn"))
 
 
 def render(cells) -> Column:
