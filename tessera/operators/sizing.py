@@ -8,6 +8,8 @@ strategy at runtime (and splits skewed partitions).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +17,25 @@ from pyspark.sql import functions as F
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a small derived table once for several later uses.
 
-    With a shared ``spark.checkpoint.dir`` the rows are written there and the
-    lineage is cut (survives executor loss without recomputing the scan that
-    produced them); without one they are cached.
+    With a shared ``spark.checkpoint.dir`` the rows are written there as a
+    parquet table and read back: one computation, lineage cut (a lost executor
+    does not rescan the inputs), and real size statistics for the planner.
+    Without one they are cached.
     """
     spark = df.sparkSession
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        spark.sparkContext.setCheckpointDir(d)
-        return df.checkpoint(eager=True)
-    return df.cache()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return df.cache()
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    try:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    except Exception:  # column names parquet cannot hold: checkpoint a persisted copy
+        spark.sparkContext.setCheckpointDir(base)
+        kept = df.persist()
+        out = kept.checkpoint(eager=True)
+        kept.unpersist()
+        return out
 
 
 def at_most(df: DataFrame, n: int) -> bool:
