@@ -54,16 +54,26 @@ def _string_schema(width: int) -> T.StructType:
     return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
 
 
+def _field_count(d: str):
+    unquoted = F.regexp_replace(F.col("value"), '"[^"]*"', "")
+    return F.size(F.split(unquoted, _re_escape(d), -1))
+
+
 def max_fields(spark: SparkSession, paths, delim: str | None = None) -> int:
     """Widest line (fields outside quotes) over all files: one text scan."""
     ps = _paths(paths)
     d = _one_delimiter(ps, delim)
-    unquoted = F.regexp_replace(F.col("value"), '"[^"]*"', "")
-    n = F.size(F.split(unquoted, _re_escape(d), -1))
-    row = spark.read.text(ps).agg(F.max(n).alias("w")).first()
+    row = spark.read.text(ps).agg(F.max(_field_count(d)).alias("w")).first()
     return int(row["w"] or 1)
 
 
+def first_line_fields(spark: SparkSession, path: str, delim: str) -> int:
+    """Fields on a file's first line (reads the head of its first split only)."""
+    r = (spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
+         .select(_field_count(delim).alias("n")).limit(1).collect())
+    return int(r[0]["n"]) if r else 1
+
+
 def _re_escape(d: str) -> str:
     return "\\" + d if d in ".^$|?*+()[]{}\\" else d
 
@@ -161,9 +171,10 @@ def read_grid(spark: SparkSession, paths, delim: str | None = None, width: int |
     return ordered.select("source_file", "row_no", _row_cells(w).alias("cells"))
 
 
-def first_row(spark: SparkSession, path: str, delim: str | None = None, width: int = 4096) -> list:
+def first_row(spark: SparkSession, path: str, delim: str | None = None, width: int | None = None) -> list:
     """The first record of one file (reads one split's head only)."""
     d = _one_delimiter([path], delim)
+    width = width or first_line_fields(spark, path, d)
     df = _csv_reader(spark, width, d, False, keep_empty=True).csv(path)
     row = df.where(F.col("_metadata.file_block_start") == 0).select(_row_cells(width).alias("c")).limit(1).collect()
     return list(row[0]["c"]) if row else []

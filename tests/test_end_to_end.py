@@ -98,3 +98,21 @@ def test_run_log_appends(spark, tmp_path):
     drift.apply_skill(steps[:2], [("sales_jan.csv", jan)], cat_jan, runs_path=runs)
     log = spark.read.parquet(runs)
     assert sorted(r["status"] for r in log.collect()) == ["drift_mappable", "ok"]
+
+
+def test_lake_path(spark, tmp_path):
+    """All three exports of different shapes through the grid path in one job."""
+    from tessera.plans.lake import lake_catalog, unify_lake
+
+    d = tmp_path / "lake"
+    d.mkdir()
+    paths = [write_text(d, n, t) for n, t in [("sales_jan.csv", SALES_JAN), ("sales_feb_zh.csv", SALES_FEB_ZH),
+                                               ("sales_mar_drift.csv", SALES_MAR_DRIFT)]]
+    rows, headers, c = lake_catalog(spark, paths)
+    assert headers.count() == 3 and rows.count() == 13
+    table, memory = unify_lake(spark, paths)
+    assert table.columns == ["country", "customer_name", "email", "order_date", "phone", "revenue", "source_file"]
+    assert table.count() == 13
+    assert memory.select("fingerprint").distinct().count() == 3
+    mar = table.where(F.col("source_file").endswith("sales_mar_drift.csv")).orderBy("order_date").first()
+    assert (mar["customer_name"], mar["revenue"], mar["order_date"]) == ("Acme Corp", "1750.00", "2026-03-04T00:00:00")
