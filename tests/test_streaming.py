@@ -1,5 +1,7 @@
 """Stateless replay on a stream of arriving exports."""
 
+import uuid
+
 import pytest
 
 from conftest import SALES_JAN, write_text
@@ -19,7 +21,7 @@ def test_stream_replay(spark, tmp_path):
     header = SALES_JAN.splitlines()[0].split(",")
     out = replay_stream(stream_exports(spark, str(d), header), STEPS)
     q = (out.writeStream.format("memory").queryName("replayed")
-         .option("checkpointLocation", checkpoint_location(spark, f"replay-{tmp_path.name}")).start())
+         .option("checkpointLocation", checkpoint_location(spark, f"replay-{uuid.uuid4().hex}")).start())
     q.processAllAvailable()
     q.stop()
     rows = spark.sql("select customer_name, revenue from replayed").collect()
