@@ -28,7 +28,7 @@ def test_plain(spark):
 
 def test_titled_with_year_hint(spark):
     name = "运费(2023年1月).csv"
-    h, rows = clean(spark, name, [["三利物流发货费用(2023.1月)"], ["日期", "客户", "运费"], ["2.09", "一汽", "5.60"],
+    h, rows = clean(spark, name, [["华东仓储月度明细(2023.1月)"], ["日期", "客户", "运费"], ["2.09", "一汽", "5.60"],
                                   ["1.31", "二汽", "7"]])
     assert h == ["日期", "客户", "运费"]
     assert rows == [["2023-02-09T00:00:00", "一汽", "5.60"], ["2023-01-31T00:00:00", "二汽", "7"]]
@@ -58,7 +58,7 @@ def test_dates(spark):
 
 
 def test_yearless_only_in_date_columns(spark):
-    h, rows = clean(spark, "远航货运2023年2月.csv", [["日期", "运费"], ["2.30", "5.60"], ["2.09", "2.10"]])
+    h, rows = clean(spark, "海运台账2023年2月.csv", [["日期", "运费"], ["2.30", "5.60"], ["2.09", "2.10"]])
     assert rows == [["2.30", "5.60"], ["2023-02-09T00:00:00", "2.10"]]
     h, rows = clean(spark, "no-hint.csv", [["日期", "运费"], ["2.09", "5.60"], ["3.01", "1"]])
     assert rows[0][0] == "2.09"
