@@ -13,7 +13,7 @@ from tessera.operators.grid import clean_sheets
 from tessera.operators.unify import unify
 from tessera.plans import frames as fr
 from tessera.plans.grid_queries import G_CHAIN
-from tessera.plans.oracle import CUST, SUPP, with_ctes
+from tessera.plans.oracle import CUST, SHEETS, SUPP, with_ctes
 from tessera.plans.registry import register
 from tessera.sources.delimited import read_delimited, read_grid, read_sources
 
@@ -83,3 +83,18 @@ def s2_read_grid(spark, sf):
     named = grid.withColumn("source_file", F.url_decode(F.regexp_extract("source_file", "fname=([^/]+)/", 1)))
     rows, _ = clean_sheets(named, dense_rows=True)
     return rows.select("source_file", F.array_join("cells", "|").alias("cells"))
+
+
+@register("s6_write_result", with_ctes(*SHEETS, body="""
+SELECT source_id, CAST(pos AS VARCHAR) AS pos, name, type,
+       CASE WHEN samples = '' THEN '[]' ELSE CAST(to_json(string_split(samples, '|')) AS VARCHAR) END AS samples
+FROM sheet_catalog"""))
+def s6_write_result(spark, sf):
+    """A result with nested cells (the sheet catalog's sample lists) written as
+    a CSV table: nested cells become JSON text, NULL an empty cell; read back."""
+    from tessera.plans.catalog_queries import sheet_catalog
+    from tessera.sources.sinks import write_result
+
+    path = export_dir(spark, "catalog")
+    write_result(sheet_catalog(spark, sf).drop("source_order"), path, "csv")
+    return spark.read.option("header", "true").option("multiLine", "true").csv(path)
