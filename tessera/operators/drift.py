@@ -10,6 +10,8 @@ width, never by data size.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,14 +149,18 @@ def apply_skill(skill_steps: list[dict], sources: list[tuple[str, DataFrame]], c
 
 
 def record_run(spark, path: str, skill_id: int, inputs: list[str], status: str, reports: DataFrame | None, at=None):
-    """Append-only run log (a table in shared storage)."""
-    report = None
-    if reports is not None and status != "ok":
-        report = reports.select(F.to_json(F.collect_list(F.struct("*"))).alias("r")).first()["r"]
-    row = spark.createDataFrame([(skill_id, inputs, status, report)],
-                                "skill_id long, inputs array<string>, status string, report string")
+    """Append-only run log in shared storage: one row per run in ``path`` and,
+    for drifted runs, one row per source report in ``{path}_reports`` (written
+    by the executors; reports never pass through the driver)."""
+    run_id = uuid.uuid4().hex
     ts = F.lit(at).cast("timestamp") if at is not None else F.current_timestamp()
+    row = spark.createDataFrame([(run_id, skill_id, inputs, status)],
+                                "run_id string, skill_id long, inputs array<string>, status string")
     row.withColumn("created_at", ts).write.mode("append").parquet(path)
+    if reports is not None and status != RUN_STATUS[EXACT]:
+        (reports.select(F.lit(run_id).alias("run_id"), "skill_id", "source_id", "kind", "missing", "extra")
+         .write.mode("append").parquet(f"{path.rstrip('/')}_reports"))
+    return run_id
 
 
 def propose_remap(catalog: DataFrame) -> DataFrame:

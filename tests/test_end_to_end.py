@@ -98,6 +98,10 @@ def test_run_log_appends(spark, tmp_path):
     drift.apply_skill(steps[:2], [("sales_jan.csv", jan)], cat_jan, runs_path=runs)
     log = spark.read.parquet(runs)
     assert sorted(r["status"] for r in log.collect()) == ["drift_mappable", "ok"]
+    reports = spark.read.parquet(runs + "_reports")
+    drifted = log.where(F.col("status") == "drift_mappable").select("run_id")
+    assert reports.join(drifted, "run_id").count() == 1
+    assert reports.first()["kind"] == "mappable"
 
 
 def test_lake_path(spark, tmp_path):
