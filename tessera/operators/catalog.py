@@ -149,6 +149,18 @@ def latest_version(df: DataFrame, by: list[str] | None = None, version: str = "v
     return df.groupBy(*(by or [])).agg(latest).select(*(by or []), *[F.col("_r")[c].alias(c) for c in cols])
 
 
+def append_versions(existing: DataFrame, new: DataFrame, by: str = "name", order: str = "id",
+                    version: str = "version") -> DataFrame:
+    """Version a batch of new rows (skills, canonical schemas) per ``by``:
+    the existing maximum + 1, then + 2 ... in ``order`` within the batch.
+    The existing table is reduced to one row per key first (partial aggregate)."""
+    top = existing.groupBy(by).agg(F.max(version).alias("_max"))
+    w = Window.partitionBy(by).orderBy(order)
+    return (new.join(top, by, "left")
+            .withColumn(version, (F.coalesce("_max", F.lit(0)) + F.row_number().over(w)).cast("int"))
+            .drop("_max"))
+
+
 def list_newest_first(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.orderBy(F.col(id_col).desc())
 

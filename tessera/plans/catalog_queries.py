@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import content_hash, normalize_name
+from tessera.functions.text import content_hash, norm_name_py, normalize_name
 from tessera.operators import catalog as cat
 from tessera.operators import drift
 from tessera.operators import mapping as mp
@@ -398,8 +398,6 @@ def _sheet0_skill() -> list[dict]:
     """Skill saved from the first sheet (customer 0): renames by the dictionary,
     then the typed casts of the canonical fields."""
     names = [sp[0] for sp in fr.SHEET_SPELLINGS]
-    from tessera.functions.text import norm_name_py
-
     mapping = {n: {"to": mp.SYNONYMS.get(norm_name_py(n))} for n in names}
     canon = [{"name": k, **v} for k, v in sorted(mp.CANON_META.items())]
     return ops.steps_from_mapping(mapping, canon)
@@ -411,7 +409,7 @@ def _sheet_drift(spark, sf, c):
 
 
 _SHEET0 = [sp[0] for sp in fr.SHEET_SPELLINGS]
-_REQ_NORMS = sorted({__import__("tessera.functions.text", fromlist=["x"]).norm_name_py(n) for n in _SHEET0})
+_REQ_NORMS = sorted({norm_name_py(n) for n in _SHEET0})
 
 _EXACT_SQL = ("exact_src", f"""
 SELECT source_id FROM sheet_catalog GROUP BY source_id
@@ -421,8 +419,7 @@ HAVING list_sort(list_distinct(list({norm('name')}))) = [{", ".join(q(n) for n i
 def _wide_sql(src_cte: str) -> tuple[str, str]:
     cols = ", ".join(
         f"max(CASE WHEN {norm('h.name')} = {q(norm_py)} THEN v.value END) AS {q(orig).replace(chr(39), chr(34))}"
-        for orig, norm_py in zip(_SHEET0, [__import__("tessera.functions.text", fromlist=["x"]).norm_name_py(n)
-                                           for n in _SHEET0]))
+        for orig, norm_py in zip(_SHEET0, [norm_name_py(n) for n in _SHEET0]))
     return ("wide", f"""
 SELECT v.source_id AS source_file, v.row_no, {cols}
 FROM sheet_cells v JOIN sheet_cols h USING (source_id, pos)

@@ -123,3 +123,15 @@ def test_latest_and_next_version(spark):
     latest = {r["name"]: r["id"] for r in cat.latest_version(skills, ["name"]).collect()}
     assert latest == {"a": 2, "b": 3}
     assert [r["id"] for r in cat.list_newest_first(skills).collect()] == [3, 2, 1]
+
+
+def test_append_versions(spark):
+    existing = spark.createDataFrame([(1, "a", 1), (2, "a", 2)], "id long, name string, version int")
+    new = spark.createDataFrame([(3, "a"), (4, "b"), (5, "a")], "id long, name string")
+    got = {r["id"]: r["version"] for r in cat.append_versions(existing, new).collect()}
+    assert got == {3: 3, 5: 4, 4: 1}
+
+
+def test_derive_replaces_existing_name(df):
+    out = ops.apply_steps(df, [{"op": "derive", "expr": "upper(Amt)", "to": "Amt"}])
+    assert out.columns == df.columns
