@@ -64,7 +64,7 @@ def position_map(headers: DataFrame, mapping: DataFrame) -> DataFrame:
     ``mapping(source_col, to, ord)`` where ``ord`` is the mapping-entry order.
     """
     cols = headers.select("source_file", F.posexplode("header").alias("pos", "source_col"))
-    hits = cols.join(F.broadcast(mapping.where(F.col("to").isNotNull())), "source_col")
+    hits = join_small(cols, mapping.where(F.col("to").isNotNull()), ["source_col"])
     return (
         hits.groupBy("source_file", F.col("to").alias("field"))
         .agg(F.min_by("pos", F.struct("ord", "pos")).alias("pos"))
