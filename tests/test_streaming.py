@@ -35,3 +35,22 @@ def test_stream_dedupe_needs_event_time(spark, tmp_path):
     s = stream_exports(spark, str(d), SALES_JAN.splitlines()[0].split(","))
     with pytest.raises(StepError):
         replay_stream(s, STEPS + [{"op": "dedupe", "keys": ["customer_name"]}])
+
+
+def test_stream_dedupe_with_watermark(spark, tmp_path):
+    d = tmp_path / "in3"
+    d.mkdir()
+    write_text(d, "jan.csv", SALES_JAN)
+    steps = [{"op": "map_column", "from": "Cust Name", "to": "customer_name"},
+             {"op": "map_column", "from": "Date Purchased", "to": "order_date"},
+             {"op": "parse_date", "column": "order_date", "to": "order_date", "format": "auto"},
+             {"op": "derive", "expr": "CAST(order_date AS TIMESTAMP)", "to": "ts"},
+             {"op": "dedupe", "keys": ["customer_name", "order_date"]}]
+    s = stream_exports(spark, str(d), SALES_JAN.splitlines()[0].split(","))
+    out = replay_stream(s, steps, event_time="ts", watermark="7 days")
+    q = (out.writeStream.format("memory").queryName("deduped").outputMode("append")
+         .option("checkpointLocation", checkpoint_location(spark, f"dedupe-{uuid.uuid4().hex}")).start())
+    q.processAllAvailable()
+    q.stop()
+    names = sorted(r["customer_name"] for r in spark.sql("select customer_name from deduped").collect())
+    assert names == ["Acme Corp", "Globex", "Initech", "Umbrella"]
