@@ -228,17 +228,30 @@ def reuse_confirmed(sources: DataFrame, catalog: DataFrame, memory: DataFrame) -
     return backfill_unmapped(merged_mapping(sources, memory), catalog)
 
 
+def _gate(sources: DataFrame, memory: DataFrame):
+    """One aggregate job: (sources, unconfirmed sources, mapped columns)."""
+    flags = memory.groupBy("fingerprint").agg(
+        F.every("confirmed").alias("_ok"),
+        F.count_if(F.col("to").isNotNull() & (F.col("to") != "")).alias("_mapped"))
+    r = sources.join(flags, "fingerprint", "left").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.coalesce(F.col("_ok"), F.lit(False))).alias("bad"),
+        F.coalesce(F.sum("_mapped"), F.lit(0)).alias("mapped")).first()
+    return r["n"], r["bad"], r["mapped"]
+
+
 def flat_mapping(sources: DataFrame, memory: DataFrame, check: bool = True) -> DataFrame:
     """``source_col -> canonical`` over the confirmed mappings of all sources,
     NULL targets dropped, later source wins. Raises when a source is
-    unconfirmed or nothing is mapped."""
-    if check and not all_confirmed(sources, memory):
-        raise MappingNotConfirmed("mapping not confirmed for a source")
+    unconfirmed or nothing is mapped (both decided by one aggregate)."""
+    if check:
+        n, bad, mapped = _gate(sources, memory)
+        if n == 0 or bad:
+            raise MappingNotConfirmed("mapping not confirmed for a source")
+        if not mapped:
+            raise MappingNotConfirmed("no confirmed column mappings")
     rows = sources.join(memory.where(F.col("to").isNotNull() & (F.col("to") != "")), "fingerprint")
-    flat = rows.groupBy("source_col").agg(F.max_by("to", F.struct("source_order", "pos")).alias("to"))
-    if check and flat.limit(1).count() == 0:
-        raise MappingNotConfirmed("no confirmed column mappings")
-    return flat
+    return rows.groupBy("source_col").agg(F.max_by("to", F.struct("source_order", "pos")).alias("to"))
 
 
 def low_confidence(proposal: DataFrame, threshold: float = LOW_CONFIDENCE) -> DataFrame:
