@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_name
+from tessera.operators.sizing import global_index
 
 # Bilingual synonym dictionary, normalized source name -> canonical field.
 SYNONYMS: dict[str, str] = {
@@ -121,12 +122,9 @@ def raw_canonical(catalog: DataFrame, source_order: str = "source_order") -> Dat
     sighting, descriptions = the name."""
     first = F.struct(F.col(source_order), F.col("pos"))
     agg = catalog.groupBy("name").agg(F.min(first).alias("_first"), F.min_by("type", first).alias("type"))
-    from pyspark.sql.window import Window
-
-    w = Window.orderBy("_first")
-    return agg.select(
-        (F.row_number().over(w) - 1).cast("int").alias("pos"), "name",
-        F.coalesce("type", F.lit("VARCHAR")).alias("type"),
+    ordered = agg.select(F.col("_first")[source_order].alias("_o"), F.col("_first")["pos"].alias("_p"), "name", "type")
+    return global_index(ordered, ["_o", "_p"]).select(
+        "pos", "name", F.coalesce("type", F.lit("VARCHAR")).alias("type"),
         F.col("name").alias("desc_en"), F.col("name").alias("desc_zh"),
     )
 
@@ -138,12 +136,7 @@ def canonical_from_mapping(proposal: DataFrame) -> DataFrame:
     spark = proposal.sparkSession
     used = proposal.where(F.col("to").isNotNull()).select(F.col("to").alias("name")).distinct()
     meta = F.broadcast(canon_meta_df(spark))
-    from pyspark.sql.window import Window
-
-    return used.join(meta, "name").select(
-        (F.row_number().over(Window.orderBy("name")) - 1).cast("int").alias("pos"),
-        "name", "type", "desc_en", "desc_zh",
-    )
+    return global_index(used.join(meta, "name"), ["name"]).select("pos", "name", "type", "desc_en", "desc_zh")
 
 
 def enrich_canonical(fields: DataFrame) -> DataFrame:

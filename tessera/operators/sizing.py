@@ -48,3 +48,21 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", limit:
     small = materialize(small)
     side = F.broadcast(small) if at_most(small, limit) else small
     return big.join(side, on, how)
+
+
+def global_index(df: DataFrame, order_cols: list, out: str = "pos", parts: int | None = None) -> DataFrame:
+    """0-based position of every row in ``order_cols`` order, without a
+    single-partition sort: rows are range-partitioned by the order key,
+    numbered inside each range, and shifted by the row count of all earlier
+    ranges (a table with one row per range, broadcast)."""
+    from pyspark.sql.window import Window
+
+    n = parts or df.sparkSession.sparkContext.defaultParallelism
+    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
+    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return (local.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, (F.col("_off") + F.col("_i")).cast("int"))
+            .drop("_pid", "_i", "_off"))

@@ -73,3 +73,13 @@ def test_no_python_or_cross_join_in_any_query(spark):
         p = plan(fn(spark, E.SMOKE_DIR))
         bad = [f for f in FORBIDDEN if f in p]
         assert not bad, (name, bad)
+
+
+def test_global_index_dense_and_ordered(spark):
+    from tessera.operators.sizing import global_index
+
+    df = spark.range(5000).selectExpr("cast((id * 7919) % 5000 as int) as k", "id")
+    got = global_index(df, ["k"], "pos", parts=7).select("k", "pos").collect()
+    assert sorted(r["pos"] for r in got) == list(range(5000))
+    assert all(r["pos"] == r["k"] for r in got)
+    assert "SinglePartition" not in plan(global_index(df, ["k"], "pos", parts=7)).split("BroadcastExchange")[0]
