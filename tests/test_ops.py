@@ -1,7 +1,6 @@
 """The seven typed steps and their three-phase fold."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import catalog as cat
 from tessera.operators import ops
