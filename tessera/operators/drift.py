@@ -180,6 +180,33 @@ def remap_steps(steps: list[dict], mapping) -> list[dict]:
     return new_map + [s for s in steps if s["op"] != "map_column"]
 
 
+def remap_skill(steps: list[dict], mapping: DataFrame, sources: list[tuple[str, DataFrame]], catalog: DataFrame,
+                memory: DataFrame | None = None, confirmed_at=None) -> dict:
+    """Close the drift loop for one skill: the confirmed ``mapping``
+    (``source_col, to, confidence, rationale``) replaces the renames, the
+    skill is re-fingerprinted from the first new source, the mapping is stored
+    for every new source's fingerprint, and the new plan is replayed.
+
+    ``catalog`` holds the new sources' columns (``source_id`` = source name).
+    Only the mapping entries (a column-name list, small) reach the driver.
+    """
+    from tessera.operators.catalog import fingerprints
+    from tessera.operators.mapping import confirm_mapping
+
+    pairs = [(r["source_col"], r["to"]) for r in mapping.where(F.col("to").isNotNull())
+             .select("source_col", "to").collect()]
+    new_steps = remap_steps(steps, pairs)
+    names = [n for n, _ in sources]
+    fps = fingerprints(catalog)
+    order = {n: i for i, n in enumerate(names)}
+    order_df = catalog.sparkSession.createDataFrame(list(order.items()), "source_id string, source_order int")
+    srcs = fps.join(order_df, "source_id")
+    first_fp = srcs.where(F.col("source_order") == 0).select("fingerprint").first()
+    new_memory = confirm_mapping(mapping, catalog, srcs, memory, confirmed_at)
+    return {"steps": new_steps, "fingerprint": first_fp["fingerprint"] if first_fp else None,
+            "memory": new_memory, "result": replay(new_steps, sources)}
+
+
 def remap_skills_table(skills: DataFrame, new_maps: DataFrame) -> DataFrame:
     """Rewrite the step arrays of every affected skill in one job.
 

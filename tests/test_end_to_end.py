@@ -120,3 +120,22 @@ def test_lake_path(spark, tmp_path):
     assert memory.select("fingerprint").distinct().count() == 3
     mar = table.where(F.col("source_file").endswith("sales_mar_drift.csv")).orderBy("order_date").first()
     assert (mar["customer_name"], mar["revenue"], mar["order_date"]) == ("Acme Corp", "1750.00", "2026-03-04T00:00:00")
+
+
+def test_remap_skill_closes_the_loop(spark, tmp_path):
+    jan = _load(spark, tmp_path, "sales_jan.csv", SALES_JAN)
+    mar = _load(spark, tmp_path, "sales_mar_drift.csv", SALES_MAR_DRIFT)
+    steps = [{"op": "map_column", "from": "Cust Name", "to": "customer_name"},
+             {"op": "map_column", "from": "Amount USD", "to": "revenue"},
+             {"op": "cast", "column": "revenue", "type": "DECIMAL"}]
+    mar_cat = _catalog(mar, 0)
+    proposal = drift.propose_remap(mar_cat)
+    out = drift.remap_skill(steps, proposal, [("sales_mar_drift.csv", mar)], mar_cat,
+                            confirmed_at="2026-03-31 00:00:00")
+    assert [s["from"] for s in out["steps"] if s["op"] == "map_column"][:1] == ["Customer"]
+    assert out["steps"][-1] == {"op": "cast", "column": "revenue", "type": "DECIMAL"}
+    assert out["fingerprint"] == cat.fingerprints(mar_cat).first()["fingerprint"]
+    assert out["memory"].where(F.col("source_col") == "Revenue USD").first()["to"] == "revenue"
+    assert out["result"].count() == 3
+    assert sorted(str(r["revenue"]) for r in out["result"].collect()) == ["1020.000", "1750.000", "3100.400"]
+    assert jan.count() == 5
