@@ -13,6 +13,8 @@ from tessera.operators.grid import clean_sheets
 from tessera.operators.unify import unify
 from tessera.plans import frames as fr
 from tessera.plans.grid_queries import G_CHAIN
+from tessera.operators.mapping import CANON_META
+from tessera.plans.catalog_queries import SYN
 from tessera.plans.oracle import CUST, SHEETS, SUPP, with_ctes
 from tessera.plans.registry import register
 from tessera.sources.delimited import read_delimited, read_grid, read_sources
@@ -98,3 +100,28 @@ def s6_write_result(spark, sf):
     path = export_dir(spark, "catalog")
     write_result(sheet_catalog(spark, sf).drop("source_order"), path, "csv")
     return spark.read.option("header", "true").option("multiLine", "true").csv(path)
+
+
+@register("u2_unify_lake", with_ctes(*SHEETS, SYN, ("rp", """
+SELECT c.source_id, c.pos, s.canonical AS field FROM sheet_catalog c JOIN syn s ON s.norm = """
+    + "trim(regexp_replace(lower(c.name), '[^0-9a-z一-鿿]+', '_', 'g'), '_')"), ("pick", """
+SELECT source_id, field, min(pos) AS pos FROM rp GROUP BY source_id, field"""), ("cells", """
+SELECT v.source_id, v.row_no, p.field,
+       CASE WHEN p.field = 'order_date' THEN v.value || 'T00:00:00' ELSE v.value END AS value
+FROM sheet_cells v JOIN pick p USING (source_id, pos)"""), body=", ".join(
+    [f"SELECT max(CASE WHEN field = '{f}' THEN value END) AS {f}" for f in sorted(CANON_META)]).replace(", SELECT", ",")
+    + ", source_id AS source_file FROM cells GROUP BY source_id, row_no"))
+def u2_unify_lake(spark, sf):
+    """Every customer sheet written as its own CSV file (header row, then its
+    orders), then the whole lake path on the files: grids, cleaning, catalog,
+    fingerprints, dictionary proposal confirmed as mapping memory, one-pass
+    union onto the canonical fields."""
+    from tessera.plans.lake import unify_lake
+
+    headers = fr.sheet_headers(spark, sf).select("source_file", F.lit(-1).cast("long").alias("row_no"),
+                                                 F.col("header").alias("cells"))
+    grid = headers.unionByName(fr.sheet_grid(spark, sf))
+    path = write_grid_export(grid, export_dir(spark, "sheets"))
+    table, _ = unify_lake(spark, path, width=16)
+    name = F.url_decode(F.regexp_extract("source_file", "fname=([^/]+)/", 1))
+    return table.withColumn("source_file", name)
