@@ -75,3 +75,13 @@ def test_write_result_csv(spark, tmp_path):
     assert back["k"] == "1" and back["arr"] == '["a","b"]' and back["s"] is None
     write_result(df, str(tmp_path / "pq"), "parquet")
     assert spark.read.parquet(str(tmp_path / "pq")).select(F.col("arr")).first()[0] == '["a","b"]'
+
+
+def test_mixed_delimiters(spark, tmp_path):
+    a = write_text(tmp_path, "a.csv", "k,v\n1,x\n")
+    b = write_text(tmp_path, "b.tsv", "k\tv\n2\ty\n3\tz\n")
+    shapes = read_sources(spark, [a, b])
+    assert sorted(df.count() for _, _, df in shapes) == [1, 2]
+    assert all(list(h) == ["k", "v"] for h, _, _ in shapes)
+    with pytest.raises(UnsupportedSource):
+        read_delimited(spark, [a, b])
