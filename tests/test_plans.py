@@ -83,3 +83,12 @@ def test_global_index_dense_and_ordered(spark):
     assert sorted(r["pos"] for r in got) == list(range(5000))
     assert all(r["pos"] == r["k"] for r in got)
     assert "SinglePartition" not in plan(global_index(df, ["k"], "pos", parts=7)).split("BroadcastExchange")[0]
+
+
+def test_global_index_with_ties(spark):
+    from tessera.operators.sizing import global_index
+
+    df = spark.range(3000).selectExpr("cast(id % 17 as int) as k", "id")
+    rows = sorted(global_index(df, ["k"], "pos", parts=5).select("pos", "k").collect())
+    assert [r["pos"] for r in rows] == list(range(3000))
+    assert all(a["k"] <= b["k"] for a, b in zip(rows, rows[1:]))
