@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,9 +30,23 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/llm-{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """``df`` written as a table of the shared folder and read back: computed
     once, lineage cut, and safe against lost executors."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, group: str, order: list[str], out: str = "rank", salts: int = 64) -> DataFrame:
+    """``df`` with each row's place (from 0) among the rows of its ``group``. Places
+    follow a hash bucket of ``order`` and then ``order``, so that a group of any size
+    is sorted in ``salts`` parts; the parts' counts (groups x salts rows) are joined."""
+    bucket = F.pmod(F.xxhash64(*order), F.lit(salts)).alias("_bucket")
+    part = df.select("*", bucket)
+    place = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)) - 1
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = part.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    counts = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = part.withColumn("_place", place).join(counts, [group, "_bucket"])
+    return placed.withColumn(out, F.col("_place") + F.col("_before")).drop("_bucket", "_place", "_before")
