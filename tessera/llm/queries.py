@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing, simhash, tokenfile
+from tessera.llm import bpe, packing, simhash, syncmers, tokenfile
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's fingerprint, against that of its edited text and of the next document."""
+    return syncmers.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, fingerprints linked at two or fewer differing bits."""
