@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, kdtree, packing, quality, secret_scan, simhash, syncmers, tokenfile
+from tessera.llm import bpe, kdtree, packing, pii, quality, secret_scan, simhash, syncmers, tokenfile
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: base rules, and a tagger trained on a sample."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find_personal_data(docs, pii.train(docs)))
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text: base rules and entropy windows."""
