@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, kdtree, packing, pii, quality, secret_scan, simhash, syncmers, tokenfile
+from tessera.llm import bpe, kdtree, mixing, packing, pii, quality, secret_scan, simhash, syncmers, tokenfile
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,12 @@ def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log probability by word counts, and by mixed bit predictors."""
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five largest inner products of every vector whose id is divisible by 50."""
