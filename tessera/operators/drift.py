@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import norm_name_py, normalize_name
 from tessera.operators.mapping import propose_by_synonyms
 from tessera.operators.ops import apply_steps
-from tessera.operators.sizing import join_small
 from tessera.operators.unify import replay_union
 
 # Drift kinds, by severity.
@@ -74,8 +73,7 @@ def _verdict(req: Column, inc: Column) -> list[Column]:
     return [kind.alias("kind"), missing.alias("missing"), F.when(kind != UNMAPPABLE, extra).alias("extra")]
 
 
-def classify_drift(pairs: DataFrame, required: DataFrame, incoming: DataFrame,
-                   broadcast_limit: int = 1_000_000) -> DataFrame:
+def classify_drift(pairs: DataFrame, required: DataFrame, incoming: DataFrame) -> DataFrame:
     """``pairs(skill_id, source_id)``, ``required(skill_id, pos, name)``,
     ``incoming(source_id, pos, name)`` (a catalog) ->
     ``(skill_id, source_id, kind, missing array, extra array)``.
@@ -83,12 +81,11 @@ def classify_drift(pairs: DataFrame, required: DataFrame, incoming: DataFrame,
     Rules: nothing missing and nothing extra -> exact; nothing missing ->
     mappable; at least as many extra as missing -> mappable; else unmappable
     (and only ``missing`` is reported). Each side is reduced to one name array
-    per skill / per source first, so the pairs meet them with two equi-joins;
-    the skill side (skills x width) is broadcast when proven small.
+    per skill / per source first, so the pairs meet them with two equi-joins.
     """
     req = name_arrays(required.select("skill_id", "pos", "name"), "skill_id", "_req")
     inc = name_arrays(incoming.select("source_id", "pos", "name"), "source_id", "_inc")
-    j = join_small(pairs, req, ["skill_id"], "left", broadcast_limit).join(inc, ["source_id"], "left")
+    j = pairs.join(req, ["skill_id"], "left").join(inc, ["source_id"], "left")
     return j.select("skill_id", "source_id", *_verdict(F.col("_req"), F.col("_inc")))
 
 

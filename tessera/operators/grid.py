@@ -4,8 +4,7 @@ Everything is a native higher-order array expression on one row, except header
 detection, which needs a file's first rows: those are cut to the first 21 per
 file with a ranked window (Spark applies the limit inside every map task, so a
 huge file contributes 21 rows to the shuffle, not all of its rows). The
-per-file header table (one row per file) is then joined back, broadcast when
-its size is proven small.
+per-file header table (one row per file) is then joined back.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from pyspark.sql.window import Window
 
 from tessera.functions.casts import as_col
 from tessera.functions.text import is_date_column, is_numeric_text, iso_date_text, maybe_iso_date, strip_ws, year_hint
-from tessera.operators.sizing import join_small
 
 HEAD_CANDIDATES = 10
 WIDTH_ROWS = 20
@@ -194,8 +192,7 @@ def promote_yearless_dates(cells, header, year, flags=None) -> Column:
 
 # --- G12 ------------------------------------------------------------------------------
 
-def clean_sheets(grid: DataFrame, iso_dates: bool = True, broadcast_limit: int = 1_000_000,
-                 dense_rows: bool = False) -> tuple[DataFrame, DataFrame]:
+def clean_sheets(grid: DataFrame, iso_dates: bool = True, dense_rows: bool = False) -> tuple[DataFrame, DataFrame]:
     """Header row detected per file; the rows after it pass the total filter
     (raw width), are padded/cut to the header width, blank rows dropped and
     year-less dates promoted. Returns ``(rows, headers)``:
@@ -210,7 +207,7 @@ def clean_sheets(grid: DataFrame, iso_dates: bool = True, broadcast_limit: int =
     heads = detect_header_row(grid, rendered=not iso_dates, dense=dense_rows).select(
         "source_file", "header_row_no", "header",
         year_hint(file_name("source_file")).alias("_year"), date_flags("header").alias("_flags"))
-    rows = join_small(grid, heads, ["source_file"], "inner", broadcast_limit)
+    rows = grid.join(heads, "source_file")
     body = (
         rows.where(F.col("row_no") > F.col("header_row_no"))
         .where(~is_total_row("cells"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.text import normalize_name
 from tessera.operators.sizing import global_index
@@ -123,7 +124,7 @@ def raw_canonical(catalog: DataFrame, source_order: str = "source_order") -> Dat
     first = F.struct(F.col(source_order), F.col("pos"))
     agg = catalog.groupBy("name").agg(F.min(first).alias("_first"), F.min_by("type", first).alias("type"))
     ordered = agg.select(F.col("_first")[source_order].alias("_o"), F.col("_first")["pos"].alias("_p"), "name", "type")
-    return global_index(ordered, ["_o", "_p"]).select(
+    return global_index(ordered, ["_o", "_p", "name"]).select(
         "pos", "name", F.coalesce("type", F.lit("VARCHAR")).alias("type"),
         F.col("name").alias("desc_en"), F.col("name").alias("desc_zh"),
     )
@@ -132,11 +133,26 @@ def raw_canonical(catalog: DataFrame, source_order: str = "source_order") -> Dat
 # --- C8, C9 ----------------------------------------------------------------------
 
 def canonical_from_mapping(proposal: DataFrame) -> DataFrame:
-    """Distinct canonical names in use, sorted, with their meta."""
-    spark = proposal.sparkSession
-    used = proposal.where(F.col("to").isNotNull()).select(F.col("to").alias("name")).distinct()
-    meta = F.broadcast(canon_meta_df(spark))
-    return global_index(used.join(meta, "name"), ["name"]).select("pos", "name", "type", "desc_en", "desc_zh")
+    """Distinct canonical names in use, sorted, with their meta. A hand-typed name
+    without meta is a VARCHAR field described by itself. The fields of one canonical
+    schema (a table's columns) are ranked in one window."""
+    used = proposal.where(F.col("to").isNotNull() & (F.col("to") != "")).select(F.col("to").alias("name")).distinct()
+    known = used.join(F.broadcast(canon_meta_df(proposal.sparkSession)), "name", "left")
+    place = (F.row_number().over(Window.orderBy("name")) - 1).alias("pos")
+    return known.select(place, "name", F.coalesce("type", F.lit("VARCHAR")).alias("type"),
+                        F.coalesce("desc_en", "name").alias("desc_en"), F.coalesce("desc_zh", "name").alias("desc_zh"))
+
+
+def join_canonical(fields: DataFrame, proposal: DataFrame) -> DataFrame:
+    """The canonical table ``fields(pos, name, type, desc_en, desc_zh)`` with the
+    targets of ``proposal`` that it lacks, each once, after its own fields in name
+    order: dictionary names with their meta, hand-typed ones as VARCHAR."""
+    new = canonical_from_mapping(proposal).join(fields.select("name"), "name", "left_anti").withColumn("pos", F.lit(None).cast("int"))
+    both = fields.select("pos", "name", "type", "desc_en", "desc_zh").unionByName(new)
+    ordered = Window.orderBy(F.col("pos").asc_nulls_last(), "name")  # the columns of one table
+    last = F.coalesce(F.max("pos").over(ordered), F.lit(-1))
+    added = F.count_if(F.col("pos").isNull()).over(ordered)
+    return both.withColumn("pos", F.coalesce("pos", (last + added).cast("int")))
 
 
 def enrich_canonical(fields: DataFrame) -> DataFrame:
@@ -235,7 +251,8 @@ def _gate(sources: DataFrame, memory: DataFrame):
 
 def flat_mapping(sources: DataFrame, memory: DataFrame, check: bool = True) -> DataFrame:
     """``source_col -> canonical`` over the confirmed mappings of all sources,
-    NULL targets dropped, later source wins. Raises when a source is
+    NULL targets dropped, later source wins. ``ord`` is the entry's place: where the
+    column was mapped first, by source and position. Raises when a source is
     unconfirmed or nothing is mapped (both decided by one aggregate)."""
     if check:
         n, bad, mapped = _gate(sources, memory)
@@ -244,7 +261,8 @@ def flat_mapping(sources: DataFrame, memory: DataFrame, check: bool = True) -> D
         if not mapped:
             raise MappingNotConfirmed("no confirmed column mappings")
     rows = sources.join(memory.where(F.col("to").isNotNull() & (F.col("to") != "")), "fingerprint")
-    return rows.groupBy("source_col").agg(F.max_by("to", F.struct("source_order", "pos")).alias("to"))
+    place = F.struct("source_order", "pos")
+    return rows.groupBy("source_col").agg(F.max_by("to", place).alias("to"), F.min(place).alias("ord"))
 
 
 def low_confidence(proposal: DataFrame, threshold: float = LOW_CONFIDENCE) -> DataFrame:

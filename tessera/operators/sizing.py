@@ -1,9 +1,9 @@
-"""Size-checked broadcast joins.
+"""Stored intermediate tables and positions over a whole order.
 
-A side is broadcast only when its row count is proven small: a bounded count
-(``limit(n + 1).count()``) never scans more than ``n + 1`` rows of its input
-plan's output. Beyond the bound the plain join is kept and AQE picks the
-strategy at runtime (and splits skewed partitions).
+Joins against small derived tables are plain equi-joins: with adaptive execution
+the side is broadcast when its measured bytes are below
+``spark.sql.autoBroadcastJoinThreshold``, and shuffled (skewed partitions split)
+when they are not. Nothing is counted or collected while a plan is built.
 """
 
 from __future__ import annotations
@@ -12,57 +12,39 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute a small derived table once for several later uses.
-
-    With a shared ``spark.checkpoint.dir`` the rows are written there as a
-    parquet table and read back: one computation, lineage cut (a lost executor
-    does not rescan the inputs), and real size statistics for the planner.
-    Without one they are cached.
-    """
+    """Compute a derived table once for several later uses: written as Parquet to
+    the shared ``spark.checkpoint.dir`` and read back (lineage cut, real sizes for
+    the planner). A session without that folder recomputes the table instead."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
-        return df.cache()
+        return df
     path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    try:
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    except Exception:  # column names parquet cannot hold: checkpoint a persisted copy
-        spark.sparkContext.setCheckpointDir(base)
-        kept = df.persist()
-        out = kept.checkpoint(eager=True)
-        kept.unpersist()
-        return out
-
-
-def at_most(df: DataFrame, n: int) -> bool:
-    return df.limit(n + 1).count() <= n
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = 1_000_000) -> DataFrame:
-    """Join ``small`` onto ``big``; ``small`` is materialized once, counted
-    (bounded), and broadcast only when it holds at most ``limit`` rows."""
-    small = materialize(small)
-    side = F.broadcast(small) if at_most(small, limit) else small
-    return big.join(side, on, how)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def global_index(df: DataFrame, order_cols: list, out: str = "pos", parts: int | None = None) -> DataFrame:
     """0-based position of every row in ``order_cols`` order, without a
-    single-partition sort: rows are range-partitioned by the order key,
-    numbered inside each range, and shifted by the row count of all earlier
-    ranges (a table with one row per range, broadcast)."""
-    from pyspark.sql.window import Window
-
-    n = parts or df.sparkSession.sparkContext.defaultParallelism
+    single-partition sort. Rows are range-partitioned by the order key and stored
+    with the number of their range, so that the rows and the counts of earlier
+    ranges (one row a range) come from one and the same partitioning."""
+    spark = df.sparkSession
+    n = parts or spark.sparkContext.defaultParallelism
     ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    if spark.conf.get("spark.checkpoint.dir", ""):
+        ranged = materialize(ranged)
+    else:
+        ranged = ranged.persist()
+        ranged.count()
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_pid").agg(F.count("*").alias("_c"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
+    place = F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1
+    return (ranged.withColumn("_i", place).join(F.broadcast(offsets), "_pid")  # one row a range
             .withColumn(out, (F.col("_off") + F.col("_i")).cast("int"))
             .drop("_pid", "_i", "_off"))

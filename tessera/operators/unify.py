@@ -13,8 +13,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.sizing import join_small
-
 
 def _pairs(mapping) -> list[tuple[str, str]]:
     items = mapping.items() if isinstance(mapping, dict) else mapping
@@ -64,33 +62,31 @@ def position_map(headers: DataFrame, mapping: DataFrame) -> DataFrame:
     ``mapping(source_col, to, ord)`` where ``ord`` is the mapping-entry order.
     """
     cols = headers.select("source_file", F.posexplode("header").alias("pos", "source_col"))
-    hits = join_small(cols, mapping.where(F.col("to").isNotNull()), ["source_col"])
+    hits = cols.join(mapping.where(F.col("to").isNotNull()), "source_col")
     return (
         hits.groupBy("source_file", F.col("to").alias("field"))
         .agg(F.min_by("pos", F.struct("ord", "pos")).alias("pos"))
     )
 
 
-def unify_grid(grid: DataFrame, headers: DataFrame, mapping: DataFrame, fields: list[str] | None = None,
-               broadcast_limit: int = 1_000_000) -> DataFrame:
+def unify_grid(grid: DataFrame, headers: DataFrame, mapping: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Same result as ``unify`` for any number of shapes, one pass over
     ``grid(source_file, row_no, cells)`` (data rows, header already removed).
 
-    The per-file map ``field -> pos`` is joined by ``source_file``; it is
-    broadcast only when its row count is proven below ``broadcast_limit``.
+    The per-file map ``field -> pos`` is joined by ``source_file``. ``fields`` names
+    the output columns; without it they are the mapping's targets, one column each.
     """
     if fields is None:
         fields = [r[0] for r in mapping.where(F.col("to").isNotNull()).select("to").distinct().collect()]
     fields = sorted(set(fields))
     pm = position_map(headers, mapping)
     per_file = pm.groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("field", "pos"))).alias("_pos"))
-    joined = join_small(grid, per_file, ["source_file"], "left", broadcast_limit)
+    joined = grid.join(per_file, "source_file", "left")
     cols = [F.get(F.col("cells"), F.col("_pos")[f]).cast("string").alias(f) for f in fields]
     return joined.select(*cols, F.col("source_file"))
 
 
-def sheet_frame(grid: DataFrame, headers: DataFrame, columns: list[str],
-                broadcast_limit: int = 1_000_000) -> DataFrame:
+def sheet_frame(grid: DataFrame, headers: DataFrame, columns: list[str]) -> DataFrame:
     """Wide all-text DataFrame over many grid files: one column per name in
     ``columns``, read in every file at the position of its header cell with
     the same normalized name (NULL when the file lacks it), plus
@@ -102,7 +98,7 @@ def sheet_frame(grid: DataFrame, headers: DataFrame, columns: list[str],
         F.min("pos").alias("pos"))
     per_file = by_norm.groupBy("source_file").agg(
         F.map_from_entries(F.collect_list(F.struct("norm", "pos"))).alias("_pos"))
-    joined = join_small(grid, per_file, ["source_file"], "inner", broadcast_limit)
+    joined = grid.join(per_file, "source_file")
     out = [F.get(F.col("cells"), F.col("_pos")[norm_name_py(c)]).alias(c) for c in columns]
     return joined.select(*out, "source_file")
 

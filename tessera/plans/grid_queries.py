@@ -274,7 +274,7 @@ def u2_unify_grid(spark, sf):
     c = sheet_catalog(spark, sf)
     flat = mp.flat_mapping(sheet_sources(spark, sf, c), sheet_memory(spark, sf, c))
     headers = fr.sheet_headers(spark, sf).select("source_file", "header")
-    return unify_grid(fr.sheet_grid(spark, sf), headers, flat.withColumn("ord", F.lit(0)), _U2_FIELDS)
+    return unify_grid(fr.sheet_grid(spark, sf), headers, flat, _U2_FIELDS)
 
 
 _CUST_STEPS = [

@@ -20,10 +20,10 @@ from tessera.operators.unify import unify_grid
 from tessera.sources.delimited import read_grid
 
 
-def lake_catalog(spark: SparkSession, paths, width: int | None = None):
+def lake_catalog(spark: SparkSession, paths):
     """``(rows, headers, catalog)`` for all files: cleaned data rows, one header
     per file, and the catalog (files are ordered by path for "later wins")."""
-    grid = read_grid(spark, paths, width=width)
+    grid = read_grid(spark, paths)
     rows, headers = clean_sheets(grid, dense_rows=True)
     headers = materialize(headers)
     catalog = materialize(
@@ -35,17 +35,16 @@ def lake_sources(catalog: DataFrame) -> DataFrame:
     return cat.fingerprints(catalog).withColumn("source_order", F.col("source_id"))
 
 
-def unify_lake(spark: SparkSession, paths, memory: DataFrame | None = None, width: int | None = None
-               ) -> tuple[DataFrame, DataFrame]:
+def unify_lake(spark: SparkSession, paths, memory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Unified canonical table of every file, plus the mapping memory used.
 
     With ``memory=None`` the dictionary proposal (hits only; other columns
     unmapped) is confirmed for every fingerprint first.
     """
-    rows, headers, c = lake_catalog(spark, paths, width)
+    rows, headers, c = lake_catalog(spark, paths)
     sources = lake_sources(c)
     if memory is None:
         hits = mp.propose_by_synonyms(c).where(F.col("to").isNotNull())
         memory = materialize(mp.confirm_mapping(mp.backfill_unmapped(hits, c), c, sources))
-    flat = mp.flat_mapping(sources, memory).withColumn("ord", F.lit(0))
+    flat = mp.flat_mapping(sources, memory)
     return unify_grid(rows, headers, flat), memory

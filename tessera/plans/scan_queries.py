@@ -81,7 +81,7 @@ def s2_read_grid(spark, sf):
     """Raw freight sheets written as CSV text files, read back as grids (one
     job for all files), named by their sheet, cleaned."""
     path = write_grid_export(fr.freight_grid(spark, sf), export_dir(spark, "freight"))
-    grid = read_grid(spark, path, width=16)
+    grid = read_grid(spark, path)
     named = grid.withColumn("source_file", F.url_decode(F.regexp_extract("source_file", "fname=([^/]+)/", 1)))
     rows, _ = clean_sheets(named, dense_rows=True)
     return rows.select("source_file", F.array_join("cells", "|").alias("cells"))
@@ -122,6 +122,6 @@ def u2_unify_lake(spark, sf):
                                                  F.col("header").alias("cells"))
     grid = headers.unionByName(fr.sheet_grid(spark, sf))
     path = write_grid_export(grid, export_dir(spark, "sheets"))
-    table, _ = unify_lake(spark, path, width=16)
+    table, _ = unify_lake(spark, path)
     name = F.url_decode(F.regexp_extract("source_file", "fname=([^/]+)/", 1))
     return table.withColumn("source_file", name)

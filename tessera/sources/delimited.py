@@ -1,28 +1,29 @@
 """Lenient all-text scans of delimited exports (S1-S3, C4 over files).
 
-Nothing is type-sniffed: every column is ``StringType`` so one schema pass is
-never needed and dirty cells never fail a job. Header names are assigned here
-(not by Spark's CSV header handling) so that blank and repeated header cells
-get the names users see elsewhere: ``column{idx}`` and ``{name}_{k}``.
+Every file is read as lines and each line is split on its own, in one pass that
+also numbers the lines: a split arrives whole and in order, so a line's number is
+the split's byte offset plus its place in the split. That is unique and increasing
+within a file however the file is split, and nothing has to be joined to get it.
+A row keeps exactly the cells its line has, empty ones at the end included. Lines
+longer than ``MAX_LINE_BYTES`` cannot be rows and are skipped (``unreadable_lines``
+counts them). Nothing is type-sniffed: all columns are text.
 """
 
 from __future__ import annotations
 
+import csv
 from collections import OrderedDict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.text import content_hash
-from tessera.operators.sizing import join_small
 
 MAX_LINE_BYTES = 10_485_760
 # Accepted extensions and their delimiters.
 DELIMITERS = {".csv": ",", ".txt": ",", ".tsv": "\t"}
-# A cell value that never occurs in real text; lets a grid read tell a padded
-# (missing) trailing cell from an empty one.
-_ABSENT = "\u0000\u0001absent"
 
 
 class UnsupportedSource(ValueError):
@@ -50,62 +51,84 @@ def _one_delimiter(paths: list[str], delim: str | None) -> str:
     return kinds.pop()
 
 
-def _string_schema(width: int) -> T.StructType:
-    return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-
-
-def _field_count(d: str):
-    unquoted = F.regexp_replace(F.col("value"), '"[^"]*"', "")
-    return F.size(F.split(unquoted, _re_escape(d), -1))
-
-
-def max_fields(spark: SparkSession, paths, delim: str | None = None) -> int:
-    """Widest line (fields outside quotes) over all files: one text scan."""
+GRID_SCHEMA = "source_file string, row_no long, cells array<string>"
+
+
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+
+def _split_lines(delim: str):
+    """Lines of one partition, in order, to rows of cells."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(MAX_LINE_BYTES)
+        at, number = None, 0
+        for batch in batches:
+            files, starts, values = (c.to_pylist() for c in batch.columns)
+            out_files, numbers, rows = [], [], []
+            for file, start, value in zip(files, starts, values):
+                if (file, start) != at:
+                    at, number = (file, start), 0
+                    if start == 0:
+                        value = value.removeprefix("\ufeff")
+                if value == "":
+                    continue
+                out_files.append(file)
+                numbers.append(start + number)
+                number += 1
+                rows.append([value] if delim not in value and '"' not in value else next(csv.reader([value], delimiter=delim)))
+            yield pa.RecordBatch.from_arrays([pa.array(out_files, pa.string()), pa.array(numbers, pa.int64()), pa.array(rows, pa.list_(pa.string()))],
+                                             names=["source_file", "row_no", "cells"])
+
+    return run
+
+
+def _split_files(delim: str):
+    """Whole files to rows of cells; a quoted cell may hold line breaks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(MAX_LINE_BYTES)
+        for batch in batches:
+            for file, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows: list[list[str]] = []
+                done = 0
+                for row in csv.reader(text.removeprefix("\ufeff").splitlines(keepends=True), delimiter=delim):
+                    if row:
+                        rows.append(row)
+                    if len(rows) >= 10_000:
+                        yield _rows(file, done, rows)
+                        done, rows = done + len(rows), []
+                yield _rows(file, done, rows)
+
+    return run
+
+
+def _rows(file: str, start: int, rows: list[list[str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(range(start, start + len(rows)), pa.int64()),
+                                       pa.array(rows, pa.list_(pa.string()))], names=["source_file", "row_no", "cells"])
+
+
+def read_grid(spark: SparkSession, paths, delim: str | None = None, multiline: bool = False) -> DataFrame:
+    """``grid(source_file, row_no, cells)`` of many files of any shape, in one read.
+
+    ``cells`` are those of the line, empty ones ``''``; blank lines are skipped.
+    ``row_no`` increases within a file and counts its first split densely from 0, so
+    ``clean_sheets(..., dense_rows=True)`` finds header candidates with a filter.
+    ``multiline`` reads each file as one text (files that fit in a task's memory), in
+    which quoted cells may hold line breaks.
+    """
     ps = _paths(paths)
     d = _one_delimiter(ps, delim)
-    row = spark.read.text(ps).agg(F.max(_field_count(d)).alias("w")).first()
-    return int(row["w"] or 1)
-
-
-def first_line_fields(spark: SparkSession, path: str, delim: str) -> int:
-    """Fields on a file's first line (reads the head of its first split only)."""
-    r = (spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
-         .select(_field_count(delim).alias("n")).limit(1).collect())
-    return int(r[0]["n"]) if r else 1
-
-
-def _re_escape(d: str) -> str:
-    return "\\" + d if d in ".^$|?*+()[]{}\\" else d
-
-
-def _csv_reader(spark: SparkSession, width: int, delim: str, multiline: bool, keep_empty: bool):
-    r = (
-        spark.read.schema(_string_schema(width))
-        .option("header", "false")
-        .option("sep", delim)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("maxCharsPerColumn", str(MAX_LINE_BYTES))
-        .option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false")
-        .option("multiLine", "true" if multiline else "false")
-    )
-    if keep_empty:
-        r = r.option("nullValue", _ABSENT).option("emptyValue", "")
-    return r
-
-
-def _row_cells(width: int):
-    """The parsed fields of one record as ``array<string>``: empty fields are
-    ``''``; trailing NULLs (fields the line does not have) are dropped. Spark
-    reads an unquoted empty field as NULL too, so a line's own trailing empty
-    fields are dropped with the padding (the row width is then the last
-    non-empty field)."""
-    arr = F.array(*[F.col(f"_c{i}") for i in range(width)])
-    last = F.aggregate(F.transform(arr, lambda x, i: F.when(x.isNull(), F.lit(0)).otherwise(i + 1)),
-                       F.lit(0), lambda acc, v: F.greatest(acc, v))
-    return F.slice(F.transform(arr, lambda x: F.coalesce(x, F.lit(""))), 1, last)
+    if multiline:
+        whole = spark.read.text(ps, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+        return whole.mapInArrow(_split_files(d), GRID_SCHEMA)
+    short = _lines(spark, ps).where(F.octet_length("value") <= MAX_LINE_BYTES)
+    return short.mapInArrow(_split_lines(d), GRID_SCHEMA)
+
+
+def unreadable_lines(spark: SparkSession, paths) -> DataFrame:
+    """``(source_file, lines)``: how many lines of each file are too long to be rows."""
+    long = _lines(spark, _paths(paths)).where(F.octet_length("value") > MAX_LINE_BYTES)
+    return long.groupBy(F.col("file").alias("source_file")).agg(F.count("*").alias("lines"))
 
 
 def header_names(cells: list) -> list[str]:
@@ -131,119 +154,61 @@ def header_names(cells: list) -> list[str]:
     return names
 
 
-def _file_order(df: DataFrame) -> DataFrame:
-    """Add ``source_file`` and a file-local ``row_no`` (dense within a file's
-    first split, increasing and unique within the file).
-
-    Rows of one split are consecutive in one partition, so
-    ``monotonically_increasing_id`` minus the split's smallest id is the row's
-    index in the split; the split's byte offset keeps later splits after it.
-    The per-split minimum is a tiny aggregate (one row per split).
-    """
-    base = df.select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_id"),
-        *[c for c in df.columns],
-    )
-    first = base.groupBy("source_file", "_blk").agg(F.min("_id").alias("_id0"))
-    return (
-        join_small(base, first, ["source_file", "_blk"])
-        .withColumn("row_no", F.col("_blk") + F.col("_id") - F.col("_id0"))
-        .drop("_blk", "_id", "_id0")
-    )
-
-
-def read_grid(spark: SparkSession, paths, delim: str | None = None, width: int | None = None,
-              multiline: bool = False) -> DataFrame:
-    """Header-less wide read: ``grid(source_file, row_no, cells)``.
-
-    ``cells`` keeps the row's own width (no padding); empty cells are ``''``.
-    Many files of any shape are read in one job. ``row_no`` counts each file's
-    first split densely from 0, so ``clean_sheets(..., dense_rows=True)`` finds
-    header candidates with a filter instead of a per-file window.
-    """
-    ps = _paths(paths)
-    d = _one_delimiter(ps, delim)
-    w = width or max_fields(spark, ps, d)
-    raw = _csv_reader(spark, w, d, multiline, keep_empty=True).csv(ps)
-    ordered = _file_order(raw)
-    return ordered.select("source_file", "row_no", _row_cells(w).alias("cells"))
+def heads(spark: SparkSession, paths, delim: str | None = None, multiline: bool = False) -> DataFrame:
+    """``(source_file, cells, width)``: the first record and the widest row of each file."""
+    grid = read_grid(spark, paths, delim, multiline)
+    return grid.groupBy("source_file").agg(F.min_by("cells", "row_no").alias("cells"), F.max(F.size("cells")).alias("width"))
 
 
-def first_row(spark: SparkSession, path: str, delim: str | None = None, width: int | None = None) -> list:
-    """The first record of one file (reads one split's head only)."""
-    d = _one_delimiter([path], delim)
-    width = width or first_line_fields(spark, path, d)
-    df = _csv_reader(spark, width, d, False, keep_empty=True).csv(path)
-    row = df.where(F.col("_metadata.file_block_start") == 0).select(_row_cells(width).alias("c")).limit(1).collect()
-    return list(row[0]["c"]) if row else []
+def first_rows(spark: SparkSession, paths, delim: str | None = None) -> DataFrame:
+    """``(source_file, cells)``: every file's first record."""
+    return heads(spark, paths, delim).select("source_file", "cells")
 
 
-def read_delimited(spark: SparkSession, paths, delim: str | None = None, width: int | None = None,
-                   multiline: bool = False, header: list | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, paths, delim: str | None = None, multiline: bool = False, header: list | None = None,
+                   width: int | None = None) -> DataFrame:
     """All-text read of files that share one header.
 
-    Short rows are NULL-padded; empty and quoted-empty cells are NULL;
-    surrounding blanks are kept; blank lines are skipped. Rows wider than the
-    header get ``column{idx}`` names. A ``source_file`` column is added.
+    Short rows are NULL-padded; empty and quoted-empty cells are NULL; surrounding
+    blanks are kept; blank lines are skipped. Rows wider than the header get
+    ``column{idx}`` names. A ``source_file`` column is added. Files with different
+    headers are refused (``read_sources`` reads them). ``header`` and ``width`` (of the
+    widest row) spare the pass that finds them.
     """
     ps = _paths(paths)
     d = _one_delimiter(ps, delim)
-    hdr = header if header is not None else first_row(spark, ps[0], d)
-    w = max(width or max_fields(spark, ps, d), len(hdr), 1)
-    names = header_names(list(hdr) + [None] * (w - len(hdr)))
-    raw = (
-        _csv_reader(spark, w, d, multiline, keep_empty=False)
-        .option("header", "true")  # drops each file's first record; names are ours
-        .option("enforceSchema", "true")
-        .csv(ps)
-    )
-    cols = [F.nullif(F.col(f"_c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
-    return raw.select(*cols, F.col("_metadata.file_path").alias("source_file"))
-
-
-def first_rows(spark: SparkSession, paths, delim: str | None = None, width: int | None = None) -> DataFrame:
-    """``(source_file, cells)``: every file's first record, in one job.
-
-    Each file's first split is reduced to its lowest-id row with a partial
-    aggregate, so only one row per file crosses the shuffle.
+    if header is None or width is None:
+        found = heads(spark, ps, d, multiline).groupBy("cells").agg(F.max("width").alias("width")).limit(2).collect()
+        if len(found) > 1:
+            raise UnsupportedSource("files with different headers in one read; use read_sources")
+        header = header if header is not None else (list(found[0]["cells"]) if found else [])
+        width = found[0]["width"] if found else 0
+    w = max(width, len(header), 1)
+    names = header_names(list(header) + [None] * (w - len(header)))
+    grid = read_grid(spark, ps, d, multiline).where(F.col("row_no") > 0)
+    cols = [F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)]
+    return grid.select(*cols, "source_file")
+
+
+def read_sources(spark: SparkSession, paths) -> list[tuple[tuple, list[str], DataFrame]]:
+    """Many files of different shapes -> one all-text DataFrame per distinct header
+    (files sharing a header are read together, provenance kept).
+
+    One pass finds every file's header and width; the driver receives that list, as it
+    plans one scan per shape. For thousands of shapes use the grid path (``read_grid``
+    -> ``clean_sheets`` -> ``unify_grid``), which needs no plan per shape.
     """
-    ps = _paths(paths)
-    d = _one_delimiter(ps, delim)
-    w = width or max_fields(spark, ps, d)
-    raw = _csv_reader(spark, w, d, False, keep_empty=True).csv(ps)
-    cells = _row_cells(w)
-    return (
-        raw.where(F.col("_metadata.file_block_start") == 0)
-        .select(F.col("_metadata.file_path").alias("source_file"),
-                F.monotonically_increasing_id().alias("_id"), cells.alias("cells"))
-        .groupBy("source_file").agg(F.min_by("cells", "_id").alias("cells"))
-    )
-
-
-def read_sources(spark: SparkSession, paths, width: int | None = None) -> list[tuple[tuple, list[str], DataFrame]]:
-    """Many files of different shapes -> one all-text DataFrame per distinct
-    header (files sharing a header are read together, provenance kept).
-
-    One job reads every file's first record; the driver receives only the
-    (file, header) list needed to plan one scan per shape. For thousands of
-    shapes use the grid path (``read_grid`` -> ``clean_sheets`` ->
-    ``unify_grid``), which needs no per-shape plan at all.
-    """
-    ps = _paths(paths)
     by_delim: "OrderedDict[str, list[str]]" = OrderedDict()
-    for p in ps:
+    for p in _paths(paths):
         by_delim.setdefault(delimiter_for(p), []).append(p)
     out = []
     for d, files in by_delim.items():
-        heads = first_rows(spark, files, d, width).collect()
-        groups: "OrderedDict[tuple, list[str]]" = OrderedDict()
-        head_of = {r["source_file"]: tuple(r["cells"]) for r in heads}
-        for f in sorted(head_of):
-            groups.setdefault(head_of[f], []).append(f)
+        groups: "OrderedDict[tuple, list]" = OrderedDict()
+        for r in sorted(heads(spark, files, d).collect(), key=lambda r: r["source_file"]):
+            groups.setdefault(tuple(r["cells"]), []).append(r)
         for hdr, members in groups.items():
-            out.append((hdr, members, read_delimited(spark, members, d, width=width, header=list(hdr))))
+            names = [r["source_file"] for r in members]
+            out.append((hdr, names, read_delimited(spark, names, d, header=list(hdr), width=max(r["width"] for r in members))))
     return out
 
 

@@ -7,13 +7,14 @@ import sys
 
 from pyspark.sql import functions as F
 
+import pytest
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
 from tessera.operators import catalog as cat  # noqa: E402
 from tessera.operators import grid as gd  # noqa: E402
 from tessera.operators import ops  # noqa: E402
-from tessera.operators.sizing import join_small  # noqa: E402
 
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "BroadcastNestedLoopJoin", "CartesianProduct")
 
@@ -39,19 +40,6 @@ def test_heads_use_group_limit(spark):
     assert "Window" not in plan(gd.head_rows(g, dense=True))
 
 
-def test_broadcast_only_under_bound(spark):
-    big = spark.range(1000).selectExpr("id % 10 as k", "id")
-    small = spark.range(10).selectExpr("id as k", "id * 2 as v")
-    assert "BroadcastHashJoin" in plan(join_small(big, small, ["k"], limit=100))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        assert "BroadcastHashJoin" not in plan(join_small(big, small, ["k"], limit=5))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
 def test_hot_file_keeps_every_row(spark):
     """One file holds a third of all rows: cleaning keeps all of them."""
     hot = spark.range(3000).selectExpr("'hot.csv' as source_file", "id + 1 as row_no",
@@ -68,13 +56,31 @@ def test_hot_file_keeps_every_row(spark):
     assert rows.where(F.col("source_file") == "hot.csv").count() == 3000
 
 
+
+
+
 def test_no_python_or_cross_join_in_any_query(spark):
-    for name, fn in E.queries().items():
+    for name, fn in E.QUERIES.items():
         p = plan(fn(spark, E.SMOKE_DIR))
         bad = [f for f in FORBIDDEN if f in p]
         assert not bad, (name, bad)
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_global_index_with_other_columns(spark, adaptive):
+    from tessera.operators.mapping import raw_canonical
+
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        catalog = spark.range(400_000).selectExpr("cast((id * 7919) % 400000 as int) as source_order", "0 as pos", "concat('n', id) as name", "'VARCHAR' as type")
+        got = raw_canonical(catalog)
+        one = got.selectExpr("count(distinct pos) n", "min(pos) a", "max(pos) b", "count(distinct name) m").first()
+        assert tuple(one) == (400_000, 0, 399_999, 400_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
 def test_global_index_dense_and_ordered(spark):
     from tessera.operators.sizing import global_index
 

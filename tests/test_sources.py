@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SALES_FEB_ZH, SALES_JAN, write_text
 from tessera.sources.delimited import (
     UnsupportedSource, delimiter_for, file_content_hashes, header_names, read_delimited, read_grid, read_sources,
+    unreadable_lines,
 )
 from tessera.sources.sinks import write_result
 
@@ -85,3 +86,49 @@ def test_mixed_delimiters(spark, tmp_path):
     assert all(list(h) == ["k", "v"] for h, _, _ in shapes)
     with pytest.raises(UnsupportedSource):
         read_delimited(spark, [a, b])
+
+
+def test_wide_rows_and_own_empty_cells_stay(spark, tmp_path):
+    wide = ",".join(f"v{i}" for i in range(20))
+    p = write_text(tmp_path, "wide.csv", f"name,amt,\nx,1,note1\n{wide}\n,,\n")
+    cells = [r["cells"] for r in read_grid(spark, p).orderBy("row_no").collect()]
+    assert cells == [["name", "amt", ""], ["x", "1", "note1"], wide.split(","), ["", "", ""]]
+    df = read_delimited(spark, p)
+    assert df.columns[:4] == ["name", "amt", "column2", "column3"] and len(df.columns) == 21
+    assert df.where("name = 'x'").first()["column2"] == "note1"
+
+
+def test_too_long_lines_are_skipped_and_counted(spark, tmp_path):
+    p = write_text(tmp_path, "long.csv", "a,b\n1,2\n" + "x" * 11_000_000 + ",3\n4,5\n")
+    assert sorted((r["a"], r["b"]) for r in read_delimited(spark, p).collect()) == [("1", "2"), ("4", "5")]
+    assert [r["lines"] for r in unreadable_lines(spark, p).collect()] == [1]
+
+
+def test_different_headers_in_one_read_are_refused(spark, tmp_path):
+    a = write_text(tmp_path, "a.csv", "name,amt\nx,1\n")
+    b = write_text(tmp_path, "b.csv", "amt,name\n2,y\n")
+    with pytest.raises(UnsupportedSource):
+        read_delimited(spark, [a, b])
+    rows = [r for _, _, df in read_sources(spark, [a, b]) for r in df.select("name", "amt").collect()]
+    assert sorted(map(tuple, rows)) == [("x", "1"), ("y", "2")]
+
+
+def test_no_row_is_lost_when_splits_change(spark, tmp_path):
+    p = write_text(tmp_path, "many.csv", "k,v\n" + "".join(f"{i},{i * 7}\n" for i in range(200_000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+        grid = read_grid(spark, p)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "90k")
+        rows = grid.orderBy("row_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len({r["row_no"] for r in rows}) == len(rows) == 200_001
+    assert [r["cells"][0] for r in rows] == ["k", *map(str, range(200_000))]
+
+
+def test_multiline_cells(spark, tmp_path):
+    p = write_text(tmp_path, "m.csv", 'a,b\n"x\ny,z,w",2\n3,4\n')
+    df = read_delimited(spark, p, multiline=True)
+    assert df.columns == ["a", "b", "source_file"]
+    assert sorted((r["a"], r["b"]) for r in df.collect()) == [("3", "4"), ("x\ny,z,w", "2")]
