@@ -12,11 +12,12 @@ space are encoded whole.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import regex
 
-CACHE = 200_000
+CACHE = 300_000
 EMPTY = b""
 #: Characters that composing leaves alone, whose lower case is one character.
 PLAIN = regex.compile(r"[\t\n\x21-\x7eÀ-įĲ-ňŊ-ſ]+").fullmatch
@@ -33,19 +34,23 @@ class _Blank(Exception):
     """A chunk is empty, or starts or ends with white space."""
 
 
-class _Chunks(dict):
-    def __init__(self, owner: TextIds, lead: str) -> None:
-        self.owner, self.lead = owner, lead
+class _Recent(dict):
+    """Values of short strings, made at need. Full, it becomes the older half, from
+    which what is used again comes back; the half before it goes."""
 
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Blank
-        ids = self.owner.chunk(self.lead, chunk)
-        if len(chunk) <= 64:
+    def __init__(self, make) -> None:
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
-            self[chunk] = ids
-        return ids
+            self[key] = value
+        return value
 
 
 class TextIds:
@@ -76,21 +81,31 @@ class TextIds:
             self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.letters = _byte_letters()
         self.model = self.library.model
+        self.words = _Recent(self.piece)
         # white space is dropped: where a chunk stands in its text makes no difference
-        self.first = _Chunks(self, "")
-        self.spaced = self.first if word_ends else _Chunks(self, " ")
+        self.first = _Recent(lambda chunk: self.chunk("", chunk))
+        self.spaced = self.first if word_ends else _Recent(lambda chunk: self.chunk(" ", chunk))
 
     def whole(self, text: str) -> bytes:
         """By the library's whole chain."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """By the library's BPE model."""
+        lead, body = (self.letters[32], piece[1:]) if piece[0] == " " else ("", piece)
+        if not (body.isascii() and body.isalnum()):  # those bytes stand for themselves
+            lead, body = "", piece.encode().decode("latin1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(lead + body)]).tobytes()
+
     def chunk(self, lead: str, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _Blank
         if not PLAIN(chunk):
             return self.whole(lead + chunk)
-        model, letters, ids = self.model.tokenize, self.letters, []
-        for piece in self.pieces(lead + (chunk.lower() if self.lower else chunk)):
-            ids.extend(t.id for t in model(piece.encode().decode("latin1").translate(letters)))
-        return np.array(ids, "<u4").tobytes()
+        text = lead + (chunk.lower() if self.lower else chunk)
+        if chunk.isalpha():
+            return self.piece(text)
+        return EMPTY.join(map(self.words.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> bytes:
         if not text:
