@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.casts import as_col
+from tessera.functions.text import strip_ws
 
 # Accepted statement heads and refused words.
 HEADS = ("select", "with", "pivot", "unpivot", "from")
@@ -30,12 +31,17 @@ _HEAD_RE = r"(?i)^(" + "|".join(HEADS) + r")\b"
 _FORBIDDEN_RE = r"(?i)\b(" + "|".join(FORBIDDEN_WORDS) + r")\b"
 
 
+# One rule table for both forms: a text is refused where the pattern's presence is
+# as the last column says.
+RULES = ((REASON_MULTI, ";", True), (REASON_HEAD, _HEAD_RE, False), (REASON_WRITE, _FORBIDDEN_RE, True))
+
+
 class SqlRejected(Exception):
     pass
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return strip_ws(c)
 
 
 def normalized_sql(c) -> Column:
@@ -45,11 +51,7 @@ def normalized_sql(c) -> Column:
 def guard_reason(c) -> Column:
     """NULL when accepted, else the refusal reason."""
     s = normalized_sql(c)
-    return (
-        F.when(F.instr(s, ";") > 0, F.lit(REASON_MULTI))
-        .when(~s.rlike(_HEAD_RE), F.lit(REASON_HEAD))
-        .when(s.rlike(_FORBIDDEN_RE), F.lit(REASON_WRITE))
-    )
+    return F.coalesce(*(F.when(s.rlike(pattern) == F.lit(refused), F.lit(reason)) for reason, pattern, refused in RULES))
 
 
 def guard_accepts(c) -> Column:
@@ -57,13 +59,10 @@ def guard_accepts(c) -> Column:
 
 
 def validate_select(sql: str) -> str:
-    """Python twin of ``guard_reason`` for a single statement; returns the
-    normalized text or raises ``SqlRejected``."""
-    s = sql.strip().rstrip(";").strip()
-    if ";" in s:
-        raise SqlRejected(REASON_MULTI)
-    if not re.match(_HEAD_RE[4:], s, re.IGNORECASE):
-        raise SqlRejected(REASON_HEAD)
-    if re.search(_FORBIDDEN_RE[4:], s, re.IGNORECASE):
-        raise SqlRejected(REASON_WRITE)
-    return s
+    """The rule table for one statement; returns the normalized text or raises
+    ``SqlRejected``."""
+    text = re.sub(r"\s*;*\s*$", "", sql.strip(), count=1)
+    for reason, pattern, refused in RULES:
+        if (re.search(pattern, text) is not None) is refused:
+            raise SqlRejected(reason)
+    return text

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from tessera.functions.casts import as_col, try_double
 # letters, CJK unified ideographs U+4E00..U+9FFF); everything else collapses to
 # one underscore.
 _NON_WORD = "[^0-9a-z一-鿿]+"
+# White space of text cells (beyond ASCII: next line, no-break and
+# typographic spaces, ideographic space).
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Header words that mark a date column, and the year token of a
 # monthly file name.
 DATE_COLUMN_HINT = "(?i)date|日期|time|时间"
@@ -28,7 +32,22 @@ def norm_name_py(name: str) -> str:
 
 def strip_ws(c) -> Column:
     """Strip leading/trailing whitespace of every kind (Spark's trim strips spaces only)."""
-    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(as_col(c), f"^{WS}+|{WS}+$", "")
+
+
+def _decimal_digits() -> tuple[str, str]:
+    """Decimal digits of the basic plane beyond ASCII, and the ASCII digits they mean."""
+    found = [(chr(i), str(unicodedata.decimal(chr(i)))) for i in range(128, 1 << 16) if unicodedata.category(chr(i)) == "Nd"]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
+
+
+OTHER_DIGITS, THEIR_DIGITS = _decimal_digits()
+
+
+def fold_digits(c) -> Column:
+    """Decimal digits of other scripts (full-width ones too) as ASCII digits."""
+    s = as_col(c)
+    return F.when(s.rlike(r"[^\x00-\x7f]"), F.translate(s, OTHER_DIGITS, THEIR_DIGITS)).otherwise(s)
 
 
 def normalize_name(c) -> Column:
@@ -43,7 +62,7 @@ def normalize_name(c) -> Column:
 
 def is_numeric_text(c) -> Column:
     """True when the trimmed text with ',' removed parses as a float."""
-    t = F.regexp_replace(strip_ws(c), ",", "")
+    t = fold_digits(F.regexp_replace(strip_ws(c), ",", ""))
     return (t != "") & try_double(t).isNotNull()
 
 
@@ -53,7 +72,7 @@ def is_date_column(c) -> Column:
 
 def year_hint(c) -> Column:
     """First four digits before '年' in a file name, as int; NULL when absent."""
-    y = F.regexp_extract(as_col(c), YEAR_HINT, 1)
+    y = F.regexp_extract(fold_digits(c), YEAR_HINT, 1)
     return F.when(y != "", y.try_cast("int"))
 
 
@@ -76,9 +95,9 @@ _ISO_FMT = "yyyy-MM-dd'T'HH:mm:ss"
 # Accepted date-shaped texts. Y-M-D with '-', '/' or '.' (mixed
 # allowed) and an optional [ T]H:MM[:SS] tail; Y年M月D日; and, only with a year
 # hint and inside a date column, M.D / M-D / M/D.
-DATE_SEP = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?\s*$"
-DATE_ZH = r"^\s*(\d{4})年(\d{1,2})月(\d{1,2})日\s*$"
-DATE_NO_YEAR = r"^\s*(\d{1,2})[./-](\d{1,2})\s*$"
+DATE_SEP = rf"^{WS}*(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?:[ T](\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?)?{WS}*$"
+DATE_ZH = rf"^{WS}*(\d{{4}})年(\d{{1,2}})月(\d{{1,2}})日{WS}*$"
+DATE_NO_YEAR = rf"^{WS}*(\d{{1,2}})[./-](\d{{1,2}}){WS}*$"
 
 
 def _g(c: Column, pattern: str, idx: int) -> Column:
@@ -102,7 +121,7 @@ def maybe_iso_date(c, year_hint_col=None) -> Column:
     ``year_hint_col`` (int) enables the year-less M.D form; callers gate it on
     the column being a date column.
     """
-    s = as_col(c)
+    s = fold_digits(c)
     sep = _iso(
         _g(s, DATE_SEP, 1), _g(s, DATE_SEP, 2), _g(s, DATE_SEP, 3),
         F.when(F.regexp_extract(s, DATE_SEP, 4) != "", _g(s, DATE_SEP, 4)),
@@ -118,7 +137,7 @@ def maybe_iso_date(c, year_hint_col=None) -> Column:
         mo, d = _g(s, DATE_NO_YEAR, 1), _g(s, DATE_NO_YEAR, 2)
         noyear = F.when(mo.between(1, 12) & d.between(1, 31), _iso(year_hint_col, mo, d))
         out = out.when(year_hint_col.isNotNull() & s.rlike(DATE_NO_YEAR), noyear)
-    return out
+    return F.when(s.rlike(f"^{WS}*[0-9]"), out)  # most cells start with no digit: one look
 
 
 def iso_date_text(c, year_hint_col=None) -> Column:

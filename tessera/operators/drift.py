@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import norm_name_py, normalize_name
 from tessera.operators.mapping import propose_by_synonyms
 from tessera.operators.ops import apply_steps
+from tessera.operators.sizing import materialize
 from tessera.operators.unify import replay_union
 
 # Drift kinds, by severity.
@@ -89,9 +90,11 @@ def classify_drift(pairs: DataFrame, required: DataFrame, incoming: DataFrame) -
     return j.select("skill_id", "source_id", *_verdict(F.col("_req"), F.col("_inc")))
 
 
-def classify_drift_one(required_names: list[str], incoming: DataFrame, skill_id: int = 1) -> DataFrame:
+def classify_drift_one(required_names: list[str], incoming: DataFrame, skill_id: int = 1,
+                       sources: DataFrame | None = None) -> DataFrame:
     """Drift of every source against one skill: the skill's required names are
-    a literal array, so no join is needed at all (one aggregate per source)."""
+    a literal array (one aggregate per source). ``sources(source_id)`` names the batch:
+    a source without columns is judged too."""
     by_norm: dict[str, list] = {}
     for pos, name in enumerate(required_names):
         n = norm_name_py(name)
@@ -102,6 +105,8 @@ def classify_drift_one(required_names: list[str], incoming: DataFrame, skill_id:
     req = F.array(*[F.struct(F.lit(p).cast("int").alias("pos"), F.lit(n).alias("norm"), F.lit(nm).alias("name"))
                     for n, (p, nm) in by_norm.items()])
     inc = name_arrays(incoming.select("source_id", "pos", "name"), "source_id", "_inc")
+    if sources is not None:
+        inc = sources.select("source_id").distinct().join(inc, "source_id", "left")
     return inc.select(F.lit(skill_id).cast("long").alias("skill_id"), "source_id", *_verdict(req, F.col("_inc")))
 
 
@@ -132,8 +137,12 @@ def apply_skill(skill_steps: list[dict], sources: list[tuple[str, DataFrame]], c
     """Drift gate, then: exact -> replayed rows; mappable -> a fresh proposal for
     the drifted sources; unmappable -> report only. Appends one run row when
     ``runs_path`` is given. The only driver decision is the one-row verdict."""
+    if not sources:
+        raise ValueError("no sources")
     spark = catalog.sparkSession
-    reports = classify_drift_one([s["from"] for s in skill_steps if s["op"] == "map_column"], catalog, skill_id)
+    batch = spark.createDataFrame([(n,) for n, _ in sources], "source_id string")
+    required = [s["from"] for s in skill_steps if s["op"] == "map_column"]
+    reports = materialize(classify_drift_one(required, catalog, skill_id, batch))
     verdict = worst_drift(reports).first()["worst"]
     out = {"status": RUN_STATUS[verdict], "kind": verdict, "drift": reports}
     if verdict == EXACT:
@@ -185,18 +194,19 @@ def remap_skill(steps: list[dict], mapping: DataFrame, sources: list[tuple[str,
     for every new source's fingerprint, and the new plan is replayed.
 
     ``catalog`` holds the new sources' columns (``source_id`` = source name).
-    Only the mapping entries (a column-name list, small) reach the driver.
+    Only the mapping entries (a column-name list, small) reach the driver, in the order
+    in which the sources hold their columns.
     """
     from tessera.operators.catalog import fingerprints
     from tessera.operators.mapping import confirm_mapping
 
-    pairs = [(r["source_col"], r["to"]) for r in mapping.where(F.col("to").isNotNull())
-             .select("source_col", "to").collect()]
-    new_steps = remap_steps(steps, pairs)
     names = [n for n, _ in sources]
     fps = fingerprints(catalog)
     order = {n: i for i, n in enumerate(names)}
     order_df = catalog.sparkSession.createDataFrame(list(order.items()), "source_id string, source_order int")
+    seen = catalog.join(order_df, "source_id").groupBy(F.col("name").alias("source_col")).agg(F.min(F.struct("source_order", "pos")).alias("_at"))
+    renames = mapping.where(F.col("to").isNotNull()).join(seen, "source_col", "left").orderBy(F.col("_at").asc_nulls_last(), "source_col")
+    new_steps = remap_steps(steps, [(r["source_col"], r["to"]) for r in renames.select("source_col", "to").collect()])
     srcs = fps.join(order_df, "source_id")
     first_fp = srcs.where(F.col("source_order") == 0).select("fingerprint").first()
     new_memory = confirm_mapping(mapping, catalog, srcs, memory, confirmed_at)
@@ -215,12 +225,13 @@ def remap_skills_table(skills: DataFrame, new_maps: DataFrame) -> DataFrame:
                     F.when(F.col("_new").isNotNull(), F.concat("_new", kept)).otherwise(F.col("steps")).alias("steps"))
 
 
-def snapshot(steps: list[dict], sources: list[tuple[str, DataFrame]], limit: int = 20,
+def snapshot(steps: list[dict], sources: list[tuple[str, DataFrame]], limit: int | None = None,
              order_by: list | None = None) -> DataFrame:
-    """Plan run per source, unioned, ``limit`` rows, every value as text
+    """Plan run per source, unioned, with ``limit`` at most so many rows, every value as text
     (NULL kept). ``order_by`` makes the chosen rows deterministic."""
     df = replay(steps, sources)
     if order_by:
         df = df.orderBy(*order_by)
-    df = df.limit(limit)
+    if limit is not None:
+        df = df.limit(limit)
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions.casts import as_col
-from tessera.functions.text import is_date_column, is_numeric_text, iso_date_text, maybe_iso_date, strip_ws, year_hint
+from tessera.functions.text import WS, is_date_column, is_numeric_text, iso_date_text, maybe_iso_date, strip_ws, year_hint
 
 HEAD_CANDIDATES = 10
 WIDTH_ROWS = 20
@@ -89,7 +89,7 @@ def rectangularize(cells, width) -> Column:
 
 def is_blank_row(cells) -> Column:
     """No cell holds anything but whitespace (checked on the joined row text)."""
-    return F.regexp_replace(F.concat_ws("", as_col(cells)), r"\s+", "") == ""
+    return F.regexp_replace(F.concat_ws("", as_col(cells)), f"{WS}+", "") == ""
 
 
 # --- G3, G4 ------------------------------------------------------------------------

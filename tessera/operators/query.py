@@ -15,30 +15,35 @@ from tessera.functions.casts import as_col, try_date, try_double
 from tessera.functions.guard import guard_accepts, guard_reason, validate_select  # noqa: F401
 from tessera.functions.text import source_prefix
 
-ROW_CAP = 1000
-PREVIEW_ROWS = 50
-TOP_N = 20
 
-
-def run_query(spark: SparkSession, table: DataFrame, sql: str, cap: int = ROW_CAP, view: str = "t") -> DataFrame:
-    """Expose ``table`` as view ``t``, run one guarded read-only query, cap rows.
+def run_query(spark: SparkSession, table: DataFrame, sql: str, cap: int | None = None, view: str = "t") -> DataFrame:
+    """Expose ``table`` as view ``t``, run one guarded read-only query; with ``cap``,
+    at most so many rows. A view of that name that the session has stays as it was.
 
     WITH, FROM-first and nested selects are native Spark SQL; PIVOT/UNPIVOT use
     Spark's clause forms.
     """
     safe = validate_select(sql)
+    held = spark.table(view) if spark.catalog.tableExists(view) else None
     table.createOrReplaceTempView(view)
-    return spark.sql(safe).limit(cap)
+    try:
+        result = spark.sql(safe)  # resolved here: the view is not needed afterwards
+    finally:
+        spark.catalog.dropTempView(view)
+        if held is not None:
+            held.createOrReplaceTempView(view)
+    return result if cap is None else result.limit(cap)
 
 
-def total_by(df: DataFrame, dim: str, measure: str, n: int = TOP_N, out: str = "total") -> DataFrame:
-    """``SUM(TRY_CAST(measure AS DOUBLE))`` by ``dim``, largest first, top ``n``.
+def total_by(df: DataFrame, dim: str, measure: str, n: int | None = None, out: str = "total") -> DataFrame:
+    """``SUM(TRY_CAST(measure AS DOUBLE))`` by ``dim``, largest first; with ``n``, the first ``n``.
 
     Sums are rounded to 2 places so the result does not depend on row order;
     ties are broken by ``dim`` (NULLs last in both orders).
     """
     agg = df.groupBy(dim).agg(F.round(F.sum(try_double(measure)), 2).alias(out))
-    return agg.orderBy(F.col(out).desc_nulls_last(), F.col(dim).asc_nulls_last()).limit(n)
+    ordered = agg.orderBy(F.col(out).desc_nulls_last(), F.col(dim).asc_nulls_last())
+    return ordered if n is None else ordered.limit(n)
 
 
 def monthly_totals(df: DataFrame, date_col: str, measure: str, out: str = "total") -> DataFrame:
@@ -89,11 +94,10 @@ def unpivot_long(df: DataFrame, ids: list[str], values: list[str] | None = None,
     return df.unpivot(ids, vals, var, val)
 
 
-def preview(df: DataFrame, limit: int = PREVIEW_ROWS, order_by: list | None = None) -> DataFrame:
-    """First ``limit`` rows; with ``order_by`` the choice is deterministic."""
-    if order_by:
-        return df.orderBy(*[as_col(c) for c in order_by]).limit(limit)
-    return df.limit(limit)
+def preview(df: DataFrame, limit: int | None = None, order_by: list | None = None) -> DataFrame:
+    """The first ``limit`` rows, or all; with ``order_by`` the choice is deterministic."""
+    ordered = df.orderBy(*[as_col(c) for c in order_by]) if order_by else df
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def audit_queries(df: DataFrame, sql_col: str = "sql") -> DataFrame:

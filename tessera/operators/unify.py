@@ -30,13 +30,9 @@ def project_source(df: DataFrame, mapping, name: str | None = None) -> DataFrame
     ``source_file``."""
     pairs = _pairs(mapping)
     present = set(df.columns)
-    cols = []
-    for field in canonical_fields(pairs):
-        src = next((s for s, t in pairs if t == field and s in present), None)
-        if src is not None:
-            cols.append(F.col(f"`{src}`").cast("string").alias(field))
-        else:
-            cols.append(F.lit(None).cast("string").alias(field))
+    chosen = {field: src for src, field in reversed(pairs) if src in present}  # the first entry is written last
+    cols = [(F.col(f"`{chosen[field]}`") if field in chosen else F.lit(None)).cast("string").alias(field)
+            for field in canonical_fields(pairs)]
     if "source_file" in present:
         cols.append(F.col("source_file").cast("string").alias("source_file"))
     else:

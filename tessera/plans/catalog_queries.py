@@ -252,6 +252,21 @@ def c12_confirm_mapping(spark, sf):
     return sheet_memory(spark, sf)
 
 
+@register("c12_custom_target", with_ctes(*SHEET_BASE, CANON, ("mine", f"""
+SELECT DISTINCT 'my_' || {norm('name')} AS name FROM sheet_catalog
+WHERE {norm('name')} NOT IN (SELECT norm FROM syn)"""), body="""
+SELECT * FROM canon
+UNION ALL
+SELECT CAST((SELECT count(*) FROM canon) + row_number() OVER (ORDER BY encode(name)) - 1 AS INTEGER), name, 'VARCHAR', name, name FROM mine"""))
+def c12_custom_target(spark, sf):
+    """Columns without a synonym get a hand-typed target; the canonical table gains
+    each such field once, as VARCHAR after its own fields."""
+    prop = mp.propose_by_synonyms(sheet_catalog(spark, sf))
+    fields = mp.canonical_from_mapping(prop)
+    typed = prop.withColumn("to", F.coalesce("to", F.concat(F.lit("my_"), normalize_name("source_col"))))
+    return mp.join_canonical(fields, typed)
+
+
 @register("c11_reuse_confirmed", with_ctes(*SHEET_BASE, BACKFILLED, MEMORY, ("merged", """
 SELECT source_col, arg_max({'to': "to", 'c': confidence, 'r': rationale}, (source_order, pos)) AS m
 FROM sheet_fp JOIN mem USING (fingerprint) GROUP BY source_col"""), body=f"""

@@ -29,19 +29,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table. A table stored as fewer splits than the cluster has
-    cores (each test table is a single parquet row group) is spread once by a
-    hash of its key column, so row-local work is not confined to one task; a
-    lake-sized input has enough splits and is read as is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access read the table as is
-        return df
-    if splits < cores:
-        df = df.repartition(cores, df.columns[0])
-    return df
+    """One driver table, as its files give it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _s(c) -> Column:

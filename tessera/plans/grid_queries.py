@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_date_column, is_numeric_text, iso_date_text, year_hint
+from tessera.operators import catalog as cat
 from tessera.operators import grid as gd
 from tessera.operators import ops
 from tessera.operators.unify import replay_union, unify_grid
@@ -277,6 +278,30 @@ def u2_unify_grid(spark, sf):
     return unify_grid(fr.sheet_grid(spark, sf), headers, flat, _U2_FIELDS)
 
 
+@register("u2_entry_order", """
+WITH kept AS (SELECT max(c_custkey) AS k FROM customer)
+SELECT CASE WHEN (SELECT k FROM kept) % 2 = 0 THEN CAST(o.o_totalprice AS VARCHAR) ELSE CAST(o.o_orderkey AS VARCHAR) END AS revenue,
+       'two_' || CAST(c.c_custkey AS VARCHAR) || '.csv' AS source_file
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")
+def u2_entry_order(spark, sf):
+    """Two columns of every sheet map to one field, in turn in either order: both
+    headers have one fingerprint, whose mapping is the last sheet's, so in all sheets
+    the column that the last sheet names first is read."""
+    c = fr.table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("two_"), k.cast("string"), F.lit(".csv"))
+    header = F.when(k % 2 == 0, F.array(F.lit("Revenue"), F.lit("Amount"))).otherwise(F.array(F.lit("Amount"), F.lit("Revenue")))
+    headers = c.select(name.alias("source_file"), header.alias("header"), k.alias("source_order"))
+    catalog = headers.select(F.col("source_file").alias("source_id"), "source_order", F.posexplode("header").alias("pos", "name")).withColumn("type", F.lit("VARCHAR"))
+    sources = cat.fingerprints(catalog).join(headers.select(F.col("source_file").alias("source_id"), "source_order"), "source_id")
+    memory = mp.confirm_mapping(mp.propose_by_synonyms(catalog), catalog, sources)
+    price, key = F.col("o_totalprice").cast("string"), F.col("o_orderkey").cast("string")
+    joined = fr.table(spark, sf, "orders").join(c, F.col("o_custkey") == k)
+    cells = F.when(k % 2 == 0, F.array(price, key)).otherwise(F.array(key, price))
+    grid = joined.select(name.alias("source_file"), F.col("o_orderkey").alias("row_no"), cells.alias("cells"))
+    return unify_grid(grid, headers, mp.flat_mapping(sources, memory, check=False), ["revenue"])
+
+
 _CUST_STEPS = [
     {"op": "map_column", "from": "Cust Name", "to": "customer_name"},
     {"op": "map_column", "from": "Date Purchased", "to": "order_date"},

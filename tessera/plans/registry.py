@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.guard import guard_accepts, guard_reason
+from tessera.functions.guard import FORBIDDEN_WORDS, HEADS, REASON_HEAD, REASON_MULTI, REASON_WRITE, guard_accepts, guard_reason
 from tessera.functions.text import normalize_name, source_prefix
 from tessera.operators import ops, query, unify
 from tessera.operators.drift import snapshot
@@ -62,6 +62,15 @@ def q2_run_query(spark, sf):
     return query.run_query(spark, unified(spark, sf), Q2_SQL)
 
 
+Q2_ROWS_SQL = "SELECT customer_name, revenue, source_file FROM t WHERE revenue IS NOT NULL"
+
+
+@register("q2_run_query_rows", with_ctes(*SALES, body=Q2_ROWS_SQL))
+def q2_run_query_rows(spark, sf):
+    """More rows than a screen shows: no cap unless one is given."""
+    return query.run_query(spark, unified(spark, sf), Q2_ROWS_SQL)
+
+
 @register("q8_cte_query", with_ctes(*SALES, body=f"SELECT * FROM ({Q8_SQL})"))
 def q8_cte_query(spark, sf):
     return query.run_query(spark, unified(spark, sf), Q8_SQL)
@@ -154,6 +163,8 @@ def _guard_text_sql():
     return f"CASE {_K} % {len(GUARD_TEXTS)} " + " ".join(arms) + " END"
 
 
+_HEADS_SQL = "(?i)^(" + "|".join(HEADS) + ")\\b"
+_WRITE_SQL = "(?i)\\b(" + "|".join(FORBIDDEN_WORDS) + ")\\b"
 _GUARD_S = ("regexp_replace(regexp_replace(regexp_replace(sql, '^\\s+|\\s+$', '', 'g'), ';+$', ''), "
             "'^\\s+|\\s+$', '', 'g')")
 
@@ -162,13 +173,10 @@ _GUARD_S = ("regexp_replace(regexp_replace(regexp_replace(sql, '^\\s+|\\s+$', ''
 WITH texts AS (SELECT {_K}, {_guard_text_sql()} AS sql FROM orders),
 norm AS (SELECT {_K}, sql, {_GUARD_S} AS s FROM texts)
 SELECT {_K}, sql,
-  CASE WHEN strpos(s, ';') > 0 THEN 'multiple statements'
-       WHEN NOT regexp_matches(s, '(?i)^(select|with|pivot|unpivot|from)\\b') THEN 'not a SELECT/WITH/PIVOT/UNPIVOT/FROM'
-       WHEN regexp_matches(s, '(?i)\\b(insert|update|delete|drop|alter|create|attach|copy|pragma|call|export|install|load|set)\\b')
-         THEN 'contains a write/DDL keyword' END AS reason,
-  NOT (strpos(s, ';') > 0 OR NOT regexp_matches(s, '(?i)^(select|with|pivot|unpivot|from)\\b')
-       OR regexp_matches(s, '(?i)\\b(insert|update|delete|drop|alter|create|attach|copy|pragma|call|export|install|load|set)\\b'))
-    AS accepted
+  CASE WHEN strpos(s, ';') > 0 THEN '{REASON_MULTI}'
+       WHEN NOT regexp_matches(s, '{_HEADS_SQL}') THEN '{REASON_HEAD}'
+       WHEN regexp_matches(s, '{_WRITE_SQL}') THEN '{REASON_WRITE}' END AS reason,
+  NOT (strpos(s, ';') > 0 OR NOT regexp_matches(s, '{_HEADS_SQL}') OR regexp_matches(s, '{_WRITE_SQL}')) AS accepted
 FROM norm""")
 def q1_guard_select(spark, sf):
     o = fr.table(spark, sf, "orders")
@@ -392,6 +400,31 @@ def fn_date_functions(spark, sf):
     )
 
 
+@register("fn_try_cast_timestamp", """
+SELECT o_orderkey, TRY_CAST(txt AS TIMESTAMP) AS ts FROM (
+  SELECT o_orderkey, CASE o_orderkey % 4
+    WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 10:30:00'
+    WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d')
+    WHEN 2 THEN 'n/a' END AS txt FROM orders)""")
+def fn_try_cast_timestamp(spark, sf):
+    from tessera.functions.casts import safe_cast
+
+    o = fr.table(spark, sf, "orders")
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    txt = (F.when(k == 0, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" 10:30:00")))
+           .when(k == 1, F.date_format(d, "yyyy/MM/dd")).when(k == 2, F.lit("n/a")))
+    return o.select("o_orderkey", safe_cast(txt, "TIMESTAMP").alias("ts"))
+
+
+_DATE_LITERAL_SQL = ("SELECT o_orderkey, DATE '1995-06-01' AS since FROM t "
+                     "WHERE CAST(o_orderdate AS DATE) >= DATE '1995-06-01'")
+
+
+@register("fn_date_literal", f"WITH t AS (SELECT * FROM orders) {_DATE_LITERAL_SQL}")
+def fn_date_literal(spark, sf):
+    return query.run_query(spark, fr.table(spark, sf, "orders"), _DATE_LITERAL_SQL)
+
+
 @register("fn_text_functions", with_ctes(CUST, body="""
 SELECT "Cust Name" AS customer_name,
   CONCAT("Cust Name", '/', "Date Purchased") AS concat_skip_null,

@@ -12,15 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.ops import StepError, apply_steps, validate_steps
-from tessera.sources.delimited import _string_schema, header_names
+from pyspark.sql import types as T
+
+from tessera.operators.ops import StepError, apply_steps, filter_rows, validate_steps
+from tessera.sources.delimited import header_names
 
 
 def stream_exports(spark: SparkSession, directory: str, header: list[str], delim: str = ",") -> DataFrame:
     """All-text streaming read of delimited exports that share ``header``
     (new files in ``directory`` are picked up as they land)."""
     names = header_names(list(header))
-    schema = _string_schema(len(names))
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
     raw = (
         spark.readStream.schema(schema)
         .option("header", "true").option("sep", delim).option("quote", '"').option("escape", '"')
@@ -32,17 +34,19 @@ def stream_exports(spark: SparkSession, directory: str, header: list[str], delim
 
 def replay_stream(stream: DataFrame, steps: list[dict], event_time: str | None = None,
                   watermark: str = "1 day") -> DataFrame:
-    """Apply a saved plan to a streaming DataFrame."""
+    """Apply a saved plan to a streaming DataFrame; one watermark serves all dedupes."""
     validate_steps(steps)
-    stateless = [s for s in steps if s["op"] != "dedupe"]
-    out = apply_steps(stream, stateless)
-    for s in steps:
-        if s["op"] != "dedupe":
-            continue
+    out = apply_steps(stream, [s for s in steps if s["op"] not in ("filter", "dedupe")])
+    if any(s["op"] == "dedupe" for s in steps):
         if event_time is None:
             raise StepError("dedupe on a stream needs an event-time column and a watermark")
-        keys = list(s["keys"]) + (["source_file"] if "source_file" in out.columns else [])
-        out = out.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(keys)
+        out = out.withWatermark(event_time, watermark)
+    for s in steps:  # filters and dedupes in their own order
+        if s["op"] == "filter":
+            out = filter_rows(out, s["predicate"])
+        elif s["op"] == "dedupe":
+            keys = list(s["keys"]) + (["source_file"] if "source_file" in out.columns else [])
+            out = out.dropDuplicatesWithinWatermark(keys)
     return out
 
 

@@ -105,3 +105,34 @@ def test_dense_rows_same_header(spark, tmp_path):
     assert [tuple(r["cells"]) for r in a.orderBy("row_no").collect()] == [
         ("2023-02-09T00:00:00", "一汽", "5.60"), ("2023-03-01T00:00:00", "二汽", "7")]
     assert list(ha.first()["header"]) == list(hb.first()["header"]) == ["日期", "客户", "运费"]
+
+
+UNICODE_CELLS = ["　", "\xa0  ", "total\xa0", "　合计 ", "２０２３-０１-０５", "　2023/1/5\xa0", "１２.５", " 1,2 ", "٣", "x\x1c", "", "\t\n", "2023年１月2日", "１.５"]
+
+
+def test_blanks_and_digits_of_all_scripts(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions.text import fold_digits, is_numeric_text, iso_date_text, strip_ws
+    from tessera.operators import grid as gd
+
+    def number(text):
+        t = text.strip().replace(",", "")
+        try:
+            return bool(t) and float(t) is not None
+        except ValueError:
+            return False
+
+    def iso(text):
+        m = re.match(r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\s*$", text) or re.match(r"^\s*(\d{4})年(\d{1,2})月(\d{1,2})日\s*$", text)
+        return "{:04d}-{:02d}-{:02d}T00:00:00".format(*map(int, m.groups())) if m else text
+
+    df = spark.createDataFrame([(c,) for c in UNICODE_CELLS], "c string")
+    one = F.array("c")
+    for r in df.select("c", strip_ws("c").alias("s"), is_numeric_text("c").alias("n"), iso_date_text("c").alias("d"), gd.is_blank_row(one).alias("b"),
+                       gd.is_total_row(one).alias("t"), fold_digits("c").alias("f")).collect():
+        assert r.s == r.c.strip() and r.n == number(r.c) and r.d == iso(r.c) and r.b == (not r.c.strip()), r
+        assert r.t == (r.c.strip().lower() in gd.TOTAL_MARKERS_EN or any(z in r.c for z in gd.TOTAL_MARKERS_ZH)), r
+        assert r.f == "".join(str(int(x)) if x.isdecimal() else x for x in r.c)

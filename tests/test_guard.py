@@ -42,7 +42,10 @@ def test_run_query_caps_and_guards(spark):
     from tessera.operators.query import run_query
 
     t = spark.range(5000).selectExpr("id", "cast(id % 7 as string) as g")
-    assert run_query(spark, t, "select * from t").count() == 1000
+    spark.range(3).createOrReplaceTempView("t")
+    assert run_query(spark, t, "select * from t").count() == 5000
+    assert run_query(spark, t, "select * from t", cap=1000).count() == 1000
+    assert spark.table("t").count() == 3
     assert run_query(spark, t, "FROM t SELECT g, count(*) AS n GROUP BY g").count() == 7
     with pytest.raises(SqlRejected):
         run_query(spark, t, "drop table t")

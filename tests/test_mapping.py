@@ -71,3 +71,35 @@ def test_nothing_mapped_is_an_error(spark, catalog, sources):
     memory = mp.confirm_mapping(proposal, catalog, sources)
     with pytest.raises(mp.MappingNotConfirmed, match="no confirmed"):
         mp.flat_mapping(sources, memory)
+
+
+def test_union_of_frames_and_of_grids_agree_on_entry_order(spark):
+    """Two columns of one file map to one field, in either order (U1 = U2)."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import catalog as cat
+    from tessera.operators import mapping as mp
+    from tessera.operators.unify import unify, unify_grid
+
+    files = {"a.csv": (["Revenue", "Amount"], ["1", "2"]), "b.csv": (["Amount", "Revenue", "Country"], ["20", "10", "x"])}
+    headers = spark.createDataFrame([(f, h, i) for i, (f, (h, _)) in enumerate(files.items())], "source_file string, header array<string>, source_order int")
+    catalog = headers.select(F.col("source_file").alias("source_id"), "source_order", F.posexplode("header").alias("pos", "name")).withColumn("type", F.lit("VARCHAR"))
+    sources = cat.fingerprints(catalog).join(headers.select(F.col("source_file").alias("source_id"), "source_order"), "source_id")
+    flat = mp.flat_mapping(sources, mp.confirm_mapping(mp.propose_by_synonyms(catalog), catalog, sources))
+    grid = spark.createDataFrame([(f, 1, r) for f, (_, r) in files.items()], "source_file string, row_no int, cells array<string>")
+    by_grid = unify_grid(grid, headers, flat).select("country", "revenue", "source_file")
+    entries = [(r["source_col"], r["to"]) for r in flat.orderBy("ord").collect()]
+    frames = [(f, spark.createDataFrame([tuple(r)], ", ".join(f"{c} string" for c in h))) for f, (h, r) in files.items()]
+    want = sorted(map(tuple, unify(frames, entries).select("country", "revenue", "source_file").collect()), key=str)
+    assert sorted(map(tuple, by_grid.collect()), key=str) == want == sorted([(None, "1", "a.csv"), ("x", "10", "b.csv")], key=str)
+
+
+def test_hand_typed_fields_are_kept(spark):
+    from tessera.operators import mapping as mp
+
+    prop = spark.createDataFrame([("Foo", "my_field"), ("Rev", "revenue"), ("X", None)], "source_col string, to string")
+    got = {r["name"]: (r["pos"], r["type"]) for r in mp.canonical_from_mapping(prop).collect()}
+    assert got == {"my_field": (0, "VARCHAR"), "revenue": (1, "DECIMAL")}
+    fields = spark.createDataFrame([(0, "revenue", "DECIMAL", "", ""), (1, "zip", "VARCHAR", "", "")], "pos int, name string, type string, desc_en string, desc_zh string")
+    joined = [(r["pos"], r["name"]) for r in mp.join_canonical(fields, prop).orderBy("pos").collect()]
+    assert joined == [(0, "revenue"), (1, "zip"), (2, "my_field")]
