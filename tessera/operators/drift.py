@@ -135,12 +135,14 @@ def replay(steps: list[dict], sources: list[tuple[str, DataFrame]]) -> DataFrame
 def apply_skill(skill_steps: list[dict], sources: list[tuple[str, DataFrame]], catalog: DataFrame,
                 skill_id: int = 1, runs_path: str | None = None, run_at=None) -> dict:
     """Drift gate, then: exact -> replayed rows; mappable -> a fresh proposal for
-    the drifted sources; unmappable -> report only. Appends one run row when
+    the drifted sources; unmappable -> report only. The worst source decides for the
+    batch; sources are the names given or, of frames that have it, their ``source_file``s. Appends one run row when
     ``runs_path`` is given. The only driver decision is the one-row verdict."""
     if not sources:
         raise ValueError("no sources")
     spark = catalog.sparkSession
-    batch = spark.createDataFrame([(n,) for n, _ in sources], "source_id string")
+    batch = replay_union([df.select(F.col("source_file").alias("source_id")).distinct() if "source_file" in df.columns
+                          else spark.createDataFrame([(name,)], "source_id string") for name, df in sources])
     required = [s["from"] for s in skill_steps if s["op"] == "map_column"]
     reports = materialize(classify_drift_one(required, catalog, skill_id, batch))
     verdict = worst_drift(reports).first()["worst"]

@@ -15,6 +15,7 @@ from tessera.operators.sizing import materialize
 from tessera.operators.unify import sheet_frame
 from tessera.plans import frames as fr
 from tessera.plans.oracle import (
+    CUST, ORD,
     EV_CATALOG, EVENT_CELLS, PR_CATALOG, PRIORITY_CELLS, REQUIRED, SHEETS, fp_cte, norm, q, with_ctes,
 )
 from tessera.plans.registry import register
@@ -457,6 +458,64 @@ def d4_apply_skill(spark, sf):
     return ops.apply_steps(wide, steps, scope="source_file")
 
 
+_ORDER_SKILL = [{"op": "map_column", "from": "Customer", "to": "customer_name"}, {"op": "map_column", "from": "Order Date", "to": "order_date"},
+                {"op": "map_column", "from": "Revenue USD", "to": "revenue"}, {"op": "map_column", "from": "Status", "to": "status"},
+                {"op": "parse_date", "column": "order_date", "to": "order_date", "format": "auto"}, {"op": "cast", "column": "revenue", "type": "DECIMAL"}]
+
+
+def _gate(spark, frames: list) -> dict:
+    """The saved order skill put to a batch of exports."""
+    catalog = frames[0][1].transform(lambda df: cat.introspect(df))
+    for _, df in frames[1:]:
+        catalog = catalog.unionByName(cat.introspect(df))
+    return drift.apply_skill(_ORDER_SKILL, frames, catalog)
+
+
+@register("d4_apply_skill_ok", with_ctes(ORD, body="""
+SELECT "Customer" AS customer_name, TRY_CAST("Order Date" AS DATE) AS order_date, TRY_CAST("Revenue USD" AS DECIMAL(18,3)) AS revenue,
+       "Status" AS status, source_file FROM ord"""))
+def d4_apply_skill_ok(spark, sf):
+    """Five order exports, all as the skill expects: replayed."""
+    out = _gate(spark, [("orders", fr.order_exports(spark, sf))])
+    return out["result"]
+
+
+@register("d4_apply_skill_mappable", with_ctes(SYN, body=f"""
+SELECT n.name AS source_col, s.canonical AS "to", CASE WHEN s.canonical IS NULL THEN {_MISS} ELSE {_HIT} END AS confidence,
+  CASE WHEN s.canonical IS NULL THEN {q(mp.MISS_RATIONALE)} ELSE {q(mp.SYNONYM_RATIONALE)} END AS rationale
+FROM (VALUES ('Cust Name'), ('Date Purchased'), ('Amount USD'), ('Country'), ('Phone'), ('Segment'),
+             ('Customer'), ('Order Date'), ('Revenue USD'), ('Status')) n(name)
+LEFT JOIN syn s ON s.norm = {norm('n.name')}
+WHERE (SELECT count(*) FROM customer) > 0 AND (SELECT count(*) FROM orders) > 0"""))
+def d4_apply_skill_mappable(spark, sf):
+    """One export of the batch has other names, as many as are missing: the batch is
+    not replayed, and gets a fresh alignment."""
+    out = _gate(spark, [("orders", fr.order_exports(spark, sf)), (fr.CUSTOMER_FILE, fr.customer_export(spark, sf))])
+    return out["proposed_mapping"]
+
+
+@register("d4_apply_skill_unmappable", with_ctes(CUST, ORD, body="""
+SELECT DISTINCT source_file AS source_id, 'exact' AS kind, '' AS missing FROM ord
+UNION ALL
+SELECT DISTINCT source_file, 'unmappable', 'Customer|Order Date|Revenue USD|Status' FROM cust"""))
+def d4_apply_skill_unmappable(spark, sf):
+    """One export of the batch has too few columns: only the reports are given."""
+    narrow = fr.customer_export(spark, sf).select("Cust Name", "source_file")
+    out = _gate(spark, [("orders", fr.order_exports(spark, sf)), (fr.CUSTOMER_FILE, narrow)])
+    return out["drift"].select("source_id", "kind", F.array_join("missing", "|").alias("missing"))
+
+
+@register("d6_remap_skill_batch", with_ctes(CUST, body="""
+SELECT "Cust Name" AS customer_name, TRY_CAST("Date Purchased" AS DATE) AS order_date, TRY_CAST("Amount USD" AS DECIMAL(18,3)) AS revenue,
+       "Country" AS country, "Phone" AS phone, "Segment", source_file FROM cust"""))
+def d6_remap_skill_batch(spark, sf):
+    """The drifted export's confirmed alignment replaces the skill's renames; replayed."""
+    export = fr.customer_export(spark, sf)
+    catalog = cat.introspect(export)
+    out = drift.remap_skill(_ORDER_SKILL, drift.propose_remap(catalog), [(fr.CUSTOMER_FILE, export)], catalog)
+    return out["result"]
+
+
 _MAPPABLE_SQL = ("mappable_src", f"""
 SELECT source_id FROM sheet_catalog GROUP BY source_id
 HAVING list_sort(list_distinct(list({norm('name')}))) <> [{", ".join(q(n) for n in _REQ_NORMS)}]""")
