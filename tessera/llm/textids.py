@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 import regex
 
-CACHE = 300_000
+CACHE = 500_000
 EMPTY = b""
 #: Characters that composing leaves alone, whose lower case is one character.
 PLAIN = regex.compile(r"[\t\n\x21-\x7eÀ-įĲ-ňŊ-ſ]+").fullmatch
@@ -95,7 +95,10 @@ class TextIds:
         lead, body = (self.letters[32], piece[1:]) if piece[0] == " " else ("", piece)
         if not (body.isascii() and body.isalnum()):  # those bytes stand for themselves
             lead, body = "", piece.encode().decode("latin1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(lead + body)]).tobytes()
+        found = self.model.tokenize(lead + body)
+        if len(found) == 1:
+            return found[0].id.to_bytes(4, "little")
+        return array("I", [t.id for t in found]).tobytes()
 
     def chunk(self, lead: str, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():

@@ -49,15 +49,23 @@ class Coding:
         #: for each control byte, the bytes of each of its ids
         self.lengths = ((np.arange(256)[:, None] >> shifts) & ((1 << self.bits) - 1)).astype(np.uint8) + 1
 
-    def encode(self, ranks: np.ndarray) -> tuple[bytes, bytes]:
-        """Control bytes and data bytes."""
-        extra = np.zeros(-(-len(ranks) // self.slots) * self.slots, np.uint8)
+    def encode(self, ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Control bytes and data bytes of documents with ``counts`` ids, which stand one after another."""
+        more = np.zeros(len(ranks), np.uint8)
         for k in range(1, self.most):
-            extra[:len(ranks)] += ranks >= 1 << 8 * k
+            more += ranks >= 1 << 8 * k
+        rows = -(-counts // self.slots)
+        ends = np.cumsum(counts)
+        moved = (np.cumsum(rows) - rows) * self.slots - (ends - counts)  # each document starts a byte
+        extra = np.zeros(int(rows.sum()) * self.slots, np.uint8)
+        extra[np.arange(len(ranks)) + np.repeat(moved, counts)] = more
         shifts = np.arange(self.slots, dtype=np.uint8) * self.bits
-        control = np.bitwise_or.reduce(extra.reshape(-1, self.slots) << shifts, axis=1) if len(extra) else extra
+        control = np.bitwise_or.reduce(extra.reshape(-1, self.slots) << shifts, axis=1).astype(np.uint8).tobytes()
         octets = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :self.most]
-        return control.astype(np.uint8).tobytes(), octets[np.arange(self.most) <= extra[:len(ranks), None]].tobytes()
+        data = octets[np.arange(self.most) <= more[:, None]].tobytes()
+        sizes = np.r_[0, np.cumsum(more, dtype=np.int64)]
+        sizes = counts + sizes[ends] - sizes[ends - counts]
+        return _cut(control, rows), _cut(data, sizes)
 
     def decode(self, control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Ranks of documents with ``counts`` ids, whose control bytes stand one after another."""
@@ -76,6 +84,11 @@ class Coding:
         return ranks
 
 
+def _cut(joined: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [joined[b - n:b] for b, n in zip(ends, sizes.tolist())]
+
+
 def _files(folder: str):
     """The file system of ``folder`` and the folder's path there."""
     from pyarrow import fs
@@ -90,28 +103,39 @@ def _width(size: int) -> str:
 
 
 def encode_ids(docs: DataFrame, path: str | None = None, end: int | None = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, ids)``; the ids are little-endian, of two bytes if the vocabulary allows it."""
+    """``(id_col, ids, counts)``; the ids are little-endian, of two bytes if the vocabulary
+    allows it. Besides a row for each document with null ``counts``, there is one for each
+    task with null ``ids``: how often it saw each id, as little-endian 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = text_ids(path or tokenizer_file(TOKENIZER))
         width = _width(coder.size)
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
+        seen, kind = np.zeros(coder.size, "<i8"), None
         for batch in batches:
-            ids = [np.frombuffer(coder.encode(t or "") + tail, "<u4").astype(width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
+            kind = batch.column(0).type
+            ids = [coder.encode(t or "") + tail for t in batch.column(1).to_pylist()]
+            counts = np.array([len(i) // 4 for i in ids], np.int64)
+            joined = np.frombuffer(b"".join(ids), "<u4")
+            seen += np.bincount(joined, minlength=coder.size)
+            short = joined.astype(width)
+            cut = pa.array(_cut(short.tobytes(), counts * short.itemsize), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), cut, pa.nulls(len(ids), pa.binary())], names=names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=names)
+
+    names = [id_col, "ids", "counts"]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.BinaryType()) for n in names[1:])])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _count(width: str, size: int):
+def _add(size: int):
+    """Each task's counts to rows of its sum."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(ids, width), minlength=size) if len(ids) > size else 0
-            short = b"".join(i for i in batch.column(0).to_pylist() if len(i) <= size)
-            counts += np.bincount(np.frombuffer(short, width), minlength=size)
+            for part in batch.column(0).to_pylist():
+                counts += np.frombuffer(part, "<i8")
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["token", "n"])
 
@@ -122,12 +146,13 @@ def _code(size: int, width: str, rank_of: np.ndarray, bounds: np.ndarray, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coding = Coding(size)
         for batch in batches:
-            ids = [rank_of[np.frombuffer(i, width)] for i in batch.column(1).to_pylist()]
-            coded = [coding.encode(i) for i in ids]
+            ids = batch.column(1).to_pylist()
+            counts = np.array([len(i) // np.dtype(width).itemsize for i in ids], np.int64)
+            control, data = coding.encode(rank_of[np.frombuffer(b"".join(ids), width)], counts)
             known = batch.column(0).fill_null(np.iinfo("i8").min).to_numpy()
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.searchsorted(bounds, known, "right").astype("i4")), batch.column(0), pa.array([len(i) for i in ids], pa.int64()),
-                pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                pa.array(np.searchsorted(bounds, known, "right").astype("i4")), batch.column(0), pa.array(counts),
+                pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                 names=["bucket", id_col, "n", "control", "data"])
 
     return run
@@ -200,7 +225,8 @@ def write_corpus(docs: DataFrame, folder: str, path: str | None = None, end: int
     size = text_ids(path or tokenizer_file(TOKENIZER)).size
     width = _width(size)
     encoded = stored(encode_ids(docs, path, end, id_col, text_col), "ids", compression="zstd")
-    counts = encoded.select("ids").mapInArrow(_count(width, size), "token long, n long")
+    counts = encoded.where("ids is null").select("counts").mapInArrow(_add(size), "token long, n long")
+    encoded = encoded.where("ids is not null").select(id_col, "ids")
     counts = counts.groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # one row a token of the vocabulary at most
     token, n = counts["token"].to_numpy(), counts["n"].to_numpy()
     token_of = np.concatenate([token[np.lexsort((token, -n))], np.setdiff1d(np.arange(size), token)]).astype("u4")

@@ -17,10 +17,12 @@ def test_coding(size):
     rnd = np.random.default_rng(size)
     coding = Coding(size)
     docs = [np.minimum(rnd.integers(0, size, n), rnd.integers(0, size, n) >> rnd.integers(0, 30, n)).astype("u4") for n in (0, 1, 7, 8, 9, 0, 500, 4)]
-    coded = [coding.encode(d) for d in docs]
-    control, data = (np.frombuffer(b"".join(x), "u1") for x in zip(*coded))
-    assert (coding.decode(control, data, np.array([len(d) for d in docs])) == np.concatenate(docs)).all()
-    assert all(len(d) == sum(1 + (x >= 256) + (x >= 1 << 16) + (x >= 1 << 24) for x in v.tolist()) for (_, d), v in zip(coded, docs))
+    counts = np.array([len(d) for d in docs])
+    coded = coding.encode(np.concatenate(docs), counts)
+    control, data = (np.frombuffer(b"".join(x), "u1") for x in coded)
+    assert (coding.decode(control, data, counts) == np.concatenate(docs)).all()
+    assert all(len(d) == sum(1 + (x >= 256) + (x >= 1 << 16) + (x >= 1 << 24) for x in v.tolist()) for d, v in zip(coded[1], docs))
+    assert coding.encode(np.zeros(0, "u4"), np.zeros(0, int)) == ([], [])
 
 
 def verify(rows, docs: list[tuple]) -> None:
