@@ -206,7 +206,7 @@ def remap_skill(steps: list[dict], mapping: DataFrame, sources: list[tuple[str,
     fps = fingerprints(catalog)
     order = {n: i for i, n in enumerate(names)}
     order_df = catalog.sparkSession.createDataFrame(list(order.items()), "source_id string, source_order int")
-    seen = catalog.join(order_df, "source_id").groupBy(F.col("name").alias("source_col")).agg(F.min(F.struct("source_order", "pos")).alias("_at"))
+    seen = catalog.select("source_id", "pos", "name").join(order_df, "source_id").groupBy(F.col("name").alias("source_col")).agg(F.min(F.struct("source_order", "pos")).alias("_at"))
     renames = mapping.where(F.col("to").isNotNull()).join(seen, "source_col", "left").orderBy(F.col("_at").asc_nulls_last(), "source_col")
     new_steps = remap_steps(steps, [(r["source_col"], r["to"]) for r in renames.select("source_col", "to").collect()])
     srcs = fps.join(order_df, "source_id")
