@@ -30,7 +30,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 CLASSES = [(r"^[0-9a-fA-F-]+$", 3.1), (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.7), (r"^(?=.*[0-9])(?=.*[A-Za-z])", 3.7), (r"^(?=.*[a-z])(?=.*[A-Z])", 4.05)]
 #: Strings that look random and are no secrets: words in one case or title case, joined words,
 #: paths, UUIDs, digits alone, runs of one character, marked examples.
-ALLOWED = [r"^[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_=-]+(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}))*$", r"^[0-9+/_=-]+$", r"^(.)\1+$", r"(?i)example|sample|dummy|placeholder|changeme",
+#: A repeated group is possessive, as Java's regex takes any other by recursion; the looks ahead make each part whole.
+ALLOWED = [r"^[+/_=-]*+(?:[A-Z]?[a-z]++|[A-Z]++)(?=[+/_=-]|$)(?:[+/_=-]++(?:[A-Z]?[a-z]*+|[A-Z]++|[0-9]{1,4}+)(?=[+/_=-]|$))*+$", r"^[0-9+/_=-]+$", r"^(.)\1+$", r"(?i)example|sample|dummy|placeholder|changeme",
            r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"]
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -67,21 +68,25 @@ def highest_entropy(text: Column, window: int = WINDOW, alphabet: str = ALPHABET
     def counted(counts: Column, code: Column, by: int) -> Column:
         return F.transform(counts, lambda n, i: F.when(i == code, n + by).otherwise(n))
 
-    def step(a: Column, i: Column) -> Column:
-        new = F.get(a["codes"], i)
-        n = F.get(a["counts"], new)
-        more = counted(a["counts"], new, 1)
-        sum_more = a["sum"] + F.get(weight, n + 1) - F.get(weight, n)
-        old = F.get(a["codes"], i - window)
-        m = F.get(more, old)
-        less = F.when(i >= window, counted(more, old, -1)).otherwise(more)
-        sum_less = F.when(i >= window, sum_more + F.get(weight, m - 1) - F.get(weight, m)).otherwise(sum_more)
-        top = F.when(i >= window - 1, F.greatest(a["top"], math.log2(window) - sum_less / window)).otherwise(a["top"])
-        return F.struct(a["codes"].alias("codes"), less.alias("counts"), sum_less.alias("sum"), top.alias("top"))
-
-    start = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("top"))
+    def top(codes: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            new = F.get(codes, i)
+            n = F.get(a["counts"], new)
+            more = counted(a["counts"], new, 1)
+            sum_more = a["sum"] + F.get(weight, n + 1) - F.get(weight, n)
+            old = F.get(codes, i - window)
+            m = F.get(more, old)
+            less = F.when(i >= window, counted(more, old, -1)).otherwise(more)
+            sum_less = F.when(i >= window, sum_more + F.get(weight, m - 1) - F.get(weight, m)).otherwise(sum_more)
+            top = F.when(i >= window - 1, F.greatest(a["top"], math.log2(window) - sum_less / window)).otherwise(a["top"])
+            return F.struct(less.alias("counts"), sum_less.alias("sum"), top.alias("top"))
+
+        return F.aggregate(steps, start, step, lambda a: a["top"])
+
+    start = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("top"))
     steps = F.sequence(F.lit(0), F.length(text) - 1)
-    return F.when(F.length(text) >= window, F.aggregate(steps, start, step, lambda a: a["top"]))
+    # the codes stay out of the state, which is copied at each step
+    return F.when(F.length(text) >= window, F.get(F.transform(F.array(codes), top), 0))
 
 
 def _random(candidate: Column) -> Column:

@@ -78,6 +78,23 @@ def test_texts(spark):
     assert mask_secrets(df).columns == df.columns
 
 
+def test_long_joined_runs(spark):
+    """Runs of 100,000 segments: allowed, and not for what is at the end."""
+    texts = ["ab-" * 100_000, "/usr/Lib_X" * 100_000, "ab-" * 100_000 + "a1B2c3D4e5F6g7H8i9J0k1L2"]
+    df = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: tuple(r)[1:] for r in digest(find_secrets(df)).collect()}
+    assert got == {i: row(t) for i, t in enumerate(texts)}
+    assert got[0][-1] == got[1][-1] == "" and got[2][-1]
+
+
+def test_allowed_joined_words():
+    """The pattern without possessive parts, on short texts, tells the same."""
+    plainly = re.compile(r"^[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_=-]+(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}))*$")
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("aBc1-/D", weights=[5, 2, 4, 1, 3, 2, 2], k=rnd.randrange(1, 11))) for _ in range(20_000)]
+    assert [bool(re.search(ALLOWED[0], t)) for t in texts] == [bool(plainly.search(t)) for t in texts]
+
+
 def test_entropy(spark):
     rnd = random.Random(4)
     texts = ["".join(rnd.choices("abcXYZ019+/_", k=rnd.randrange(15, 90))) for _ in range(50)] + ["~!" * 20]
