@@ -6,7 +6,8 @@ In both, a space between two characters that are no white space is an end of
 pieces, so a text's ids are those of its space-separated chunks, one after another.
 Chunks of ordinary Latin characters go to the library's BPE model piece by piece;
 all others go through the library's whole chain. Texts with other blanks around a
-space are encoded whole.
+space are encoded whole, and so are texts that hold an added token of the file
+(``<|endoftext|>``), which has one id of its own wherever it stands.
 """
 
 from __future__ import annotations
@@ -65,14 +66,16 @@ class TextIds:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
         pre = told.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [pre])
         self.lower = any(s["type"] == "Lowercase" for s in (told.get("normalizer") or {}).get("normalizers", []))
         byte_level = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not told.get("normalizer")
         word_ends = [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and self.lower
-        self.known = byte_level or word_ends
+        added = told.get("added_tokens") or []
+        self.added = [a["content"] for a in added]
+        # an added token that is looked for in the normalized text could be in any
+        self.known = (byte_level or word_ends) and not any(a["normalized"] for a in added)
         if byte_level:
             import public_tokenizers
 
@@ -113,7 +116,7 @@ class TextIds:
     def encode(self, text: str) -> bytes:
         if not text:
             return EMPTY
-        if self.known:
+        if self.known and not any(a in text for a in self.added):
             head, *rest = text.split(" ")
             try:
                 return self.first[head] + EMPTY.join(map(self.spaced.__getitem__, rest))

@@ -88,6 +88,15 @@ def test_odd_rows(spark):
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in twice)
 
 
+def test_added_tokens_are_those_of_the_library_as_opened(spark):
+    texts = ["a<|endoftext|>b", "<|startoftext|> <|endoftext|>", "no such token"]
+    library = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    rows = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in rows}
+    want = [np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4") for t in texts]
+    assert got == {i: (len(ids), zlib.crc32(ids.tobytes())) for i, ids in enumerate(want)}
+
+
 def test_query_on_the_whole_table(spark):
     d = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op4_best_fit_packing"](spark, d).collect()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tessera.llm.common import tokenizer_file
 from tessera.llm.textids import text_ids
@@ -23,6 +24,16 @@ def test_texts(name, text):
     same(name, text)
 
 
+@pytest.mark.parametrize("name, token, token_id", [("byte_bpe_50k.json", "<|endoftext|>", 50256), ("word_bpe_49k.json", "<|endoftext|>", 49407), ("word_bpe_49k.json", "<|startoftext|>", 49406)])
+@pytest.mark.parametrize("text", ["{}", "a{}b", "a {} b", "A  {}{} \n{}", "é{}日本 It's"])
+def test_added_tokens(name, token, token_id, text):
+    """Against the library as it is opened."""
+    path, text = tokenizer_file(name), text.format(*[token] * 3)
+    got = np.frombuffer(text_ids(path).encode(text), "<u4").tolist()
+    assert got == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert got.count(token_id) == text.count(token)
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_a_table(name, spark):
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():

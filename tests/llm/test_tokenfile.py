@@ -60,6 +60,15 @@ def test_frequent_ids_take_one_byte(spark):
     assert {r.rank for r in spark.read.parquet(f"{folder}/ranks").where("token = 2").collect()} <= set(range(5))
 
 
+def test_added_tokens_are_those_of_the_library_as_opened(spark):
+    texts = ["a<|endoftext|>b", "<|endoftext|> <|endoftext|>", "no such token"]
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    rows = write_and_read(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == dict(enumerate(want))
+    assert [r.start for r in sorted(rows, key=lambda r: r.doc_id)] == [0, len(want[0]), len(want[0]) + len(want[1])]
+
+
 def test_query_on_the_whole_table(spark):
     d = "/root/testdata/sf0.001"
     rows = queries.QUERIES["op6_token_file"](spark, d).orderBy("doc_id").collect()
