@@ -3,15 +3,17 @@
 A k-mer of code points is a closed syncmer if the least hash among its s-mers is
 that of its first or its last one. Whether it is one depends on its own characters
 alone, so an edit changes anchors only where it touches them. A fingerprint holds
-the ``size`` anchors of least hash, each with the place of its first occurrence, in
-text order; two fingerprints are compared over the anchors of least hash in either,
-and an anchor counts as shared if both hold it at places that agree with the shift
-that most shared anchors have.
+all anchors in the lowest ``1 / SHARE`` of hash values, so it grows with its text, and
+at least the ``size`` of least hash, each with the place of its first occurrence, in
+text order; two fingerprints are compared over the hash values that both hold in full,
+and the shared anchors that count are those of the longest chain whose places rise in
+both, whatever shifts lie between them.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,8 @@ from pyspark.sql import types as T
 
 K, S = 16, 8
 SIZE = 64
-SLACK = 32
+SHARE = 8
+LIMIT = (1 << 48) // SHARE  # hashes below are always held
 ODD = np.uint64(0x9E3779B97F4A7C15)  # odd constant of multiplicative hashing
 BLOCK = 1 << 16
 
@@ -75,15 +78,17 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str, size: int = SIZE, k: int = K, s: int = S) -> list[tuple[int, int]]:
-    """``(place, hash)`` of the ``size`` anchors of least 48-bit hash, in text order."""
+    """``(place, hash)`` of the anchors whose 48-bit hash is under ``LIMIT``, at least the
+    ``size`` of least hash, in text order."""
     hashes, places = anchors(text, k, s)
     hashes = hashes >> np.uint64(16)
     if len(hashes) > 4 * size:  # the least come first; repeats are few or all alike
-        part = hashes <= np.partition(hashes, 4 * size)[4 * size]
+        part = hashes <= max(np.partition(hashes, 4 * size)[4 * size], np.uint64(LIMIT))
         if len(np.unique(hashes[part])) >= size:
             hashes, places = hashes[part], places[part]
     kept, first = np.unique(hashes, return_index=True)
-    return sorted(zip(places[first[:size]].tolist(), kept[:size].tolist()))
+    n = max(size, int(np.searchsorted(kept, np.uint64(LIMIT))))
+    return sorted(zip(places[first[:n]].tolist(), kept[:n].tolist()))
 
 
 def written(marks: list[tuple[int, int]]) -> str:
@@ -91,20 +96,25 @@ def written(marks: list[tuple[int, int]]) -> str:
     return ",".join(f"{p:x}:{h:012x}" for p, h in marks)
 
 
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], size: int = SIZE, slack: int = SLACK) -> float:
-    """Share of the least anchors of both that both hold at places that agree, 0 to 1.
-    Two empty fingerprints: 1."""
+def _held(marks: list[tuple[int, int]], size: int) -> int:
+    """The hash up to which a fingerprint holds all anchors of its text."""
+    return 1 << 48 if len(marks) < size else max(LIMIT - 1, max((h for _, h in marks), default=0))
+
+
+def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], size: int = SIZE) -> float:
+    """Share of the anchors of both, as far as both hold them, that both have in the same
+    order, 0 to 1. Two empty fingerprints: 1."""
     if a == b:
         return 1.0
-    left, right = {h: p for p, h in a}, {h: p for p, h in b}
-    least = sorted(left.keys() | right.keys())[:size]
-    shifts = sorted(right[h] - left[h] for h in least if h in left and h in right)
-    agree = low = 0
-    for high in range(len(shifts)):  # most shifts within one slack
-        while shifts[high] - shifts[low] > slack:
-            low += 1
-        agree = max(agree, high - low + 1)
-    return agree / len(least) if least else 0.0
+    bound = min(_held(a, size), _held(b, size))
+    left, right = [(p, h) for p, h in a if h <= bound], {h: p for p, h in b if h <= bound}
+    places = [right[h] for _, h in left if h in right]
+    ends: list[int] = []  # the least last place of a chain of each length
+    for place in places:
+        at = bisect_left(ends, place)
+        ends[at:at + 1] = [place]
+    either = len(left) + len(right) - len(places)
+    return len(ends) / either if either else 0.0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:

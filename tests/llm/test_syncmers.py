@@ -48,6 +48,20 @@ def test_an_edit_moves_no_other_anchor():
     assert likeness(sketch(a), sketch(shuffled)) < 0.4  # the same anchors elsewhere
 
 
+def test_long_texts_and_insertions():
+    rnd = random.Random(8)
+    words = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(n))
+    long, other = words(17_000), words(17_000)
+    assert len(sketch(long)) > len(long) // 100
+    for _ in range(20):
+        passage = words(60)
+        mine, theirs = ({h for _, h in sketch(t[:50_000] + passage + t[50_000:])} for t in (long, other))
+        assert mine & theirs and likeness(sketch(long[:40_000] + passage + long[40_000:]), sketch(other + passage)) > 0
+    text = words(600)
+    half = len(text) // 2
+    assert likeness(sketch(text), sketch(text[:half] + " " + words(10) + " " + text[half:])) > 0.85
+
+
 def expected(rows):
     rows = sorted(((i is not None, i or 0, t or "", i) for i, t in rows))
     for k, (*_, text, i) in enumerate(rows):
