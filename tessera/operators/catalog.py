@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import normalize_name
+from tessera.operators.sizing import running_sums
 
 SAMPLE_N = 5
 VARCHAR = "VARCHAR"
@@ -140,12 +141,12 @@ def append_versions(existing: DataFrame, new: DataFrame, by: str = "name", order
                     version: str = "version") -> DataFrame:
     """Version a batch of new rows (skills, canonical schemas) per ``by``:
     the existing maximum + 1, then + 2 ... in ``order`` within the batch.
-    The existing table is reduced to one row per key first (partial aggregate)."""
+    The existing table is reduced to one row per key first (partial aggregate); a name
+    with any share of the new rows is numbered in as many tasks as its rows need."""
     top = existing.groupBy(by).agg(F.max(version).alias("_max"))
-    w = Window.partitionBy(by).orderBy(order)
-    return (new.join(top, by, "left")
-            .withColumn(version, (F.coalesce("_max", F.lit(0)) + F.row_number().over(w)).cast("int"))
-            .drop("_max"))
+    placed = running_sums(new, by, [order], {"_place": F.lit(1)})
+    numbered = placed.join(top, by, "left").withColumn(version, (F.coalesce("_max", F.lit(0)) + F.col("_place")).cast("int"))
+    return numbered.drop("_max", "_place")
 
 
 def list_newest_first(df: DataFrame, id_col: str = "id") -> DataFrame:

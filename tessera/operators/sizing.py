@@ -9,21 +9,21 @@ when they are not. Nothing is counted or collected while a plan is built.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.session import shared_folder
+
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a derived table once for several later uses: written as Parquet to
     the shared ``spark.checkpoint.dir`` and read back (lineage cut, real sizes for
-    the planner). A session without that folder recomputes the table instead."""
+    the planner)."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        return df
-    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,11 +36,7 @@ def global_index(df: DataFrame, order_cols: list, out: str = "pos", parts: int |
     spark = df.sparkSession
     n = parts or spark.sparkContext.defaultParallelism
     ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    if spark.conf.get("spark.checkpoint.dir", ""):
-        ranged = materialize(ranged)
-    else:
-        ranged = ranged.persist()
-        ranged.count()
+    ranged = materialize(ranged)
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_pid").agg(F.count("*").alias("_c"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
@@ -48,3 +44,32 @@ def global_index(df: DataFrame, order_cols: list, out: str = "pos", parts: int |
     return (ranged.withColumn("_i", place).join(F.broadcast(offsets), "_pid")  # one row a range
             .withColumn(out, (F.col("_off") + F.col("_i")).cast("int"))
             .drop("_pid", "_i", "_off"))
+
+
+def running_sums(df: DataFrame, key: str, order_cols: list, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each ``name: column`` of ``sums``, the sum of that column over
+    the rows of the same ``key`` up to and with this row, in ``order_cols`` order.
+
+    A window over ``key`` alone would sort a key's rows in one task. Here rows are
+    range-partitioned by key and order together, so that a key has as many parts as
+    its rows need; sums run within a part, and the totals of a key's earlier parts are
+    added. Only the first key of a part can have earlier parts, so that the table of
+    totals holds a row a part at most for each of these. Rows that are equal in key
+    and order share a part; their places among each other are arbitrary.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    valued = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
+    ranged = valued.repartitionByRange(parts, key, *order_cols).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged)
+    within = Window.partitionBy(key, "_part").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select("*", *[F.sum(f"_v_{n}").over(within).alias(f"_s_{n}") for n in sums])
+    cut = ranged.groupBy("_part").agg(F.min(F.struct(F.col(key))).alias("_k")).select(F.col(f"_k.{key}").alias("_cut")).distinct()
+    totals = ranged.join(F.broadcast(cut), F.col(key).eqNullSafe(F.col("_cut")), "left_semi")  # one row a part
+    totals = totals.groupBy(key, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col(key).alias("_cut"), F.col("_part").alias("_cut_part"),
+                           *[F.sum(f"_t_{n}").over(earlier).alias(f"_b_{n}") for n in sums])
+    before = before.where(reduce(Column.__or__, [F.col(f"_b_{n}").isNotNull() for n in sums]))
+    same = F.col(key).eqNullSafe(F.col("_cut")) & (F.col("_part") == F.col("_cut_part"))
+    added = [(F.col(f"_s_{n}") + F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n) for n in sums]
+    return local.join(before, same, "left").select(*[c for c in df.columns if c not in sums], *added)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +57,19 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         spark.sparkContext.setCheckpointDir(fallback)
         return fallback
     return None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where a session names none, a local run (one machine) gets a temporary folder of
+    its own; on a cluster no folder can be guessed, so that is an error.
+    """
+    current = spark.conf.get("spark.checkpoint.dir", "")
+    if not current:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    return current.rstrip("/")
