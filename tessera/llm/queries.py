@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, kdtree, mixing, packing, pii, quality, secret_scan, simhash, syncmers, tokenfile
+from tessera.llm import (
+    bpe, convtrie, kdtree, mixing, packing, pii, quality, secret_scan, simhash, syncmers, tagpaths, tokenfile, whitening,
+)
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +106,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, fingerprints linked at two or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all rebuilt conversations, one row a node."""
+    return convtrie.conversation_trie(table(spark, sf_dir, "conversations"), every=20, heads=4)
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 32 whitened principal components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+@query
+def op13_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return tagpaths.extract(table(spark, sf_dir, "pages"))
