@@ -181,5 +181,6 @@ def conversation_trie(conversations: DataFrame, every: int = 20, heads: int = 4)
     hash of the text; equal rows are turns of their own. A row without a conversation id
     belongs to no conversation. Other columns are not read. Empty table: no row.
     """
-    turns = stored(numbered(narrow_turns(conversations)), "turns")
+    narrow = stored(narrow_turns(conversations), "narrow")  # texts are read and hashed once
+    turns = stored(numbered(narrow), "turns")
     return prefix_trie(*rebuilt(turns, every, heads))
