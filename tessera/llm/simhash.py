@@ -20,16 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from tessera.llm.common import stored
+from tessera.llm.common import new_path, stored
 from tessera.llm.components import components
 
 MAX_DISTANCE = 2
 BLOCK = 1 << 15
+BITS = 1 << 15  # rows of a bitmap
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -52,17 +53,20 @@ def simhash(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id_col, fp)`` for every row; ``fp`` is the fingerprint as a signed long.
-    A null text counts as empty. Row-local; other columns do not leave the scan."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id_col, fp)`` and the columns of ``keep`` for every row; ``fp`` is the fingerprint
+    as a signed long. A null text counts as empty. Row-local; other columns do not
+    leave the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [simhash((t or "").encode(), shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, "u8").view("i8"))], names=[id_col, "fp"])
+            columns = [batch.column(0), pa.array(np.array(fps, "u8").view("i8")), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "fp", *keep])
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType()), *[docs.schema[c] for c in keep]])
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -168,14 +172,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                         max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with one document of each component: that of its smallest id. Rows
-    that repeat an id are one document, of which one row stays. Where a component's
-    ids are all null, one of its rows stays."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_distance)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = stored(keep.groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    joined = docs.join(keep, docs[id_col].eqNullSafe(keep["_kept"]))
-    row = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    repeated = joined.where("_rows > 1").withColumn("_row", row).where("_row = 1")
-    return joined.where("_rows = 1").select(docs.columns).union(repeated.select(docs.columns))
+                         max_distance: int = MAX_DISTANCE, in_place: bool = False, group_bytes: int = 64 << 20) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest id, and of rows that
+    repeat this id one. Null ids come last. Other columns pass through.
+
+    Texts are read twice and never shuffled: the decisions are taken on narrow rows that
+    carry their place (file and row number), and come back to the scan as bitmaps of the
+    rows that stay. ``in_place`` says that ``docs`` are Parquet files as read, perhaps
+    with rows filtered by fixed conditions; any others are stored first.
+    """
+    place = _place(docs) if in_place else None
+    if place is None:
+        docs = stored(docs, "docs")
+        place = _place(docs)
+    file, row = place["file_path"], place["row_index"]
+    placed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), file.alias("_file"), row.alias("_row"))
+    fps = stored(fingerprints(placed, "_id", "_text", shingle, ("_file", "_row")), "fingerprints")
+    first = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_file", "_row")).alias("first")
+    classes = stored(fps.groupBy("fp").agg(first), "classes")
+    roots = components(near_links(classes.select("fp"), max_distance)).withColumnRenamed("node", "fp")
+    rooted = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return keep_rows(docs, file, row, rooted.select("first._file", "first._row"), group_bytes)
+
+
+def _place(docs: DataFrame) -> Column | None:
+    """The file and row number of the rows of ``docs``, if a Parquet scan gives them."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        docs.select(place["file_path"], place["row_index"])
+    except AnalysisException:  # made from no files, or from files without row numbers
+        return None
+    return place
+
+
+def keep_rows(docs: DataFrame, file: Column, row: Column, kept: DataFrame, group_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of ``docs`` whose place ``(_file, _row)`` is in ``kept``, without a shuffle
+    of ``docs``. ``kept`` becomes one bitmap for each 32768 rows of a file, a bit a row.
+    Bitmaps are broadcast in groups of files of about ``group_bytes`` (some 500 million
+    rows a group); if there are several groups, they are read and written one after another."""
+    bits = F.bitmap_construct_agg(F.col("_row") % BITS)
+    bits = F.substring(bits, F.lit(1), (F.max(F.col("_row") % BITS) / 8).cast("int") + 1)
+    maps = kept.groupBy("_file", F.expr(f"_row div {BITS}").alias("_bucket")).agg(bits.alias("_bits"))
+    maps = stored(maps, "bitmaps")
+    size = maps.agg(F.sum(F.length("_bits") + F.length("_file") + 16)).first()[0] or 0
+    groups = -(-size // group_bytes) or 1
+
+    def part(g: int) -> DataFrame:
+        mine, some = (docs, maps) if groups == 1 else (docs.where(F.pmod(F.xxhash64(file), F.lit(groups)) == g),
+                                                       maps.where(F.pmod(F.xxhash64("_file"), F.lit(groups)) == g))
+        at = F.pmod(row, F.lit(BITS))
+        byte = F.conv(F.hex(F.substring(some["_bits"], (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        same = (file == some["_file"]) & ((row - at) / BITS == some["_bucket"])
+        found = mine.join(F.broadcast(some), same)
+        return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*[mine[c] for c in docs.columns])
+
+    if groups == 1:
+        return part(0)
+    path = new_path(docs.sparkSession, "kept-rows")
+    for g in range(groups):
+        part(g).write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)

@@ -96,6 +96,42 @@ def test_drop_keeps_one_row_of_each_group(spark):
     assert sorted(out.collect(), key=str) == sorted([df.collect()[k] for k in (1, 3, 4, 5)], key=str)
 
 
+@pytest.mark.parametrize("group_bytes", [64 << 20, 3000])
+def test_rows_are_dropped_while_files_are_read(spark, tmp_path, group_bytes):
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randint(0, 30)) for _ in range(12)) for _ in range(300)]
+    rows = [(rnd.choice([None, *range(900)]), rnd.choice([*texts, None, "one text in very many rows"]), f"e{i}") for i in range(70_000)]
+    rows += [(5000 + i, f"text number {i} of its own {i * i}", "own") for i in range(2000)]
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(path)
+    df = spark.read.parquet(path)
+    out = drop_near_duplicates(df, in_place=True, group_bytes=group_bytes)
+    kept = out.collect()
+    given = df.collect()
+    fps = {t: plain_simhash(t or "") for t in {r.text for r in given}}
+    group = {f: min(g) for g in groups(sorted(set(fps.values())), 2).values() for f in g}
+    by_group = {}
+    for r in given:
+        by_group.setdefault(group[fps[r.text]], []).append(r)
+    assert len(kept) == len(by_group) and set(kept) <= set(given)
+    ids = {group[fps[r.text]]: r.doc_id for r in kept}
+    assert ids == {g: min((r.doc_id for r in rs if r.doc_id is not None), default=None) for g, rs in by_group.items()}
+    if group_bytes == 64 << 20:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "text" in line]
+        assert "BroadcastHashJoin" in plan and not scans
+
+
+def test_same_id_in_two_groups_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, _file string, _row long, _bits int, _metadata string, fp int"
+    rows = [(1, "a b c d", "x", 1, 1, "m", 1), (1, "quite another text", "y", 2, 2, "m", 2), (2, "a b c d", "z", 3, 3, "m", 3)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/clash")
+    df = spark.read.parquet(f"{tmp_path}/clash")
+    for in_place in (True, False):
+        out = drop_near_duplicates(df, in_place=in_place)
+        assert out.columns == df.columns and sorted(map(tuple, out.collect())) == rows[:2]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(df).collect() == [] and drop_near_duplicates(df).collect() == []
