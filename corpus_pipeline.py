@@ -22,8 +22,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
-    return simhash.drop_near_duplicates(docs, shingle=3, max_distance=2)
+    """One document of each group of near copies stays, that of the smallest id. ``docs`` are
+    files that the stage before wrote: their rows are dropped while they are read again."""
+    return simhash.drop_near_duplicates(docs, shingle=3, max_distance=2, in_place=True)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
