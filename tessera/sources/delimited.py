@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.names import header_names_py as header_names
 from tessera.functions.text import content_hash
 
 MAX_LINE_BYTES = 10_485_760
@@ -131,29 +132,6 @@ def unreadable_lines(spark: SparkSession, paths) -> DataFrame:
     return long.groupBy(F.col("file").alias("source_file")).agg(F.count("*").alias("lines"))
 
 
-def header_names(cells: list) -> list[str]:
-    """Blank header cell -> ``column{idx}``; repeated (case-insensitive) -> ``{name}_{k}``."""
-    names: list[str] = []
-    seen: dict[str, int] = {}
-    taken: set[str] = set()
-    for i, raw in enumerate(cells):
-        name = raw if raw not in (None, "") else f"column{i}"
-        key = name.lower()
-        if key in seen:
-            k = seen[key]
-            cand = f"{name}_{k}"
-            while cand.lower() in taken:
-                k += 1
-                cand = f"{name}_{k}"
-            seen[key] = k + 1
-            name = cand
-        else:
-            seen[key] = 1
-        taken.add(name.lower())
-        names.append(name)
-    return names
-
-
 def heads(spark: SparkSession, paths, delim: str | None = None, multiline: bool = False) -> DataFrame:
     """``(source_file, cells, width)``: the first record and the widest row of each file."""
     grid = read_grid(spark, paths, delim, multiline)
