@@ -10,14 +10,14 @@ width, never by data size.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import norm_name_py, normalize_name
+from tessera.operators.commits import record_runs, upsert_keyed
+from tessera.operators.fold import replay_pairs
 from tessera.operators.mapping import propose_by_synonyms
-from tessera.operators.ops import apply_steps
+from tessera.operators.ops import STEP_SCHEMA, apply_steps
 from tessera.operators.sizing import materialize
 from tessera.operators.unify import replay_union
 
@@ -133,11 +133,12 @@ def replay(steps: list[dict], sources: list[tuple[str, DataFrame]]) -> DataFrame
 
 
 def apply_skill(skill_steps: list[dict], sources: list[tuple[str, DataFrame]], catalog: DataFrame,
-                skill_id: int = 1, runs_path: str | None = None, run_at=None) -> dict:
+                skill_id: int = 1, runs_path: str | None = None, run_at=None, run_id: str | None = None) -> dict:
     """Drift gate, then: exact -> replayed rows; mappable -> a fresh proposal for
     the drifted sources; unmappable -> report only. The worst source decides for the
-    batch; sources are the names given or, of frames that have it, their ``source_file``s. Appends one run row when
-    ``runs_path`` is given. The only driver decision is the one-row verdict."""
+    batch; sources are the names given or, of frames that have it, their ``source_file``s. The run
+    and its reports are logged when ``runs_path`` is given, once for a ``run_id``. The only
+    driver decision is the one-row verdict."""
     if not sources:
         raise ValueError("no sources")
     spark = catalog.sparkSession
@@ -152,23 +153,44 @@ def apply_skill(skill_steps: list[dict], sources: list[tuple[str, DataFrame]], c
     elif verdict == MAPPABLE:
         out["proposed_mapping"] = propose_remap(catalog)
     if runs_path:
-        record_run(spark, runs_path, skill_id, [n for n, _ in sources], RUN_STATUS[verdict], reports, run_at)
+        out["run_id"] = record_runs(runs_path, run_rows(reports), reports, run_id, run_at)
     return out
 
 
-def record_run(spark, path: str, skill_id: int, inputs: list[str], status: str, reports: DataFrame | None, at=None):
-    """Append-only run log in shared storage: one row per run in ``path`` and,
-    for drifted runs, one row per source report in ``{path}_reports`` (written
-    by the executors; reports never pass through the driver)."""
-    run_id = uuid.uuid4().hex
-    ts = F.lit(at).cast("timestamp") if at is not None else F.current_timestamp()
-    row = spark.createDataFrame([(run_id, skill_id, inputs, status)],
-                                "run_id string, skill_id long, inputs array<string>, status string")
-    row.withColumn("created_at", ts).write.mode("append").parquet(path)
-    if reports is not None and status != RUN_STATUS[EXACT]:
-        (reports.select(F.lit(run_id).alias("run_id"), "skill_id", "source_id", "kind", "missing", "extra")
-         .write.mode("append").parquet(f"{path.rstrip('/')}_reports"))
-    return run_id
+def run_rows(reports: DataFrame, status: str | None = None) -> DataFrame:
+    """``(skill_id, status, n_inputs)``: one log row a skill, by its worst report."""
+    worst = worst_drift(reports, ["skill_id"])
+    n = F.col("n_exact") + F.col("n_mappable") + F.col("n_unmappable")
+    known = F.create_map(*[F.lit(x) for item in RUN_STATUS.items() for x in item])
+    return worst.select("skill_id", (F.lit(status) if status else F.element_at(known, F.col("worst"))).alias("status"), n.alias("n_inputs"))
+
+
+def incoming_names(headers: DataFrame) -> DataFrame:
+    """``(source_id, pos, name)`` from ``headers(source_file, header)``."""
+    return headers.select(F.col("source_file").alias("source_id"), F.posexplode("header").alias("pos", "name"))
+
+
+def apply_skills(skills: DataFrame, grid: DataFrame, headers: DataFrame, pairs: DataFrame, runs_path: str | None = None,
+                 run_at=None, run_id: str | None = None) -> dict:
+    """The drift gate for many skills in one job: each skill of ``skills(skill_id, steps)`` is
+    put to its sources ``pairs(skill_id, source_file)``. Skills whose sources are all exact
+    are replayed (``result``, rows as in ``fold.replay_pairs``, and ``problems``); drifted
+    but mappable ones get a fresh alignment of their sources' columns (``proposed_mapping``
+    by skill); the others only reports. ``verdicts`` has a row a skill."""
+    wanted = pairs.select("skill_id", F.col("source_file").alias("source_id")).distinct()
+    names = incoming_names(headers)
+    reports = materialize(classify_drift(wanted, required_columns(skills), names))
+    verdicts = materialize(worst_drift(reports, ["skill_id"]))
+    exact = pairs.join(verdicts.where(F.col("worst") == EXACT), "skill_id", "left_semi")
+    drifted = wanted.join(verdicts.where(F.col("worst") == MAPPABLE), "skill_id", "left_semi").join(names, "source_id")
+    asked = drifted.select("skill_id", F.col("name").alias("source_col")).distinct()
+    aligned = asked.join(propose_by_synonyms(drifted.select("name")), "source_col")
+    rows, problems = replay_pairs(skills, grid, headers, exact)
+    out = {"verdicts": verdicts, "drift": reports, "result": rows, "problems": problems,
+           "proposed_mapping": aligned.select("skill_id", "source_col", "to", "confidence", "rationale")}
+    if runs_path:
+        out["run_id"] = record_runs(runs_path, run_rows(reports), reports, run_id, run_at)
+    return out
 
 
 def propose_remap(catalog: DataFrame) -> DataFrame:
@@ -177,25 +199,24 @@ def propose_remap(catalog: DataFrame) -> DataFrame:
 
 
 def remap_steps(steps: list[dict], mapping) -> list[dict]:
-    """New ``map_column`` steps from the confirmed mapping, then the old
-    non-rename steps in their order."""
-    items = mapping.items() if isinstance(mapping, dict) else mapping
-    new_map = []
-    for col, info in items:
-        to = info.get("to") if isinstance(info, dict) else info
-        if to:
-            new_map.append({"op": "map_column", "from": col, "to": to})
-    return new_map + [s for s in steps if s["op"] != "map_column"]
+    """The plan with its renames taken from ``mapping`` (column to target, or to an entry
+    that holds it, in order) and all its other steps as they were."""
+    entries = dict(mapping)
+    targets = {column: entry.get("to") if isinstance(entry, dict) else entry for column, entry in entries.items()}
+    renames = [{"op": "map_column", "from": column, "to": target} for column, target in targets.items() if target]
+    return [*renames, *(step for step in steps if step["op"] != "map_column")]
 
 
 def remap_skill(steps: list[dict], mapping: DataFrame, sources: list[tuple[str, DataFrame]], catalog: DataFrame,
-                memory: DataFrame | None = None, confirmed_at=None) -> dict:
+                memory: DataFrame | None = None, confirmed_at=None, skill_id: int = 1, runs_path: str | None = None,
+                run_id: str | None = None) -> dict:
     """Close the drift loop for one skill: the confirmed ``mapping``
     (``source_col, to, confidence, rationale``) replaces the renames, the
     skill is re-fingerprinted from the first new source, the mapping is stored
     for every new source's fingerprint, and the new plan is replayed.
 
-    ``catalog`` holds the new sources' columns (``source_id`` = source name).
+    ``catalog`` holds the new sources' columns (``source_id`` = source name). With
+    ``runs_path`` the run is logged as ok, with the new plan's reports.
     Only the mapping entries (a column-name list, small) reach the driver, in the order
     in which the sources hold their columns.
     """
@@ -212,6 +233,9 @@ def remap_skill(steps: list[dict], mapping: DataFrame, sources: list[tuple[str,
     srcs = fps.join(order_df, "source_id")
     first_fp = srcs.where(F.col("source_order") == 0).select("fingerprint").first()
     new_memory = confirm_mapping(mapping, catalog, srcs, memory, confirmed_at)
+    if runs_path:
+        reports = classify_drift_one([s["from"] for s in new_steps if s["op"] == "map_column"], catalog, skill_id, order_df)
+        record_runs(runs_path, run_rows(reports, RUN_STATUS[EXACT]), reports, run_id)
     return {"steps": new_steps, "fingerprint": first_fp["fingerprint"] if first_fp else None,
             "memory": new_memory, "result": replay(new_steps, sources)}
 
@@ -227,6 +251,54 @@ def remap_skills_table(skills: DataFrame, new_maps: DataFrame) -> DataFrame:
                     F.when(F.col("_new").isNotNull(), F.concat("_new", kept)).otherwise(F.col("steps")).alias("steps"))
 
 
+def remap_skills(skills: DataFrame, mapping: DataFrame, grid: DataFrame, headers: DataFrame, pairs: DataFrame,
+                 memory_path: str | None = None, skills_path: str | None = None, runs_path: str | None = None,
+                 confirmed_at=None, run_id: str | None = None) -> dict:
+    """Closes the drift loop for many skills in one job.
+
+    ``skills(skill_id, steps, ...)``; ``mapping(source_col, to, confidence, rationale)`` is the
+    confirmed alignment of the batch; ``pairs(skill_id, source_file, source_order)`` gives
+    each skill its new sources. Every skill of ``pairs`` gets renames for the columns of its
+    sources (in the order in which the sources hold them), keeps its other steps, and
+    takes the fingerprint of its first new source. All sources are replayed. With paths,
+    the mapping of each new fingerprint is upserted in the memory store, the rewritten
+    skills in the skill store, and the run is logged as ok.
+    """
+    from tessera.operators.catalog import VARCHAR, fingerprints
+    from tessera.operators.mapping import confirm_mapping
+
+    names = incoming_names(headers)
+    of_source = pairs.select("skill_id", F.col("source_file").alias("source_id"), "source_order")
+    held = of_source.join(names, "source_id").groupBy("skill_id", F.col("name").alias("source_col")).agg(F.min(F.struct("source_order", "pos")).alias("at"))
+    wanted = held.join(mapping.where(F.col("to").isNotNull() & (F.col("to") != "")), "source_col")
+    rename = F.struct(F.lit("map_column").alias("op"), F.col("source_col").alias("from"), F.col("to"),
+                      *[F.lit(None).cast(t).alias(n) for n, t in (("column", "string"), ("type", "string"), ("format", "string"),
+                                                                  ("keys", "array<string>"), ("predicate", "string"), ("expr", "string"))])
+    ordered = F.array_sort(F.collect_list(F.struct("at", "source_col", rename.alias("step"))))  # a skill's columns
+    renames = of_source.select("skill_id").distinct().join(
+        wanted.groupBy("skill_id").agg(F.transform(ordered, lambda x: x["step"]).alias("steps")), "skill_id", "left")
+    renames = renames.withColumn("steps", F.coalesce("steps", F.array().cast(f"array<{STEP_SCHEMA}>")))
+    catalog = names.withColumn("type", F.lit(VARCHAR))
+    sources = materialize(fingerprints(catalog).join(of_source.groupBy("source_id").agg(F.max("source_order").alias("source_order")), "source_id"))
+    first = of_source.join(sources.select("source_id", "fingerprint"), "source_id").groupBy("skill_id").agg(
+        F.min_by("fingerprint", F.struct("source_order", "source_id")).alias("_first"))
+    rewritten = remap_skills_table(skills, renames).join(first, "skill_id", "left")
+    old = F.col("fingerprint") if "fingerprint" in skills.columns else F.lit(None).cast("string")
+    rewritten = materialize(rewritten.withColumn("fingerprint", F.coalesce("_first", old)).drop("_first"))
+    changed = rewritten.join(of_source.select("skill_id").distinct(), "skill_id", "left_semi")
+    memory = materialize(confirm_mapping(mapping, catalog, sources, None, confirmed_at))
+    rows, problems = replay_pairs(changed, grid, headers, pairs)
+    out = {"skills": rewritten, "memory": memory, "result": rows, "problems": problems}
+    if memory_path:
+        upsert_keyed(memory_path, memory, "fingerprint")
+    if skills_path:
+        upsert_keyed(skills_path, changed, "skill_id")
+    if runs_path:
+        reports = materialize(classify_drift(of_source.select("skill_id", "source_id").distinct(), required_columns(changed), names))
+        out["run_id"] = record_runs(runs_path, run_rows(reports, RUN_STATUS[EXACT]), reports, run_id)
+    return out
+
+
 def snapshot(steps: list[dict], sources: list[tuple[str, DataFrame]], limit: int | None = None,
              order_by: list | None = None) -> DataFrame:
     """Plan run per source, unioned, with ``limit`` at most so many rows, every value as text

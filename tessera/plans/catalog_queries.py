@@ -284,11 +284,15 @@ def c11_reuse_confirmed(spark, sf):
 
 
 @register("c14_flat_mapping", with_ctes(*SHEET_BASE, BACKFILLED, MEMORY, body="""
-SELECT source_col, arg_max("to", (source_order, pos)) AS "to"
+SELECT source_col, arg_max("to", (source_order, pos)) AS "to",
+       arg_min(source_order, (source_order, pos)) AS first_source, arg_min(pos, (source_order, pos)) AS first_pos
 FROM sheet_fp JOIN mem USING (fingerprint) WHERE "to" IS NOT NULL AND "to" <> '' GROUP BY source_col"""))
 def c14_flat_mapping(spark, sf):
+    """The entry's place (where its column was mapped first) is part of the result: it
+    decides which column wins a field."""
     c = sheet_catalog(spark, sf)
-    return mp.flat_mapping(sheet_sources(spark, sf, c), sheet_memory(spark, sf, c))
+    flat = mp.flat_mapping(sheet_sources(spark, sf, c), sheet_memory(spark, sf, c))
+    return flat.select("source_col", "to", F.col("ord.source_order").alias("first_source"), F.col("ord.pos").alias("first_pos"))
 
 
 @register("c15_low_confidence", with_ctes(*SHEET_BASE, PROP_SRC, body="SELECT * FROM prop_src WHERE confidence < 0.6"))
@@ -328,6 +332,17 @@ def c13_latest_version(spark, sf):
     return cat.latest_version(_skill_log(spark, sf), ["name"])
 
 
+@register("c13_append_versions", with_ctes(_SKILL_LOG, ("old", "SELECT * FROM skill_log WHERE id % 3 = 0"), ("new", """
+SELECT id, name FROM skill_log WHERE id % 3 <> 0"""), body="""
+SELECT n.id, n.name, CAST(COALESCE(o.top, 0) + row_number() OVER (PARTITION BY n.name ORDER BY n.id) AS INTEGER) AS version
+FROM new n LEFT JOIN (SELECT name, max(version) AS top FROM old GROUP BY name) o USING (name)"""))
+def c13_append_versions(spark, sf):
+    """A batch of new skills of five names: each name's versions go on after its highest."""
+    log = _skill_log(spark, sf)
+    new = log.where("id % 3 <> 0").select("id", "name")
+    return cat.append_versions(log.where("id % 3 = 0"), new).select("id", "name", "version")
+
+
 # --- O10, D1, D7 --------------------------------------------------------------------
 
 _STEP_SQL = SHEET_BASE + (BACKFILLED, MEMORY, CANON, STEPS)

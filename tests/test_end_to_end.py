@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SALES_FEB_ZH, SALES_JAN, SALES_MAR_DRIFT, write_text
 from tessera.operators import catalog as cat
-from tessera.operators import drift
+from tessera.operators import commits, drift
 from tessera.operators import mapping as mp
 from tessera.operators import ops
 from tessera.operators.unify import unify
@@ -96,12 +96,11 @@ def test_run_log_appends(spark, tmp_path):
     cat_jan = _catalog(jan, 0)
     drift.apply_skill(steps, [("sales_jan.csv", jan)], cat_jan, runs_path=runs)
     drift.apply_skill(steps[:2], [("sales_jan.csv", jan)], cat_jan, runs_path=runs)
-    log = spark.read.parquet(runs)
-    assert sorted(r["status"] for r in log.collect()) == ["drift_mappable", "ok"]
-    reports = spark.read.parquet(runs + "_reports")
+    log = commits.read_runs(spark, runs)
+    assert sorted((r["status"], r["n_inputs"]) for r in log.collect()) == [("drift_mappable", 1), ("ok", 1)]
+    reports = commits.read_reports(spark, runs)
     drifted = log.where(F.col("status") == "drift_mappable").select("run_id")
-    assert reports.join(drifted, "run_id").count() == 1
-    assert reports.first()["kind"] == "mappable"
+    assert [r["kind"] for r in reports.join(drifted, "run_id").collect()] == ["mappable"]
 
 
 def test_lake_path(spark, tmp_path):
