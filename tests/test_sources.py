@@ -1,16 +1,20 @@
 """Lenient delimited scans (S1-S3), content hashes (C4) and the sink."""
 
+import csv
 import hashlib
+import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SALES_FEB_ZH, SALES_JAN, write_text
 from tessera.sources.delimited import (
-    UnsupportedSource, delimiter_for, file_content_hashes, header_names, read_delimited, read_grid, read_sources,
-    unreadable_lines,
+    UnsupportedSource, cells_of, delimiter_for, file_content_hashes, header_names, read_delimited, read_grid, read_shape, read_sources,
+    route_sources, unify_routed,
 )
 from tessera.sources.sinks import write_result
+from tessera.operators.unify import unify
 
 EDGE = 'a,b,,A\n1,2\n"",x,"q""q",4\n\n5,6,7,8,9\n 7 ,,x,y\n'
 
@@ -98,10 +102,97 @@ def test_wide_rows_and_own_empty_cells_stay(spark, tmp_path):
     assert df.where("name = 'x'").first()["column2"] == "note1"
 
 
-def test_too_long_lines_are_skipped_and_counted(spark, tmp_path):
-    p = write_text(tmp_path, "long.csv", "a,b\n1,2\n" + "x" * 11_000_000 + ",3\n4,5\n")
-    assert sorted((r["a"], r["b"]) for r in read_delimited(spark, p).collect()) == [("1", "2"), ("4", "5")]
-    assert [r["lines"] for r in unreadable_lines(spark, p).collect()] == [1]
+def test_lines_of_any_length_are_rows(spark, tmp_path):
+    long = "x" * 11_000_000
+    p = write_text(tmp_path, "long.csv", f"a,b\n1,2\n{long},3\n4,5\n")
+    rows = sorted((r["a"], r["b"]) for r in read_delimited(spark, p).collect())
+    assert rows == [("1", "2"), ("4", "5"), (long, "3")]
+    q = write_text(tmp_path, "first.csv", f'{long},b\n1,"{long},"\n')  # a long first line is the header
+    df = read_delimited(spark, q)
+    assert df.columns == [long, "b", "source_file"] and [len(r["b"]) for r in df.collect()] == [11_000_001]
+
+
+RECORDS = ['a,b', '', ',', '"a"', '"a""b",c', '"a,b",c', 'x"y,z', '"open,to the end', '"a"junk,b', '"a"b"c,d', '""', '"",""', '" a ", b ', '"""",x', 'ü,"日""本"', '"a,"",b",c', ',,,', '"a"",b']
+
+
+def test_cells_equal_those_of_a_csv_parser(spark):
+    rnd = random.Random(3)
+    lines = RECORDS + ["".join(rnd.choice('ab,, "') for _ in range(rnd.randint(1, 14))) for _ in range(500)]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", cells_of("line", ",").alias("c")).collect()
+    for r in got:
+        assert r["c"] == (next(csv.reader([r["line"]])) if r["line"] else [""]), r["line"]
+    tabs = spark.createDataFrame([('a\t"b\tc"\t',)], "line string").select(cells_of("line", "\t")).first()[0]
+    assert tabs == ["a", "b\tc", ""]
+    many = '"' + '""x' * 200_000 + '",' + "," * 1000  # long cells and many cells: no recursion
+    assert len(spark.createDataFrame([(many,)], "line string").select(cells_of("line", ",")).first()[0]) == 1002
+
+
+@pytest.mark.parametrize("size", ["40", "333", "128m"])
+def test_records_over_line_breaks_at_any_split_size(spark, tmp_path, size):
+    rnd = random.Random(int(size.strip("m")))
+    files = {}
+    for k in range(3):
+        rows = [[rnd.choice(["1", "", 'say ""hi""', "two\nlines", "a\n\n\nb, c", "x" * 60, "\n", "end\r\nin"]) for _ in range(3)] for _ in range(60)]
+        text = "h1,h2,h3\n" + "".join(",".join(f'"{c}"' if rnd.random() < 0.4 or set(c) & set('\n",') else c for c in r) + rnd.choice(["\n", "\r\n", "\n\n"]) for r in rows)
+        path = tmp_path / f"m{k}.csv"
+        path.write_bytes(text.encode())
+        files[path.name] = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+    (tmp_path / "plain.csv").write_bytes(b"h1,h2,h3\r\n1,2,3\r\n\r\n4,,6")
+    files["plain.csv"] = [["h1", "h2", "h3"], ["1", "2", "3"], ["4", "", "6"]]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = read_grid(spark, [str(tmp_path / f) for f in files], multiline=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["source_file"], r["row_no"])):
+        got.setdefault(r["source_file"].rsplit("/", 1)[1], []).append(r)
+    assert {f: [r["cells"] for r in rs] for f, rs in got.items()} == files
+    assert all([r["row_no"] for r in rs] == list(range(len(rs))) for rs in got.values())
+
+
+def test_route_many_shapes(spark, tmp_path):
+    rnd = random.Random(1)
+    want, paths = [], []
+    for k in range(1000):
+        names = [f"c{k}", "Amount" if k % 2 else "金额", "note", "note"][: 2 + k % 3]
+        rows = [[str(rnd.randint(0, 99)), rnd.choice(["", "5", "7.5"]), "n", "m"][: len(names)] for _ in range(k % 4)]
+        paths.append(write_text(tmp_path, f"f{k}.csv", "\n".join(",".join(r) for r in [names, *rows]) + "\n"))
+        want += [(r[1] or None, r[3] if len(r) > 3 else None, f"f{k}.csv") for r in rows]
+    out = f"{tmp_path}/routed"
+    route_sources(spark, paths, out)
+    assert spark.read.parquet(f"{out}/shapes").count() == spark.read.parquet(f"{out}/files").count() == 1000
+    mapping = spark.createDataFrame([("Amount", "revenue", 0), ("金额", "revenue", 1), ("note_1", "second", 2)], "source_col string, to string, ord int")
+    table = unify_routed(spark, out, mapping)
+    assert table.columns == ["revenue", "second", "source_file"]
+    assert sorted(((r[0], r[1], r[2].rsplit("/", 1)[1]) for r in table.collect()), key=str) == sorted(want, key=str)
+    shape = spark.read.parquet(f"{out}/files").where(F.col("source_file").endswith("/f11.csv")).first()["shape"]
+    one = read_shape(spark, out, shape)
+    assert one.columns == ["c11", "Amount", "note", "note_1", "source_file"] and one.count() == 3
+
+
+def test_routed_shapes_equal_unify(spark, tmp_path):
+    files = {"jan.csv": SALES_JAN, "feb.csv": SALES_FEB_ZH, "dup.csv": "Cust Name,,cust name,Amount USD\nA,x,B,1\nC,,,\n", "wide.csv": "Cust Name\nA,b,c\n"}
+    paths = [write_text(tmp_path, n, t) for n, t in files.items()]
+    pairs = [("Cust Name", "customer_name"), ("客户名称", "customer_name"), ("Amount USD", "revenue"), ("金额", "revenue"), ("column1", "extra"), ("cust name_1", "other")]
+    shapes = read_sources(spark, paths)
+    single = unify([(str(i), df) for i, (_, _, df) in enumerate(shapes)], pairs)
+    route_sources(spark, paths, f"{tmp_path}/routed")
+    mapping = spark.createDataFrame([(s, t, i) for i, (s, t) in enumerate(pairs)], "source_col string, to string, ord int")
+    routed = unify_routed(spark, f"{tmp_path}/routed", mapping)
+    assert routed.columns == single.columns
+    assert sorted(map(tuple, routed.collect()), key=str) == sorted(map(tuple, single.collect()), key=str)
+
+
+@pytest.mark.parametrize("data", [b"", b"a", b"a\n", b"\n", b"\n\n", b"a\r\nb\r", b"\xef\xbb\xbfa,b\n1", b"\xef\xbb\xbfa\n", b"\xff\x00\n\x80\xfe", b"\xef\xbb\xbf", b"x" * 70_000 + b"\n" * 50_000])
+def test_content_hash_of_any_bytes(spark, tmp_path, data):
+    (tmp_path / "f.csv").write_bytes(data)  # Spark lists no file of no bytes
+    (tmp_path / "g.csv").write_bytes(data + b"!")
+    got = {r["source_file"].rsplit("/", 1)[1]: r["content_hash"] for r in file_content_hashes(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == ({"f.csv": hashlib.sha256(data).hexdigest()[:16]} if data else {}) | {"g.csv": hashlib.sha256(data + b"!").hexdigest()[:16]}
 
 
 def test_different_headers_in_one_read_are_refused(spark, tmp_path):
