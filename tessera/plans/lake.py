@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.names import header_names
 from tessera.operators import catalog as cat
 from tessera.operators import mapping as mp
 from tessera.operators.grid import clean_sheets
@@ -21,11 +22,13 @@ from tessera.sources.delimited import read_grid
 
 
 def lake_catalog(spark: SparkSession, paths):
-    """``(rows, headers, catalog)`` for all files: cleaned data rows, one header
-    per file, and the catalog (files are ordered by path for "later wins")."""
+    """``(rows, headers, catalog)`` for all files: cleaned data rows (empty cells NULL), one
+    header per file (its names as ``read_delimited`` gives them: blank cells by place,
+    repeats numbered), and the catalog (files are ordered by path for "later wins")."""
     grid = read_grid(spark, paths)
     rows, headers = clean_sheets(grid, dense_rows=True)
-    headers = materialize(headers)
+    rows = rows.withColumn("cells", F.transform("cells", lambda c: F.nullif(c, F.lit(""))))
+    headers = materialize(headers.withColumn("header", header_names("header")))
     catalog = materialize(
         cat.introspect_grid(rows, headers).withColumn("source_order", F.col("source_id")))
     return rows, headers, catalog

@@ -13,18 +13,16 @@ from tessera.operators.grid import clean_sheets
 from tessera.operators.unify import unify
 from tessera.plans import frames as fr
 from tessera.plans.grid_queries import G_CHAIN
-from tessera.operators.mapping import CANON_META
+from tessera.operators.mapping import CANON_META, propose_by_synonyms
 from tessera.plans.catalog_queries import SYN
-from tessera.plans.oracle import CUST, SHEETS, SUPP, with_ctes
+from tessera.plans.oracle import CUST, SHEETS, SUPP, fp_cte, with_ctes
 from tessera.plans.registry import register
-from tessera.sources.delimited import read_delimited, read_grid, read_sources
+from tessera.session import shared_folder
+from tessera.sources.delimited import file_content_hashes, read_delimited, read_grid, read_sources, route_sources, unify_routed
 
 
 def export_dir(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set: exports need the shared folder")
-    return f"{base.rstrip('/')}/tessera-exports/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tessera-exports/{name}-{uuid.uuid4().hex}"
 
 
 def write_csv_export(df: DataFrame, path: str) -> str:
@@ -125,3 +123,80 @@ def u2_unify_lake(spark, sf):
     table, _ = unify_lake(spark, path)
     name = F.url_decode(F.regexp_extract("source_file", "fname=([^/]+)/", 1))
     return table.withColumn("source_file", name)
+
+
+def _sheet_files(spark, sf, header=None) -> str:
+    """Every customer sheet as a file of its own: its header, then its orders."""
+    named = fr.sheet_headers(spark, sf).withColumn("header", header if header is not None else F.col("header"))
+    heads = named.select("source_file", F.lit(-1).cast("long").alias("row_no"), F.col("header").alias("cells"))
+    return write_grid_export(heads.unionByName(fr.sheet_grid(spark, sf)), export_dir(spark, "sheets"))
+
+
+def _sheet_name(column: str):
+    return F.url_decode(F.regexp_extract(column, "fname=([^/]+)/", 1))
+
+
+@register("s1_multiline_cells", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, nullif(text, '') AS text FROM documents""")
+def s1_multiline_cells(spark, sf):
+    """All documents as CSV files whose quoted cells hold line breaks, read back by several
+    tasks a file."""
+    docs = fr.table(spark, sf, "documents").select(F.col("doc_id").cast("string"), "lang", "text")
+    path = export_dir(spark, "texts")
+    docs.repartition(3).write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_delimited(spark, f"{path}/*.csv", multiline=True).drop("source_file")
+
+
+@register("s3_route_sources", with_ctes(*SHEETS, SYN, ("rp", """
+SELECT c.source_id, c.pos, s.canonical AS field FROM sheet_catalog c JOIN syn s ON s.norm = """
+    + "trim(regexp_replace(lower(c.name), '[^0-9a-z一-鿿]+', '_', 'g'), '_')"), ("pick", """
+SELECT source_id, field, min(pos) AS pos FROM rp GROUP BY source_id, field"""), ("cells", """
+SELECT v.source_id, v.row_no, p.field, v.value FROM sheet_cells v JOIN pick p USING (source_id, pos)"""), body="SELECT "
+    + ", ".join(f"max(CASE WHEN field = '{f}' THEN value END) AS {f}" for f in sorted(CANON_META))
+    + ", source_id AS source_file FROM cells GROUP BY source_id, row_no"))
+def s3_route_sources(spark, sf):
+    """Every customer sheet as a file: sorted by shape in one pass, then all shapes unified."""
+    path = export_dir(spark, "routed")
+    route_sources(spark, _sheet_files(spark, sf), path)
+    names = spark.read.parquet(f"{path}/shapes").select(F.explode("names").alias("name"))
+    hits = propose_by_synonyms(names).where(F.col("to").isNotNull())
+    table = unify_routed(spark, path, hits.select("source_col", "to", F.lit(0).alias("ord")), sorted(CANON_META))
+    return table.withColumn("source_file", _sheet_name("source_file"))
+
+
+@register("c4_file_hashes", with_ctes(*SHEETS, ("line", """
+SELECT source_id, -1 AS row_no, string_agg(name, ',' ORDER BY pos) AS line FROM sheet_cols GROUP BY source_id
+UNION ALL
+SELECT source_id, row_no, string_agg(value, ',' ORDER BY pos) FROM sheet_cells GROUP BY source_id, row_no"""), body="""
+SELECT source_id AS source_file, substr(sha256(string_agg(line, chr(10) ORDER BY row_no) || chr(10)), 1, 16) AS content_hash FROM line GROUP BY source_id"""))
+def c4_file_hashes(spark, sf):
+    """The bytes of every sheet's file, hashed where the file is opened."""
+    return file_content_hashes(spark, _sheet_files(spark, sf)).withColumn("source_file", _sheet_name("source_file"))
+
+
+_ODD_HEADERS = ("odd", """
+SELECT source_id, pos, name FROM (
+  SELECT c.source_id, c.pos, CASE WHEN c.source_order % 4 = 1 AND c.pos = 5 THEN '' WHEN c.source_order % 4 = 2 AND c.pos = 1 THEN upper(f.name) ELSE c.name END AS name
+  FROM sheet_catalog c JOIN (SELECT source_id, name FROM sheet_catalog WHERE pos = 0) f USING (source_id)
+  UNION ALL
+  SELECT source_id, n + e.extra, e.name FROM (SELECT source_id, source_order, max(pos) AS n FROM sheet_catalog GROUP BY ALL),
+    (VALUES (1, 'Cust Name'), (2, ' ')) e(extra, name) WHERE source_order % 4 = 3)""")
+
+
+@register("u2_lake_headers", with_ctes(*SHEETS, _ODD_HEADERS, ("based", """
+SELECT source_id, pos, CASE WHEN trim(name) = '' THEN 'column' || pos ELSE name END AS base FROM odd"""), ("named", """
+SELECT source_id, pos, 'VARCHAR' AS type,
+  base || CASE WHEN row_number() OVER w > 1 THEN '_' || (row_number() OVER w - 1) ELSE '' END AS name
+FROM based WINDOW w AS (PARTITION BY source_id, lower(base) ORDER BY pos)"""), fp_cte("fp", "named"), body="""
+SELECT n.source_id, CAST(n.pos AS INTEGER) AS pos, n.name, f.fingerprint FROM named n JOIN fp f USING (source_id)"""))
+def u2_lake_headers(spark, sf):
+    """Sheets with blank, repeated and over-wide headers: the lake catalog names and
+    fingerprints their columns as the delimited scan does."""
+    from tessera.plans.lake import lake_catalog, lake_sources
+
+    k, h = F.col("source_order"), F.col("header")
+    odd = (F.when(k % 4 == 1, F.transform(h, lambda c, i: F.when(i == 5, F.lit("")).otherwise(c)))
+           .when(k % 4 == 2, F.transform(h, lambda c, i: F.when(i == 1, F.upper(F.get(h, F.lit(0)))).otherwise(c)))
+           .when(k % 4 == 3, F.concat(h, F.array(F.lit("Cust Name"), F.lit(" ")))).otherwise(h))
+    _, _, catalog = lake_catalog(spark, _sheet_files(spark, sf, odd))
+    named = catalog.withColumn("source_id", _sheet_name("source_id"))
+    return named.join(lake_sources(named).select("source_id", "fingerprint"), "source_id").select("source_id", "pos", "name", "fingerprint")
