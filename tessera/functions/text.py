@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,16 +101,19 @@ DATE_ZH = rf"^{WS}*(\d{{4}})年(\d{{1,2}})月(\d{{1,2}})日{WS}*$"
 DATE_NO_YEAR = rf"^{WS}*(\d{{1,2}})[./-](\d{{1,2}}){WS}*$"
 
 
-def _g(c: Column, pattern: str, idx: int) -> Column:
-    return F.regexp_extract(c, pattern, idx).try_cast("int")
+# Most cells begin with no digit: the first look. The numbers of a date text, all at once.
+_LOOK = rf"^{WS}*\p{{Nd}}"
+_NUMBERS = r"[0-9]+"
 
 
-def _iso(y: Column, mo: Column, d: Column, hh=None, mi=None, ss=None) -> Column:
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _iso(y: Column, mo: Column, d: Column, hh: Column | None = None, mi: Column | None = None, ss: Column | None = None) -> Column:
     """Validated datetime -> ISO text; NULL for impossible dates or times."""
-    zero = F.lit(0)
-    hh = F.coalesce(hh, zero) if hh is not None else zero
-    mi = F.coalesce(mi, zero) if mi is not None else zero
-    ss = F.coalesce(ss, zero) if ss is not None else zero
+    hh, mi, ss = (F.lit(0) if x is None else F.coalesce(x, F.lit(0)) for x in (hh, mi, ss))
     ok = (y >= 1) & (hh < 24) & (mi < 60) & (ss < 60)
     ts = F.try_make_timestamp_ntz(years=y, months=mo, days=d, hours=hh, mins=mi, secs=ss.cast("decimal(8,6)"))
     return F.when(ok, F.date_format(ts, _ISO_FMT))
@@ -121,23 +125,19 @@ def maybe_iso_date(c, year_hint_col=None) -> Column:
     ``year_hint_col`` (int) enables the year-less M.D form; callers gate it on
     the column being a date column.
     """
-    s = fold_digits(c)
-    sep = _iso(
-        _g(s, DATE_SEP, 1), _g(s, DATE_SEP, 2), _g(s, DATE_SEP, 3),
-        F.when(F.regexp_extract(s, DATE_SEP, 4) != "", _g(s, DATE_SEP, 4)),
-        F.when(F.regexp_extract(s, DATE_SEP, 5) != "", _g(s, DATE_SEP, 5)),
-        F.when(F.regexp_extract(s, DATE_SEP, 6) != "", _g(s, DATE_SEP, 6)),
-    )
-    zh = _iso(_g(s, DATE_ZH, 1), _g(s, DATE_ZH, 2), _g(s, DATE_ZH, 3))
-    out = (
-        F.when(s.rlike(DATE_SEP), sep)
-        .when(s.rlike(DATE_ZH), zh)
-    )
-    if year_hint_col is not None:
-        mo, d = _g(s, DATE_NO_YEAR, 1), _g(s, DATE_NO_YEAR, 2)
-        noyear = F.when(mo.between(1, 12) & d.between(1, 31), _iso(year_hint_col, mo, d))
-        out = out.when(year_hint_col.isNotNull() & s.rlike(DATE_NO_YEAR), noyear)
-    return F.when(s.rlike(f"^{WS}*[0-9]"), out)  # most cells start with no digit: one look
+    def numbers(s: Column, f: Callable[[list[Column]], Column], count: int) -> Column:
+        found = F.transform(F.regexp_extract_all(s, F.lit(_NUMBERS), F.lit(0)), lambda n: n.try_cast("int"))
+        return _bound(found, lambda n: f([F.get(n, F.lit(i)) for i in range(count)]))
+
+    def dated(s: Column) -> Column:
+        out = F.when(s.rlike(f"{DATE_SEP}|{DATE_ZH}"), numbers(s, lambda n: _iso(*n), 6))
+        if year_hint_col is not None:
+            yearless = numbers(s, lambda n: F.when(n[0].between(1, 12) & n[1].between(1, 31), _iso(year_hint_col, *n)), 2)
+            out = out.when(year_hint_col.isNotNull() & s.rlike(DATE_NO_YEAR), yearless)
+        return out
+
+    raw = as_col(c)
+    return F.when(raw.rlike(_LOOK), _bound(fold_digits(raw), dated))
 
 
 def iso_date_text(c, year_hint_col=None) -> Column:

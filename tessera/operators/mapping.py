@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.text import normalize_name
 from tessera.operators.sizing import global_index
@@ -138,8 +137,7 @@ def canonical_from_mapping(proposal: DataFrame) -> DataFrame:
     schema (a table's columns) are ranked in one window."""
     used = proposal.where(F.col("to").isNotNull() & (F.col("to") != "")).select(F.col("to").alias("name")).distinct()
     known = used.join(F.broadcast(canon_meta_df(proposal.sparkSession)), "name", "left")
-    place = (F.row_number().over(Window.orderBy("name")) - 1).alias("pos")
-    return known.select(place, "name", F.coalesce("type", F.lit("VARCHAR")).alias("type"),
+    return global_index(known, ["name"]).select("pos", "name", F.coalesce("type", F.lit("VARCHAR")).alias("type"),
                         F.coalesce("desc_en", "name").alias("desc_en"), F.coalesce("desc_zh", "name").alias("desc_zh"))
 
 
@@ -147,12 +145,12 @@ def join_canonical(fields: DataFrame, proposal: DataFrame) -> DataFrame:
     """The canonical table ``fields(pos, name, type, desc_en, desc_zh)`` with the
     targets of ``proposal`` that it lacks, each once, after its own fields in name
     order: dictionary names with their meta, hand-typed ones as VARCHAR."""
-    new = canonical_from_mapping(proposal).join(fields.select("name"), "name", "left_anti").withColumn("pos", F.lit(None).cast("int"))
-    both = fields.select("pos", "name", "type", "desc_en", "desc_zh").unionByName(new)
-    ordered = Window.orderBy(F.col("pos").asc_nulls_last(), "name")  # the columns of one table
-    last = F.coalesce(F.max("pos").over(ordered), F.lit(-1))
-    added = F.count_if(F.col("pos").isNull()).over(ordered)
-    return both.withColumn("pos", F.coalesce("pos", (last + added).cast("int")))
+    old = fields.select("pos", "name", "type", "desc_en", "desc_zh")
+    new = canonical_from_mapping(proposal).join(fields.select("name"), "name", "left_anti").drop("pos")
+    top = fields.agg(F.max("pos")).first()[0]  # one number
+    after = 0 if top is None else top + 1
+    placed = global_index(new, ["name"]).withColumn("pos", F.col("pos") + F.lit(after))
+    return old.unionByName(placed.select(*old.columns))
 
 
 def enrich_canonical(fields: DataFrame) -> DataFrame:
