@@ -166,3 +166,21 @@ def column_origins(catalog: DataFrame) -> DataFrame:
 def match_skills(sources: DataFrame, skills: DataFrame) -> DataFrame:
     """Skills whose fingerprint equals a source's fingerprint (equi-join)."""
     return sources.join(skills, "fingerprint")
+
+
+def match_classes(sources: DataFrame, skills: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``match_skills`` without its pairs: a row for each fingerprint that both sides have,
+    ``(fingerprint, n_sources, n_skills)``, and the members of these classes, ``(fingerprint,
+    side, member)`` with ``side`` 'source' or 'skill'. As many rows as there are sources and
+    skills at most, however many share one fingerprint; ``expand_matches`` gives the pairs."""
+    members = sources.select("fingerprint", F.lit("source").alias("side"), F.col("source_id").cast("string").alias("member")).unionByName(
+        skills.select("fingerprint", F.lit("skill").alias("side"), F.col("skill_id").cast("string").alias("member")))
+    counts = members.groupBy("fingerprint").agg(F.count_if(F.col("side") == "source").alias("n_sources"), F.count_if(F.col("side") == "skill").alias("n_skills"))
+    classes = counts.where((F.col("n_sources") > 0) & (F.col("n_skills") > 0))
+    return classes, members.join(classes.select("fingerprint"), "fingerprint", "left_semi")
+
+
+def expand_matches(members: DataFrame) -> DataFrame:
+    """``(fingerprint, source_id, skill_id)``: all pairs of the classes' members."""
+    side = lambda s, name: members.where(F.col("side") == s).select("fingerprint", F.col("member").alias(name))
+    return side("source", "source_id").join(side("skill", "skill_id"), "fingerprint")

@@ -369,6 +369,17 @@ def d7_match_skills(spark, sf):
     return m.select("source_id", "fingerprint", F.col("name").alias("skill_name"))
 
 
+@register("d7_match_classes", with_ctes(*_STEP_SQL, body="""
+SELECT s.fingerprint, count(*) AS n_sources, CAST(1 AS BIGINT) AS n_skills, min(s.source_id) AS first_source, max(s.source_id) AS last_source
+FROM sheet_fp s WHERE s.fingerprint IN (SELECT fingerprint FROM steps) GROUP BY s.fingerprint"""))
+def d7_match_classes(spark, sf):
+    """Matches as classes and members: rows grow with sources and skills, not with their pairs."""
+    c = sheet_catalog(spark, sf)
+    classes, members = cat.match_classes(sheet_sources(spark, sf, c), sheet_skills(spark, sf, c))
+    sides = members.where("side = 'source'").groupBy("fingerprint").agg(F.min("member").alias("first_source"), F.max("member").alias("last_source"))
+    return classes.join(sides, "fingerprint").select("fingerprint", "n_sources", "n_skills", "first_source", "last_source")
+
+
 # --- D2, D3 -------------------------------------------------------------------------
 
 def _drift_reports(spark, sf):
@@ -495,13 +506,11 @@ def d4_apply_skill_ok(spark, sf):
     return out["result"]
 
 
-@register("d4_apply_skill_mappable", with_ctes(SYN, body=f"""
+@register("d4_apply_skill_mappable", with_ctes(CUST, ORD, SYN, body=f"""
 SELECT n.name AS source_col, s.canonical AS "to", CASE WHEN s.canonical IS NULL THEN {_MISS} ELSE {_HIT} END AS confidence,
   CASE WHEN s.canonical IS NULL THEN {q(mp.MISS_RATIONALE)} ELSE {q(mp.SYNONYM_RATIONALE)} END AS rationale
-FROM (VALUES ('Cust Name'), ('Date Purchased'), ('Amount USD'), ('Country'), ('Phone'), ('Segment'),
-             ('Customer'), ('Order Date'), ('Revenue USD'), ('Status')) n(name)
-LEFT JOIN syn s ON s.norm = {norm('n.name')}
-WHERE (SELECT count(*) FROM customer) > 0 AND (SELECT count(*) FROM orders) > 0"""))
+FROM (SELECT column_name AS name FROM (DESCRIBE cust) UNION SELECT column_name FROM (DESCRIBE ord)) n
+LEFT JOIN syn s ON s.norm = {norm('n.name')} WHERE n.name <> 'source_file'"""))
 def d4_apply_skill_mappable(spark, sf):
     """One export of the batch has other names, as many as are missing: the batch is
     not replayed, and gets a fresh alignment."""

@@ -76,6 +76,20 @@ def q8_cte_query(spark, sf):
     return query.run_query(spark, unified(spark, sf), Q8_SQL)
 
 
+Q8_PIVOT = ("PIVOT t ON country USING round(sum(try_cast(replace(revenue, '_', '') AS DOUBLE)), 2) AS total, count(*) AS n GROUP BY source_file")
+Q8_UNPIVOT = "UNPIVOT t ON customer_name, order_date, revenue INTO NAME field VALUE cell"
+
+
+@register("q8_pivot_statement", with_ctes(*SALES, body=Q8_PIVOT))
+def q8_pivot_statement(spark, sf):
+    return query.run_query(spark, unified(spark, sf), Q8_PIVOT)
+
+
+@register("q8_unpivot_statement", with_ctes(*SALES, body=Q8_UNPIVOT))
+def q8_unpivot_statement(spark, sf):
+    return query.run_query(spark, unified(spark, sf), Q8_UNPIVOT)
+
+
 @register("q3_total_by", with_ctes(*SALES, body="""
 SELECT customer_name, ROUND(SUM(TRY_CAST(revenue AS DOUBLE)), 2) AS total
 FROM t GROUP BY customer_name ORDER BY total DESC NULLS LAST, customer_name ASC NULLS LAST LIMIT 20"""))
