@@ -5,9 +5,11 @@ on windows of documents labelled by the rules, and on labelled variants of such
 that the rules do not reach (a phone number without its plus sign, an address with
 its at sign or dots spelled out). Texts are cut into overlapping windows. The CRF
 allows a span only around an anchor (a digit, an at sign or its spelling), so windows
-without one cannot hold a span and are not run. Each window is decoded on its own; a span that touches a window's inner edge
-is left to the next window, and of all windows' spans those of the largest total
-confidence that do not overlap are taken, over the whole text.
+without one cannot hold a span and are not run. Each window is decoded on its own. A span
+that comes near a window's inner edge and that no other window holds whole is decoded again in
+a window twice as wide around it, until its edges are inside or it can be no plausible
+span any more. Of all plausible spans those of the largest total confidence that do not
+overlap are taken, over the whole text.
 """
 
 from __future__ import annotations
@@ -30,12 +32,20 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # --- end of fixed values ---
+# The same rules in parts, for scans that look at no character twice.
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+NUMBER = re.compile(r"[0-9]++")
+# What may stand in a plausible span of each kind.
+PIECES = [re.compile(p) for p in (r"[\w.%+()\[\]@ -]*", r"[0-9. ()\[\]dot]*", r"[0-9 ./-]*", r"[+() 0-9./-]*")]
 
 ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]")
 ANCHOR_SQL = r"[0-9@]|[(\[]at[)\]]"
 WIDTH, STRIDE = 96, 48
+MARGIN = 10  # so near an inner edge a span may go on beyond it
 HIDDEN, EMBED, CHARS, TAGS = 20, 14, 104, 1 + 2 * len(KINDS)
-SAMPLE_DOCS, SAMPLE_WINDOWS, MADE_WINDOWS = 300, 700, 900
+SAMPLE_DOCS, SAMPLE_WINDOWS, MADE_WINDOWS = 300, 700, 1500
 CONFIDENCE = 0.6
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -53,19 +63,49 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _emails(text: str) -> Iterator[Span]:
+    """The matches of ``EMAIL``, each found from its at sign: its name reaches back to the last
+    character that is none of a name's, or to the previous match. Linear in the text."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in NAME:
+            start -= 1
+        host = HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield 0, start, host.end()
+        done = host.end() if host else at + 1
+        at = text.find("@", done)
+
+
+def _addresses(text: str) -> Iterator[Span]:
+    """The matches of ``IP`` that are addresses: of each chain of numbers joined by dots, every
+    four in turn."""
+    for chain in CHAIN.finditer(text):
+        parts = list(NUMBER.finditer(chain[0]))
+        for k in range(0, len(parts) - 3, 4):
+            if all(len(p[0].lstrip("0")) <= 3 and int(p[0]) <= 255 for p in parts[k:k + 4]):
+                yield 1, chain.start() + parts[k].start(), chain.start() + parts[k + 3].end()
+
+
 def base_spans(text: str) -> list[Span]:
-    """By kind, then start."""
-    found: list[Span] = []
-    if "@" in text:
-        found += [(0, *m.span()) for m in EMAIL.finditer(text)]
+    """By kind, then start. Linear in the text, also in runs without a blank."""
+    found: list[Span] = [*_emails(text)]
     if re.search("[0-9]", text):
-        found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += _addresses(text)
         found += [(2, *m.span()) for m in CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return found
 
 
+def may_go_on(kind: int, part: str) -> bool:
+    """Whether ``part`` can be a piece of a plausible span: no character that such a span
+    has not, and no more digits than it may have."""
+    most = {1: 12, 2: 19, 3: 15}.get(kind)
+    return PIECES[kind].fullmatch(part) is not None and (most is None or len(_digits(part)) <= most)
+
+
 def plausible(kind: int, text: str) -> bool:
     """Whether a span of the model can be what it says."""
     digits = _digits(text)
@@ -326,22 +366,40 @@ def reconcile(found: list[tuple[Span, float]]) -> list[Span]:
 
 def added_spans(tagger: Tagger, texts: list[str], confidence: float = CONFIDENCE, rows: int = 256) -> list[list[Span]]:
     """For each whole text, what the model finds beside the base spans."""
-    places = [(i, a) for i, text in enumerate(texts) for a in windows(text)]
     found: list[list[tuple[Span, float]]] = [[] for _ in texts]
-    for at in range(0, len(places), rows):
-        part = places[at:at + rows]
-        for (i, a), spans in zip(part, tagger.decode([texts[i][a:a + WIDTH] for i, a in part])):
-            for (kind, b, e), sure in spans:
-                cut = (b == 0 and a > 0) or (a + e < len(texts[i]) and e == WIDTH)
-                if not cut and sure >= confidence:
-                    found[i].append(((kind, a + b, a + e), sure))
+    wide: list[tuple[int, int, int]] = [(i, a, min(a + WIDTH, len(text))) for i, text in enumerate(texts) for a in windows(text)]
+    while wide:
+        cut: list[tuple[int, int, int, int, int]] = []
+        for part in _batches(wide, rows):
+            for (i, lo, hi), spans in zip(part, tagger.decode([texts[i][lo:hi] for i, lo, hi in part])):
+                for (kind, b, e), sure in spans:
+                    if (b < MARGIN and lo > 0) or (lo + e > hi - MARGIN and hi < len(texts[i])):
+                        cut.append((i, kind, lo + b, lo + e, hi - lo))
+                    elif sure >= confidence:
+                        found[i].append(((kind, lo + b, lo + e), sure))
+        # a cut span that no window holds whole is decoded again in a window twice as wide around it
+        wide = sorted({(i, max(0, b - width), min(len(texts[i]), e + width)) for i, kind, b, e, width in cut
+                       if may_go_on(kind, texts[i][b:e]) and not any(k == kind and x < e and b < y for (k, x, y), _ in found[i])})
     out = []
     for text, spans in zip(texts, found):
         base = base_spans(text)
-        out.append([s for s in reconcile(spans) if plausible(s[0], text[s[1]:s[2]]) and not any(b < s[2] and s[1] < e for _, b, e in base)])
+        fit = [(s, sure) for s, sure in spans if plausible(s[0], text[s[1]:s[2]]) and not any(b < s[2] and s[1] < e for _, b, e in base)]
+        out.append(reconcile(fit))
     return out
 
 
+def _batches(windows: list[tuple[int, int, int]], rows: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows of like width together, ``rows`` of the usual width or fewer wider ones."""
+    part: list[tuple[int, int, int]] = []
+    for w in sorted(windows, key=lambda w: (w[2] - w[1], w)):
+        if part and (len(part) + 1) * (w[2] - w[1]) > rows * WIDTH:
+            yield part
+            part = []
+        part.append(w)
+    if part:
+        yield part
+
+
 # --- training data ---
 
 def made_windows(contexts: list[str], n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
@@ -352,11 +410,16 @@ def made_windows(contexts: list[str], n: int, seed: int = 11) -> list[tuple[str,
     digits = lambda k: "".join(rnd.choices("0123456789", k=k))
     word = lambda: re.sub(r"[^A-Za-z]", "", rnd.choice(words)) or "name"
 
+    def name() -> str:
+        """A word, or letters that are none."""
+        return word().lower() if rnd.random() < 0.5 else "".join(rnd.choices("abcdefghijklmnoprstuvwyz", k=rnd.randrange(3, 11)))
+
     def email() -> str:
-        user = word().lower() + rnd.choice(["", ".", "_", "-"]).join(["", rnd.choice([word().lower(), digits(2)])])
-        host = rnd.choice(["mail", "example", "post", word().lower()]) + rnd.choice(["", digits(1)])
+        user = name() + rnd.choice(["", ".", "_", "-"]).join(["", rnd.choice([name(), digits(2)])])
+        host = rnd.choice(["mail", "example", "post", name(), name()]) + rnd.choice(["", "", digits(1)])
         at, dot = rnd.choice([("@", "."), ("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", ".")])
-        return user + at + dot.join([host, *[word().lower()] * rnd.randrange(2), rnd.choice(["com", "org", "net", "de", "example"])])
+        more = [name() for _ in range(rnd.choice([0, 0, 0, 1, 1, 2, 3]))]
+        return user + at + dot.join([host, *more, rnd.choice(["com", "org", "net", "de", "example"])])
 
     def ip() -> str:
         return rnd.choice([".", ".", " . ", "[dot]"]).join(str(rnd.randrange(256)) for _ in range(4))
@@ -457,8 +520,8 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(more, kind)], names=[id_col, "base", "added"])
 
     spans = "array<struct<kind:string,start:int,end:int>>"
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("base", T._parse_datatype_string(spans)),
-                           T.StructField("added", T._parse_datatype_string(spans))])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("base", T.DataType.fromDDL(spans)),
+                           T.StructField("added", T.DataType.fromDDL(spans))])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 

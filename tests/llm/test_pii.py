@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from itertools import combinations
 
@@ -121,6 +122,49 @@ def test_added_spans_are_plausible_and_apart(tagger):
     assert any(added_spans(tagger, texts)[0])
 
 
+def test_runs_without_a_blank_take_linear_time():
+    began = time.time()
+    n = 300_000
+    for text in ("1" * n, "a" * n + " x@y", "a" * n + "@b.c", "1." * n, "@" * n, "a@" * n, "a@b" * n, "a@b." * n, "+1" * n, "1 " * n, "1" * n + ".2.3.4", "a.b@c-" * n):
+        base_spans(text)
+    assert base_spans("a" * n + "@b.c") == [(0, 0, n + 4)]
+    assert time.time() - began < 20
+
+
+def test_long_spans_are_found_wherever_they_begin(tagger):
+    """A spelled-out address longer than a window's overlap, at every place of two strides."""
+    span = "firstname.lastname (at) department (dot) university (dot) example (dot) org"
+    assert len(span) > pii.STRIDE
+    texts = [("words " * 40)[:k + 60] + "see " + span + " for more" + " of these words" * 20 for k in range(0, 96)]
+    hits = 0
+    for text, spans in zip(texts, added_spans(tagger, texts)):
+        a = text.index(span)
+        hits += (0, a, a + len(span)) in spans
+    assert hits >= 0.9 * len(texts), hits
+
+
+def test_planted_forms_are_found_in_whole_documents(spark, tagger):
+    """Recall and precision of what the model adds, on documents with planted data in forms
+    that the rules do not reach."""
+    rnd = random.Random(12)
+    docs = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").orderBy("doc_id").limit(300).collect() if r.text and len(r.text) > 400]
+    word = lambda: "".join(rnd.choices("abcdefghiklmnoprstu", k=rnd.randint(4, 9)))
+    digits = lambda k: "".join(rnd.choices("0123456789", k=k))
+    forms = [lambda: (0, f"{word()}.{word()} (at) {word()} (dot) com"), lambda: (0, f"{word()} [at] {word()} [dot] org"),
+             lambda: (3, f"({digits(3)}) {digits(3)}-{digits(4)}"), lambda: (3, f"{digits(3)}-{digits(3)}-{digits(4)}")]
+    texts, want = [], []
+    for text in docs[:150]:
+        kind, piece = rnd.choice(forms)()
+        cut = text.find(" ", rnd.randrange(len(text) - 100))
+        cut = cut if cut > 0 else 0
+        texts.append(text[:cut] + " " + piece + " " + text[cut:])
+        want.append((kind, cut + 1, cut + 1 + len(piece)))
+    found = added_spans(tagger, texts)
+    hit = sum(w in f for w, f in zip(want, found))
+    extra = sum(len(f) for f in found) - hit
+    assert hit >= 0.9 * len(want) and extra <= 0.1 * len(want), (hit, extra, len(want))
+
+
 def test_rows(spark, tagger):
     long = "word " * 30_000 + "a@b.cd " + "word " * 100
     rows = [(1, "mail x@y.zz", "", 0), (1, "mail x@y.zz", "", 0), (None, "+49 30 1234567", None, None), (2, None, "q", 1), (3, "", "q", 1), (4, long, "q", 1)]
