@@ -1,16 +1,19 @@
 """Quality filter by a character n-gram model with interpolated modified Kneser-Ney smoothing.
 
-Training counts the n-grams of trusted texts, a bounded sample of the labelled rows,
-per language and over all languages together. Counts are tables sharded by n-gram:
-lower orders come from them by aggregation (in how many contexts an n-gram is seen),
+Training counts the n-grams of trusted texts, a bounded sample of the labelled rows of
+each language, per language and over all languages together. Counts are tables sharded by
+n-gram: lower orders come from them by aggregation (in how many contexts an n-gram is seen),
 and discounts and context totals are joined to them to give probabilities. The model
 is bounded by the sample and by the alphabet. The n-grams seen go to the executors, which
 make one row of probabilities for each context seen, and a table from every context to
 the row of its longest seen ending; documents are scored where they are read:
 a join of all their n-grams with the counts would shuffle several times the input.
 
+Each language has an alphabet of its own: its most frequent characters are one symbol,
+all others two, so that a script of thousands of characters has all of them.
+
 A document is judged by its perplexity, drawn towards that of trusted texts for short
-ones, against a quantile of held-out trusted texts of its language.
+ones, against a quantile of all held-out trusted texts of its language.
 """
 
 from __future__ import annotations
@@ -24,13 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from tessera.llm.common import stored
 
 ORDER = 4
-BITS = 7  # a symbol; 0 is the start of a text, 1 any character out of the alphabet
-MASK = (1 << BITS) - 1
-TRUSTED_DOCS = 4_000
-TRUSTED_CHARS = 8_000_000
+BITS = 7  # a symbol; 0 is the start of a text
+SINGLE = 95  # characters of one symbol, from 1 on; the symbols after them begin a pair
+PAIRS = ((1 << BITS) - 1 - SINGLE) * ((1 << BITS) - 1)
+PLANE = 1 << 16
+TRUSTED_DOCS = 2_000  # counted of each language, about
 HELD_OUT = 4  # one trusted text in so many is kept for the thresholds
+OWN_TEXTS = 20  # held-out texts that a language needs for a model of its own
 QUANTILE = 0.99
 SLACK = 1.15
 PRIOR_CHARS = 100
@@ -38,9 +46,44 @@ ANY = "*"
 SEGMENT = 400_000
 
 
-def _symbols(texts: str, alphabet: np.ndarray) -> np.ndarray:
-    codes = np.frombuffer(texts.encode("utf-32-le", "surrogatepass"), "<u4")
-    return alphabet[np.minimum(codes, len(alphabet) - 1)]
+@dataclass
+class Alphabet:
+    """``first`` and ``second`` symbol of each code point of the basic plane (0: no second
+    one). Code points above it share the places of the private-use area."""
+
+    first: np.ndarray
+    second: np.ndarray
+
+    @classmethod
+    def by_rank(cls, codes: np.ndarray) -> Alphabet:
+        """``codes`` from the most frequent on. Characters past the last pair, and those
+        that are not among ``codes``, share pairs."""
+        pair = np.arange(PLANE) * 40503 % PLANE % PAIRS
+        pair[codes[SINGLE:]] = np.arange(max(len(codes) - SINGLE, 0)) % PAIRS
+        low, high = pair % ((1 << BITS) - 1), pair // ((1 << BITS) - 1)
+        first, second = (SINGLE + 1 + high).astype(np.uint8), (1 + low).astype(np.uint8)
+        single = codes[:SINGLE]
+        first[single], second[single] = np.arange(1, len(single) + 1), 0
+        first[0] = second[0] = 0
+        return cls(first, second)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols, and where those of each character begin (one more: the end)."""
+        codes = _codes(text)
+        first, second = self.first[codes], self.second[codes]
+        two = second > 0
+        at = np.concatenate([[0], np.cumsum(1 + two)])
+        if not two.any():
+            return first.astype(np.int64), at
+        symbols = np.zeros(at[-1], np.int64)
+        symbols[at[:-1]] = first
+        symbols[at[1:][two] - 1] = second[two]
+        return symbols, at
+
+
+def _codes(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(codes < PLANE, codes, 0xE000 + codes % 0x1900)
 
 
 def _segments(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
@@ -73,9 +116,8 @@ class Language:
     """The n-grams seen (``size``, ``gram``, ``own``, ``rest``). That is what travels; each
     process makes the two tables from it when it first needs them."""
 
+    alphabet: Alphabet
     grams: dict[str, np.ndarray]
-    mean: float = 0.0  # of trusted texts, per character
-    threshold: float = float("inf")  # of the perplexity
 
     @cached_property
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +133,7 @@ class Language:
             row_of = np.tile(row_of, symbols) if size > 1 else row_of  # the ending decides, whatever comes before it
             before = np.concatenate(rows)
             made = rest[first][:, None] * before[row_of[contexts]]
-            made[place, gram & MASK] += own
+            made[place, gram & (symbols - 1)] += own
             row_of[contexts] = len(before) + np.arange(len(contexts))
             rows = [before, made]
         return row_of, np.log(np.concatenate(rows)).astype(np.float32)
@@ -99,75 +141,95 @@ class Language:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "tables"}
 
+    def log_probability(self, texts: list[str]) -> np.ndarray:
+        """Natural log of each text's probability."""
+        total = np.zeros(len(texts))
+        row_of, rows_of = self.tables
+        for rows, pieces in _segments(texts):
+            symbols, at = self.alphabet.encode("".join(pieces))
+            context = _keys(symbols, ORDER - 1)[:-1]
+            value = rows_of[row_of[context], symbols[ORDER - 1:]]
+            ends = np.cumsum([len(p) for p in pieces])
+            for row, a, b in zip(rows, [0, *ends[:-1]], ends):  # a piece's own characters follow its context
+                total[row] += value[at[a + ORDER - 1] - ORDER + 1:at[b] - ORDER + 1].sum(dtype=np.float64)
+        return total
+
+
+@dataclass
+class Limit:
+    """How a language is judged: by which model, the mean of its trusted texts (natural log
+    a character), the highest perplexity that stays."""
+
+    model: str = ANY
+    mean: float = 0.0
+    threshold: float = float("inf")
+
 
 @dataclass
 class Model:
-    """``alphabet``: symbol of each code point. A language not in ``languages`` uses that over all."""
+    """A language not in ``limits`` is judged as all languages together (``ANY``) are."""
 
-    alphabet: np.ndarray
     languages: dict[str, Language] = field(default_factory=dict)
+    limits: dict[str, Limit] = field(default_factory=dict)
+
+    def limit(self, lang: str | None) -> Limit:
+        return self.limits.get(lang or ANY) or self.limits.get(ANY) or Limit()
 
     def of(self, lang: str | None) -> Language | None:
-        return self.languages.get(lang or ANY) or self.languages.get(ANY)
+        return self.languages.get(self.limit(lang).model)
 
     def log_probability(self, texts: list[str], lang: str | None) -> np.ndarray:
-        """Natural log of each text's probability."""
-        total = np.zeros(len(texts))
-        row_of, rows_of = self.of(lang).tables
-        for rows, pieces in _segments(texts):
-            symbols = _symbols("".join(pieces), self.alphabet).astype(np.int64)
-            context = _keys(symbols, ORDER - 1)[:-1]
-            value = rows_of[row_of[context], symbols[ORDER - 1:]]
-            ends = np.cumsum([len(p) for p in pieces])
-            for row, a, b in zip(rows, [0, *ends[:-1]], ends):  # a piece's own positions follow its context
-                total[row] += value[a:b - ORDER + 1].sum(dtype=np.float64)
-        return total
+        return self.of(lang).log_probability(texts)
 
     def perplexity(self, texts: list[str], lang: str | None) -> np.ndarray:
         """Per character, as if ``PRIOR_CHARS`` typical trusted ones came before."""
-        mean = self.of(lang).mean
         n = np.array([len(t) for t in texts], float)
-        return np.exp((PRIOR_CHARS * mean - self.log_probability(texts, lang)) / (n + PRIOR_CHARS))
+        return np.exp((PRIOR_CHARS * self.limit(lang).mean - self.log_probability(texts, lang)) / (n + PRIOR_CHARS))
+
+
+def _by_name(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
+    """The texts (second column) of a batch by the names in its first."""
+    groups: dict[str, list[str]] = {}
+    for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        groups.setdefault(name, []).append(text)
+    yield from groups.items()
 
 
-def _alphabet(trusted: DataFrame, text_col: str) -> np.ndarray:
-    """The most frequent characters of the basic plane have symbols of their own."""
+def _alphabets(trusted: DataFrame) -> dict[str, Alphabet]:
+    """By falling count of the characters, for each language and for all together. What is
+    collected has as many rows a language as there are characters of one or two symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
-                counts += np.bincount(codes[codes < 1 << 16], minlength=1 << 16)
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["code", "n"])
-
-    counts = trusted.select(text_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    first = counts.where("code > 0").orderBy(F.desc("n"), "code").limit(MASK - 1).collect()
-    alphabet = np.ones(1 << 16, np.uint8)
-    alphabet[0] = 0
-    for symbol, r in enumerate(first, 2):
-        alphabet[r["code"]] = symbol
-    return alphabet
-
-
-def _top_counts(trusted: DataFrame, alphabet: np.ndarray, lang_col: str, text_col: str) -> DataFrame:
+            for name, texts in _by_name(batch):
+                code, n = np.unique(np.concatenate([_codes(t) for t in texts]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(code)), pa.array(code.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
+
+    seen = trusted.mapInArrow(run, "lang string, code long, n long").where("code > 0")
+    counts = seen.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = counts.unionByName(counts.where(F.col("lang") != ANY).withColumn("lang", F.lit(ANY))).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))  # 65,536 rows a language at most
+    first = counts.withColumn("rank", rank).where(F.col("rank") <= SINGLE + PAIRS).orderBy("lang", "rank").toArrow()
+    names, codes = np.array(first["lang"].to_pylist(), object), first["code"].to_numpy()
+    return {name: Alphabet.by_rank(codes[names == name]) for name in sorted(set(names))}
+
+
+def _top_counts(trusted: DataFrame, alphabets: dict[str, Alphabet]) -> DataFrame:
     """``(lang, gram, n)`` for the n-grams of full length, per language and over all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang or ANY, []).append(text)
-            for lang, texts in by_lang.items():
-                for _, pieces in _segments(texts):
-                    grams = np.concatenate([_keys(_symbols(p, alphabet).astype(np.int64), ORDER) for p in pieces])
-                    gram, n = np.unique(grams, return_counts=True)
-                    for name in {lang, ANY}:
+            for lang, texts in _by_name(batch):
+                for name in sorted({lang, ANY}):
+                    for _, pieces in _segments(texts):
+                        grams = []
+                        for piece in pieces:
+                            symbols, at = alphabets[name].encode(piece)
+                            grams.append(_keys(symbols, ORDER)[at[ORDER - 1] - ORDER + 1:])
+                        gram, n = np.unique(np.concatenate(grams), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
 
-    rows = trusted.select(lang_col, text_col).mapInArrow(run, "lang string, gram long, n long")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return trusted.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _probabilities(top: DataFrame) -> DataFrame:
@@ -199,38 +261,67 @@ def _probabilities(top: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, trusted: str = "quality = 1 and toxic = 0", max_docs: int = TRUSTED_DOCS,
           quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on the labelled rows that ``trusted`` names: of their ids the ``max_docs`` of
-    least hash, and of each text the first ``TRUSTED_CHARS / max_docs x 10`` characters
-    at most, so that what is collected is bounded. One text in ``HELD_OUT`` is not counted
-    but sets the thresholds: ``slack`` times the ``quantile`` of perplexity. A language
-    with fewer than 20 such texts uses the model over all. No trusted text: an empty model."""
+    """Fit on the whole texts of the labelled rows that ``trusted`` names. One in ``HELD_OUT``
+    of them, by a hash of its id, is not counted but sets the thresholds, whatever their
+    number: ``slack`` times the ``quantile`` of perplexity. Of the others about ``max_docs``
+    of each language, by another hash, are counted, so that what is collected is bounded. A language
+    with fewer than ``OWN_TEXTS`` held-out texts is judged by the model over all, against
+    the quantile of its own texts under that model or that of all texts, the higher of
+    both. A null language has the model over all. No trusted text: an empty model."""
     ids = labels.where(trusted).select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    text = F.substring(F.col(text_col), 1, 10 * TRUSTED_CHARS // max_docs).alias(text_col)
-    sample = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"]).where(F.length(text_col) > 0)
-    sample = sample.select(text, lang_col, (F.pmod(F.xxhash64(id_col, F.lit("fold")), F.lit(HELD_OUT)) == 0).alias("_held"))
-    counted, held = sample.where("not _held"), sample.where("_held")
-    alphabet = _alphabet(counted, text_col)
-    table = _probabilities(_top_counts(counted, alphabet, lang_col, text_col)).toArrow()  # bounded by the sample and the alphabet
-    model = Model(alphabet)
+    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(lang_col, F.lit(ANY)).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = rows.where("text <> ''").withColumn("_held", F.pmod(F.xxhash64("_doc", F.lit("fold")), F.lit(HELD_OUT)) == 0)
+    known = F.col("_doc") == F.col("_id")
+    free = rows.where("not _held")
+    sizes = {r["lang"]: r["n"] for r in free.join(ids, known).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not sizes:
+        return Model()
+    most = F.create_map(*(F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1 << 31, max_docs * (1 << 31) // n))))[F.col("lang")]
+    picked = F.pmod(F.xxhash64("_doc", F.lit("pick")), F.lit(1 << 31)) < most
+    counted = stored(free.where(picked).join(ids, known).select("lang", "text"), "trusted")  # few texts: they are read twice
+    alphabets = _alphabets(counted)
+    table = _probabilities(_top_counts(counted, alphabets)).toArrow()  # bounded by the sample and the alphabet
     lang = np.array(table["lang"].to_pylist(), object)
     kinds = {"size": "i1", "gram": "i4", "own": "f4", "rest": "f4"}
     columns = {k: table[k].to_numpy().astype(kind) for k, kind in kinds.items()}
-    for name in sorted(set(lang)):
-        model.languages[name] = Language({k: v[lang == name] for k, v in columns.items()})
-    if not model.languages:
-        return model
-    scored = held.select(lang_col, text_col).mapInArrow(_scores(model, lang_col, text_col), "lang string, sum double, n long").toArrow()
-    names, sums, sizes = np.array([x or ANY for x in scored["lang"].to_pylist()], object), scored["sum"].to_numpy(), scored["n"].to_numpy()
-    for name, known in list(model.languages.items()):
-        mine = names == name if name != ANY else np.ones(len(names), bool)
-        if mine.sum() < 20 and name != ANY:
-            del model.languages[name]
-        elif mine.any():
-            known.mean = float(-sums[mine].sum() / sizes[mine].sum())
-            each = np.exp((PRIOR_CHARS * known.mean - sums[mine]) / (sizes[mine] + PRIOR_CHARS))
-            known.threshold = float(slack * np.quantile(each, quantile))
-    return model
+    models = {name: Language(alphabets[name], {k: v[lang == name] for k, v in columns.items()}) for name in sorted(set(lang))}
+    if not models:
+        return Model()
+    held = rows.where("_held").join(ids, known).select("lang", "text")
+    limits = _limits(stored(held.mapInArrow(_scores(models), "lang string, model string, sum double, n long"), "held"), quantile, slack)
+    return Model({name: models[name] for name in sorted({ANY} | {x.model for x in limits.values()})}, limits)
+
+
+def _scores(models: dict[str, Language]):
+    """A row for each text and each model that may judge it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, texts in _by_name(batch):
+                for name in sorted({lang, ANY} & set(models)):
+                    columns = [[lang] * len(texts), [name] * len(texts), models[name].log_probability(texts), [len(t) for t in texts]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.int64()))],
+                                                     names=["lang", "model", "sum", "n"])
+
+    return run
+
+
+def _limits(scored: DataFrame, quantile: float, slack: float) -> dict[str, Limit]:
+    """From the sums of all held-out texts; a row a language and model is collected."""
+    both = scored.unionByName(scored.where((F.col("model") == ANY) & (F.col("lang") != ANY)).withColumn("lang", F.lit(ANY)))
+    means = both.groupBy("lang", "model").agg((-F.sum("sum") / F.sum("n")).alias("mean"))
+    each = F.exp((PRIOR_CHARS * F.col("mean") - F.col("sum")) / (F.col("n") + PRIOR_CHARS))
+    found = both.join(F.broadcast(means), ["lang", "model"]).groupBy("lang", "model").agg(
+        F.first("mean").alias("mean"), F.percentile_approx(each, quantile, 100_000).alias("most"), F.count("*").alias("texts"))
+    rows = {(r["lang"], r["model"]): r for r in found.collect()}
+    limits = {}
+    for lang in sorted({lang for lang, _ in rows}):
+        own, pooled = rows.get((lang, lang)), rows[lang, ANY]
+        if own is not None and own["texts"] >= OWN_TEXTS or lang == ANY:
+            limits[lang] = Limit(lang, own["mean"], slack * own["most"])
+        else:
+            limits[lang] = Limit(ANY, pooled["mean"], slack * max(pooled["most"], rows[ANY, ANY]["most"]))
+    return limits
 
 
 def _by_language(langs: list[str | None], texts: list[str | None]) -> Iterator[tuple[str | None, list[int], list[str]]]:
@@ -241,40 +332,32 @@ def _by_language(langs: list[str | None], texts: list[str | None]) -> Iterator[t
         yield lang, rows, [texts[i] or "" for i in rows]
 
 
-def _scores(model: Model, lang_col: str, text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, _, texts in _by_language(batch.column(lang_col).to_pylist(), batch.column(text_col).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(texts), pa.string()), pa.array(model.log_probability(texts, lang)),
-                                                  pa.array([len(t) for t in texts], pa.int64())], names=["lang", "sum", "n"])
-
-    return run
-
-
 def _judge(model: Model, langs: list[str | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Perplexity and threshold of each text; without a model, 1 and infinity."""
     found, most = np.ones(len(texts)), np.full(len(texts), np.inf)
     for lang, rows, own in _by_language(langs, texts):
-        if (known := model.of(lang)) is not None:
-            found[rows], most[rows] = model.perplexity(own, lang), known.threshold
+        if model.of(lang) is not None:
+            found[rows], most[rows] = model.perplexity(own, lang), model.limit(lang).threshold
     return found, most
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(id_col, lang_col, length, perplexity, threshold, keep)`` for each row. A null or
+    """``(id_col, lang_col, length, perplexity, threshold, keep, model)`` for each row; ``model``
+    is the language whose model judged, ``*`` for that over all. A null or
     empty text has the perplexity of trusted ones and is kept. A null or unknown language
     uses the model over all. Row-local: repeated rows and null ids pass through."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found, most = _judge(shared.value, batch.column(1).to_pylist(), texts)
+            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            found, most = _judge(shared.value, langs, texts)
+            judges = pa.array([shared.value.limit(x).model for x in langs], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(found),
-                                              pa.array(most), pa.array(found <= most)], names=names)
+                                              pa.array(most), pa.array(found <= most), judges], names=names)
 
-    names = [id_col, lang_col, "length", "perplexity", "threshold", "keep"]
-    kinds = [docs.schema[id_col].dataType, T.StringType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
+    names = [id_col, lang_col, "length", "perplexity", "threshold", "keep", "model"]
+    kinds = [docs.schema[id_col].dataType, T.StringType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType(), T.StringType()]
     return docs.select(id_col, lang_col, text_col).mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
 
 

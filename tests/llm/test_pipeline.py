@@ -32,7 +32,7 @@ def test_stages(spark):
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     model = quality.train(docs, labels)
-    want = {i: r for i, r in rows.items() if model.perplexity([r.text or ""], r.lang)[0] <= model.of(r.lang).threshold}
+    want = {i: r for i, r in rows.items() if model.perplexity([r.text or ""], r.lang)[0] <= model.limit(r.lang).threshold}
     frames, at = [], docs
     for name, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, DIR)
