@@ -34,11 +34,19 @@ def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: str, order: list[str], out: str = "rank", salts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[str], out: str = "rank", salts: int = 64, sizes: dict[int, int] | None = None,
+           part_rows: int = 500_000) -> DataFrame:
     """``df`` with each row's place (from 0) among the rows of its ``group``. Places
     follow a hash bucket of ``order`` and then ``order``, so that a group of any size
-    is sorted in ``salts`` parts; the parts' counts (groups x salts rows) are joined."""
-    bucket = F.pmod(F.xxhash64(*order), F.lit(salts)).alias("_bucket")
+    is sorted in ``salts`` parts, or, if ``sizes`` names its rows, in as many more as keep a
+    part at about ``part_rows``; the parts' counts (a row each) are joined."""
+    parts = {k: n // part_rows for k, n in (sizes or {}).items() if n // part_rows > salts}
+    many = F.lit(salts)
+    if parts:
+        kind = df.schema[group].dataType
+        known = F.create_map(*(x for k, n in sorted(parts.items()) for x in (F.lit(k).cast(kind), F.lit(n))))
+        many = F.coalesce(known[F.col(group)], many)
+    bucket = F.pmod(F.xxhash64(*order), many).alias("_bucket")
     part = df.select("*", bucket)
     place = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)) - 1
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -125,7 +125,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> Da
     are alike in all columns take their places in either order."""
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     plan = np.array(best_fit(histogram, capacity), "i8").reshape(-1, 5)
-    placed = ranked(cut, "length", [id_col, "piece", "ids_crc32"]).select(*cut.columns, "rank")
+    placed = ranked(cut, "length", [id_col, "piece", "ids_crc32"], sizes=histogram).select(*cut.columns, "rank")
     names = [*placed.columns[:-1], "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

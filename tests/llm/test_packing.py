@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import queries
-from tessera.llm.common import tokenizer_file
+from tessera.llm.common import ranked, tokenizer_file
 from tessera.llm.packing import best_fit, pack_documents
 
 
@@ -101,3 +101,16 @@ def test_query_on_the_whole_table(spark):
     d = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op4_best_fit_packing"](spark, d).collect()
     verify(rows, {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}, 2048)
+
+
+def test_ranks_of_large_groups_go_in_more_parts(spark):
+    rows = spark.range(3_000).selectExpr("id", "cast(if(id % 3 = 0, id % 7, 9) as long) as length")
+    sizes = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
+    got = ranked(rows, "length", ["id"], salts=2, sizes=sizes, part_rows=10)
+    by_size: dict[int, list[int]] = {}
+    for r in got.collect():
+        by_size.setdefault(r["length"], []).append(r["rank"])
+    assert set(got.columns) == {"length", "id", "rank"}
+    assert {k: sorted(v) for k, v in by_size.items()} == {k: list(range(n)) for k, n in sizes.items()}
+    plain = ranked(rows, "length", ["id"], salts=2, sizes={9: 5}, part_rows=10)
+    assert sorted(plain.where("length = 9").select("rank").toPandas()["rank"]) == list(range(sizes[9]))
