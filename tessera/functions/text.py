@@ -63,8 +63,15 @@ def normalize_name(c) -> Column:
 
 def is_numeric_text(c) -> Column:
     """True when the trimmed text with ',' removed parses as a float."""
-    t = fold_digits(F.regexp_replace(strip_ws(c), ",", ""))
-    return (t != "") & try_double(t).isNotNull()
+    return stripped_is_numeric(strip_ws(c))
+
+
+def stripped_is_numeric(c) -> Column:
+    """``is_numeric_text`` of a text without outer white space."""
+    def test(t: Column) -> Column:
+        return (t != "") & try_double(fold_digits(t)).isNotNull()
+
+    return bound(F.replace(as_col(c), F.lit(","), F.lit("")), test)
 
 
 def is_date_column(c) -> Column:
@@ -106,7 +113,7 @@ _LOOK = rf"^{WS}*\p{{Nd}}"
 _NUMBERS = r"[0-9]+"
 
 
-def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """``f(value)`` with ``value`` computed once, also inside other lambdas."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
@@ -127,7 +134,7 @@ def maybe_iso_date(c, year_hint_col=None) -> Column:
     """
     def numbers(s: Column, f: Callable[[list[Column]], Column], count: int) -> Column:
         found = F.transform(F.regexp_extract_all(s, F.lit(_NUMBERS), F.lit(0)), lambda n: n.try_cast("int"))
-        return _bound(found, lambda n: f([F.get(n, F.lit(i)) for i in range(count)]))
+        return bound(found, lambda n: f([F.get(n, F.lit(i)) for i in range(count)]))
 
     def dated(s: Column) -> Column:
         out = F.when(s.rlike(f"{DATE_SEP}|{DATE_ZH}"), numbers(s, lambda n: _iso(*n), 6))
@@ -137,7 +144,7 @@ def maybe_iso_date(c, year_hint_col=None) -> Column:
         return out
 
     raw = as_col(c)
-    return F.when(raw.rlike(_LOOK), _bound(fold_digits(raw), dated))
+    return F.when(raw.rlike(_LOOK), bound(fold_digits(raw), dated))
 
 
 def iso_date_text(c, year_hint_col=None) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions.casts import as_col
-from tessera.functions.text import WS, is_date_column, is_numeric_text, iso_date_text, maybe_iso_date, strip_ws, year_hint
+from tessera.functions.text import WS, bound, is_date_column, iso_date_text, maybe_iso_date, strip_ws, stripped_is_numeric, year_hint
 
 HEAD_CANDIDATES = 10
 WIDTH_ROWS = 20
@@ -94,22 +94,31 @@ def is_blank_row(cells) -> Column:
 
 # --- G3, G4 ------------------------------------------------------------------------
 
-def header_score(cells, next_cells, ncols) -> Column:
-    """Header likelihood of one row (blank row: -10)."""
-    ne = _nonempty(as_col(cells))
-    n = F.size(ne).cast("double")
-    short = F.size(F.filter(ne, lambda c: F.length(strip_ws(c)) <= 30))
-    numeric = F.size(F.filter(ne, lambda c: is_numeric_text(c)))
-    distinct = F.size(F.array_distinct(F.transform(ne, lambda c: strip_ws(c))))
-    nxt_numeric = F.size(F.filter(_nonempty(as_col(next_cells)), lambda c: is_numeric_text(c)))
-    bonus = F.when(as_col(next_cells).isNotNull() & (nxt_numeric >= 2), 1.0).otherwise(0.0)
+def row_facts(cells) -> Column:
+    """What the score asks of one row, each cell looked at once: how many non-empty cells
+    there are, and of these the short, the numeric and the distinct ones. Null: null."""
+    c = as_col(cells)
+
+    def facts(ne: Column) -> Column:
+        return F.struct(F.size(ne).alias("n"), F.size(F.filter(ne, lambda x: F.length(x) <= 30)).alias("short"),
+                        F.size(F.filter(ne, stripped_is_numeric)).alias("numeric"), F.size(F.array_distinct(ne)).alias("distinct"))
+
+    stripped = F.transform(c, lambda x: strip_ws(F.coalesce(x, F.lit(""))))
+    return F.when(c.isNotNull(), bound(F.filter(stripped, lambda x: x != ""), facts))
+
+
+def header_score(facts, next_numeric, ncols) -> Column:
+    """Header likelihood of one row from its ``row_facts`` (blank row: -10) and the number
+    of numeric cells in the next one (null: there is none)."""
+    f = as_col(facts)
+    n = f["n"].cast("double")
     score = (
         2.0 * n / as_col(ncols)
         - F.when(n == 1, 2.0).otherwise(0.0)
-        + 1.5 * short / n
-        - 2.0 * numeric / n
-        + distinct / n
-        + bonus
+        + 1.5 * f["short"] / n
+        - 2.0 * f["numeric"] / n
+        + f["distinct"] / n
+        + F.when(as_col(next_numeric) >= 2, 1.0).otherwise(0.0)
     )
     return F.when(n == 0, F.lit(BLANK_ROW_SCORE)).otherwise(score)
 
@@ -147,13 +156,13 @@ def score_head(grid: DataFrame, rendered: bool = True, dense: bool = False) -> D
         head = head.withColumn("cells", render("cells"))
     by_file = Window.partitionBy("source_file")
     ordered = by_file.orderBy("idx")
-    scored = head.select(
-        "source_file", "idx", "row_no", "cells",
-        F.lead("cells").over(ordered).alias("_next"),
+    scored = head.withColumn("_facts", row_facts("cells")).select(
+        "source_file", "idx", "row_no", "cells", "_facts",
+        F.lead("_facts.numeric").over(ordered).alias("_next"),
         F.greatest(F.max(F.when(F.col("idx") < WIDTH_ROWS, F.size("cells"))).over(by_file), F.lit(1)).alias("ncols"),
     ).where(F.col("idx") < HEAD_CANDIDATES)
     return scored.select("source_file", "idx", "row_no", "cells",
-                         F.round(header_score("cells", "_next", "ncols"), 9).alias("score"))
+                         F.round(header_score("_facts", "_next", "ncols"), 9).alias("score"))
 
 
 def detect_header_row(grid: DataFrame, rendered: bool = True, dense: bool = False) -> DataFrame:

@@ -136,3 +136,13 @@ def test_blanks_and_digits_of_all_scripts(spark):
         assert r.s == r.c.strip() and r.n == number(r.c) and r.d == iso(r.c) and r.b == (not r.c.strip()), r
         assert r.t == (r.c.strip().lower() in gd.TOTAL_MARKERS_EN or any(z in r.c for z in gd.TOTAL_MARKERS_ZH)), r
         assert r.f == "".join(str(int(x)) if x.isdecimal() else x for x in r.c)
+
+
+def test_each_cell_is_stripped_once_for_the_score(spark):
+    """The score's plan strips a cell once, whatever it asks of it; rows score as by hand."""
+    g = grid(spark, "a.csv", [["Report", None, " "], [" No ", "Date", "Amount"], ["1", "1,234.5", "٢"], ["", None, "x"]])
+    s = gd.score_head(g)
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2  # one of the cell's strip, one of the number's underscores
+    got = {r["idx"]: r["score"] for r in s.collect()}
+    assert got == {0: round(2 / 3 - 2 + 1.5 + 1, 9), 1: 2 + 1.5 + 1 + 1, 2: 2 + 1.5 - 2 + 1, 3: round(2 / 3 - 2 + 1.5 + 1, 9)}
