@@ -18,7 +18,7 @@ from tessera.operators.commits import record_runs, upsert_keyed
 from tessera.operators.fold import replay_pairs
 from tessera.operators.mapping import propose_by_synonyms
 from tessera.operators.ops import STEP_SCHEMA, apply_steps
-from tessera.operators.sizing import materialize
+from tessera.operators.sizing import materialize, shuffled
 from tessera.operators.unify import replay_union
 
 # Drift kinds, by severity.
@@ -86,7 +86,7 @@ def classify_drift(pairs: DataFrame, required: DataFrame, incoming: DataFrame) -
     """
     req = name_arrays(required.select("skill_id", "pos", "name"), "skill_id", "_req")
     inc = name_arrays(incoming.select("source_id", "pos", "name"), "source_id", "_inc")
-    j = pairs.join(req, ["skill_id"], "left").join(inc, ["source_id"], "left")
+    j = pairs.join(shuffled(req), ["skill_id"], "left").join(shuffled(inc), ["source_id"], "left")
     return j.select("skill_id", "source_id", *_verdict(F.col("_req"), F.col("_inc")))
 
 
@@ -181,8 +181,8 @@ def apply_skills(skills: DataFrame, grid: DataFrame, headers: DataFrame, pairs:
     names = incoming_names(headers)
     reports = materialize(classify_drift(wanted, required_columns(skills), names))
     verdicts = materialize(worst_drift(reports, ["skill_id"]))
-    exact = pairs.join(verdicts.where(F.col("worst") == EXACT), "skill_id", "left_semi")
-    drifted = wanted.join(verdicts.where(F.col("worst") == MAPPABLE), "skill_id", "left_semi").join(names, "source_id")
+    exact = pairs.join(shuffled(verdicts.where(F.col("worst") == EXACT)), "skill_id", "left_semi")
+    drifted = wanted.join(shuffled(verdicts.where(F.col("worst") == MAPPABLE)), "skill_id", "left_semi").join(shuffled(names), "source_id")
     asked = drifted.select("skill_id", F.col("name").alias("source_col")).distinct()
     aligned = asked.join(propose_by_synonyms(drifted.select("name")), "source_col")
     rows, problems = replay_pairs(skills, grid, headers, exact)
@@ -246,7 +246,7 @@ def remap_skills_table(skills: DataFrame, new_maps: DataFrame) -> DataFrame:
     ``new_maps(skill_id, steps)`` holds the replacement ``map_column`` steps.
     """
     kept = F.filter(F.col("steps"), lambda s: s["op"] != "map_column")
-    j = skills.join(new_maps.select("skill_id", F.col("steps").alias("_new")), "skill_id", "left")
+    j = skills.join(shuffled(new_maps.select("skill_id", F.col("steps").alias("_new"))), "skill_id", "left")
     return j.select(*[c for c in skills.columns if c != "steps"],
                     F.when(F.col("_new").isNotNull(), F.concat("_new", kept)).otherwise(F.col("steps")).alias("steps"))
 
@@ -269,23 +269,23 @@ def remap_skills(skills: DataFrame, mapping: DataFrame, grid: DataFrame, headers
 
     names = incoming_names(headers)
     of_source = pairs.select("skill_id", F.col("source_file").alias("source_id"), "source_order")
-    held = of_source.join(names, "source_id").groupBy("skill_id", F.col("name").alias("source_col")).agg(F.min(F.struct("source_order", "pos")).alias("at"))
+    held = of_source.join(shuffled(names), "source_id").groupBy("skill_id", F.col("name").alias("source_col")).agg(F.min(F.struct("source_order", "pos")).alias("at"))
     wanted = held.join(mapping.where(F.col("to").isNotNull() & (F.col("to") != "")), "source_col")
     rename = F.struct(F.lit("map_column").alias("op"), F.col("source_col").alias("from"), F.col("to"),
                       *[F.lit(None).cast(t).alias(n) for n, t in (("column", "string"), ("type", "string"), ("format", "string"),
                                                                   ("keys", "array<string>"), ("predicate", "string"), ("expr", "string"))])
     ordered = F.array_sort(F.collect_list(F.struct("at", "source_col", rename.alias("step"))))  # a skill's columns
     renames = of_source.select("skill_id").distinct().join(
-        wanted.groupBy("skill_id").agg(F.transform(ordered, lambda x: x["step"]).alias("steps")), "skill_id", "left")
+        shuffled(wanted.groupBy("skill_id").agg(F.transform(ordered, lambda x: x["step"]).alias("steps"))), "skill_id", "left")
     renames = renames.withColumn("steps", F.coalesce("steps", F.array().cast(f"array<{STEP_SCHEMA}>")))
     catalog = names.withColumn("type", F.lit(VARCHAR))
-    sources = materialize(fingerprints(catalog).join(of_source.groupBy("source_id").agg(F.max("source_order").alias("source_order")), "source_id"))
-    first = of_source.join(sources.select("source_id", "fingerprint"), "source_id").groupBy("skill_id").agg(
+    sources = materialize(shuffled(fingerprints(catalog)).join(of_source.groupBy("source_id").agg(F.max("source_order").alias("source_order")), "source_id"))
+    first = of_source.join(shuffled(sources.select("source_id", "fingerprint")), "source_id").groupBy("skill_id").agg(
         F.min_by("fingerprint", F.struct("source_order", "source_id")).alias("_first"))
-    rewritten = remap_skills_table(skills, renames).join(first, "skill_id", "left")
+    rewritten = remap_skills_table(skills, renames).join(shuffled(first), "skill_id", "left")
     old = F.col("fingerprint") if "fingerprint" in skills.columns else F.lit(None).cast("string")
     rewritten = materialize(rewritten.withColumn("fingerprint", F.coalesce("_first", old)).drop("_first"))
-    changed = rewritten.join(of_source.select("skill_id").distinct(), "skill_id", "left_semi")
+    changed = rewritten.join(shuffled(of_source.select("skill_id").distinct()), "skill_id", "left_semi")
     memory = materialize(confirm_mapping(mapping, catalog, sources, None, confirmed_at))
     rows, problems = replay_pairs(changed, grid, headers, pairs)
     out = {"skills": rewritten, "memory": memory, "result": rows, "problems": problems}

@@ -32,7 +32,7 @@ from tessera.functions.datefmt import try_strptime
 from tessera.functions.names import unique_names
 from tessera.functions.text import normalize_name, normalize_phone
 from tessera.operators.ops import EXPRESSIONS, REFUSED, VOCABULARY
-from tessera.operators.sizing import materialize
+from tessera.operators.sizing import materialize, shuffled
 
 TYPES = ("DECIMAL", "DOUBLE", "INTEGER", "BIGINT", "DATE", "VARCHAR")
 SPARK_TYPES = {"DECIMAL": "decimal(18,3)", "DOUBLE": "double", "INTEGER": "int", "BIGINT": "bigint", "DATE": "date", "VARCHAR": "string"}
@@ -106,8 +106,8 @@ def compile_pairs(skills: DataFrame, headers: DataFrame, pairs: DataFrame) -> Da
     ``skills(skill_id, steps)``, ``headers(source_file, header)`` with names unique,
     ``pairs(skill_id, source_file)``. ``take`` holds the cell places of the first names,
     ``value`` and ``row`` the actions of the second and third phase."""
-    joined = pairs.select("skill_id", "source_file").distinct().join(skills.select("skill_id", "steps"), "skill_id")
-    joined = joined.join(headers.select("source_file", "header"), "source_file")
+    joined = pairs.select("skill_id", "source_file").distinct().join(shuffled(skills.select("skill_id", "steps")), "skill_id")
+    joined = joined.join(shuffled(headers.select("source_file", "header")), "source_file")
     take, names, lost = _rename(F.col("header"), F.col("steps"))
     bad = F.get(F.filter(F.transform("steps", _step_problem), lambda p: p.isNotNull()), F.lit(0))
     begun = joined.select("*", take.alias("take"), names.alias("_names"), F.coalesce(bad, lost).alias("_lost"))
@@ -293,7 +293,7 @@ def replay_pairs(skills: DataFrame, grid: DataFrame, headers: DataFrame, pairs:
                .select("a.format").distinct().collect()]  # one branch a distinct format
     deduped = _rounds(good.withColumn("row", F.filter("row", lambda a: a["op"] == "dedupe")), "row")
     cells = F.transform("names", lambda _, i: F.get(F.col("cells"), F.get(F.col("take"), i)))  # derived names have no cell
-    rows = grid.select("source_file", "row_no", "cells").join(good.drop("problem"), "source_file").withColumn("values", cells).drop("cells", "take")
+    rows = grid.select("source_file", "row_no", "cells").join(shuffled(good.drop("problem")), "source_file").withColumn("values", cells).drop("cells", "take")
     rows = _run_rows(_run_values(rows, derives, formats), _rounds(good, "row"), deduped, filters)
     return (rows.select("skill_id", "source_file", "row_no", "names", "types", "values"),
             programs.where("problem is not null").select("skill_id", "source_file", "problem"))

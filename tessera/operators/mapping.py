@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_name
-from tessera.operators.sizing import global_index
+from tessera.operators.sizing import global_index, shuffled
 
 # Bilingual synonym dictionary, normalized source name -> canonical field.
 SYNONYMS: dict[str, str] = {
@@ -190,7 +190,7 @@ def confirm_mapping(proposal: DataFrame, catalog: DataFrame, sources: DataFrame,
     """
     at = F.lit(confirmed_at).cast("timestamp_ntz") if confirmed_at is not None else F.localtimestamp()
     winner = sources.groupBy("fingerprint").agg(F.max_by("source_id", "source_order").alias("source_id"))
-    cols = catalog.join(winner, "source_id").select("fingerprint", "pos", F.col("name").alias("source_col"))
+    cols = shuffled(catalog).join(winner, "source_id").select("fingerprint", "pos", F.col("name").alias("source_col"))
     sliced = cols.join(proposal, "source_col").select(
         "fingerprint", F.col("pos").cast("int").alias("pos"), "source_col", "to",
         F.col("confidence").cast("double").alias("confidence"), "rationale",

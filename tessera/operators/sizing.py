@@ -28,6 +28,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast. Spark takes a stored table for as
+    large as its files; with repeated values in nested arrays it has a hundred times that in
+    memory, and a broadcast passes through the driver."""
+    return df.hint("merge")
+
+
 def global_index(df: DataFrame, order_cols: list, out: str = "pos", parts: int | None = None) -> DataFrame:
     """0-based position of every row in ``order_cols`` order, without a
     single-partition sort. Rows are range-partitioned by the order key and stored

@@ -11,7 +11,7 @@ from tessera.operators import catalog as cat
 from tessera.operators import drift
 from tessera.operators import mapping as mp
 from tessera.operators import ops
-from tessera.operators.sizing import materialize
+from tessera.operators.sizing import materialize, shuffled
 from tessera.operators.unify import sheet_frame
 from tessera.plans import frames as fr
 from tessera.plans.oracle import (
@@ -34,13 +34,13 @@ def sheet_catalog(spark: SparkSession, sf: str) -> DataFrame:
     materialized once for the several jobs that reuse it."""
     headers = fr.sheet_headers(spark, sf)
     c = cat.introspect_grid(fr.sheet_grid(spark, sf), headers.select("source_file", "header"))
-    return materialize(c.join(headers.select(F.col("source_file").alias("source_id"), "source_order"), "source_id"))
+    return materialize(c.join(shuffled(headers.select(F.col("source_file").alias("source_id"), "source_order")), "source_id"))
 
 
 def sheet_sources(spark: SparkSession, sf: str, catalog: DataFrame | None = None) -> DataFrame:
     c = catalog if catalog is not None else sheet_catalog(spark, sf)
     orders = c.select("source_id", "source_order").distinct()
-    return cat.fingerprints(c).join(orders, "source_id")
+    return cat.fingerprints(c).join(shuffled(orders), "source_id")
 
 
 def sheet_proposal(spark, sf, c=None):

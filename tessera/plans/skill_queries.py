@@ -14,7 +14,7 @@ from tessera.operators import catalog as cat
 from tessera.operators import commits, drift
 from tessera.operators import mapping as mp
 from tessera.operators.fold import wide
-from tessera.operators.sizing import materialize
+from tessera.operators.sizing import materialize, shuffled
 from tessera.plans import frames as fr
 from tessera.plans.catalog_queries import (
     BACKFILLED, CANON, CONFIRMED_AT, MEMORY, SHEET_BASE, STEPS, sheet_catalog, sheet_confirmed_proposal, sheet_skills, sheet_sources,
@@ -34,7 +34,7 @@ class Batch:
         self.sources = materialize(sheet_sources(spark, sf, self.catalog))
         folded = sheet_skills(spark, sf, self.catalog).select("fingerprint", "steps")
         saved = self.sources.where(f"source_order div {gap} % 2 = 0").select(F.col("source_order").alias("skill_id"), "fingerprint")
-        self.skills = materialize(saved.join(folded, "fingerprint").select("skill_id", "fingerprint", "steps"))
+        self.skills = materialize(saved.join(shuffled(folded), "fingerprint").select("skill_id", "fingerprint", "steps"))
         new = self.sources.where(f"source_order div {gap} % 2 = 1")
         self.pairs = new.select((F.col("source_order") - gap).alias("skill_id"), F.col("source_id").alias("source_file"), "source_order")
         self.headers = fr.sheet_headers(spark, sf).select("source_file", "header")
@@ -46,9 +46,9 @@ class Batch:
     def remap(self, **options) -> dict:
         """All mappable skills get the reviewed alignment."""
         verdicts = self.gate()["verdicts"].where(F.col("worst") == drift.MAPPABLE)
-        pairs = self.pairs.join(verdicts, "skill_id", "left_semi")
+        pairs = self.pairs.join(shuffled(verdicts), "skill_id", "left_semi")
         mapping = mp.propose_by_synonyms(self.catalog).where(F.col("to").isNotNull())
-        names = self.catalog.join(pairs.select(F.col("source_file").alias("source_id")), "source_id", "left_semi")
+        names = self.catalog.join(shuffled(pairs.select(F.col("source_file").alias("source_id"))), "source_id", "left_semi")
         return drift.remap_skills(self.skills, mp.backfill_unmapped(mapping, names), self.grid, self.headers, pairs,
                                   confirmed_at=CONFIRMED_AT, **options)
 

@@ -6,7 +6,8 @@ import random
 import pytest
 
 from tessera.operators import ops
-from tessera.operators.fold import replay_pairs, wide
+from tessera.operators.fold import compile_pairs, replay_pairs, wide
+from tessera.operators.sizing import materialize
 
 SKILLS = f"skill_id long, steps array<{ops.STEP_SCHEMA}>"
 
@@ -106,3 +107,14 @@ def test_plan_does_not_grow_with_skills(spark):
         assert not wrong and got.count() == n
         sizes.append(len(json.loads(got._jdf.queryExecution().optimizedPlan().toJSON())))
     assert sizes[0] == sizes[1]
+
+
+def test_no_program_passes_through_the_driver(spark):
+    """Stored programs are small as files and large in memory: their join is a shuffle."""
+    grid = spark.createDataFrame([("a", 0, ["Acme", "1"])], "source_file string, row_no long, cells array<string>")
+    headers = materialize(spark.createDataFrame([("a", ["Cust Name", "Amount USD"])], "source_file string, header array<string>"))
+    skills = materialize(spark.createDataFrame(skill_rows({1: [rename("Cust Name", "customer")]}), SKILLS))
+    pairs = spark.createDataFrame([(1, "a")], "skill_id long, source_file string")
+    for df in (compile_pairs(skills, headers, pairs), replay_pairs(skills, grid, headers, pairs)[0]):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 1
