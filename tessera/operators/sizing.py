@@ -11,18 +11,18 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.session import shared_folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Compute a derived table once for several later uses: written as Parquet to
     the shared ``spark.checkpoint.dir`` and read back (lineage cut, real sizes for
-    the planner)."""
-    spark = df.sparkSession
+    the planner), by ``spark`` if it is not the session of ``df``."""
+    spark = spark or df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -28,6 +28,8 @@ from tessera.operators.unify import unify_grid
 
 # Accepted extensions and their delimiters.
 DELIMITERS = {".csv": ",", ".txt": ",", ".tsv": "\t"}
+# Fixed value: bytes that could be read while a file is opened.
+OPEN_COST = 1 << 16
 
 
 class UnsupportedSource(ValueError):
@@ -74,8 +76,20 @@ def cells_of(line, delim: str) -> Column:
     return F.when(F.contains(line, F.lit('"')), F.transform(found, text)).otherwise(F.split(line, d, -1))
 
 
+def _reader(spark: SparkSession, **conf: int) -> SparkSession:
+    """A session for reads of very many small files: a task takes as many of them as its
+    bytes allow (Spark counts 4 MB for each file opened), and they are listed by a few
+    tasks a core, not by 10,000 tasks."""
+    reader = spark.newSession()
+    cores = spark.sparkContext.defaultParallelism
+    for name, value in {"spark.sql.files.openCostInBytes": OPEN_COST, "spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * cores, **conf}.items():
+        reader.conf.set(name, str(value))
+    return reader
+
+
 def _lines(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
-    return spark.read.options(**options).text(paths).select(
+    """Lines, to be stored at once: the session is ``_reader``'s."""
+    return _reader(spark).read.options(**options).text(paths).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
@@ -109,12 +123,12 @@ def read_grid(spark: SparkSession, paths, delim: str | None = None, multiline: b
     ps = _paths(paths)
     d = _one_delimiter(ps, delim)
     if multiline:
-        return _records(_lines(spark, ps, lineSep="\n"), d)
+        return _records(spark, _lines(spark, ps, lineSep="\n"), d)
     lines = _placed(_lines(spark, ps).where("value <> ''").withColumn("value", _no_mark("value")))
-    return _numbered(materialize(lines.select("source_file", "start", "at", cells_of("value", d).alias("cells"))))
+    return _numbered(materialize(lines.select("source_file", "start", "at", cells_of("value", d).alias("cells")), spark))
 
 
-def _records(lines: DataFrame, delim: str) -> DataFrame:
+def _records(spark: SparkSession, lines: DataFrame, delim: str) -> DataFrame:
     """Records of files whose quoted cells may hold line breaks, whatever their splits.
 
     A line begins a record if the quotes before it in the file are even in number. This
@@ -124,7 +138,7 @@ def _records(lines: DataFrame, delim: str) -> DataFrame:
     record's number. A quote that is never closed makes the rest of its file one record.
     """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    stored = materialize(_placed(lines.withColumn("value", _no_mark("value")).withColumn("odd", (quotes % 2).cast("int"))))
+    stored = materialize(_placed(lines.withColumn("value", _no_mark("value")).withColumn("odd", (quotes % 2).cast("int"))), spark)
     open_files = stored.where("odd = 1").select("source_file").distinct()
     blank = F.col("value").isin("", "\r")
     whole = stored.join(open_files, "source_file", "left_anti").where(~blank)
@@ -245,13 +259,16 @@ def file_content_hashes(spark: SparkSession, paths) -> DataFrame:
     """``(source_file, content_hash)``: SHA-256 prefix of each file's bytes, of files of any
     size (up to 2 GB without a line break in them). Spark lists no file of no bytes.
 
-    Each file is one task's, which streams its lines into one hash object; lines are taken
+    Each file is one task's, and a task has many small files; it streams their lines into one hash object a file; lines are taken
     as bytes, and the file's size tells whether a last line break and a byte order mark,
     which the line reader drops, belong to it. Nothing is shuffled but a row a file.
     """
-    whole = spark.newSession()  # files are not split and not put together, in this read alone
-    for name, value in (("spark.sql.files.maxPartitionBytes", 1 << 61), ("spark.sql.files.openCostInBytes", 1 << 61), ("spark.sql.files.minPartitionNum", 1)):
-        whole.conf.set(name, str(value))
+    listed = materialize(_reader(spark).read.format("binaryFile").load(_paths(paths)).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("size")), spark)
+    n, largest, total = listed.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # a part is no smaller than the largest file: files are not split, and small ones are put together
+    parts = max(1, min(4 * spark.sparkContext.defaultParallelism, (total + n * OPEN_COST) // max(largest, 1)))
+    whole = _reader(spark, **{"spark.sql.files.maxPartitionBytes": max(largest, 1 << 27), "spark.sql.files.minPartitionNum": parts})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state, length, rows = None, None, 0, []
@@ -280,6 +297,5 @@ def file_content_hashes(spark: SparkSession, paths) -> DataFrame:
 
     lines = whole.read.option("lineSep", "\n").text(_paths(paths)).select("_metadata.file_path", "_metadata.file_size", F.col("value").cast("binary"))
     hashed = lines.mapInArrow(run, "source_file string, content_hash string")
-    listed = spark.read.format("binaryFile").load(_paths(paths)).select(F.col("_metadata.file_path").alias("source_file"))
     mark = F.lit(hashlib.sha256(b"\xef\xbb\xbf").hexdigest()[:16])  # a file of a mark alone has no line
-    return listed.join(materialize(hashed), "source_file", "left").select("source_file", F.coalesce("content_hash", mark).alias("content_hash"))
+    return listed.join(materialize(hashed, spark), "source_file", "left").select("source_file", F.coalesce("content_hash", mark).alias("content_hash"))

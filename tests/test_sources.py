@@ -1,5 +1,7 @@
 """Lenient delimited scans (S1-S3), content hashes (C4) and the sink."""
 
+import glob
+import os
 import csv
 import hashlib
 import io
@@ -15,6 +17,10 @@ from tessera.sources.delimited import (
 )
 from tessera.sources.sinks import write_result
 from tessera.operators.unify import unify
+from tessera.operators.sizing import materialize
+from tessera.plans import scan_queries
+from tessera.session import shared_folder
+from tessera.sources import delimited
 
 EDGE = 'a,b,,A\n1,2\n"",x,"q""q",4\n\n5,6,7,8,9\n 7 ,,x,y\n'
 
@@ -223,3 +229,32 @@ def test_multiline_cells(spark, tmp_path):
     df = read_delimited(spark, p, multiline=True)
     assert df.columns == ["a", "b", "source_file"]
     assert sorted((r["a"], r["b"]) for r in df.collect()) == [("3", "4"), ("x\ny,z,w", "2")]
+
+
+def test_many_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    """A task has many small files, a file of any size is one task's."""
+    texts = {f"f{i}.csv": f"a,b\n{i},x\n" for i in range(60)} | {"large.csv": "k,v\n" + "1,some words\n" * 20000}
+    for name, text in texts.items():
+        write_text(tmp_path, name, text)
+    parts = []
+
+    def stored(df, session=None):
+        parts.append(df.rdd.getNumPartitions())
+        return materialize(df, session)
+
+    monkeypatch.setattr(delimited, "materialize", stored)
+    got = delimited.file_content_hashes(spark, f"{tmp_path}/*.csv").collect()
+    assert {os.path.basename(r.source_file): r.content_hash for r in got} == {n: hashlib.sha256(t.encode()).hexdigest()[:16] for n, t in texts.items()}
+    grid = delimited.read_grid(spark, f"{tmp_path}/*.csv")
+    assert grid.groupBy("source_file").count().where("count = 2").count() == 60
+    assert max(parts) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_documents_are_written_by_as_many_tasks_as_read_them(spark, tmp_path):
+    rows = [(i, "en", f"line {i}\nand, \"more\"") for i in range(64)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(glob.glob(f"{shared_folder(spark)}/tessera-exports/texts-*"))
+    got = scan_queries.s1_multiline_cells(spark, str(tmp_path)).collect()
+    assert sorted((int(r.doc_id), r.lang, r.text) for r in got) == rows
+    (path,) = set(glob.glob(f"{shared_folder(spark)}/tessera-exports/texts-*")) - before
+    assert len(glob.glob(f"{path}/*.csv")) > 3
