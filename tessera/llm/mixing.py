@@ -1,28 +1,25 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A text is its tokens: words in lower case, spelled byte by byte with a space after
-each, and the empty word at the end. A byte is eight binary decisions. Six predictors
-look a decision up by a hash of what came before in the word (its last one to five
-bytes, or all of them) in a table of fixed size; the tables hold how often either bit
-followed in the training tokens. The predictors' logits are mixed by weights that a
-gate selects from how often the two longest contexts were seen. The weights are
-learned online, word after word, each predicted as if its own occurrence were not in
-the tables; then an adaptive map corrects the mixed probability by what was seen at
-that probability.
-
-Distinct words train this model, each once: it says how new words are spelled. A word's
-probability is its discounted share of the training tokens, and the share set free by
-the discounts times its spelling's.
-
-A word's probability does not depend on its neighbours, so the corpus is reduced to
-its distinct words first, and all that grows with the corpus is counted, joined or
-summed by Spark. The tables, weights and maps are of fixed size.
+each, and the empty word at the end. A byte is eight binary decisions. Seven predictors
+look a decision up by a hash of what came before in the text in a table of fixed size:
+the last one to five bytes, whatever words they are of; the word so far; the word so far
+and the word before it. The tables hold how often either bit followed in the training
+texts. The predictors' logits are mixed by weights that a gate selects from how often the
+two word contexts were seen. The weights are learned online along the training texts, each
+decision predicted as if its own occurrence were not in the tables; then an adaptive map
+corrects the mixed probability by what was seen at that probability.
+
+A text's score is the sum over all its decisions, so the order of words matters. Tables
+are counted, weights learned and texts scored where Spark reads the texts; word counts for
+the base score are counted and joined by Spark. The tables, weights and maps are of fixed
+size.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,15 +31,16 @@ from pyspark.sql import types as T
 from tessera.llm.common import stored
 
 ORDERS = 5
-INPUTS = ORDERS + 1
-SLOT_BITS = 20
+INPUTS = ORDERS + 2  # and the word so far, alone and after the word before it
+SLOT_BITS = 22
 SHARD_BITS = 16
 GATES = 16
 STEPS = 33  # of the adaptive map, over logits from -8 to 8
 SPACE = 0x20
 HOT_WORDS = 1 << 18
 WAITING = 300_000
-BATCH_BYTES = 1 << 12
+BLOCK_BYTES = 1 << 14
+CURVE = 64  # steps of the scoring curve a unit of logit
 RATE = 0.1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -60,39 +58,63 @@ def held_out(doc: Column) -> Column:
 # --- bit predictors ---
 
 def contexts(joined: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashes (input, byte) of what stands before each byte in its word."""
+    """Hashes (input, byte) of what stands before each byte in its text; ``starts``: of texts."""
     n = len(joined)
-    sizes = np.diff(np.r_[starts, n])
-    place = np.arange(n) - np.repeat(starts, sizes)
+    place = np.arange(n)
+    since = place - np.repeat(starts, np.diff(np.r_[starts, n]))  # the text's start
     value = joined.astype(np.uint64) + np.uint64(1)
     out = np.empty((INPUTS, n), np.uint64)
     h = np.full(n, 1, np.uint64)
     for k in range(1, ORDERS + 1):
         before = np.zeros(n, np.uint64)
-        before[k:] = np.where(place[k:] >= k, value[:-k], 0)
+        before[k:] = np.where(since[k:] >= k, value[:-k], 0)
         h = h * STEP + before
         out[k - 1] = h * ODD + np.uint64(k)
-    power = np.cumprod(np.r_[np.uint64(1), np.full(int(sizes.max(initial=1)), STEP)])  # wraps
-    total = np.cumsum(value * power[place])
-    prefix = total - value * power[place]  # all before it
-    prefix -= np.repeat(prefix[starts], sizes)
-    out[ORDERS] = (prefix * ODD + place.astype(np.uint64)) * STEP
+    first = since == 0  # of a word
+    first[1:] |= joined[:-1] == SPACE
+    begin = np.maximum.accumulate(np.where(first, place, 0))
+    inside = place - begin
+    power = np.cumprod(np.r_[np.uint64(1), np.full(int(inside.max(initial=0)), STEP)])  # wraps
+    term = value * power[inside]
+    total = np.cumsum(term) - term  # all before it
+    word = (total - total[begin]) * ODD + inside.astype(np.uint64)
+    out[ORDERS] = word * STEP
+    after = begin - since[begin] < begin  # there is a word before, whose hash stands at its space
+    out[ORDERS + 1] = (word * STEP + np.where(after, word[begin - 1], 0)) * ODD + np.uint64(1)
     return out
 
 
 def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Where the 16 slots of a nibble begin: the first is free, a nibble's nodes have the others."""
     x = (context + node * ODD) * STEP
-    return ((x ^ (x >> np.uint64(29))) * ODD >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return ((x ^ (x >> np.uint64(29))) * ODD >> np.uint64(64 - SLOT_BITS + 4) << np.uint64(4)).astype(np.int64)
+
+
+def nibbles(joined: np.ndarray, starts: np.ndarray, skip: int = 0) -> Iterator[tuple[Iterator[np.ndarray], np.ndarray]]:
+    """For both halves of all bytes but the first ``skip``: where their slots begin, by input, and the half."""
+    context = contexts(joined, starts)[:, skip:]
+    high, low = joined[skip:] >> 4, joined[skip:] & 15
+    yield (slots(c, np.uint64(1)) for c in context), high
+    node = high.astype(np.uint64) + np.uint64(16)
+    yield (slots(c, node) for c in context), low
+
+
+def halves(joined: np.ndarray, starts: np.ndarray, skip: int = 0) -> Iterator[tuple[Iterator[np.ndarray], np.ndarray]]:
+    """For both halves of all bytes but the first ``skip``: the slots by input, and the bits
+    (byte, bit). A byte's four slots are neighbours in memory and in the list."""
+    shifts = np.array([4, 3, 2, 1])
+    for base, half in nibbles(joined, starts, skip):
+        value = half.astype(np.int64)[:, None] + 16
+        node = value >> shifts
+        yield ((b[:, None] + node).ravel() for b in base), ((value >> (shifts - 1)) & 1).ravel()
 
 
 def decisions(joined: np.ndarray, starts: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """For each of the eight bits of all bytes: the slots by input, and the bits."""
-    context = contexts(joined, starts)
-    node = np.ones(len(joined), np.uint64)
-    for shift in range(7, -1, -1):
-        bit = (joined >> shift) & 1
-        yield [slots(c, node) for c in context], bit
-        node = node * np.uint64(2) + bit.astype(np.uint64)
+    for at, bits in halves(joined, starts):
+        at = list(at)
+        for k in range(4):
+            yield [slot[k::4] for slot in at], bits[k::4]
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,15 +123,54 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join(words) + b" ", np.uint8), np.cumsum(sizes) - sizes
 
 
-def grouped(words: list[bytes], most: int = BATCH_BYTES) -> Iterator[slice]:
-    start = size = 0
-    for i, w in enumerate(words):
-        size += len(w) + 1
-        if size >= most:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(words):
-        yield slice(start, len(words))
+@dataclass
+class Block:
+    """Some bytes of texts; ``starts``: where the texts ``owners`` begin. The first ``skip``
+    bytes were in the block before: the last words of a text that goes on here."""
+
+    joined: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+    skip: int
+
+
+def blocks(texts: Iterable[list[bytes]], most: int = BLOCK_BYTES) -> Iterator[Block]:
+    """All texts, each a list of words, cut between words. No context is cut: three words
+    stand before a part, and so the word before and five bytes."""
+    parts: list[bytes] = []
+    owners: list[int] = []
+    size = skip = 0
+
+    def flush() -> Block:
+        sizes = np.array([len(p) for p in parts])
+        return Block(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, np.array(owners), skip)
+
+    for i, words in enumerate(texts):
+        text = b" ".join([*words, b""]) + b" "
+        lead = start = 0
+        while start < len(text):
+            stop = len(text)
+            if size + stop - start > most:
+                stop = text.rfind(b" ", start, start + max(most - size, 0)) + 1
+                if stop == 0 and parts:
+                    yield flush()
+                    parts, owners, size = [], [], 0
+                    continue
+                stop = stop or text.find(b" ", start) + 1  # a word longer than a block
+            if not parts:
+                skip = start - lead
+            parts.append(text[lead:stop])
+            owners.append(i)
+            size += stop - start
+            if stop < len(text):
+                yield flush()
+                parts, owners, size = [], [], 0
+                lead = stop
+                for _ in range(3):
+                    lead = text.rfind(b" ", 0, max(lead - 1, 0)) + 1
+            start = stop
+    if parts:
+        yield flush()
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -140,9 +201,6 @@ class Mixer:
     weights: np.ndarray
     hits: np.ndarray
     seen: np.ndarray
-    tokens: int = 0
-    discount: float = 0.5
-    free: float = 1.0
     shared: object = None  # the tables' broadcast
 
     def __getstate__(self) -> dict:
@@ -154,11 +212,13 @@ class Mixer:
         weights[:, -1] = 0
         return Mixer(pairs, weights, np.zeros((GATES, STEPS)), np.zeros((GATES, STEPS)))
 
-    def inputs(self, at: list[np.ndarray], bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits (input and bias, decision) and gates; with ``bit``, as if the decision's
-        own occurrence were not counted."""
-        x = np.ones((INPUTS + 1, len(at[0])), "f4")
-        gate = np.zeros(len(at[0]), np.int64)
+    def inputs(self, at: Iterable[np.ndarray], bit: np.ndarray | None, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Logits (input and bias, decision) and gates of all or ``size`` decisions; with
+        ``bit``, as if the decision's own occurrence were not counted."""
+        if size is None:
+            size = len(at[0] if bit is None else bit)
+        x = np.ones((INPUTS + 1, size), "f4")
+        gate = np.zeros(size, np.int64)
         own = 0 if bit is None else (bit.astype(np.int64) + 1) << 16
         for k, slot in enumerate(at):
             pair = self.pairs[k].take(slot, mode="clip") + own  # (clip: slots are in range, and it spares a copy)
@@ -180,11 +240,10 @@ class Mixer:
         mapped = table[gate, low] * (1 - part) + table[gate, low + 1] * part
         return np.clip((_sigmoid(logit) + mapped) / 2, 1e-7, 1 - 1e-7)
 
-    def learn(self, words: list[bytes]) -> np.ndarray:
-        """One online step over some words; returns how much each gate was used."""
-        joined, starts = spelled(words)
+    def learn(self, block: Block) -> np.ndarray:
+        """One online step for either half of a block's bytes; returns how much each gate was used."""
         used = np.zeros(GATES)
-        for at, bit in decisions(joined, starts):
+        for at, bit in halves(block.joined, block.starts, block.skip):
             x, gate = self.inputs(at, bit)
             logit = self.mixed(x, gate)
             error = (bit - _sigmoid(logit)).astype("f4")
@@ -198,23 +257,22 @@ class Mixer:
             used += amount
         return used
 
-    def log10(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Log of the probability of each word, which ``counts`` has in training."""
-        spelling = np.log10(self.free) + self.spelling(words)
-        share = np.maximum(counts - self.discount, 0) / max(self.tokens, 1)
-        return np.where(counts > 0, np.log10(np.maximum(share + 10.0 ** spelling, 1e-300)), spelling)
-
-    def spelling(self, words: list[bytes]) -> np.ndarray:
-        """Log10 of the probability of each word's bytes and its end."""
-        out = np.zeros(len(words))
-        for part in grouped(words, 1 << 16):
-            joined, starts = spelled(words[part])
-            bits = np.zeros(len(joined))
-            for at, bit in decisions(joined, starts):
-                x, gate = self.inputs(at, None)
-                p = self.refined(self.mixed(x, gate), gate)
-                bits += np.log10(np.where(bit == 1, p, 1 - p))
-            out[part] = np.add.reduceat(bits, starts)
+    def curve(self) -> np.ndarray:
+        """``refined`` for all gates at ``CURVE`` steps a unit of logit."""
+        logit = np.arange(-14 * CURVE, 14 * CURVE + 1) / CURVE
+        return np.concatenate([self.refined(logit, np.full(len(logit), g)) for g in range(GATES)])
+
+    def log10(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Log of the probability of each text, a list of words."""
+        out, curve = np.zeros(len(texts)), self.curve()
+        for block in blocks(texts):
+            p = np.ones(len(block.joined) - block.skip)
+            for at, bit in halves(block.joined, block.starts, block.skip):
+                x, gate = self.inputs(at, None, len(bit))
+                step = np.rint((self.mixed(x, gate) + 14) * CURVE).astype(np.int64) + gate * (28 * CURVE + 1)
+                one = np.abs(curve.take(step) - (1 - bit))
+                p *= one[::4] * one[1::4] * one[2::4] * one[3::4]
+            out[block.owners] += np.add.reduceat(np.log10(p), np.maximum(block.starts - block.skip, 0))
         return out
 
 
@@ -247,84 +305,80 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
 
 
-def _tables(words: DataFrame) -> np.ndarray:
-    """How many distinct training words had either bit, by slot: each task adds up its
-    words, shards of tables are summed."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    for batch in batches:
+        for text in batch.column(0):
+            yield words_of(text.as_py() or "")
+
+
+def _pairs(leaves: np.ndarray) -> np.ndarray:
+    """Counts of either bit by node from those of the 16 values of a nibble, as zeros + 256 * ones."""
+    level = leaves.reshape(-1, 16).astype("f8")
+    out = np.zeros((len(level), 16), "<u2")
+    for first in (8, 4, 2, 1):
+        pair = level.reshape(len(level), first, 2)
+        scaled = np.rint(pair * (255 / np.maximum(pair.max(axis=2, keepdims=True), 255)))  # one byte a count; the ratio stays
+        out[:, first:2 * first] = scaled[:, :, 0] + 256 * scaled[:, :, 1]
+        level = pair.sum(axis=2)
+    return out.ravel()
+
+
+def _tables(texts: DataFrame) -> np.ndarray:
+    """How often either bit followed in the training texts, by slot: each task adds up its
+    texts by nibble, shards of tables are summed."""
     shards = 1 << (SLOT_BITS - SHARD_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((INPUTS, 2 << SLOT_BITS), "f4")
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            for part in grouped(words, 1 << 18):
-                for at, bit in decisions(*spelled(words[part])):
-                    for k, slot in enumerate(at):
-                        np.add.at(counts[k], 2 * slot + bit, np.float32(1))
-        if counts.any():
-            blobs = counts.reshape(INPUTS * shards, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(INPUTS * shards)), pa.array([b.tobytes() for b in blobs], pa.binary())], names=["shard", "counts"])
+        counts, some = np.zeros((INPUTS, 1 << SLOT_BITS), "u4"), False
+        for block in blocks(_texts(batches)):
+            some = True
+            for base, half in nibbles(block.joined, block.starts, block.skip):
+                for k, slot in enumerate(base):
+                    np.add.at(counts[k], slot + half, np.uint32(1))
+        if some:
+            for shard, part in enumerate(counts.reshape(INPUTS * shards, -1)):
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([part.tobytes()], pa.binary())], names=["shard", "counts"])
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = np.zeros(1 << SHARD_BITS, "u8")
         for part in parts:
-            for blob in part.column("counts").to_pylist():
-                total = total + np.frombuffer(blob, "f4")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["shard", "counts"])
+            for blob in part.column("counts"):
+                total += np.frombuffer(blob.as_buffer(), "u4")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([_pairs(total).tobytes()], pa.binary())], names=["shard", "counts"])
 
-    parts = words.where("c > 0").select("word").mapInArrow(run, "shard long, counts binary")
+    parts = texts.mapInArrow(run, "shard long, counts binary")
     rows = parts.groupBy("shard").applyInArrow(add, "shard long, counts binary").collect()  # tables of fixed size
-    counts = np.zeros((INPUTS * shards, 2 << SHARD_BITS), "f4")
+    pairs = np.zeros((INPUTS * shards, 1 << SHARD_BITS), "<u2")
     for r in rows:
-        counts[r["shard"]] = np.frombuffer(r["counts"], "f4")
-    counts = counts.reshape(INPUTS, -1, 2)
-    counts *= 255 / np.maximum(counts.max(axis=2, keepdims=True), 255)  # one byte a count; the ratio stays
-    return np.rint(counts).astype(np.uint8).view("<u2")[:, :, 0]
+        pairs[r["shard"]] = np.frombuffer(r["counts"], "<u2")
+    return pairs.reshape(INPUTS, -1)
 
 
-def train(words: DataFrame) -> Mixer:
-    """Tables, weights and maps from all distinct training words; the weights online, in
-    each task on its own and then averaged by use."""
-    mixer = Mixer.new(_tables(words))
-    mixer.shared = shared = words.sparkSession.sparkContext.broadcast(mixer.pairs)  # of fixed size
+def train(texts: DataFrame) -> Mixer:
+    """Tables, weights and maps from all of the only column of ``texts``; the weights online,
+    in each task on its own and then averaged by use."""
+    mixer = Mixer.new(_tables(texts))
+    mixer.shared = shared = texts.sparkSession.sparkContext.broadcast(mixer.pairs)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, used = Mixer.new(shared.value), np.zeros(GATES)
-        for batch in batches:
-            some = batch.column(0).to_pylist()
-            for part in grouped(some):
-                used += mine.learn(some[part])
+        for block in blocks(_texts(batches)):
+            used += mine.learn(block)
         values = np.concatenate([mine.weights * used[:, None], mine.hits, mine.seen, used[:, None]], axis=1).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["place", "value"])
 
-    order = words.where("c > 0").select("word").mapInArrow(run, "place long, value double")
-    rows = order.groupBy("place").agg(F.sum("value").alias("value")).collect()  # of fixed size
+    learned = texts.mapInArrow(run, "place long, value double")
+    rows = learned.groupBy("place").agg(F.sum("value").alias("value")).collect()  # of fixed size
     values = np.zeros(GATES * (INPUTS + 2 + 2 * STEPS))
     for r in rows:
         values[r["place"]] = r["value"]
     values = values.reshape(GATES, -1)
     used = values[:, -1:]
     mixer.weights = np.where(used > 0, values[:, :INPUTS + 1] / np.maximum(used, 1e-9), mixer.weights).astype("f4")
-    seen = words.where("c > 0").agg(F.count("*"), F.sum("c"), *(F.count(F.when(F.col("c") == k, 1)) for k in (1, 2))).first()
-    if seen[0]:
-        mixer.tokens = seen[1]
-        mixer.discount = min(0.9, max(0.1, seen[2] / max(1, seen[2] + 2 * seen[3])))
-        mixer.free = mixer.discount * seen[0] / seen[1]
     mixer.hits, mixer.seen = values[:, INPUTS + 1:INPUTS + 1 + STEPS], values[:, INPUTS + 1 + STEPS:-1]
     return mixer
 
 
-def word_scores(words: DataFrame, mixer: Mixer) -> DataFrame:
-    """``words`` with ``lp``, the log10 of the model's probability of each."""
-    shared = mixer.shared or words.sparkSession.sparkContext.broadcast(mixer.pairs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer.pairs = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mixer.log10(batch.column(0).to_pylist(), batch.column(1).to_numpy()))], names=[*batch.schema.names, "lp"])
-
-    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("lp", T.DoubleType())]))
-
-
 # --- scores ---
 
 class _Places(dict):
@@ -334,22 +388,24 @@ class _Places(dict):
         return -1
 
 
-def _sums(hot, id_col: str):
+def _sums(hot, mixer: Mixer, shared, id_col: str):
     names = ["key", id_col, "held_out", "n_tokens", "n_known", "n_bytes", "logs", "score", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, c, lp = hot.value
+        mixer.pairs = shared.value
+        words, c = hot.value
         place = _Places(zip(words, range(len(words)))).__getitem__
-        c, logs, lp = np.r_[c, 0.0], np.r_[np.log10(c + 0.5), 0.0], np.r_[lp, 0.0]  # the last: place -1
+        c, logs = np.r_[c, 0.0], np.r_[np.log10(c + 0.5), 0.0]  # the last: place -1
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             tokens: list[bytes] = []
             counts: list[int] = []
-            sizes, lengths = [], []
+            sizes, lengths, texts = [], [], []
             for text in batch.column(2).to_pylist():
                 found = words_of(text or "")
+                texts.append(found)
                 mine = Counter(found)
                 mine[b""] = 1
                 tokens += mine
@@ -366,7 +422,7 @@ def _sums(hot, id_col: str):
             key += batch.num_rows
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys), batch.column(0), batch.column(1), pa.array(total(n)), pa.array(total(n * (c[at] > 0))), pa.array(lengths, pa.int64()),
-                pa.array(total(n * logs[at])), pa.array(total(n * lp[at])), pa.ListArray.from_arrays(pa.array(ends), rare)], names=names)
+                pa.array(total(n * logs[at])), pa.array(mixer.log10(texts)), pa.ListArray.from_arrays(pa.array(ends), rare)], names=names)
 
     return run
 
@@ -377,31 +433,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_w
     both are log10, and learn from documents that are not held out.
 
     A null text is empty: its only token is the end. Repeated rows count each and keep
-    their rows. Other columns are not read. Empty table: no row. The ``hot_words`` most
-    frequent words (a bound on what is broadcast) are scored where texts are read, the
-    others by a join."""
+    their rows. Other columns are not read. Empty table: no row. The counts of the
+    ``hot_words`` most frequent words (a bound on what is broadcast) are looked up where
+    texts are read, the others by a join."""
     spark = docs.sparkSession
     words = stored(word_counts(docs, id_col, text_col), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    scored = stored(word_scores(words, train(words)), "scored")
-    top = scored.orderBy(F.desc("m"), "word").limit(hot_words).toArrow()
+    mixer = train(docs.where(~held_out(F.col(id_col))).select(text_col))
+    top = words.orderBy(F.desc("m"), "word").limit(hot_words).toArrow()
     least = (int(top["m"][-1].as_py()), top["word"][-1].as_py()) if len(top) else (0, b"")
-    hot = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy().astype(float), top["lp"].to_numpy()))
+    hot = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy().astype(float)))
     kept = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField(id_col, kept), T.StructField("held_out", T.BooleanType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("logs", T.DoubleType()),
                            T.StructField("score", T.DoubleType()), T.StructField("rare", T.DataType.fromDDL("array<struct<word:binary,n:bigint>>"))])
     read = docs.select(id_col, held_out(F.col(id_col)).alias("held_out"), F.col(text_col))
-    sums = stored(read.mapInArrow(_sums(hot, id_col), schema), "sums", compression="zstd")
+    sums = stored(read.mapInArrow(_sums(hot, mixer, mixer.shared, id_col), schema), "sums", compression="zstd")
     rare = sums.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n")
-    cold = scored.where((F.col("m") < least[0]) | ((F.col("m") == least[0]) & (F.col("word") > F.lit(bytearray(least[1])))))
-    cold = cold.select("word", (F.col("c") > 0).cast("long").alias("known"), F.log10(F.col("c") + 0.5).alias("log"), "lp")
-    found = rare.join(cold, "word").groupBy("key").agg(F.sum(F.col("n") * F.col("known")).alias("more_known"), F.sum(F.col("n") * F.col("log")).alias("more_logs"),
-                                                       F.sum(F.col("n") * F.col("lp")).alias("more_score"))
+    cold = words.where((F.col("m") < least[0]) | ((F.col("m") == least[0]) & (F.col("word") > F.lit(bytearray(least[1])))))
+    cold = cold.select("word", (F.col("c") > 0).cast("long").alias("known"), F.log10(F.col("c") + 0.5).alias("log"))
+    found = rare.join(cold, "word").groupBy("key").agg(F.sum(F.col("n") * F.col("known")).alias("more_known"), F.sum(F.col("n") * F.col("log")).alias("more_logs"))
     whole = sums.drop("rare").join(found, "key", "left")
     total = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     each = float(np.log10(n + 0.5 * (v + 1)))
-    model = total("score", "more_score")
     return whole.select(id_col, "held_out", "n_tokens", total("n_known", "more_known").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-                        (total("logs", "more_logs") - F.col("n_tokens") * each).alias("base_score"), model.alias("score"),
-                        (-model * F.lit(float(np.log2(10))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+                        (total("logs", "more_logs") - F.col("n_tokens") * each).alias("base_score"), "score",
+                        (-F.col("score") * F.lit(float(np.log2(10))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))

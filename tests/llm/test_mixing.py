@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import mixing, queries
-from tessera.llm.mixing import Mixer, contexts, decisions, score, spelled, words_of
+from tessera.llm.mixing import Mixer, blocks, contexts, decisions, score, spelled, words_of
 
 SCHEMA = "doc_id long, text string, score string, key int"
 
@@ -74,6 +74,44 @@ def test_contexts_are_of_the_word_alone():
             assert (h[:, at[b"abcabc"]:at[b"abcabc"] + 7] == kept).all()
 
 
+def test_contexts_run_over_words():
+    joined = np.frombuffer(b"the cat sat  " + b"the dog sat  ", np.uint8)
+    h = contexts(joined, np.array([0, 13]))
+    at = 8, 13 + 8  # both "sat", after other words
+    assert all((h[k, at[0]] == h[k, at[1]]) == (k in (0, mixing.ORDERS)) for k in range(mixing.INPUTS))
+    assert (h[:, :4] == h[:, 13:17]).all()  # a text's start sees nothing of the text before
+    assert (h[mixing.ORDERS + 1, at[0] + 3] != h[mixing.ORDERS + 1, at[1] + 3])
+
+
+def test_blocks_cut_no_context():
+    rnd = random.Random(2)
+    texts = [[bytes(rnd.choices(b"ab", k=rnd.randrange(1, 5))) for _ in range(rnd.choice([0, 1, 30, 400]))] for _ in range(30)]
+    texts += [[b"y" * 300, b"a"], []]
+    whole = {}
+    for block in blocks(texts, 1 << 30):
+        whole = {i: contexts(block.joined, block.starts)[:, a:b] for i, a, b in zip(block.owners, block.starts, [*block.starts[1:], len(block.joined)])}
+    parts = {}
+    for block in blocks(texts, 100):
+        h = contexts(block.joined, block.starts)
+        for i, a, b in zip(block.owners, block.starts, [*block.starts[1:], len(block.joined)]):
+            parts.setdefault(i, []).append(h[:, max(a, block.skip):b])
+    assert sorted(whole) == sorted(parts) == list(range(len(texts)))
+    assert all((np.concatenate(parts[i], axis=1) == whole[i]).all() for i in whole)
+    assert sum(len(b.joined) - b.skip for b in blocks(texts, 100)) == sum(sum(len(w) + 1 for w in t) + 1 for t in texts)
+
+
+def test_neighbours_count(spark):
+    """The order of words is learned: a text in a known order is likelier than the same words in another one."""
+    rnd = random.Random(4)
+    turns = ["a b c d", "b c d a"]
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, " ".join(rnd.choices(turns, k=8)), "", 0) for i in range(400) if i not in held]
+    rows += [(held[0], "a b c d a b c d", "", 0), (held[1], "d c b a d c b a", "", 0)]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 3
+
+
 def test_next_byte_probabilities_sum_to_one(monkeypatch):
     rnd = np.random.default_rng(3)
     size = 1 << mixing.SLOT_BITS
