@@ -9,6 +9,7 @@ from tessera.functions.text import is_date_column, is_numeric_text, iso_date_tex
 from tessera.operators import catalog as cat
 from tessera.operators import grid as gd
 from tessera.operators import ops
+from tessera.operators.sizing import materialize
 from tessera.operators.unify import replay_union, unify_grid
 from tessera.plans import frames as fr
 from tessera.plans.oracle import CUST, SHEETS, SUPP, q, with_ctes
@@ -142,8 +143,11 @@ def _rendered(spark, sf):
     return _grid(spark, sf).withColumn("cells", F.transform("cells", lambda c: iso_date_text(c)))
 
 
-def _body(spark, sf):
+def _body(spark, sf, stored=False):
+    """``stored``: rendered once, for a query that filters by the cells and returns them."""
     g = _rendered(spark, sf)
+    if stored:
+        g = materialize(g)
     heads = gd.detect_header_row(g).withColumn("yr", year_hint(gd.file_name("source_file")))
     return g.join(heads, "source_file").where(F.col("row_no") > F.col("header_row_no"))
 
@@ -230,21 +234,21 @@ def g5_drop_total_rows(spark, sf):
 @register("g6_rectangularize", with_ctes(*G_CHAIN[:10], body="""
 SELECT source_file, row_no, array_to_string(cells, '|') AS cells, len(cells) AS width FROM gb2"""))
 def g6_rectangularize(spark, sf):
-    b = _body(spark, sf).where(~gd.is_total_row("cells"))
+    b = _body(spark, sf, stored=True).where(~gd.is_total_row("cells"))
     r = gd.rectangularize("cells", F.size("header"))
     return b.select("source_file", "row_no", F.array_join(r, "|").alias("cells"), F.size(r).cast("long").alias("width"))
 
 
 @register("g11_drop_blank_rows", with_ctes(*G_CHAIN[:11], body="SELECT source_file, row_no, is_blank FROM gb3"))
 def g11_drop_blank_rows(spark, sf):
-    b = _body(spark, sf).where(~gd.is_total_row("cells"))
+    b = _body(spark, sf, stored=True).where(~gd.is_total_row("cells"))
     return b.select("source_file", "row_no", gd.is_blank_row(gd.rectangularize("cells", F.size("header"))).alias("is_blank"))
 
 
 @register("g10_promote_yearless_dates", with_ctes(*G_CHAIN, body="""
 SELECT source_file, row_no, cells[2] AS date_cell FROM gb4"""))
 def g10_promote_yearless_dates(spark, sf):
-    b = _body(spark, sf).where(~gd.is_total_row("cells"))
+    b = _body(spark, sf, stored=True).where(~gd.is_total_row("cells"))
     r = b.withColumn("cells", gd.rectangularize("cells", F.size("header"))).where(~gd.is_blank_row("cells"))
     p = gd.promote_yearless_dates("cells", "header", "yr")
     return r.select("source_file", "row_no", F.element_at(p, 2).alias("date_cell"))

@@ -146,3 +146,19 @@ def test_each_cell_is_stripped_once_for_the_score(spark):
     assert plan.count("regexp_replace") <= 2  # one of the cell's strip, one of the number's underscores
     got = {r["idx"]: r["score"] for r in s.collect()}
     assert got == {0: round(2 / 3 - 2 + 1.5 + 1, 9), 1: 2 + 1.5 + 1 + 1, 2: 2 + 1.5 - 2 + 1, 3: round(2 / 3 - 2 + 1.5 + 1, 9)}
+
+
+def test_queries_that_return_filtered_cells_render_once(spark, tmp_path):
+    from tessera.plans.registry import QUERIES
+    import tessera.plans.grid_queries  # noqa: F401  (registers)
+
+    spark.createDataFrame([(1, "Customer#1"), (2, "Customer#2")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, 1 + k % 2, dt.datetime(2023, 3, 1 + k), 10.5 * k, "O", "1-URGENT") for k in range(1, 9)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double, o_orderstatus string, "
+                                  "o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("g6_rectangularize", "g10_promote_yearless_dates", "g11_drop_blank_rows"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert "o_orderdate" not in df._jdf.queryExecution().optimizedPlan().toString(), name
+    got = {r.row_no: r.cells.split("|") for r in QUERIES["g6_rectangularize"](spark, str(tmp_path)).collect()}
+    assert got[10 + 3 * 4][1] == "2023-03-05T00:00:00" and got[10 + 3 * 5][1] == "2023-03-06T00:00:00"
+    assert 10 + 3 * 5 + 1 not in got  # a subtotal
