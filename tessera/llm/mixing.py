@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,8 @@ SPACE = 0x20
 HOT_WORDS = 1 << 18
 WAITING = 300_000
 BLOCK_BYTES = 1 << 14
+PART_BYTES = 1 << 12  # worked on at a time, so that the arrays stay in a core's cache
+BATCH_BYTES = 1 << 20  # of texts whose words are held at a time
 CURVE = 64  # steps of the scoring curve a unit of logit
 RATE = 0.1
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -66,10 +69,13 @@ def contexts(joined: np.ndarray, starts: np.ndarray) -> np.ndarray:
     out = np.empty((INPUTS, n), np.uint64)
     h = np.full(n, 1, np.uint64)
     for k in range(1, ORDERS + 1):
-        before = np.zeros(n, np.uint64)
-        before[k:] = np.where(since[k:] >= k, value[:-k], 0)
-        h = h * STEP + before
-        out[k - 1] = h * ODD + np.uint64(k)
+        h *= STEP
+        h[k:] += value[:-k]
+        early = (starts[:, None] + np.arange(k)).ravel()  # nothing of the text before
+        early = early[(early >= k) & (early < n)]
+        h[early] -= value[early - k]
+        np.multiply(h, ODD, out=out[k - 1])
+        out[k - 1] += np.uint64(k)
     first = since == 0  # of a word
     first[1:] |= joined[:-1] == SPACE
     begin = np.maximum.accumulate(np.where(first, place, 0))
@@ -86,35 +92,49 @@ def contexts(joined: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Where the 16 slots of a nibble begin: the first is free, a nibble's nodes have the others."""
-    x = (context + node * ODD) * STEP
-    return ((x ^ (x >> np.uint64(29))) * ODD >> np.uint64(64 - SLOT_BITS + 4) << np.uint64(4)).astype(np.int64)
+    x = context + node * ODD
+    x *= STEP
+    x ^= x >> np.uint64(29)
+    x *= ODD
+    x >>= np.uint64(64 - SLOT_BITS + 4)
+    x <<= np.uint64(4)
+    return x.view(np.int64)
 
 
-def nibbles(joined: np.ndarray, starts: np.ndarray, skip: int = 0) -> Iterator[tuple[Iterator[np.ndarray], np.ndarray]]:
-    """For both halves of all bytes but the first ``skip``: where their slots begin, by input, and the half."""
+def nibbles(joined: np.ndarray, starts: np.ndarray, skip: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For both halves of all bytes but the first ``skip``: where their slots begin (input, byte), and the half."""
     context = contexts(joined, starts)[:, skip:]
     high, low = joined[skip:] >> 4, joined[skip:] & 15
-    yield (slots(c, np.uint64(1)) for c in context), high
+    yield slots(context, np.uint64(1)), high
     node = high.astype(np.uint64) + np.uint64(16)
-    yield (slots(c, node) for c in context), low
+    yield slots(context, node), low
 
 
-def halves(joined: np.ndarray, starts: np.ndarray, skip: int = 0) -> Iterator[tuple[Iterator[np.ndarray], np.ndarray]]:
-    """For both halves of all bytes but the first ``skip``: the slots by input, and the bits
-    (byte, bit). A byte's four slots are neighbours in memory and in the list."""
-    shifts = np.array([4, 3, 2, 1])
-    for base, half in nibbles(joined, starts, skip):
-        value = half.astype(np.int64)[:, None] + 16
-        node = value >> shifts
-        yield ((b[:, None] + node).ravel() for b in base), ((value >> (shifts - 1)) & 1).ravel()
+def halves(joined: np.ndarray, starts: np.ndarray, skip: int = 0) -> Iterator[Iterator[tuple[int, Iterator[np.ndarray], np.ndarray]]]:
+    """For both halves of all bytes but the first ``skip``, in parts of ``PART_BYTES``: where
+    the part begins, the slots by input, and the bits (bit, byte). A byte's four slots of an
+    input are neighbours in memory."""
+    shifts = np.array([[4], [3], [2], [1]])
+    context = contexts(joined, starts)[:, skip:]
+    high, low = (joined[skip:] >> 4).astype(np.int64), (joined[skip:] & 15).astype(np.int64)
+
+    def parts(half: np.ndarray, nodes: np.ndarray | None) -> Iterator[tuple[int, Iterator[np.ndarray], np.ndarray]]:
+        for lo in range(0, len(half), PART_BYTES):
+            cut = slice(lo, lo + PART_BYTES)
+            value = half[cut] + 16
+            node, before = value >> shifts, np.uint64(1) if nodes is None else nodes[cut].astype(np.uint64)
+            yield lo, ((base + node).ravel() for base in slots(context[:, cut], before)), ((value >> (shifts - 1)) & 1).ravel()
+
+    yield parts(high, None)
+    yield parts(low, high + 16)
 
 
 def decisions(joined: np.ndarray, starts: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """For each of the eight bits of all bytes: the slots by input, and the bits."""
-    for at, bits in halves(joined, starts):
-        at = list(at)
+    for parts in halves(joined, starts):
+        found = [([slot.reshape(4, -1) for slot in at], bits.reshape(4, -1)) for _, at, bits in parts]
         for k in range(4):
-            yield [slot[k::4] for slot in at], bits[k::4]
+            yield [np.concatenate([at[i][k] for at, _ in found]) for i in range(INPUTS)], np.concatenate([bits[k] for _, bits in found])
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,18 +237,24 @@ class Mixer:
         ``bit``, as if the decision's own occurrence were not counted."""
         if size is None:
             size = len(at[0] if bit is None else bit)
-        x = np.ones((INPUTS + 1, size), "f4")
-        gate = np.zeros(size, np.int64)
-        own = 0 if bit is None else (bit.astype(np.int64) + 1) << 16
+        x = np.empty((INPUTS + 1, size), "f4")
+        x[-1] = 1
+        own = None if bit is None else (bit + 1) << 16
         for k, slot in enumerate(at):
-            pair = self.pairs[k].take(slot, mode="clip") + own  # (clip: slots are in range, and it spares a copy)
-            LOGITS.take(pair, out=x[k], mode="clip")
-            if k >= INPUTS - 2:
-                gate = 4 * gate + LEVELS.take(pair, mode="clip")
+            pair = self.pairs[k].take(slot)
+            pair = pair.astype(np.int64) if own is None else own + pair
+            LOGITS.take(pair, out=x[k], mode="clip")  # (clip: pairs are in range, and it spares a copy)
+            if k == INPUTS - 2:
+                gate = LEVELS.take(pair, mode="clip") * 4
+            elif k == INPUTS - 1:
+                gate = (gate + LEVELS.take(pair, mode="clip")).astype(np.int64)
         return x, gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("nk,kn->n", self.weights.take(gate, axis=0), x), -14, 14)
+        """The logits under all gates' weights by one product, of which each decision takes its gate's."""
+        n = len(gate)
+        logit = (self.weights @ x).take(gate * n + np.arange(n), mode="clip")
+        return np.clip(logit, -14, 14, out=logit)
 
     def refined(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Probability of a one, half of it by the adaptive map."""
@@ -243,17 +269,22 @@ class Mixer:
     def learn(self, block: Block) -> np.ndarray:
         """One online step for either half of a block's bytes; returns how much each gate was used."""
         used = np.zeros(GATES)
-        for at, bit in halves(block.joined, block.starts, block.skip):
-            x, gate = self.inputs(at, bit)
-            logit = self.mixed(x, gate)
-            error = (bit - _sigmoid(logit)).astype("f4")
-            amount = np.bincount(gate, minlength=GATES)
-            chosen = (np.arange(GATES)[:, None] == gate).astype("f4")
-            step = (chosen * error) @ x.T / np.maximum(amount, 1)[:, None]
+        for parts in halves(block.joined, block.starts, block.skip):
+            step, amount = np.zeros((GATES, INPUTS + 1)), np.zeros(GATES)
+            for _, at, bit in parts:
+                x, gate = self.inputs(at, bit)
+                logit = self.mixed(x, gate)
+                n = len(bit)
+                errors = np.zeros(GATES * n, "f4")
+                errors[gate * n + np.arange(n)] = bit - _sigmoid(logit)
+                step += errors.reshape(GATES, n) @ x.T
+                place = np.rint((np.clip(logit, -8, 8) + 8) * 2).astype(np.int64) + gate * STEPS
+                zeros, ones = np.bincount(2 * place + bit, minlength=2 * GATES * STEPS).reshape(GATES, STEPS, 2).transpose(2, 0, 1)
+                self.hits += ones
+                self.seen += zeros + ones
+                amount += (zeros + ones).sum(axis=1)
+            step /= np.maximum(amount, 1)[:, None]
             self.weights += RATE * np.clip(step, -2, 2).astype("f4")
-            place = np.rint((np.clip(logit, -8, 8) + 8) * 2).astype(np.int64) + gate * STEPS
-            self.hits += np.bincount(place, bit, GATES * STEPS).reshape(GATES, STEPS)
-            self.seen += np.bincount(place, minlength=GATES * STEPS).reshape(GATES, STEPS)
             used += amount
         return used
 
@@ -265,14 +296,16 @@ class Mixer:
     def log10(self, texts: list[list[bytes]]) -> np.ndarray:
         """Log of the probability of each text, a list of words."""
         out, curve = np.zeros(len(texts)), self.curve()
+        logs = np.log10(np.concatenate([1 - curve, curve]))  # of a zero, of a one
         for block in blocks(texts):
-            p = np.ones(len(block.joined) - block.skip)
-            for at, bit in halves(block.joined, block.starts, block.skip):
-                x, gate = self.inputs(at, None, len(bit))
-                step = np.rint((self.mixed(x, gate) + 14) * CURVE).astype(np.int64) + gate * (28 * CURVE + 1)
-                one = np.abs(curve.take(step) - (1 - bit))
-                p *= one[::4] * one[1::4] * one[2::4] * one[3::4]
-            out[block.owners] += np.add.reduceat(np.log10(p), np.maximum(block.starts - block.skip, 0))
+            sums = np.zeros(len(block.joined) - block.skip)
+            for parts in halves(block.joined, block.starts, block.skip):
+                for lo, at, bit in parts:
+                    x, gate = self.inputs(at, None, len(bit))
+                    step = np.rint((self.mixed(x, gate) + 14) * CURVE).astype(np.int64) + gate * (28 * CURVE + 1)
+                    each = logs.take(step + bit * len(curve), mode="clip").reshape(4, -1)
+                    sums[lo:lo + each.shape[1]] += each.sum(axis=0)
+            out[block.owners] += np.add.reduceat(sums, np.maximum(block.starts - block.skip, 0))
         return out
 
 
@@ -388,6 +421,15 @@ class _Places(dict):
         return -1
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch in parts of about ``BATCH_BYTES`` of text, or one row: words take many times their text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES)) + 1
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if stop > start:
+            yield batch.slice(start, stop - start)
+
+
 def _sums(hot, mixer: Mixer, shared, id_col: str):
     names = ["key", id_col, "held_out", "n_tokens", "n_known", "n_bytes", "logs", "score", "rare"]
 
@@ -399,7 +441,7 @@ def _sums(hot, mixer: Mixer, shared, id_col: str):
         place = _Places(zip(words, range(len(words)))).__getitem__
         c, logs = np.r_[c, 0.0], np.r_[np.log10(c + 0.5), 0.0]  # the last: place -1
         key = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             tokens: list[bytes] = []
             counts: list[int] = []
             sizes, lengths, texts = [], [], []

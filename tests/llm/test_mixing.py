@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -137,6 +138,42 @@ def test_rows(spark, hot_words):
     same(score(spark.createDataFrame(rows, SCHEMA).repartition(3), hot_words=hot_words).collect(), rows)
 
 
+def test_a_batch_is_scored_in_parts_of_bounded_text(monkeypatch):
+    """The words of a whole batch took hundreds of MB a task."""
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(mixing, "BATCH_BYTES", 20_000)
+    rnd = random.Random(6)
+    texts = [None, "", "z" * 50_000, *(" ".join(rnd.choices(["ab", "cd", "e"], k=rnd.randrange(900))) for _ in range(60)), None]
+    mixer = Mixer.new(rnd_pairs := np.random.default_rng(6).integers(0, 9, (mixing.INPUTS, 1 << mixing.SLOT_BITS)).astype("<u2"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts, pa.string())], names=["doc_id", "held", "text"])
+    hot = SimpleNamespace(value=([b"ab", b""], np.array([5.0, 7.0])))
+    parts = list(mixing._sums(hot, mixer, SimpleNamespace(value=rnd_pairs), "doc_id")(iter([batch, batch.slice(0, 0)])))
+    sizes = [[len(texts[i] or "") for i in part["doc_id"].to_pylist()] for part in parts]
+    assert len(parts) > 3 and all(sum(size) <= 20_000 + max(size) for size in sizes)
+    got = pa.Table.from_batches(parts)
+    assert got["doc_id"].to_pylist() == list(range(len(texts))) and len(set(got["key"].to_pylist())) == len(texts)
+    assert np.allclose(got["score"].to_numpy(), mixer.log10([words_of(t or "") for t in texts]), rtol=1e-9)
+
+
+def test_parts_of_a_block_give_the_same(monkeypatch):
+    """Weights, maps and scores do not depend on how many bytes are worked on at a time."""
+    rnd = random.Random(8)
+    texts = [[rnd.choice([b"the", b"cat", b"sat", b"on"]) for _ in range(rnd.randrange(300))] for _ in range(20)] + [[]]
+    pairs = np.random.default_rng(8).integers(0, 9, (mixing.INPUTS, 1 << mixing.SLOT_BITS)).astype("<u2") * 257
+    found = []
+    for most in (1 << 30, 1000):
+        monkeypatch.setattr(mixing, "PART_BYTES", most)
+        mixer = Mixer.new(pairs)
+        used = sum(mixer.learn(block) for block in blocks(texts))
+        found.append((used, mixer.weights, mixer.seen.sum(axis=1), mixer.log10(texts)))
+    size = sum(sum(len(w) + 1 for w in t) + 1 for t in texts)
+    assert found[0][0].sum() == 8 * size and (found[0][0] == found[1][0]).all() and (found[0][2] == found[1][2]).all()
+    assert np.allclose(found[0][1], found[1][1], atol=1e-5) and np.allclose(found[0][3], found[1][3], rtol=1e-4)
+
+
 def test_empty_and_all_held_out(spark):
     assert score(spark.createDataFrame([], SCHEMA)).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
