@@ -24,6 +24,9 @@ DECIMAL_TYPE = "decimal(18,3)"
 
 _DIGIT_UNDERSCORE = r"(?<=\d)_(?=\d)"
 _SPARK_SUFFIX = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?[df]\s*$"
+# Whatever may be a double, and little else: a failed cast costs an exception. No backtracking.
+_MAYBE_DOUBLE = (r"(?i)^[\x00-\x20]*+[+-]?(?:[0-9_]*+(?:\.[0-9_]*+)?+(?:e[+-]?[0-9_]++)?+[df]?|nan|inf|infinity"
+                 r"|0x[0-9a-f_]*+(?:\.[0-9a-f_]*+)?+(?:p[+-]?[0-9_]++)?+[df]?)[\x00-\x20]*+$")
 _TIME_TAIL = r"([ T]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,6})?)?)?"
 # DATE tolerates outer blanks, TIMESTAMP does not (as in the oracle engine).
 DATE_GUARD = r"^\s*\d{4}(-|/)\d{1,2}\1\d{1,2}" + _TIME_TAIL + r"\s*$"
@@ -39,12 +42,13 @@ def _text(c) -> Column:
 
 
 def _numeric_text(c) -> Column:
-    return F.regexp_replace(_text(c), _DIGIT_UNDERSCORE, "")
+    t = _text(c)
+    return F.when(t.contains("_"), F.regexp_replace(t, _DIGIT_UNDERSCORE, "")).otherwise(t)
 
 
 def try_double(c) -> Column:
     t = _text(c)
-    return F.when(~t.rlike(_SPARK_SUFFIX), _numeric_text(t).try_cast("double"))
+    return F.when(t.rlike(_MAYBE_DOUBLE) & ~t.rlike(_SPARK_SUFFIX), _numeric_text(t).try_cast("double"))
 
 
 def try_decimal(c, precision: int = 18, scale: int = 3) -> Column:

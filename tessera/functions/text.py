@@ -18,6 +18,7 @@ _NON_WORD = "[^0-9a-z一-鿿]+"
 # White space of text cells (beyond ASCII: next line, no-break and
 # typographic spaces, ideographic space).
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_CHARS = "".join(chr(i) for i in range(1 << 16) if re.match(WS, chr(i)))
 # Header words that mark a date column, and the year token of a
 # monthly file name.
 DATE_COLUMN_HINT = "(?i)date|日期|time|时间"
@@ -33,7 +34,7 @@ def norm_name_py(name: str) -> str:
 
 def strip_ws(c) -> Column:
     """Strip leading/trailing whitespace of every kind (Spark's trim strips spaces only)."""
-    return F.regexp_replace(as_col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(as_col(c), F.lit(WS_CHARS))
 
 
 def _decimal_digits() -> tuple[str, str]:
@@ -48,7 +49,7 @@ OTHER_DIGITS, THEIR_DIGITS = _decimal_digits()
 def fold_digits(c) -> Column:
     """Decimal digits of other scripts (full-width ones too) as ASCII digits."""
     s = as_col(c)
-    return F.when(s.rlike(r"[^\x00-\x7f]"), F.translate(s, OTHER_DIGITS, THEIR_DIGITS)).otherwise(s)
+    return F.when(F.octet_length(s) > F.length(s), F.translate(s, OTHER_DIGITS, THEIR_DIGITS)).otherwise(s)
 
 
 def normalize_name(c) -> Column:

@@ -64,3 +64,22 @@ def test_decimal_is_18_3(spark):
     df = spark.createDataFrame([("1200.5",)], "s string").select(safe_cast("s", "DECIMAL").alias("d"))
     assert df.schema["d"].dataType.simpleString() == "decimal(18,3)"
     assert df.first()["d"] == Decimal("1200.500")
+
+
+def test_only_what_may_be_a_double_is_cast(spark):
+    """A failed cast costs an exception, so texts are looked at first; nothing that casts is lost."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import casts
+
+    texts = ["", " ", "O", "1-URGENT", "Total", "2023-01-05T00:00:00", "1.2.3", "1e", "e5", "_1", "1_", "1__0", "1_000", "1_0d", "12d", "1.5f", "0x1p3", "0X1.8P-1d", "0x_1p3",
+             "0x1_0p1_0", "0x1", "0xep1", "0x.8p0", "nan", "NaN", "+nan", "-NaN", "inf", "-Inf", "+INFINITY", "Infinity", "infinit", "- 1", "+-1", "\x001\x1f", "\t-1\n", "1\n\n", "1 ",
+             " 1", "١", "１", "1e5", "1E+0_5", "1e-5 ", ".5", "5.", ".", "-.e1", "9" * 400, "1" * 3000 + "x", "nıf", "K", "1 2", "1e5e5", "1d5"]
+    texts += ["".join(p) for k in (1, 2, 3, 4) for p in itertools.product("1_.e-dx", repeat=k)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.when(~F.col("t").rlike(casts._SPARK_SUFFIX), F.regexp_replace("t", casts._DIGIT_UNDERSCORE, "").try_cast("double"))
+    for r in df.select("t", casts.try_double("t").alias("a"), plain.alias("b"), F.col("t").rlike(casts._MAYBE_DOUBLE).alias("looked")).collect():
+        assert repr(r.a) == repr(r.b), r
+        assert not r.looked or r.t not in ("O", "1-URGENT", "Total", "2023-01-05T00:00:00", "1.2.3")

@@ -162,3 +162,20 @@ def test_queries_that_return_filtered_cells_render_once(spark, tmp_path):
     got = {r.row_no: r.cells.split("|") for r in QUERIES["g6_rectangularize"](spark, str(tmp_path)).collect()}
     assert got[10 + 3 * 4][1] == "2023-03-05T00:00:00" and got[10 + 3 * 5][1] == "2023-03-06T00:00:00"
     assert 10 + 3 * 5 + 1 not in got  # a subtotal
+
+
+def test_stripping_and_digits_go_without_patterns(spark):
+    """A pattern looked at every place of every cell for blanks, and at every character for other digits."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions.text import WS, fold_digits, strip_ws
+
+    blanks = [chr(i) for i in range(1 << 16) if not 0xD800 <= i < 0xE000 and (chr(i).isspace() or i in (0x200B, 0x180E, 0x85, 0x1F, 0x7F))]
+    texts = [f"{b}{b} a{b}b \n{b}" for b in blanks] + blanks + ["", "\x85\u3000", "\U0001d7d8 x ", "a\r\n", "٣\u3000", "é "]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "c string")
+    out = df.select("c", strip_ws("c").alias("s"), F.regexp_replace("c", f"^{WS}+|{WS}+$", "").alias("p"), fold_digits("c").alias("f"))
+    for r in out.collect():
+        assert r.s == r.p, r
+        assert r.f == (r.c if r.c is None else "".join(str(int(x)) if x.isdecimal() and x < "\uffff" else x for x in r.c)), r
+    plan = df.select(strip_ws("c"), fold_digits("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and "rlike" not in plan.lower()
