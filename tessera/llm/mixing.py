@@ -39,18 +39,24 @@ GATES = 16
 STEPS = 33  # of the adaptive map, over logits from -8 to 8
 SPACE = 0x20
 HOT_WORDS = 1 << 18
-WAITING = 300_000
+WAITING_BYTES = 1 << 24  # of texts whose words are counted at a time
 BLOCK_BYTES = 1 << 14
-PART_BYTES = 1 << 12  # worked on at a time, so that the arrays stay in a core's cache
+PART_BYTES = 1 << 13  # worked on at a time
 BATCH_BYTES = 1 << 20  # of texts whose words are held at a time
+PAD = 40  # items between an array's rows: rows a power of two apart push each other out of the cache
 CURVE = 64  # steps of the scoring curve a unit of logit
 RATE = 0.1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
+with np.errstate(over="ignore"):  # hashes wrap
+    SPREAD = ODD * STEP
+    STEP_TWICE, STEP_SPREAD = STEP * STEP, STEP * SPREAD
+    STEPS_OF = np.arange(ORDERS + 1, dtype=np.uint64) * STEP
+NODES = np.arange(32, dtype=np.uint64) * SPREAD
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | bytes) -> list[bytes]:
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
 
 
 def held_out(doc: Column) -> Column:
@@ -63,9 +69,8 @@ def held_out(doc: Column) -> Column:
 def contexts(joined: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Hashes (input, byte) of what stands before each byte in its text; ``starts``: of texts."""
     n = len(joined)
-    place = np.arange(n)
-    since = place - np.repeat(starts, np.diff(np.r_[starts, n]))  # the text's start
-    value = joined.astype(np.uint64) + np.uint64(1)
+    value = joined.astype(np.uint64)
+    value += np.uint64(1)
     out = np.empty((INPUTS, n), np.uint64)
     h = np.full(n, 1, np.uint64)
     for k in range(1, ORDERS + 1):
@@ -74,26 +79,33 @@ def contexts(joined: np.ndarray, starts: np.ndarray) -> np.ndarray:
         early = (starts[:, None] + np.arange(k)).ravel()  # nothing of the text before
         early = early[(early >= k) & (early < n)]
         h[early] -= value[early - k]
-        np.multiply(h, ODD, out=out[k - 1])
-        out[k - 1] += np.uint64(k)
-    first = since == 0  # of a word
-    first[1:] |= joined[:-1] == SPACE
-    begin = np.maximum.accumulate(np.where(first, place, 0))
-    inside = place - begin
+        np.multiply(h, SPREAD, out=out[k - 1])
+        out[k - 1] += STEPS_OF[k]
+    first = np.zeros(n, bool)  # of a word
+    first[1:] = joined[:-1] == SPACE
+    first[starts] = True
+    begin = np.flatnonzero(first)
+    sizes = np.diff(np.r_[begin, n])
+    inside = np.arange(n) - np.repeat(begin, sizes)
     power = np.cumprod(np.r_[np.uint64(1), np.full(int(inside.max(initial=0)), STEP)])  # wraps
-    term = value * power[inside]
-    total = np.cumsum(term) - term  # all before it
-    word = (total - total[begin]) * ODD + inside.astype(np.uint64)
-    out[ORDERS] = word * STEP
-    after = begin - since[begin] < begin  # there is a word before, whose hash stands at its space
-    out[ORDERS + 1] = (word * STEP + np.where(after, word[begin - 1], 0)) * ODD + np.uint64(1)
+    value *= power.take(inside)
+    word = np.cumsum(value)
+    word -= value  # all before it
+    word -= np.repeat(word[begin], sizes)
+    word *= ODD
+    word += inside.astype(np.uint64)
+    np.multiply(word, STEP_TWICE, out=out[ORDERS])
+    before = word[begin - 1]  # the word before has its hash at its space
+    before[np.searchsorted(begin, starts)] = 0
+    np.multiply(word, STEP_SPREAD, out=out[ORDERS + 1])
+    out[ORDERS + 1] += np.repeat(before * SPREAD + STEP, sizes)
     return out
 
 
 def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Where the 16 slots of a nibble begin: the first is free, a nibble's nodes have the others."""
-    x = context + node * ODD
-    x *= STEP
+    """Where the 16 slots of a nibble begin: the first is free, a nibble's nodes have the others.
+    ``node``: its hash."""
+    x = context + node
     x ^= x >> np.uint64(29)
     x *= ODD
     x >>= np.uint64(64 - SLOT_BITS + 4)
@@ -101,40 +113,34 @@ def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def nibbles(joined: np.ndarray, starts: np.ndarray, skip: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For both halves of all bytes but the first ``skip``: where their slots begin (input, byte), and the half."""
-    context = contexts(joined, starts)[:, skip:]
-    high, low = joined[skip:] >> 4, joined[skip:] & 15
-    yield slots(context, np.uint64(1)), high
-    node = high.astype(np.uint64) + np.uint64(16)
-    yield slots(context, node), low
-
-
 def halves(joined: np.ndarray, starts: np.ndarray, skip: int = 0) -> Iterator[Iterator[tuple[int, Iterator[np.ndarray], np.ndarray]]]:
-    """For both halves of all bytes but the first ``skip``, in parts of ``PART_BYTES``: where
-    the part begins, the slots by input, and the bits (bit, byte). A byte's four slots of an
-    input are neighbours in memory."""
-    shifts = np.array([[4], [3], [2], [1]])
+    """For both halves of all bytes but the first ``skip``, in parts of ``PART_BYTES``: where the
+    part begins, by input where the slots of a byte's half begin plus the half, and the halves."""
     context = contexts(joined, starts)[:, skip:]
     high, low = (joined[skip:] >> 4).astype(np.int64), (joined[skip:] & 15).astype(np.int64)
 
-    def parts(half: np.ndarray, nodes: np.ndarray | None) -> Iterator[tuple[int, Iterator[np.ndarray], np.ndarray]]:
+    def leaves(cut: slice, half: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
+        for row in context[:, cut]:
+            leaf = slots(row, node)
+            leaf += half
+            yield leaf
+
+    def parts(half: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[int, Iterator[np.ndarray], np.ndarray]]:
         for lo in range(0, len(half), PART_BYTES):
             cut = slice(lo, lo + PART_BYTES)
-            value = half[cut] + 16
-            node, before = value >> shifts, np.uint64(1) if nodes is None else nodes[cut].astype(np.uint64)
-            yield lo, ((base + node).ravel() for base in slots(context[:, cut], before)), ((value >> (shifts - 1)) & 1).ravel()
+            yield lo, leaves(cut, half[cut], NODES.take(nodes[cut])), half[cut]
 
-    yield parts(high, None)
+    yield parts(high, np.ones_like(high))
     yield parts(low, high + 16)
 
 
 def decisions(joined: np.ndarray, starts: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """For each of the eight bits of all bytes: the slots by input, and the bits."""
     for parts in halves(joined, starts):
-        found = [([slot.reshape(4, -1) for slot in at], bits.reshape(4, -1)) for _, at, bits in parts]
-        for k in range(4):
-            yield [np.concatenate([at[i][k] for at, _ in found]) for i in range(INPUTS)], np.concatenate([bits[k] for _, bits in found])
+        found = [(np.array(list(leaves)) - half, half + 16) for _, leaves, half in parts]
+        base, value = np.concatenate([at for at, _ in found], axis=1), np.concatenate([value for _, value in found])
+        for k in (4, 3, 2, 1):
+            yield list(base + (value >> k)), (value >> (k - 1)) & 1
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +216,36 @@ def _lookups() -> tuple[np.ndarray, np.ndarray]:
 
 
 LOGITS, LEVELS = _lookups()
+FEWER = np.arange(1 << 16, dtype="<u2") - np.array([[0], [1], [256]], "<u2") * (np.array([np.full(1 << 16, 1), np.arange(1 << 16) % 256, np.arange(1 << 16) // 256]) > 0)
+FEWER = FEWER.astype("<u2").ravel()  # a slot's counts, as in ``_lookups``
+LEAF_NODES = np.array([[(16 + leaf) >> k for k in (4, 3, 2, 1)] for leaf in range(16)])  # on the way to each leaf
+LEAF_BITS = np.array([[(16 + leaf) >> k & 1 for k in (3, 2, 1, 0)] for leaf in range(16)], "u1").view("u4").ravel()
+
+
+def _pack(pairs: np.ndarray, own: bool) -> np.ndarray:
+    """Of each leaf, by input, its four decisions' counts side by side, so that they are read at
+    once; with ``own``, as if the decision's own occurrence were not counted."""
+    out = np.empty((len(pairs), pairs.shape[1]), "<i8")
+    nodes, less = LEAF_NODES.ravel(), (LEAF_BITS.view("u1").astype(np.int64) + 1 << 16) * own
+    for k, row in enumerate(pairs):
+        of, to = row.reshape(-1, 16), out[k].view("<u2").reshape(-1, 64)
+        for lo in range(0, len(of), 1 << 10):
+            FEWER.take(of[lo:lo + (1 << 10)].take(nodes, axis=1) + less, out=to[lo:lo + (1 << 10)], mode="clip")
+    return out
+
+
+class _Packed:
+    """The packed tables in use: a worker has one at a time, and keeps it for its next task."""
+
+    pairs = own = table = None
+
+    @classmethod
+    def of(cls, pairs: np.ndarray, own: bool) -> np.ndarray:
+        if cls.pairs is not pairs or cls.own != own:
+            cls.pairs = cls.table = None
+            cls.table = _pack(pairs, own)
+            cls.pairs, cls.own = pairs, own
+        return cls.table
 
 
 @dataclass
@@ -222,9 +258,10 @@ class Mixer:
     hits: np.ndarray
     seen: np.ndarray
     shared: object = None  # the tables' broadcast
+    room: np.ndarray | None = None  # for a part's inputs and bias
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"pairs": None, "shared": None}
+        return self.__dict__ | {"pairs": None, "shared": None, "room": None}
 
     @staticmethod
     def new(pairs: np.ndarray) -> Mixer:
@@ -266,23 +303,54 @@ class Mixer:
         mapped = table[gate, low] * (1 - part) + table[gate, low + 1] * part
         return np.clip((_sigmoid(logit) + mapped) / 2, 1e-7, 1 - 1e-7)
 
+    def packed(self, table: np.ndarray, leaves: Iterable[np.ndarray], half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``inputs``, of the four decisions of each byte's half one after the other: their
+        counts, gates, and bits."""
+        x = np.empty((INPUTS, len(half) + PAD), "<i8")[:, :len(half)]
+        for k, leaf in enumerate(leaves):
+            table[k].take(leaf, out=x[k], mode="clip")
+        x = x.view("<u2")
+        gate = LEVELS.take(x[-2], mode="clip") << 2
+        gate |= LEVELS.take(x[-1], mode="clip")
+        return x, gate, LEAF_BITS.take(half).view("u1")
+
     def learn(self, block: Block) -> np.ndarray:
         """One online step for either half of a block's bytes; returns how much each gate was used."""
-        used = np.zeros(GATES)
+        used, table = np.zeros(GATES), _Packed.of(self.pairs, True)
         for parts in halves(block.joined, block.starts, block.skip):
             step, amount = np.zeros((GATES, INPUTS + 1)), np.zeros(GATES)
-            for _, at, bit in parts:
-                x, gate = self.inputs(at, bit)
-                logit = self.mixed(x, gate)
-                n = len(bit)
-                errors = np.zeros(GATES * n, "f4")
-                errors[gate * n + np.arange(n)] = bit - _sigmoid(logit)
-                step += errors.reshape(GATES, n) @ x.T
-                place = np.rint((np.clip(logit, -8, 8) + 8) * 2).astype(np.int64) + gate * STEPS
-                zeros, ones = np.bincount(2 * place + bit, minlength=2 * GATES * STEPS).reshape(GATES, STEPS, 2).transpose(2, 0, 1)
+            weights = self.weights.astype("f4")
+            for _, leaves, half in parts:
+                q, gate, bit = self.packed(table, leaves, half)
+                order = gate.view("u1").argsort(kind="stable")  # each gate's decisions stand together
+                many = np.bincount(gate, minlength=GATES)
+                if self.room is None or self.room.shape[1] < len(gate):
+                    self.room = np.ones((INPUTS + 1, len(gate) + PAD), "f4")
+                x, row = self.room[:, :len(gate)], np.empty_like(q[0])
+                for k in range(INPUTS):
+                    LOGITS.take(q[k].take(order, out=row, mode="clip"), out=x[k], mode="clip")
+                bit = bit.take(order)
+                logit = np.empty(len(gate), "f4")
+                cuts = [(g, slice(end - n, end)) for g, (n, end) in enumerate(zip(many.tolist(), np.cumsum(many).tolist())) if n]
+                for g, cut in cuts:
+                    np.dot(weights[g], x[:, cut], out=logit[cut])
+                np.clip(logit, -14, 14, out=logit)
+                error = np.exp(-logit)
+                error += 1
+                np.divide(-1, error, out=error)
+                error += bit
+                for g, cut in cuts:
+                    step[g] += x[:, cut] @ error[cut]
+                np.clip(logit, -8, 8, out=logit)
+                logit *= 2
+                logit += 16.5
+                place = logit.astype(np.int64)
+                place += np.repeat(np.arange(GATES) * 2 * STEPS, many)
+                place += bit * np.int64(STEPS)
+                zeros, ones = np.bincount(place, minlength=2 * GATES * STEPS).reshape(GATES, 2, STEPS).transpose(1, 0, 2)
                 self.hits += ones
                 self.seen += zeros + ones
-                amount += (zeros + ones).sum(axis=1)
+                amount += many
             step /= np.maximum(amount, 1)[:, None]
             self.weights += RATE * np.clip(step, -2, 2).astype("f4")
             used += amount
@@ -295,16 +363,30 @@ class Mixer:
 
     def log10(self, texts: list[list[bytes]]) -> np.ndarray:
         """Log of the probability of each text, a list of words."""
-        out, curve = np.zeros(len(texts)), self.curve()
-        logs = np.log10(np.concatenate([1 - curve, curve]))  # of a zero, of a one
+        out, curve, table = np.zeros(len(texts)), self.curve(), _Packed.of(self.pairs, False)
+        logs = np.log10(np.concatenate([1 - curve, curve])).astype("f4")  # of a zero, of a one
+        most = 28 * CURVE
+        scale = (self.weights.T * CURVE).astype("f4")  # to steps of the curve
+        scale[-1] += most / 2 + 0.5
+        four = np.ones(4, "f4")
+        rows = (np.arange(2)[:, None] * len(curve) + np.arange(GATES) * (most + 1)).ravel()
         for block in blocks(texts):
             sums = np.zeros(len(block.joined) - block.skip)
             for parts in halves(block.joined, block.starts, block.skip):
-                for lo, at, bit in parts:
-                    x, gate = self.inputs(at, None, len(bit))
-                    step = np.rint((self.mixed(x, gate) + 14) * CURVE).astype(np.int64) + gate * (28 * CURVE + 1)
-                    each = logs.take(step + bit * len(curve), mode="clip").reshape(4, -1)
-                    sums[lo:lo + each.shape[1]] += each.sum(axis=0)
+                for lo, leaves, half in parts:
+                    x, gate, bit = self.packed(table, leaves, half)
+                    gate = gate.astype(np.int64)
+                    logit = scale[-1].take(gate, mode="clip")
+                    part, row = np.empty_like(logit), np.empty_like(logit)
+                    for k in range(INPUTS):
+                        scale[k].take(gate, out=part, mode="clip")
+                        part *= LOGITS.take(x[k], out=row, mode="clip")
+                        logit += part
+                    place = np.clip(logit, 0.5, most + 0.5, out=logit).astype(np.int64)
+                    gate += bit * np.int64(GATES)
+                    place += rows.take(gate, mode="clip")
+                    logs.take(place, out=part, mode="clip")
+                    sums[lo:lo + len(half)] += part.reshape(-1, 4) @ four
             out[block.owners] += np.add.reduceat(sums, np.maximum(block.starts - block.skip, 0))
         return out
 
@@ -315,24 +397,32 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(word, c, m)``: of each distinct token (the end is the empty word) the number in
     training documents and in all."""
 
+    def counted(held: bool, texts: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+        words = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(""))))  # at blanks, empty ones at the ends
+        word, n = words.value_counts().flatten()
+        real = pc.not_equal(word, "")
+        word, n = pa.concat_arrays([word.filter(real), pa.array([""])]), pa.concat_arrays([n.filter(real), pa.array([len(texts)])])
+        yield pa.RecordBatch.from_arrays([word.cast(pa.binary()), pc.multiply(n, 0) if held else n, n], names=["word", "c", "m"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trained, held = Counter(), Counter()
-
-        def flush() -> pa.RecordBatch:
-            words = list(trained.keys() | held.keys())
-            c, h = np.array([trained[w] for w in words], np.int64), np.array([held[w] for w in words], np.int64)
-            trained.clear()
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(c + h)], names=["word", "c", "m"])
-
-        for batch in batches:
-            for out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = held if out else trained
-                mine.update(words_of(text or ""))
-                mine[b""] += 1
-                if len(trained) + len(held) > WAITING:
-                    yield flush()
-        yield flush()
+        waiting, size = {False: [], True: []}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for held, parts in waiting.items():
+                if sum(map(len, parts)):
+                    yield from counted(held, pa.chunked_array(parts))
+                parts.clear()
+
+        for batch in (part for whole in batches for part in slices(whole, 1, WAITING_BYTES)):
+            text = batch.column(1).cast(pa.string())
+            for held, parts in waiting.items():
+                parts.append(text.filter(batch.column(0) if held else pc.invert(batch.column(0))))
+            size += pc.sum(pc.binary_length(text)).as_py() or 0
+            if size >= WAITING_BYTES:
+                yield from flush()
+                size = 0
+        yield from flush()
+        pa.default_memory_pool().release_unused()  # workers go on to other stages
 
     rows = docs.select(held_out(F.col(id_col)).alias("held"), text_col).mapInArrow(run, "word binary, c long, m long")
     return rows.groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
@@ -340,8 +430,8 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     for batch in batches:
-        for text in batch.column(0):
-            yield words_of(text.as_py() or "")
+        for text in batch.column(0).cast(pa.binary()):
+            yield words_of(text.as_py() or b"")
 
 
 def _pairs(leaves: np.ndarray) -> np.ndarray:
@@ -363,11 +453,12 @@ def _tables(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, some = np.zeros((INPUTS, 1 << SLOT_BITS), "u4"), False
-        for block in blocks(_texts(batches)):
+        for block in blocks(_texts(batches), PART_BYTES << 2):
             some = True
-            for base, half in nibbles(block.joined, block.starts, block.skip):
-                for k, slot in enumerate(base):
-                    np.add.at(counts[k], slot + half, np.uint32(1))
+            for parts in halves(block.joined, block.starts, block.skip):
+                for _, leaves, _ in parts:
+                    for k, leaf in enumerate(leaves):
+                        np.add.at(counts[k], leaf, np.uint32(1))
         if some:
             for shard, part in enumerate(counts.reshape(INPUTS * shards, -1)):
                 yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([part.tobytes()], pa.binary())], names=["shard", "counts"])
@@ -421,10 +512,10 @@ class _Places(dict):
         return -1
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """All rows of a batch in parts of about ``BATCH_BYTES`` of text, or one row: words take many times their text."""
+def slices(batch: pa.RecordBatch, column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch in parts of about ``most`` (``BATCH_BYTES``) of text, or one row: words take many times their text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES)) + 1
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // (most or BATCH_BYTES))) + 1
     for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
         if stop > start:
             yield batch.slice(start, stop - start)
@@ -445,15 +536,15 @@ def _sums(hot, mixer: Mixer, shared, id_col: str):
             tokens: list[bytes] = []
             counts: list[int] = []
             sizes, lengths, texts = [], [], []
-            for text in batch.column(2).to_pylist():
-                found = words_of(text or "")
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                found = words_of(text or b"")
                 texts.append(found)
                 mine = Counter(found)
                 mine[b""] = 1
                 tokens += mine
                 counts += mine.values()
                 sizes.append(len(mine))
-                lengths.append(len((text or "").encode("utf-8", "surrogatepass")))
+                lengths.append(len(text or b""))
             at, n = np.fromiter(map(place, tokens), np.int64, len(tokens)), np.array(counts, np.int64)
             starts = np.cumsum([0, *sizes])
             total = lambda values: np.add.reduceat(values, starts[:-1]) if len(sizes) else values

@@ -174,6 +174,56 @@ def test_parts_of_a_block_give_the_same(monkeypatch):
     assert np.allclose(found[0][1], found[1][1], atol=1e-5) and np.allclose(found[0][3], found[1][3], rtol=1e-4)
 
 
+def test_packed_tables_give_what_each_slot_does():
+    """A half's four decisions are read at once; logits, gates, weights, maps and scores are those of single slots."""
+    rnd, dice = random.Random(9), np.random.default_rng(9)
+    pairs = dice.integers(0, 30, (mixing.INPUTS, 1 << mixing.SLOT_BITS)) + 256 * dice.integers(0, 30, (mixing.INPUTS, 1 << mixing.SLOT_BITS))
+    pairs[dice.random(pairs.shape) < 0.3] = 0
+    mixer = Mixer.new(pairs.astype("<u2"))
+    texts = [[rnd.choice([b"the", b"cat", "\u00e9".encode(), b"on"]) for _ in range(rnd.randrange(60))] for _ in range(20)] + [[]]
+    block, = blocks(texts)
+    plain = list(decisions(block.joined, block.starts))
+    for own in (True, False):
+        table = mixing._pack(mixer.pairs, own)
+        for k, parts in enumerate(mixing.halves(block.joined, block.starts)):
+            (_, leaves, half), = parts
+            x, gate, bit = mixer.packed(table, leaves, half)
+            for j, (at, want) in enumerate(plain[4 * k:4 * k + 4]):
+                logits, gates = mixer.inputs(at, want if own else None)
+                assert (mixing.LOGITS[x[:, j::4]] == logits[:-1]).all()
+                assert (gate[j::4] == gates).all() and (bit[j::4] == want).all()
+    twin = Mixer.new(mixer.pairs)
+    mixer.learn(block)
+    for first in (0, 4):
+        step, amount = np.zeros_like(twin.weights, "f8"), np.zeros(mixing.GATES)
+        for at, bit in plain[first:first + 4]:
+            x, gate = twin.inputs(at, bit)
+            error = bit - 1 / (1 + np.exp(-twin.mixed(x, gate)))
+            for g in range(mixing.GATES):
+                step[g] += x[:, gate == g] @ error[gate == g]
+                amount[g] += (gate == g).sum()
+        twin.weights += mixing.RATE * np.clip(step / np.maximum(amount, 1)[:, None], -2, 2).astype("f4")
+    assert np.allclose(mixer.weights, twin.weights, atol=1e-6) and mixer.seen.sum() == 8 * len(block.joined)
+    want = np.zeros(len(block.joined))
+    for at, bit in plain:
+        x, gate = mixer.inputs(at, None, len(bit))
+        one = mixer.refined(mixer.mixed(x, gate), gate)
+        want += np.log10(np.where(bit, one, 1 - one))
+    assert np.allclose(mixer.log10(texts), np.add.reduceat(want, block.starts), rtol=1e-3)
+
+
+def test_words_are_counted_in_parts_of_bounded_text(spark):
+    rows = [(i, t, "", 0) for i, t in enumerate([None, "", "  A\x0ba b\u00c9 ", "\x1c x\x85y a\n", "a " * 3000, "z" * 9000] * 40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {bytes(r.word): (r.c, r.m) for r in mixing.word_counts(docs, "doc_id", "text").collect()}
+    trained, every = Counter(), Counter()
+    for i, t, *_ in rows:
+        mine = [*words_of(t or ""), b""]
+        every.update(mine)
+        trained.update(mine if zlib.crc32(str(i).encode()) % 5 != 1 else [])
+    assert got == {w: (trained[w], n) for w, n in every.items()}
+
+
 def test_empty_and_all_held_out(spark):
     assert score(spark.createDataFrame([], SCHEMA)).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
