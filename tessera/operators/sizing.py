@@ -9,6 +9,7 @@ when they are not. Nothing is counted or collected while a plan is built.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,14 @@ def materialize(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(frames: Iterable[DataFrame], spark: SparkSession) -> DataFrame:
+    """Tables of the same columns, each computed and let go before the next, stored as one."""
+    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
+    for df in frames:
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """``df`` as a side of a join that is never broadcast. Spark takes a stored table for as
     large as its files; with repeated values in nested arrays it has a hundred times that in

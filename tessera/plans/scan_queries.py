@@ -4,8 +4,14 @@ written as real CSV exports into a fresh folder under the cluster's shared
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,18 +44,76 @@ def _csv_cell(c):
     return F.when(c.rlike('[",\\n\\r]'), quoted).otherwise(c)
 
 
+# Characters that Spark escapes in the folder name of a partition, and its name for no value.
+_UNSAFE = r"""["#%'*/:=?\\\x7f{\[\]^\x01-\x1f]"""
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _file_name(c):
+    """A sheet's name as Spark writes it in a partition's folder name."""
+    escaped = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(_UNSAFE), F.concat(F.lit("%"), F.hex(x))).otherwise(x)), "")
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit(_NO_NAME)).when(c.rlike(_UNSAFE), escaped).otherwise(c)
+
+
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder of a path in a mounted file system, where a file is opened as any other."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(p).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def _write_files(folder: str):
+    """A task's sheets into a folder of its own. A file gets its name when it is whole, so
+    that a second attempt of the task does no harm."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        into = f"{folder}/{task.partitionId():06d}.txt"
+        part, name, out, files = f"{into}/_{task.taskAttemptId()}", None, None, 0
+
+        def close() -> None:
+            out.close()
+            os.replace(part, f"{into}/fname={name}.txt")
+
+        for batch in batches:
+            for fname, rows in groupby(zip(*(c.to_pylist() for c in batch.columns)), key=itemgetter(0)):
+                if fname != name:
+                    if out:
+                        close()
+                    os.makedirs(into, exist_ok=True)
+                    name, out, files = fname, open(part, "wb"), files + 1
+                out.write(b"".join(line for _, line in rows))
+        if out:
+            close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return run
+
+
 def write_grid_export(grid: DataFrame, path: str) -> str:
-    """One text file per sheet (rows in order) under ``fname=<sheet name>``. Tasks put their
-    files in place themselves: the driver would rename a file a sheet, one after another.
-    As many tasks as are asked for: the time is that of opening files, not of their bytes."""
-    lines = grid.select(F.col("source_file").alias("fname"), "row_no",
-                        F.concat_ws(",", F.transform("cells", _csv_cell)).alias("value"))
-    (lines.repartition(4 * grid.sparkSession.sparkContext.defaultParallelism, "fname").sortWithinPartitions("fname", "row_no")
-     .select("fname", "value").write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-     .partitionBy("fname").text(path))
+    """One text file per sheet (rows in order), its name after ``fname=`` in the path; paths
+    sort as the names do. As many tasks as are asked for: the time is that of opening files,
+    not of their bytes. In a mounted file system tasks write files as they are, many to a
+    folder: Hadoop starts processes that set the rights of each file it makes there, and
+    keeps a second file of checksums. Elsewhere Spark writes them, a folder a sheet."""
+    spark = grid.sparkSession
+    tasks, folder = 4 * spark.sparkContext.defaultParallelism, _local_folder(spark, path)
+    lines = grid.select("source_file", "row_no", F.concat_ws(",", F.transform("cells", _csv_cell)).alias("value"))
+    if folder is None:
+        (lines.withColumnRenamed("source_file", "fname").repartition(tasks, "fname").sortWithinPartitions("fname", "row_no")
+         .select("fname", "value").write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+         .partitionBy("fname").text(path))
+    else:
+        named = lines.select(_file_name(F.col("source_file")).alias("fname"), "row_no", F.concat("value", F.lit("\n")).cast("binary").alias("value"))
+        placed = named.repartitionByRange(tasks, "fname").sortWithinPartitions("fname", "row_no").select("fname", "value")
+        placed.mapInArrow(_write_files(folder), "files long").agg(F.sum("files")).collect()
+        return f"{path}/*.txt"
     return f"{path}/*/*.txt"
 
 
+def _sheet_name(column: str):
+    return F.url_decode(F.regexp_extract(column, r"fname=([^/]+?)(?:/[^/]*|\.txt)$", 1))
+
+
 _CUST_COLS = '"Cust Name", "Date Purchased", "Amount USD", "Country", "Phone", "Segment"'
 
 
@@ -83,7 +147,7 @@ def s2_read_grid(spark, sf):
     job for all files), named by their sheet, cleaned."""
     path = write_grid_export(fr.freight_grid(spark, sf), export_dir(spark, "freight"))
     grid = read_grid(spark, path)
-    named = grid.withColumn("source_file", F.url_decode(F.regexp_extract("source_file", "fname=([^/]+)/", 1)))
+    named = grid.withColumn("source_file", _sheet_name("source_file"))
     rows, _ = clean_sheets(named, dense_rows=True)
     return rows.select("source_file", F.array_join("cells", "|").alias("cells"))
 
@@ -124,8 +188,7 @@ def u2_unify_lake(spark, sf):
     grid = headers.unionByName(fr.sheet_grid(spark, sf))
     path = write_grid_export(grid, export_dir(spark, "sheets"))
     table, _ = unify_lake(spark, path)
-    name = F.url_decode(F.regexp_extract("source_file", "fname=([^/]+)/", 1))
-    return table.withColumn("source_file", name)
+    return table.withColumn("source_file", _sheet_name("source_file"))
 
 
 def _sheet_files(spark, sf, header=None) -> str:
@@ -135,10 +198,6 @@ def _sheet_files(spark, sf, header=None) -> str:
     return write_grid_export(heads.unionByName(fr.sheet_grid(spark, sf)), export_dir(spark, "sheets"))
 
 
-def _sheet_name(column: str):
-    return F.url_decode(F.regexp_extract(column, "fname=([^/]+)/", 1))
-
-
 @register("s1_multiline_cells", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, nullif(text, '') AS text FROM documents""")
 def s1_multiline_cells(spark, sf):
     """All documents as CSV files whose quoted cells hold line breaks, read back by several

@@ -2,9 +2,11 @@
 
 Lines are read, split into cells and numbered by Spark's own functions; no Python runs on
 them. The cells are stored once in the shared folder, so that header detection, catalog
-and rows all read one and the same numbering and no line is parsed twice. A line's number
-is the byte offset of its split plus its place in the split: unique and increasing within
-a file, and dense from 0 in the file's first split.
+and rows all read one and the same numbering and no line is parsed twice. A small file is
+read as one value, cut into lines in memory, and its lines are numbered from 0. Larger files
+are split: there a line's number is the byte offset of its split plus its place in the
+split: unique and increasing within a file, and dense from 0 in the file's first split.
+Files are listed and read some at a time, as the driver holds what it has listed.
 
 A row keeps exactly the cells its line has, empty ones at the end included, and a line may
 be of any length. Nothing is type-sniffed: all columns are text.
@@ -16,6 +18,7 @@ import hashlib
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +26,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.names import header_names as header_names_of
 from tessera.functions.names import header_names_py as header_names
-from tessera.operators.sizing import materialize, running_sums
+from tessera.operators.sizing import materialize, materialize_all, running_sums
 from tessera.operators.unify import unify_grid
 
 # Accepted extensions and their delimiters.
 DELIMITERS = {".csv": ",", ".txt": ",", ".tsv": "\t"}
 # Fixed value: bytes that could be read while a file is opened.
 OPEN_COST = 1 << 16
+# The bytes of a small file at most, and how many files the driver lists at a time.
+SMALL = 1 << 20
+LISTED = 100_000
 
 
 class UnsupportedSource(ValueError):
@@ -82,15 +88,66 @@ def _reader(spark: SparkSession, **conf: int) -> SparkSession:
     tasks a core, not by 10,000 tasks."""
     reader = spark.newSession()
     cores = spark.sparkContext.defaultParallelism
-    for name, value in {"spark.sql.files.openCostInBytes": OPEN_COST, "spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * cores, **conf}.items():
+    for name, value in {"spark.sql.files.openCostInBytes": OPEN_COST, "spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * cores,
+                        "spark.sql.sources.parallelPartitionDiscovery.threshold": 1, **conf}.items():
         reader.conf.set(name, str(value))
     return reader
 
 
-def _lines(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
-    """Lines, to be stored at once: the session is ``_reader``'s."""
-    return _reader(spark).read.options(**options).text(paths).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"), "value")
+def _groups(spark: SparkSession, paths: list[str]) -> Iterator[list[str]]:
+    """The paths in groups of ``LISTED`` files, a folder's files together. Folders are
+    counted one by one; nothing is cut where a path's matches are not a few folders."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    group: list[str] = []
+    held = 0
+    for path in paths:
+        at = hadoop.Path(path)
+        fs = at.getFileSystem(conf)
+        found = list(matches) if (matches := fs.globStatus(at)) is not None and len(matches) <= 10_000 else []
+        names = [m.getPath().toString() for m in found]
+        if not found or not all(m.isDirectory() for m in found) or re.search(r"[*?{}\[\]\\]", "".join(names)):
+            group, held = [*group, path], held + (len(matches) if matches is not None else 0)
+            continue
+        for name in names:
+            count = fs.getContentSummary(hadoop.Path(name)).getFileCount()
+            if group and held + count > LISTED:
+                yield group
+                group, held = [], 0
+            group, held = [*group, name], held + count
+    yield group
+
+
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(source_file, name, size, content)`` of whole files; filters on name and size open none."""
+    return _reader(spark).read.format("binaryFile").load(paths).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"), "content")
+
+
+def _is_small(size: str = "size", name: str = "name") -> Column:
+    """Read as it is: other extensions may be those of compressed files, which the line reader opens."""
+    return (F.col(size) <= SMALL) & F.lower(F.col(name)).rlike(rf"({'|'.join(map(re.escape, DELIMITERS))})$")
+
+
+def _lines(spark: SparkSession, paths: list[str], large: bool = False, **options: str) -> DataFrame:
+    """Lines (only of files that are not small), to be stored at once: the session is ``_reader``'s."""
+    read = _reader(spark).read.options(**options).text(paths)
+    kept = read.where(~_is_small("_metadata.file_size", "_metadata.file_name")) if large else read
+    return kept.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+
+def _small_rows(files: DataFrame, delim: str) -> DataFrame:
+    """The grid of small files: lines as the line reader cuts them, numbered where they are cut."""
+    text = _first_mark_off(F.col("content").cast("string"))
+    lines = F.filter(F.split(text, "\r\n|\n|\r", -1), lambda x: x != "")
+    numbered = files.where(_is_small()).select("source_file", F.posexplode(F.transform(lines, _first_mark_off)).alias("row_no", "value"))
+    return numbered.select("source_file", F.col("row_no").cast("long").alias("row_no"), cells_of("value", delim).alias("cells"))
+
+
+def _stored(frames: Iterator[DataFrame], spark: SparkSession) -> DataFrame:
+    """The frames of all groups of files as one table; mostly there is one group."""
+    first = next(frames)
+    second = next(frames, None)
+    return materialize(first, spark) if second is None else materialize_all(chain([first, second], frames), spark)
 
 
 def _placed(lines: DataFrame) -> DataFrame:
@@ -105,10 +162,13 @@ def _numbered(stored: DataFrame) -> DataFrame:
     return stored.join(first, ["source_file", "start"]).select("source_file", (F.col("start") + F.col("at") - F.col("_first")).alias("row_no"), "cells")
 
 
+def _first_mark_off(text: Column) -> Column:
+    return F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+
+
 def _no_mark(value: str) -> Column:
     """A file's first line without a byte order mark."""
-    marked = (F.col("start") == 0) & F.col(value).startswith("\ufeff")
-    return F.when(marked, F.substring(F.col(value), F.lit(2), F.length(value))).otherwise(F.col(value))
+    return F.when(F.col("start") == 0, _first_mark_off(F.col(value))).otherwise(F.col(value))
 
 
 def read_grid(spark: SparkSession, paths, delim: str | None = None, multiline: bool = False) -> DataFrame:
@@ -124,8 +184,21 @@ def read_grid(spark: SparkSession, paths, delim: str | None = None, multiline: b
     d = _one_delimiter(ps, delim)
     if multiline:
         return _records(spark, _lines(spark, ps, lineSep="\n"), d)
-    lines = _placed(_lines(spark, ps).where("value <> ''").withColumn("value", _no_mark("value")))
-    return _numbered(materialize(lines.select("source_file", "start", "at", cells_of("value", d).alias("cells")), spark))
+    split = []
+
+    def small() -> Iterator[DataFrame]:
+        for group in _groups(spark, ps):
+            files = _files(spark, group)
+            if not files.where(~_is_small()).select("size").isEmpty():
+                split.append(group)
+            yield _small_rows(files, d)
+
+    grid = _stored(small(), spark)
+    if not split:
+        return grid
+    lines = (_placed(_lines(spark, g, large=True).where("value <> ''").withColumn("value", _no_mark("value"))) for g in split)
+    stored = _stored((x.select("source_file", "start", "at", cells_of("value", d).alias("cells")) for x in lines), spark)
+    return grid.unionByName(_numbered(stored))
 
 
 def _records(spark: SparkSession, lines: DataFrame, delim: str) -> DataFrame:

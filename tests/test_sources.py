@@ -258,3 +258,68 @@ def test_documents_are_written_by_as_many_tasks_as_read_them(spark, tmp_path):
     assert sorted((int(r.doc_id), r.lang, r.text) for r in got) == rows
     (path,) = set(glob.glob(f"{shared_folder(spark)}/tessera-exports/texts-*")) - before
     assert len(glob.glob(f"{path}/*.csv")) > 3
+
+
+def test_sheets_are_plain_files_in_a_few_folders(spark):
+    """Every sheet is one file under its name, with no file of checksums and no folder of its own, and paths sort as names do."""
+    names = ["b/1.csv", "a+b.csv", "客户 #2.csv", None, "z.csv", "c%d.csv"]
+    rows = [(n, r, [str(r), "x,y"]) for n in names for r in (2, 1)] + [("long.csv", r, ["word", str(r)]) for r in range(25000)]
+    grid = spark.createDataFrame(rows, "source_file string, row_no long, cells array<string>").repartition(3)
+    path = scan_queries.export_dir(spark, "plain")
+    pattern = scan_queries.write_grid_export(grid, path)
+    found = sorted(os.path.join(d, f) for d, _, files in os.walk(path) for f in files)
+    assert len(found) == len(names) + 1 and all(f.endswith(".txt") for f in found)
+    assert len({os.path.dirname(f) for f in found}) <= 4 * spark.sparkContext.defaultParallelism
+    assert [os.path.basename(f) for f in found] == sorted(os.path.basename(f) for f in found)
+    read = delimited.read_grid(spark, pattern).withColumn("source_file", scan_queries._sheet_name("source_file"))
+    got = {}
+    for r in sorted(read.collect(), key=lambda r: (r.source_file, r.row_no)):
+        got.setdefault(r.source_file, []).append(r.cells)
+    assert len(got.pop("long.csv")) == 25000
+    # names come back as from a partition's folder: escaped characters stay so, a plus is a blank
+    assert set(got) == {"b%2F1.csv", "a b.csv", "客户 %232.csv", "__HIVE_DEFAULT_PARTITION__", "z.csv", "c%25d.csv"}
+    assert all(cells == [["1", "x,y"], ["2", "x,y"]] for cells in got.values())
+
+
+ODD_FILES = {"mark.csv": "\ufeffa,b\n\ufeff1,2\n", "marks.csv": "\ufeff\ufeffa\n", "ends.csv": "a,b\r\n1,2\r\r\n\n3,4", "quotes.csv": EDGE,
+             "blank.csv": "\n\r\n", "one.txt": "x", "bytes.csv": b"a,\xff\xe5\n\xe5\xae,b\n", "none.csv": ""}
+
+
+def _odd_folder(tmp_path):
+    for i, (name, text) in enumerate(ODD_FILES.items()):
+        folder = tmp_path / f"{i % 3}.csv"
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+    return f"{tmp_path}/*.csv"
+
+
+def test_small_files_have_the_line_readers_rows(spark, tmp_path, monkeypatch):
+    path = _odd_folder(tmp_path)
+
+    def grid():
+        rows = sorted((os.path.basename(r.source_file), r.row_no, r.cells) for r in delimited.read_grid(spark, path, ",").collect())
+        return rows
+
+    small = grid()
+    assert ("ends.csv", 2, ["3", "4"]) in small and ("mark.csv", 1, ["1", "2"]) in small and ("marks.csv", 0, ["a"]) in small
+    monkeypatch.setattr(delimited, "SMALL", 4)
+    assert grid() == small  # some are read as a value, others by the line reader
+    monkeypatch.setattr(delimited, "SMALL", -1)
+    assert grid() == small
+    whole = {n: t if isinstance(t, bytes) else t.encode() for n, t in ODD_FILES.items() if n not in ("none.csv", "mark.csv", "marks.csv")}
+    for size in (4, 1 << 20):
+        monkeypatch.setattr(delimited, "SMALL", size)
+        got = {os.path.basename(r.source_file): r.content_hash for r in delimited.file_content_hashes(spark, path).collect()}
+        assert {n: got[n] for n in whole} == {n: hashlib.sha256(t).hexdigest()[:16] for n, t in whole.items()}
+        assert len(got) == len(ODD_FILES) - 1
+
+
+def test_folders_are_listed_in_groups(spark, tmp_path, monkeypatch):
+    path = _odd_folder(tmp_path)
+    whole = sorted(delimited.read_grid(spark, path, ",").collect())
+    monkeypatch.setattr(delimited, "LISTED", 4)
+    groups = list(delimited._groups(spark, [path]))
+    assert len(groups) == 3 and sum(map(len, groups)) == 3
+    assert sorted(delimited.read_grid(spark, path, ",").collect()) == whole
+    assert delimited.file_content_hashes(spark, path).count() == len(ODD_FILES) - 1
+    assert list(delimited._groups(spark, [f"{tmp_path}/*/*.csv", f"{tmp_path}/none"])) == [[f"{tmp_path}/*/*.csv", f"{tmp_path}/none"]]
