@@ -332,17 +332,11 @@ def file_content_hashes(spark: SparkSession, paths) -> DataFrame:
     """``(source_file, content_hash)``: SHA-256 prefix of each file's bytes, of files of any
     size (up to 2 GB without a line break in them). Spark lists no file of no bytes.
 
-    Each file is one task's, and a task has many small files; it streams their lines into one hash object a file; lines are taken
-    as bytes, and the file's size tells whether a last line break and a byte order mark,
-    which the line reader drops, belong to it. Nothing is shuffled but a row a file.
+    Small files are hashed as one value each. A larger one is one task's, which streams its
+    lines into one hash object; lines are taken as bytes, and the file's size tells whether a
+    last line break and a byte order mark, which the line reader drops, belong to it. Nothing
+    is shuffled.
     """
-    listed = materialize(_reader(spark).read.format("binaryFile").load(_paths(paths)).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("size")), spark)
-    n, largest, total = listed.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    # a part is no smaller than the largest file: files are not split, and small ones are put together
-    parts = max(1, min(4 * spark.sparkContext.defaultParallelism, (total + n * OPEN_COST) // max(largest, 1)))
-    whole = _reader(spark, **{"spark.sql.files.maxPartitionBytes": max(largest, 1 << 27), "spark.sql.files.minPartitionNum": parts})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state, length, rows = None, None, 0, []
 
@@ -368,7 +362,16 @@ def file_content_hashes(spark: SparkSession, paths) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())],
                                          names=["source_file", "content_hash"])
 
-    lines = whole.read.option("lineSep", "\n").text(_paths(paths)).select("_metadata.file_path", "_metadata.file_size", F.col("value").cast("binary"))
-    hashed = lines.mapInArrow(run, "source_file string, content_hash string")
-    mark = F.lit(hashlib.sha256(b"\xef\xbb\xbf").hexdigest()[:16])  # a file of a mark alone has no line
-    return listed.join(materialize(hashed, spark), "source_file", "left").select("source_file", F.coalesce("content_hash", mark).alias("content_hash"))
+    def hashes() -> Iterator[DataFrame]:
+        for group in _groups(spark, _paths(paths)):
+            files = _files(spark, group)
+            yield files.where(F.col("size") <= SMALL).select("source_file", F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"))
+            large = files.where(F.col("size") > SMALL).agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)))
+            n, largest, total = large.first()
+            if n:  # a part is no smaller than the largest file: files are not split
+                parts = max(1, min(4 * spark.sparkContext.defaultParallelism, (total + n * OPEN_COST) // largest))
+                whole = _reader(spark, **{"spark.sql.files.maxPartitionBytes": max(largest, 1 << 27), "spark.sql.files.minPartitionNum": parts})
+                lines = whole.read.option("lineSep", "\n").text(group).where(F.col("_metadata.file_size") > SMALL)
+                yield lines.select("_metadata.file_path", "_metadata.file_size", F.col("value").cast("binary")).mapInArrow(run, "source_file string, content_hash string")
+
+    return _stored(hashes(), spark)
