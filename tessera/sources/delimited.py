@@ -23,10 +23,11 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.names import header_names as header_names_of
 from tessera.functions.names import header_names_py as header_names
-from tessera.operators.sizing import materialize, materialize_all, running_sums
+from tessera.operators.sizing import materialize, materialize_all
 from tessera.operators.unify import unify_grid
 
 # Accepted extensions and their delimiters.
@@ -129,8 +130,9 @@ def _is_small(size: str = "size", name: str = "name") -> Column:
 
 
 def _lines(spark: SparkSession, paths: list[str], large: bool = False, **options: str) -> DataFrame:
-    """Lines (only of files that are not small), to be stored at once: the session is ``_reader``'s."""
-    read = _reader(spark).read.options(**options).text(paths)
+    """Lines (``large``: only of files that are not small): the session is ``_reader``'s, and splits are
+    the same in each read, whatever executors come or go."""
+    read = _reader(spark, **{"spark.sql.files.minPartitionNum": spark.sparkContext.defaultParallelism}).read.options(**options).text(paths)
     kept = read.where(~_is_small("_metadata.file_size", "_metadata.file_name")) if large else read
     return kept.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
@@ -204,29 +206,34 @@ def read_grid(spark: SparkSession, paths, delim: str | None = None, multiline: b
 def _records(spark: SparkSession, lines: DataFrame, delim: str) -> DataFrame:
     """Records of files whose quoted cells may hold line breaks, whatever their splits.
 
-    A line begins a record if the quotes before it in the file are even in number. This
-    parity is a running sum over the file: sums within a part, plus the totals of the
-    parts before. Files in which every line has an even number of quotes need none of it:
-    there each line is a record. Lines of one record are put together again by their
-    record's number. A quote that is never closed makes the rest of its file one record.
+    A line begins a record if the quotes before it in the file are even in number. The
+    parity at the beginning of a split comes from the quotes of the splits before it, a row
+    a split, for which the files are read once. Then the lines of a split are brought
+    together and made into records there, which are stored: lines are shuffled once and no
+    line is stored. Only the pieces of a record that goes on over splits (at most two a
+    split) are put together after that. A quote that is never closed makes the rest of its
+    file one record.
     """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    stored = materialize(_placed(lines.withColumn("value", _no_mark("value")).withColumn("odd", (quotes % 2).cast("int"))), spark)
-    open_files = stored.where("odd = 1").select("source_file").distinct()
-    blank = F.col("value").isin("", "\r")
-    whole = stored.join(open_files, "source_file", "left_anti").where(~blank)
-    plain = whole.select("source_file", "start", "at", cells_of(F.rtrim("value", F.lit("\r")), delim).alias("cells"))
-    # numbers without gaps for blank lines: the place among the lines that are left
-    dense = running_sums(plain, "source_file", ["start", "at"], {"row_no": F.lit(1)}).select("source_file", (F.col("row_no") - 1).cast("long").alias("row_no"), "cells")
-    split = stored.join(open_files, "source_file", "left_semi")
-    counted = running_sums(split, "source_file", ["start", "at"], {"quotes": F.col("odd")})
-    begins = ((F.col("quotes") - F.col("odd")) % 2 == 0)
-    begun = counted.withColumn("begins", begins).where(~(begins & blank))
-    numbered = running_sums(begun, "source_file", ["start", "at"], {"record": F.col("begins").cast("int")})
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "at", "value"))), lambda x: x["value"]), "\n")
-    records = numbered.groupBy("source_file", "record").agg(text.alias("text"))
-    return dense.unionByName(records.select("source_file", (F.col("record") - 1).cast("long").alias("row_no"),
-                                            cells_of(F.rtrim("text", F.lit("\r")), delim).alias("cells")))
+    odd = _placed(lines.withColumn("value", _no_mark("value"))).withColumn("odd", (quotes % 2).cast("int"))
+    split, blank = ["source_file", "start"], F.col("value").isin("", "\r")
+    earlier = Window.partitionBy("source_file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(odd.groupBy(*split).agg(F.sum("odd").alias("odds")), spark)
+    entered = counts.select(*split, F.coalesce(F.sum("odds").over(earlier), F.lit(0)).alias("entered"))
+    within = Window.partitionBy(*split).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = odd.join(entered, split).withColumn("begins", (F.col("entered") + F.sum("odd").over(within) - F.col("odd")) % 2 == 0)
+    numbered = counted.where(~(F.col("begins") & blank)).withColumn("record", F.sum(F.col("begins").cast("int")).over(within))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n")
+    pieces = materialize(numbered.groupBy(*split, "record").agg(text.alias("text")), spark)  # record 0: of an earlier split
+    ends = materialize(pieces.groupBy(*split).agg(F.max("record").alias("last"), (F.min("record") == 0).alias("goes_on")), spark)
+    following = F.lead("goes_on", 1, False).over(Window.partitionBy("source_file").orderBy("start"))
+    places = ends.select(*split, "last", following.alias("followed"), F.coalesce(F.sum("last").over(earlier), F.lit(0)).alias("before"))
+    parts = pieces.join(places, split).withColumn("row_no", (F.col("before") + F.col("record") - 1).cast("long"))
+    cut = (F.col("record") == 0) | ((F.col("record") == F.col("last")) & F.col("followed"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "\n")
+    mended = parts.where(cut).groupBy("source_file", "row_no").agg(joined.alias("text"))
+    records = parts.where(~cut).select("source_file", "row_no", "text").unionByName(mended)
+    return records.select("source_file", "row_no", cells_of(F.rtrim("text", F.lit("\r")), delim).alias("cells"))
 
 
 def heads(grid: DataFrame) -> DataFrame:

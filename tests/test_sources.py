@@ -323,3 +323,21 @@ def test_folders_are_listed_in_groups(spark, tmp_path, monkeypatch):
     assert sorted(delimited.read_grid(spark, path, ",").collect()) == whole
     assert delimited.file_content_hashes(spark, path).count() == len(ODD_FILES) - 1
     assert list(delimited._groups(spark, [f"{tmp_path}/*/*.csv", f"{tmp_path}/none"])) == [[f"{tmp_path}/*/*.csv", f"{tmp_path}/none"]]
+
+
+def test_multiline_records_over_many_splits(spark, tmp_path, monkeypatch):
+    """Records that begin, end and go on through splits of a few bytes; lines are stored once, as records."""
+    cells = [["id", "text"]] + [[str(i), "\n".join(["", f'say "{i}"', "\r", "word " * (i % 7)] * (i % 5))] for i in range(120)] + [["long", "x\n" * 400], ["end", ""]]
+    for name, rows in (("a.csv", cells), ("plain.csv", [["a", "b"]] + [[str(i), "v"] for i in range(300)])):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, lineterminator="\n\n").writerows(rows)
+    whole = sorted(map(str, delimited.read_grid(spark, f"{tmp_path}/*.csv", multiline=True).collect()))
+    assert len(whole) == len(cells) + 301
+    reader = delimited._reader
+    monkeypatch.setattr(delimited, "_reader", lambda s, **conf: reader(s, **conf | {"spark.sql.files.maxPartitionBytes": 97, "spark.sql.files.openCostInBytes": 1}))
+    stored = []
+    monkeypatch.setattr(delimited, "materialize", lambda df, session=None: (stored.append(df.columns), materialize(df, session))[1])
+    assert sorted(map(str, delimited.read_grid(spark, f"{tmp_path}/*.csv", multiline=True).collect())) == whole
+    assert sum("text" in c or "value" in c or "cells" in c for c in stored) == 1
+    got = {r.cells[0]: r.cells[1] for r in delimited.read_grid(spark, f"{tmp_path}/a.csv", multiline=True).collect()}
+    assert got == dict(cells)
